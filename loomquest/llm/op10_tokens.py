@@ -7,7 +7,9 @@ Parquet index with each document's first id and number of ids."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -24,8 +26,8 @@ from loomquest.llm.common import saved
 MAGIC, VERSION, BLOCK = b"LQTB", 1, 1 << 16
 HEADER = struct.Struct("<4sHHIQI8x")
 END_ID = 2
-#: Bytes of text that one file's range of doc_ids holds, about, and words kept in each of the two generations of a worker's cache.
-FILE_BYTES, CACHE = 32 << 20, 300_000
+#: Bytes of text that one file's range of doc_ids holds, about, and pieces kept in each of the two generations of a worker's cache.
+FILE_BYTES, CACHE = 32 << 20, 500_000
 
 
 # --- the format -------------------------------------------------------------------------------------------------------------------------
@@ -120,33 +122,56 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Encodes whole texts by the words between spaces and line ends, each distinct word once while it is in the cache.
+    """Encodes whole texts piece by piece, each distinct piece once while it is in the cache.
 
-    For a tokenizer that drops white space before it looks at anything else this gives what encoding the whole text gives. Two generations of
-    words bound the cache: when the new one is full it becomes the old one, and words still in use move up."""
+    Pieces are what the tokenizer's own splitting pattern finds in the lower-cased text; the model never looks across them, so this gives what
+    encoding the whole text gives. Texts with characters from U+0250 on, which the normaliser may compose, or with a special token are cut at spaces and line ends
+    only, and those words go to the tokenizer as they are. Two generations bound the cache: when the new one is full it becomes the old
+    one, and what is still in use moves up."""
 
     def __init__(self, path: str, cache: int = CACHE):
+        import regex
+
         self.tokenizer, self.limit, self.new, self.old = _tokenizer(path), cache, {}, {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        splits = [p["pattern"].get("Regex") for p in spec["pre_tokenizer"].get("pretokenizers", []) if p.get("type") == "Split" and p.get("invert")]
+        lowers = [n for n in (spec.get("normalizer") or {}).get("normalizers", []) if n["type"] == "Lowercase"]
+        self.pieces = regex.compile(splits[0], regex.V0).findall if len(splits) == 1 and lowers else None
+        self.odd = re.compile("|".join(["[^\\x00-\u024f]", *[re.escape(t["content"]) for t in spec["added_tokens"]]])).search
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """By the model alone, which wants the bytes as the characters that stand for them."""
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_NAMES))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _odd(self, text: str) -> bytes:
+        words = [(" ", w) for w in text.replace("\n", " ").split(" ")]  # pieces hold no space, so these keys are none of theirs
+        for w in set(words).difference(self.new):
+            self.new[w] = self._whole(w[1])
+        return b"".join(map(self.new.__getitem__, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.new)
-        known = {w: self.old[w] for w in missing if w in self.old}
-        missing.difference_update(known)
-        if len(self.new) + len(known) + len(missing) > self.limit:
+        if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
-            wanted = set().union(*split)
-            known |= {w: self.old[w] for w in wanted if w in self.old and w not in known}
-        self.new.update(known)
-        order = list(missing)
-        for at in range(0, len(order), 20_000):
-            part = order[at : at + 20_000]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.new.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        look = self.new.__getitem__
-        return [b"".join(map(look, ws)) for ws in split]
-
+        odd = [self.pieces is None or self.odd(t) is not None for t in texts]
+        cut = [() if o else self.pieces(t.lower()) for t, o in zip(texts, odd, strict=True)]
+        missing = set().union(*cut).difference(self.new)
+        new, old, piece = self.new, self.old, self._piece
+        for p in missing:
+            e = old.get(p)
+            new[p] = piece(p) if e is None else e
+        look = new.__getitem__
+        return [self._odd(t) if o else b"".join(map(look, c)) for t, o, c in zip(texts, odd, cut, strict=True)]
+
+
+# Byte-level models name each byte by a character: printable ones of Latin-1 by themselves, the others by U+0100, U+0101, ... in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 _encoders: dict[str, Encoder] = {}
 
