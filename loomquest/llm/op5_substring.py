@@ -21,7 +21,7 @@ from loomquest.llm.common import saved, words
 
 WINDOW = 50
 #: Words in a batch of documents, and bytes of text (of the whole input) for each range of hashes.
-FLUSH, RANGE_BYTES = 3_000_000, 9 << 20
+FLUSH, RANGE_BYTES = 1_000_000, 9 << 20
 #: Places found are broadcast to their documents up to this size, and joined by a shuffle beyond it.
 BROADCAST_BYTES = 32 << 20
 NO_ID = 2**63 - 1
@@ -60,12 +60,15 @@ def _gathered(batches):
     for b in batches:
         lists = b.column(2)
         off = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), flat, np.diff(off).astype(np.int64), *b.columns[3:]))
-        n += len(flat)
-        if n >= FLUSH:
-            yield number, whole()
-            number, held, n = number + 1, [], 0
+        flat, at = lists.values.to_numpy(zero_copy_only=False), 0
+        while at < b.num_rows:  # an Arrow batch can hold many times FLUSH
+            to = max(at + 1, int(np.searchsorted(off, off[at] + FLUSH - n, side="right")) - 1)
+            held.append((b.column(0)[at:to].to_numpy(), b.column(1)[at:to].to_numpy(), flat[off[at] : off[to]], np.diff(off[at : to + 1]).astype(np.int64), *[c[at:to] for c in b.columns[3:]]))
+            n += int(off[to] - off[at])
+            at = to
+            if n >= FLUSH or at < b.num_rows:
+                yield number, whole()
+                number, held, n = number + 1, [], 0
     if held:
         yield number, whole()
 
