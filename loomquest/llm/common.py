@@ -26,6 +26,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def sealed(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with the columns in names behind a generator, which filters do not move through: the optimiser would else write their whole
+    chain of expressions into each filter, again and again."""
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.explode(F.array(F.struct(*names))).alias("__sealed")).select(*others, "__sealed.*")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
     (a local session), a temporary folder that is then set as the checkpoint folder."""

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomquest.llm.common import sealed
+
 # Patterns are possessive where nothing after them could match otherwise, and start only where a run starts (or where the last
 # match ended), so that long texts neither overflow Java's stack nor take quadratic time; they match what the plain forms match.
 BASE = {
@@ -206,7 +208,8 @@ def found(docs: DataFrame, text: str = "text") -> DataFrame:
         return (_score([c[n] for n in FEATURES]) >= least) & clear
 
     added = F.transform(F.filter("__scored", passes), lambda c: c["x"])
-    return d.withColumn("spans", F.when(F.size("__more") > 0, F.concat("base", added)).otherwise(F.col("base"))).drop("__text", "__digit", "__more", "__scored")
+    d = d.withColumn("spans", F.when(F.size("__more") > 0, F.concat("base", added)).otherwise(F.col("base")))
+    return sealed(d.drop("__text", "__digit", "__more", "__scored"), ["base", "spans"])
 
 
 def shown(spans: Column) -> Column:

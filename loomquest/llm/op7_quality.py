@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomquest.llm.common import saved, words
+from loomquest.llm.common import saved, sealed, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -58,7 +58,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     w = _repeat_words(w)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
-    return w.withColumn("base_failed", failed).drop("__text", "__w", "__h", "__m", "__l")
+    w = w.withColumn("base_failed", failed).drop("__text", "__w", "__h", "__m", "__l")
+    return sealed(w, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
 
 
 def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:

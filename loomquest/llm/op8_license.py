@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomquest.llm.common import ascii_lower
+from loomquest.llm.common import ascii_lower, sealed
 
 # Phrases of the base rule and their labels.
 PHRASES = {"apache": ["apache", "license"], "gpl": ["general", "public", "license"], "mit": ["mit", "license"]}
@@ -125,4 +125,5 @@ def scanned(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
             "score": F.when(F.size("__starts") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda x: x["containment"])), F.lit(0.0))),
         }
     )
-    return d.drop("__w", "__joined", "__hit", "__at", "__k", "__b", "__starts", "__base", *[f"__{label}" for label in PHRASES])
+    d = d.drop("__w", "__joined", "__hit", "__at", "__k", "__b", "__starts", "__base", *[f"__{label}" for label in PHRASES])
+    return sealed(d, ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"])
