@@ -109,7 +109,7 @@ def synthesised(facts: DataFrame, goal: str, client, model: str | None = None) -
     def part(f: pd.DataFrame) -> pd.DataFrame:
         r = _report(client, goal, f.sort_values("place").fact.tolist(), model)
         found = (r["key_findings"] or [r["answer"]]) if r else []
-        return pd.DataFrame({"part": [int(f.part.iloc[0])] * len(found), "pos": range(len(found)), "fact": found})
+        return pd.DataFrame({"part": [int(f.part.iloc[0])] * len(found), "pos": range(len(found)), "fact": found}).astype({"part": "int64", "pos": "int64", "fact": object})
 
     parts = facts.withColumn("part", chunk_number(F.col("place"))).groupBy("part").applyInPandas(part, "part long, pos long, fact string")
     partial = [r.fact for r in parts.orderBy("part", "pos").collect()]
