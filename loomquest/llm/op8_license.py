@@ -32,7 +32,7 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 BLOCK = 64
 STEP = BLOCK // 2
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
