@@ -135,8 +135,7 @@ def enumerate_confidence(spark, sf_dir):
 @query(f"SELECT doc_id, pos, item, key FROM {_CLEAN}")
 def list_items(spark, sf_dir):
     """Every line that counts as an item of a list."""
-    d = facts_of(spark, sf_dir).withColumn("item", X.list_item(F.col("fact")))
-    return d.where(X.is_item(F.col("item"))).select("doc_id", "pos", "item", F.lower("item").alias("key"))
+    return items.listable(facts_of(spark, sf_dir)).select("doc_id", "pos", "item", "key")
 
 
 _MENTIONS = f"""(SELECT *, {_mention_key('item')} AS key FROM (SELECT doc_id, pos, source, {_trim('fact')} AS item FROM {_LINES})

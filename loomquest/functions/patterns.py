@@ -8,13 +8,20 @@ STOP_WORDS = (
     "find about into over your you i we they it that this com www http https org net html"
 ).split()
 
-# Page furniture that is never an item of a list.
-JUNK = (
-    r"(?i)(tagged with|table of contents|frequently asked|^faqs?$|add a header|read more|related (posts|articles|reading)|you might also|more (posts|articles)|"
-    r"leave a (comment|reply)|^comments?$|share (this|on)|subscribe|newsletter|sign (in|up)|log ?in|cookie|privacy policy|terms of|©|all rights reserved|"
-    r"recent posts|popular posts|^categor(y|ies)$|^tags?$|^menu$|^search$|^home$|about (the author|us)|contact us|follow us|»|\||^https?://|^[^\p{L}\p{N}_]*$|"
-    r"latecomer|walknotes|\?[ \t\r\n\f\v]*$|^ai (word|phrase|term)s?$|human alternative|^word ?/? ?phrase$|frequency of use|^(before|after|example|category|alternative)s?$)"
+# Page furniture that is never an item of a list: texts anywhere in it, in lower case, ...
+JUNK_TEXTS = [
+    "tagged with", "table of contents", "frequently asked", "add a header", "read more", "related posts", "related articles", "related reading", "you might also",
+    "more posts", "more articles", "leave a comment", "leave a reply", "share this", "share on", "subscribe", "newsletter", "sign in", "sign up", "log in", "login",
+    "cookie", "privacy policy", "terms of", "©", "all rights reserved", "recent posts", "popular posts", "about the author", "about us", "contact us", "follow us",
+    "»", "|", "latecomer", "walknotes", "human alternative", "frequency of use",
+]
+# ... and whole items, addresses, items without a letter or digit, and questions.
+JUNK_WHOLE = (
+    r"^((faqs?|comments?|categor(y|ies)|tags?|menu|search|home|ai (word|phrase|term)s?|word ?/? ?phrase|(before|after|example|category|alternative)s?)$|https?://|[^\p{L}\p{N}_]*$)"
 )
+JUNK_END = r"\?[ \t\r\n\f\v]*$"
+#: The same as one pattern.
+JUNK = "(?i)(" + "|".join([t.replace("|", r"\|") for t in JUNK_TEXTS] + [JUNK_WHOLE, JUNK_END]) + ")"
 
 # Headings of reference pages that are never an entity.
 META = (

@@ -19,10 +19,15 @@ def prefer_pages(facts: DataFrame) -> DataFrame:
     return facts.join(F.broadcast(some)).where((F.col("__some") == 0) | deep).drop("__some")  # one row
 
 
+def listable(facts: DataFrame) -> DataFrame:
+    """facts that are items of a list, with item, and key (it in lower case)."""
+    item = X.list_item(F.col("fact"))
+    return X.held(facts, item=item, key=F.lower(item)).where(X.is_item(F.col("item"), F.col("key")))
+
+
 def corroborated(facts: DataFrame, order: list[str]) -> DataFrame:
     """Distinct items without regard to case: item (as first seen), n_sources (distinct queries)."""
-    v = facts.withColumn("item", X.list_item(F.col("fact"))).where(X.is_item(F.col("item")))
-    return v.groupBy(F.lower("item").alias("key")).agg(F.min_by("item", F.struct(*order)).alias("item"), F.countDistinct("query").alias("n_sources"))
+    return listable(facts).groupBy("key").agg(F.min_by("item", F.struct(*order)).alias("item"), F.countDistinct("query").alias("n_sources"))
 
 
 def compiled_list(facts: DataFrame, order: list[str], cap: int = LIST_CAP) -> DataFrame:
@@ -39,8 +44,9 @@ def compiled_list(facts: DataFrame, order: list[str], cap: int = LIST_CAP) -> Da
 
 def mentions(found: DataFrame) -> DataFrame:
     """found: item, url, vetted, ord. The mentions that count, with their key."""
-    v = found.where(X.is_mention(F.col("item"))).withColumn("key", X.mention_key(F.col("item")))
-    return v.where(F.length("key").between(2, 60)).select("key", X.trim(F.col("item")).alias("item"), "url", "vetted", "ord")
+    item = X.trim(F.col("item"))
+    v = X.held(found, item=item, low=F.lower(item)).where(X.is_mention(F.col("item"), F.col("low")))
+    return X.held(v, key=X.mention_key(F.col("item"))).where(F.length("key").between(2, 60)).select("key", "item", "url", "vetted", "ord")
 
 
 def merged(state: DataFrame | None, new: DataFrame) -> DataFrame:
