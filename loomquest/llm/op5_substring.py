@@ -192,7 +192,7 @@ def _matched(batches):
             yield _table(rows)
 
 
-def _extended(parts: int, window: int, block: int):
+def _extended(parts: int, window: int):
     """A batch's part of the window exchange: every window that holds a hit, the least document of each hash going on."""
 
     def run(batches):
@@ -200,12 +200,11 @@ def _extended(parts: int, window: int, block: int):
             rows = [_names(number, parts, doc, row, counts)]
             h, place = _windows(values, counts, window)
             begin = np.cumsum(counts) - counts
-            at = [np.frombuffer(x, "<i4") for x in hits.to_pylist()]
-            hit = np.concatenate([b + p for b, p in zip(begin, at, strict=True)]) if at else np.zeros(0, np.int64)
-            # windows that start up to window - block words before a hit hold it
+            # the spans hold the places where windows that hold a hit start
+            spans = np.concatenate([b + np.frombuffer(x, "<i4").astype(np.int64) for b, x in zip(begin, hits.to_pylist(), strict=True)]).reshape(-1, 2)
             mark = np.zeros(len(values) + 1, np.int32)
-            np.add.at(mark, np.maximum(hit - (window - block), 0), 1)
-            np.add.at(mark, hit + 1, -1)
+            np.add.at(mark, spans[:, 0], 1)
+            np.add.at(mark, np.minimum(spans[:, 1], len(values)), -1)
             chosen = np.cumsum(mark)[place] > 0
             h, place = h[chosen], place[chosen]
             if len(h):
@@ -234,8 +233,8 @@ def _judged(batches):
             yield _table(rows)
 
 
-def _named(spans: int):
-    """Turns a batch's places into those of its documents: doc, row and the places (spans = 0), or the merged spans of so many words."""
+def _named(before: int, after: int):
+    """Turns a batch's places into spans of its documents: doc, row, and the merged spans from before a place to after it, as int32 pairs start, end."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = {"doc": [], "row": [], "found": []}
@@ -251,21 +250,20 @@ def _named(spans: int):
             for a, b in zip(start, [*start[1:], len(who)], strict=True):
                 w = who[a]
                 p = place[a:b] - (ends[w] - counts[w])
-                if spans:
-                    cut = np.flatnonzero(np.concatenate([[True], p[1:] > p[:-1] + spans]))
-                    p = np.stack([p[cut], p[np.append(cut[1:], len(p)) - 1] + spans], axis=1).ravel()
+                cut = np.flatnonzero(np.concatenate([[True], p[1:] - before > p[:-1] + after]))
+                pairs = np.stack([np.maximum(p[cut] - before, 0), p[np.append(cut[1:], len(p)) - 1] + after], axis=1)
                 out["doc"].append(doc[w])
                 out["row"].append(row[w])
-                out["found"].append(p.astype("<i4").tobytes())
-        return pd.DataFrame(out)
+                out["found"].append(pairs.astype("<i4").tobytes())
+        return pd.DataFrame(out).astype({"doc": "int64", "row": "int64", "found": object})
 
     return run
 
 
-def _exchanged(made: DataFrame, parts: int, judge, spans: int, name: str) -> DataFrame:
+def _exchanged(made: DataFrame, parts: int, judge, around: tuple[int, int], name: str) -> DataFrame:
     """The way of either exchange: records to their range, answers back to their batch, names to places. Written to the shared folder."""
     ranged = made.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(judge, _EXCHANGE)
-    return saved(ranged.groupBy("batch").applyInPandas(_named(spans), "doc long, row long, found binary"), name)
+    return saved(ranged.groupBy("batch").applyInPandas(_named(*around), "doc long, row long, found binary"), name)
 
 
 def _joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
@@ -277,13 +275,15 @@ def _joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 def removed_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, parts: int | None = None) -> DataFrame:
     """doc (NO_ID for null), row (a hash of the text), found: merged spans of words to remove, int32 pairs start, end. Only documents that have some."""
     spark, block = docs.sparkSession, window // 2
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("h"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")
     if parts is None:
         size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    hits = _exchanged(keyed.mapInArrow(_probe(parts, block), _EXCHANGE), parts, _matched, 0, "hits")
+    hits = _exchanged(keyed.select("doc", "row", hashes).mapInArrow(_probe(parts, block), _EXCHANGE), parts, _matched, (window - block, 1), "hits")
     hits = hits.dropDuplicates(["doc", "row"])  # rows that repeat another whole row are one
-    return _exchanged(_joined(keyed, hits, "inner").mapInArrow(_extended(parts, window, block), _EXCHANGE), parts, _judged, window, "spans").dropDuplicates(["doc", "row"])
+    near = _joined(keyed, hits, "inner").select("doc", "row", hashes, "found")
+    return _exchanged(near.mapInArrow(_extended(parts, window), _EXCHANGE), parts, _judged, (0, window), "spans").dropDuplicates(["doc", "row"])
 
 
 def deduped(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
