@@ -122,12 +122,12 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Encodes whole texts piece by piece, each distinct piece once while it is in the cache.
+    """Encodes whole texts word by word, each distinct word once while it is in the cache.
 
-    Pieces are what the tokenizer's own splitting pattern finds in the lower-cased text; the model never looks across them, so this gives what
-    encoding the whole text gives. Texts with characters from U+0250 on, which the normaliser may compose, or with a special token are cut at spaces and line ends
-    only, and those words go to the tokenizer as they are. Two generations bound the cache: when the new one is full it becomes the old
-    one, and what is still in use moves up."""
+    Words are what stands between spaces and line ends of the lower-cased text. Most are letters alone, one piece of the tokenizer's own
+    splitting pattern; the others are cut by that pattern; the model never looks across pieces, so this gives what encoding the whole text gives. Texts with characters from
+    U+0250 on, which the normaliser may compose, or with a special token keep their words as they are, and the whole tokenizer encodes those. Two generations
+    bound the cache: when the new one is full it becomes the old one, and what is still in use moves up."""
 
     def __init__(self, path: str, cache: int = CACHE):
         import regex
@@ -138,35 +138,41 @@ class Encoder:
         splits = [p["pattern"].get("Regex") for p in spec["pre_tokenizer"].get("pretokenizers", []) if p.get("type") == "Split" and p.get("invert")]
         lowers = [n for n in (spec.get("normalizer") or {}).get("normalizers", []) if n["type"] == "Lowercase"]
         self.pieces = regex.compile(splits[0], regex.V0).findall if len(splits) == 1 and lowers else None
-        self.odd = re.compile("|".join(["[^\\x00-\u024f]", *[re.escape(t["content"]) for t in spec["added_tokens"]]])).search
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.far = re.compile("[^\\x00-\u024f]").search
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _odd(self, text: str) -> bool:
+        return self.pieces is None or any(t in text for t in self.special) or not text.isascii() and self.far(text) is not None
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> list[int]:
         """By the model alone, which wants the bytes as the characters that stand for them."""
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_NAMES))]
+        name = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return [t.id for t in self.tokenizer.model.tokenize(name)]
+
+    def _word(self, word: str | tuple) -> bytes:
+        if isinstance(word, tuple):
+            ids = self.tokenizer.encode(word[0], add_special_tokens=False).ids
+        else:
+            ids = self._piece(word) if word.isalpha() else [i for p in self.pieces(word) for i in self._piece(p)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _odd(self, text: str) -> bytes:
-        words = [(" ", w) for w in text.replace("\n", " ").split(" ")]  # pieces hold no space, so these keys are none of theirs
-        for w in set(words).difference(self.new):
-            self.new[w] = self._whole(w[1])
-        return b"".join(map(self.new.__getitem__, words))
+    def _cut(self, text: str) -> list:
+        """Words of a text; those for the whole tokenizer are wrapped, which keeps them apart in the cache."""
+        if self._odd(text):
+            return [(w,) for w in text.replace("\n", " ").split(" ")]
+        return text.lower().replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
-        odd = [self.pieces is None or self.odd(t) is not None for t in texts]
-        cut = [() if o else self.pieces(t.lower()) for t, o in zip(texts, odd, strict=True)]
-        missing = set().union(*cut).difference(self.new)
-        new, old, piece = self.new, self.old, self._piece
-        for p in missing:
-            e = old.get(p)
-            new[p] = piece(p) if e is None else e
+        cut = [self._cut(t) for t in texts]
+        new, old, word = self.new, self.old, self._word
+        for w in set().union(*cut).difference(new):
+            e = old.get(w)
+            new[w] = word(w) if e is None else e
         look = new.__getitem__
-        return [self._odd(t) if o else b"".join(map(look, c)) for t, o, c in zip(texts, odd, cut, strict=True)]
+        return [b"".join(map(look, c)) for c in cut]
 
 
 # Byte-level models name each byte by a character: printable ones of Latin-1 by themselves, the others by U+0100, U+0101, ... in order.
@@ -264,8 +270,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", en
     return index.join(F.broadcast(starts), "part").select("doc_id", "part", "at", "n", (F.col("before") + F.col("at")).alias("start"))
 
 
-def read_ids(index: DataFrame, path: str) -> DataFrame:
-    """index (of write_ids) with each document's ids read back from the files: ids_crc32, the crc32 of its ids as little-endian uint32, and ids.
+def read_ids(index: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+    """index (of write_ids) with each document's ids read back from the files: ids_crc32, the crc32 of its ids as little-endian uint32, and, if asked for, ids.
 
     A task reads the documents of few files in order, and unpacks whole runs of blocks."""
 
@@ -283,11 +289,14 @@ def read_ids(index: DataFrame, path: str) -> DataFrame:
                     base, size = a, min(reader.n - a, max(k, 4 * BLOCK))
                     window = reader.ids(a, size)
                 own = window[a - base : a - base + k].astype("<u4")
-                ids.append(own)
+                ids += [own] if with_ids else []
                 sums.append(zlib.crc32(own.tobytes()))
+            if not with_ids:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], names=[*batch.schema.names, "ids_crc32"])
+                continue
             for i in range(0, len(ids), 500):
                 lengths = np.cumsum([0, *map(len, ids[i : i + 500])])
                 flat = np.concatenate(ids[i : i + 500]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*[c[i : i + 500] for c in batch.columns], pa.array(sums[i : i + 500], pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int32()))], names=[*batch.schema.names, "ids_crc32", "ids"])
 
-    return index.select("doc_id", "part", "at", "n", "start").mapInArrow(run, "doc_id long, part int, at long, n long, start long, ids_crc32 long, ids array<int>")
+    return index.select("doc_id", "part", "at", "n", "start").mapInArrow(run, "doc_id long, part int, at long, n long, start long, ids_crc32 long" + ", ids array<int>" * with_ids)

@@ -65,7 +65,7 @@ def op9_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "ids")
     index = op10_tokens.write_ids(rows_of(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path("word_bpe_49k.json"))
-    return op10_tokens.read_ids(index, path).select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32")
+    return op10_tokens.read_ids(index, path, with_ids=False).select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32")
 
 
 QUERIES = {
