@@ -67,18 +67,15 @@ def splitters(keyed: DataFrame, goals: list[int], slack: list[int], probes: int
         for r in counts:
             n[r["cell"]], size[r["cell"]] = r["n"], r["bytes"]
         n, size = np.cumsum(n)[:-1], np.cumsum(size)[:-1]  # below each edge
-        for i, goal in enumerate(goals):
-            if low[i] >= high[i]:
-                continue
-            for key, rows, below in zip(edges, n.tolist(), size.tolist(), strict=True):
-                if low[i] <= key <= high[i] and (best[i] is None or abs(below - goal) < best[i][0]):
-                    best[i] = (abs(below - goal), key, rows, below)
-            under = [k for k, b in zip(edges, size.tolist(), strict=True) if b < goal and k >= low[i]]
-            over = [k for k, b in zip(edges, size.tolist(), strict=True) if b >= goal and k <= high[i]]
-            low[i] = max([low[i], *[k + 1 for k in under]])
-            high[i] = min([high[i], *over])
-            if over and min(over) <= low[i]:
-                low[i] = high[i]
+        place = np.searchsorted(size, np.array(goals), side="left").tolist()  # the first edge with the goal below it
+        for i, j in enumerate(place):
+            for k in (j - 1, j):
+                if 0 <= k < len(edges) and (best[i] is None or abs(int(size[k]) - goals[i]) < best[i][0]):
+                    best[i] = (abs(int(size[k]) - goals[i]), edges[k], int(n[k]), int(size[k]))
+            if j > 0:
+                low[i] = max(low[i], edges[j - 1] + 1)
+            if j < len(edges):
+                high[i] = min(high[i], edges[j])
     return [b[1] for b in best], [b[2] for b in best], [b[3] for b in best]
 
 
