@@ -93,6 +93,7 @@ def run(engine: Engine, goal: str, slug: str | None = None, scope: str = "broad"
             now = state(engine, slug)["mentions"].select("key").distinct().count()
             log.append({"query": f"round {number}", "round": number, "n_results": hits.count(), "pages_read": docs.count(), "new_items": new, "total_items": now,
                         "digest": {"relevance": 1.0}, "results": [r.asDict() for r in hits.orderBy("ord", "hit_ord").limit(40).select("title", "url", "snippet", "source").collect()]})
+            report.add_round(engine.folder, slug, log[-1])
             if turn and new < s.least_new:
                 break
             if turn < s.rounds - 1:

@@ -52,7 +52,15 @@ def results_markdown(c: dict) -> str:
 
 def paths(folder: str, slug: str) -> dict[str, Path]:
     base = Path(folder)
-    return {k: base / f"{slug}{s}" for k, s in {"log": ".jsonl", "json": ".json", "results": ".md", "report": ".report.md", "done": ".done"}.items()}
+    return {k: base / f"{slug}{s}" for k, s in {"log": ".jsonl", "json": ".json", "results": ".md", "report": ".report.md", "rounds": ".rounds.jsonl", "done": ".done"}.items()}
+
+
+def add_round(folder: str, slug: str, record: dict) -> None:
+    """One line per round of a census, as soon as it is over; apart from the log of queries, which only quick campaigns resume from."""
+    p = paths(folder, slug)["rounds"]
+    p.parent.mkdir(parents=True, exist_ok=True)
+    with p.open("a", encoding="utf-8") as f:
+        f.write(json.dumps(record, ensure_ascii=False) + "\n")
 
 
 def write(folder: str, c: dict, top: list[dict]) -> None:

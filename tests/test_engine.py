@@ -196,6 +196,7 @@ def test_census_to_saturation_and_resume(spark, tmp_path):
     found = {i["item"]: i["sources"] for i in c["items"]}
     assert found["delve"] == 2 and found["tapestry"] == 2 and found["unique"] == 1 and c["n_rounds"] == 2 and c["report"]["enumerated"]
     assert [r["new_items"] for r in c["records"]][1] == 0 and c["records"][-1]["total_items"] == len(found)
+    assert tools.read_campaign(e.folder, {"slug": "c"}).endswith(f"round 2, +0 new, {len(found)} items so far.")
     again = census.run(engine(spark, tmp_path, WORDS | queries), goal, "c", "broad", ["hn"])
     assert {i["item"]: i["sources"] for i in again["items"]} == found and again["n_rounds"] >= 2
 
