@@ -75,8 +75,53 @@ QUERIES = {
 
 _W = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 _SIZE = f"CAST(len({_W}) AS BIGINT)"
+_TOKENS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _place(phrase: list[str]) -> str:
+    return "list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase)) + ")"
+
+
+_TEMPLATES = ", ".join(f"('{label}', {_list(sorted(set(t.split())))})" for label, t in op8_license.TEMPLATES)
+_OWN = ", ".join(f"CASE WHEN len({label}) > 0 THEN '{label}' END" for label in op8_license.PHRASES)
 
 ORACLE_SQL = {
+    # Every pair is compared; the query's retrieval finds all links of these tables.
+    "op2_embedding_itq": f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {op2_embeddings.THRESHOLD}),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT vec_id, least(vec_id, coalesce((SELECT min(b) FROM r WHERE r.a = vec_id), vec_id)) AS component_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links FROM v)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM c""",
+    "op5_anchor_substrings": f"""
+WITH d AS (SELECT doc_id, {_W} AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+x AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS k FROM i),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) < doc_id AS late FROM x),
+g AS (SELECT DISTINCT doc_id, i + j AS p FROM f, (SELECT unnest(range(0, 50)) AS j) WHERE late),
+h AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+u AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM h)),
+k AS (SELECT doc_id, coalesce(string_agg(w[p], ' ' ORDER BY p), '') AS kept FROM u ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN h.n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(k.kept, '') END) AS kept_sha256
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op8_license_join": f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+p AS (SELECT doc_id, w, {', '.join(f'{_place(p)} AS {label}' for label, p in op8_license.PHRASES.items())} FROM d),
+b AS (SELECT doc_id, unnest(range(0, greatest(1, len(w)), {op8_license.STEP})) AS pos, w FROM d),
+t(label, own) AS (VALUES {_TEMPLATES}),
+m AS (SELECT doc_id, label, len(list_intersect(list_slice(w, pos + 1, pos + {op8_license.BLOCK}), own)) / len(own) AS share FROM b, t),
+f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM m WHERE share >= {op8_license.THRESHOLD} - 1e-9 GROUP BY doc_id),
+s AS (SELECT *, flatten([{', '.join(op8_license.PHRASES)}]) AS starts, list_filter([{_OWN}], lambda x: x IS NOT NULL) AS base FROM p)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base, CAST(list_min(starts) - 1 AS BIGINT) AS first_word, CAST(list_max(starts) - 1 AS BIGINT) AS last_word,
+  array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(f.labels, [])))), ',') AS labels,
+  CASE WHEN len(starts) > 0 THEN 1.0::DOUBLE ELSE coalesce(f.share, 0.0)::DOUBLE END AS score
+FROM s LEFT JOIN f USING (doc_id)""",
     "op4_mix_budgets": f"""
 WITH d AS (SELECT doc_id, source, {_SIZE} AS size, md5('20:' || doc_id) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
