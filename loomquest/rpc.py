@@ -1,6 +1,6 @@
 """The tools over JSON-RPC 2.0, one message a line: python -m loomquest.rpc serves on standard input and output.
 
-web_search answers at once; mass_search starts a process of its own, which outlives the call, and read_campaign tells how far it is. What the engine
+web_search answers at once; start_campaign starts a process of its own, which outlives the call, and read_campaign tells how far it is. What the engine
 prints goes to standard error, so that the channel stays clean."""
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def _tool(name: str, text: str, required: list[str], **fields: str) -> dict:
 TOOLS = [
     _tool("web_search", "Search the web now with the keyless backends.", ["query"], query="string", backends="string", per_backend="number"),
     _tool(
-        "mass_search", "Start a campaign in the background; read it with read_campaign.", ["question"],
+        "start_campaign", "Start a campaign in the background; read it with read_campaign.", ["question"],
         question="string", scope="string", queries="number", backends="string", deep="boolean", discover="boolean", synth="boolean", extract="boolean",
     ),
     _tool("read_campaign", "The result of a campaign, or how far it is.", ["slug"], slug="string", section="string"),
@@ -68,7 +68,7 @@ def called(name: str, args: dict, make=engine, launch=subprocess.Popen) -> str:
 
     if name == "web_search":
         return tools.web_search(make(), args)
-    return started(args, launch) if name == "mass_search" else tools.read_campaign(folder(), args)
+    return started(args, launch) if name == "start_campaign" else tools.read_campaign(folder(), args)
 
 
 def answer(message: dict, call=called) -> dict | None:

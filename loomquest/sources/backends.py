@@ -40,7 +40,7 @@ GROUPS = {
     "tech": ["hn", "stackexchange", "github"],
 }
 DEFAULTS = ["ddg", "wiki", "hn"]
-GATES = {"mojeek": "MASS_MOJEEK_KEY", "searxng": "MASS_SEARXNG_URL"}
+GATES = {"mojeek": "LOOM_MOJEEK_KEY", "searxng": "LOOM_SEARXNG_URL"}
 
 
 @dataclass(frozen=True)
@@ -235,7 +235,7 @@ BACKENDS = {
 def settings() -> dict:
     """What the environment says; read on the driver once and sent along."""
     env = lambda k: os.environ.get(k, "").strip()
-    found = {"contact": env("MASS_CONTACT"), "mojeek_key": env("MASS_MOJEEK_KEY"), "openalex_key": env("MASS_OPENALEX_KEY"), "searxng_url": env("MASS_SEARXNG_URL")}
+    found = {"contact": env("LOOM_CONTACT"), "mojeek_key": env("LOOM_MOJEEK_KEY"), "openalex_key": env("LOOM_OPENALEX_KEY"), "searxng_url": env("LOOM_SEARXNG_URL")}
     return {k: v for k, v in found.items() if v}
 
 

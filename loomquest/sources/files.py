@@ -32,8 +32,8 @@ def append_records(records: DataFrame, path: str) -> None:
 
 
 def output_dir(default: str) -> str:
-    """MASS_OUT_DIR where it is an absolute path without unexpanded variables, ~/mass-search where it is not, default where it is unset."""
-    d = os.environ.get("MASS_OUT_DIR", "").strip()
+    """LOOM_OUT_DIR where it is an absolute path without unexpanded variables, ~/loomquest where it is not, default where it is unset."""
+    d = os.environ.get("LOOM_OUT_DIR", "").strip()
     if not d:
         return default
-    return d if os.path.isabs(d) and "${" not in d and "%" not in d else os.path.join(os.path.expanduser("~"), "mass-search")
+    return d if os.path.isabs(d) and "${" not in d and "%" not in d else os.path.join(os.path.expanduser("~"), "loomquest")

@@ -49,9 +49,9 @@ def test_every_backend_parses(spark):
 
 
 def test_resolution(monkeypatch):
-    monkeypatch.delenv("MASS_MOJEEK_KEY", raising=False)
+    monkeypatch.delenv("LOOM_MOJEEK_KEY", raising=False)
     assert B.resolve(["tech", "hn", "nobody"]) == ["hn", "stackexchange", "github"] and B.resolve([]) == B.DEFAULTS and B.resolve(["mojeek"]) == B.DEFAULTS
-    monkeypatch.setenv("MASS_MOJEEK_KEY", "k")
+    monkeypatch.setenv("LOOM_MOJEEK_KEY", "k")
     assert "mojeek" in B.resolve(["all"])
 
 
@@ -229,7 +229,7 @@ def test_tools(spark, tmp_path):
 
 
 def test_command_line(capsys, tmp_path, monkeypatch):
-    monkeypatch.setenv("MASS_BACKEND", "offline")
+    monkeypatch.setenv("LOOM_BACKEND", "offline")
     (tmp_path / "My list.txt").write_text("# note\none\n\n two \n")
     assert cli.inputs(cli.parser().parse_args(["--file", str(tmp_path / "My list.txt")]), clients.Offline()) == (["one", "two"], "one", "my-list")
     cli.main(["quad", "mesh", "--queries", "3", "--dry-run"])
@@ -246,8 +246,8 @@ def test_files(spark, tmp_path):
 
 def test_output_dir(monkeypatch):
     for value, want in (("", "d"), ("/abs", "/abs"), ("rel", None), ("/x/${Y}", None)):
-        monkeypatch.setenv("MASS_OUT_DIR", value)
-        assert files.output_dir("d") == want if want else files.output_dir("d").endswith("mass-search")
+        monkeypatch.setenv("LOOM_OUT_DIR", value)
+        assert files.output_dir("d") == want if want else files.output_dir("d").endswith("loomquest")
 
 
 def test_data_source(spark):
@@ -258,14 +258,14 @@ def test_data_source(spark):
 
 
 def test_clients(monkeypatch):
-    for k in ("MASS_BACKEND", "RIPOSTE_BACKEND", "GEMINI_API_KEY"):
+    for k in ("LOOM_BACKEND", "LOOMQUEST_BACKEND", "GEMINI_API_KEY"):
         monkeypatch.delenv(k, raising=False)
     none = lambda: None
     assert isinstance(clients.client(none), clients.Offline)
     monkeypatch.setenv("GEMINI_API_KEY", "k")
     assert isinstance(clients.client(none), clients.Gemini)
-    monkeypatch.setenv("RIPOSTE_BACKEND", "local")
+    monkeypatch.setenv("LOOMQUEST_BACKEND", "local")
     assert clients.client(none).label.startswith("local (ollama:")
-    monkeypatch.setenv("MASS_BACKEND", "offline")
+    monkeypatch.setenv("LOOM_BACKEND", "offline")
     assert isinstance(clients.client(none), clients.Offline)
     assert tasks.texts("one") == ["one"] and tasks.texts([" a ", ""]) == ["a"] and tasks.number("x") == 0.0

@@ -14,7 +14,7 @@ def said(*messages, call=lambda name, args: f"{name} {args}"):
 def test_protocol():
     got = said({"id": 1, "method": "initialize", "params": {}}, {"method": "notifications/initialized"}, "not json", "", {"id": 2, "method": "ping"}, {"id": 3, "method": "tools/list"}, {"id": 4, "method": "x"})
     assert [g["id"] for g in got] == [1, 2, 3, 4] and got[0]["result"]["serverInfo"]["name"] == "loomquest"
-    assert [t["name"] for t in got[2]["result"]["tools"]] == ["web_search", "mass_search", "read_campaign"] and got[3]["error"]["code"] == -32601
+    assert [t["name"] for t in got[2]["result"]["tools"]] == ["web_search", "start_campaign", "read_campaign"] and got[3]["error"]["code"] == -32601
 
 
 def test_calls():
@@ -29,10 +29,10 @@ def test_calls():
 
 
 def test_start_and_read(tmp_path, monkeypatch):
-    monkeypatch.setenv("MASS_OUT_DIR", str(tmp_path))
+    monkeypatch.setenv("LOOM_OUT_DIR", str(tmp_path))
     launched = []
     (tmp_path / "history-of-tea.done").write_text("old")
-    text = rpc.called("mass_search", {"question": "history of tea"}, launch=lambda cmd, **k: launched.append(cmd))
+    text = rpc.called("start_campaign", {"question": "history of tea"}, launch=lambda cmd, **k: launched.append(cmd))
     assert "Started in the background" in text and launched[0][-2] == "--campaign" and not (tmp_path / "history-of-tea.done").exists()
     (tmp_path / "history-of-tea.jsonl").write_text("{}\n{}\n")
     assert "still running: 2 queries" in rpc.called("read_campaign", {"slug": "History of tea"})
