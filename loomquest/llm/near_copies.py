@@ -1,0 +1,130 @@
+"""Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+A text has BANDS keys, each of ROWS minima of its hashed shingles; texts with a common key are candidates, and every link is verified on the
+complete sets. A pair of similarity s has no common key with probability (1 - s ** ROWS) ** BANDS: 0.00001 at 0.8. Texts of the same lower-cased
+words are one class. First each class is compared with the least one of each of its keys; then, where a key still holds several groups, those
+outside its largest group are compared with all of the key's classes in other groups, so a large group costs no pairs of its own."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from loomquest.llm.common import ascii_lower, components, saved, words
+
+SHINGLE, ROWS, BANDS, SEED = 5, 5, 28, 13
+#: One bit of each of the ROWS * BANDS minima is kept. At similarity 0.8 one in ten differs, 14 of 140 and 3.6 the deviation; pairs of the
+#: second round that differ in more than 32 are not verified.
+FAR = 32
+#: Shingles hashed at a time, and classes whose texts are found by a broadcast join at most.
+CHUNK, BROADCAST = 1 << 16, 1_000_000
+_RNG = np.random.default_rng(SEED)
+_XOR, _TIMES = (_RNG.integers(0, 2**64, ROWS * BANDS, np.uint64) for _ in range(2))
+_TIMES |= np.uint64(1)
+
+
+def _minima(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """ROWS * BANDS rows, one column per text; hashes holds all texts' shingle hashes, counts their numbers."""
+    least = np.full((len(_XOR), len(counts)), np.uint64(2**64 - 1))
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK].astype(np.uint64)
+        who, start = np.unique(owner[at : at + CHUNK], return_index=True)
+        mixed = np.empty_like(part)
+        for k, (x, times) in enumerate(zip(_XOR, _TIMES, strict=True)):
+            np.bitwise_xor(part, x, out=mixed)
+            np.multiply(mixed, times, out=mixed)
+            least[k, who] = np.minimum(least[k, who], np.minimum.reduceat(mixed, start))
+    return least
+
+
+def _signed(batches):
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        offsets = lists.offsets.to_numpy()
+        hashes = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
+        n = batch.num_rows
+        least = _minima(hashes, np.diff(offsets))
+        keys = np.zeros((BANDS, n), np.uint64)
+        for t in range(BANDS):
+            keys[t] = t + 1
+            for row in least[t * ROWS : (t + 1) * ROWS]:
+                keys[t] = (keys[t] ^ row) * np.uint64(0x9E3779B97F4A7C15)
+                keys[t] ^= keys[t] >> np.uint64(29)
+        bits = np.zeros((n, 192), np.uint8)
+        bits[:, : len(least)] = (least >> np.uint64(20)).T & np.uint64(1)
+        marks = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel()))
+        names = [*batch.schema.names[:-1], "m0", "m1", "m2", "bands"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(np.ascontiguousarray(marks[:, i])) for i in range(3)], bands], names=names)
+
+
+def _shingles(size: int) -> Column:
+    """Hashes of the shingles of the words in __w; fewer words than a shingle are one shingle."""
+    joined = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("__w", i + k) for k in range(size)]))
+    return (
+        F.when(F.size("__w") >= size, F.transform(F.sequence(F.lit(0), F.size("__w") - size), joined))
+        .when(F.size("__w") > 0, F.array(F.xxhash64(F.array_join("__w", " "))))
+        .otherwise(F.array().cast("array<bigint>"))
+    )
+
+
+def _split(text: str) -> Column:
+    return words(ascii_lower(F.coalesce(text, F.lit(""))))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, text: str, size: int) -> DataFrame:
+    """The pairs (a, b) of classes whose complete shingle sets have a similarity of 0.8 or more."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    used = saved(used.join(classes.select("cls", F.col("best.k").alias("__k")), "cls"), "used")
+    if used.count() <= BROADCAST:
+        used = F.broadcast(used)
+    sets = keyed.join(used, "__k").select("cls", _split(text).alias("__w")).select("cls", F.array_distinct(_shingles(size)).alias("s"))
+    sets = saved(sets.dropDuplicates(["cls"]), "sets")
+    of = lambda c: sets.select(F.col("cls").alias(c), F.col("s").alias(f"s{c}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    near = 5 * both >= 4 * (F.size("sa") + F.size("sb") - both)
+    return saved(pairs.join(of("b"), "b").join(of("a"), "a").where(near).select("a", "b"), "near")
+
+
+def _rooted(classes: DataFrame, bands: DataFrame, keyed: DataFrame, text: str, size: int) -> DataFrame:
+    """cls and root (of its group), for each class that has a link."""
+    held = bands.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = saved(bands.join(held, "key").where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "pairs")
+    found = _verified(pairs, classes, keyed, text, size)
+    tree = saved(components(found), "tree").withColumnRenamed("node", "cls")
+    # Keys that hold several groups.
+    shared = bands.join(held.select("key"), "key").join(tree, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    shared = saved(shared, "shared")
+    most = shared.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("groups"))
+    mixed = shared.join(most.where("groups > 1").select("key", F.col("most.root").alias("main")), "key").join(classes.select("cls", "m0", "m1", "m2"), "cls")
+    x = mixed.where("root <> main").select("key", *[F.col(c).alias(f"x{c}") for c in ("cls", "root", "m0", "m1", "m2")])
+    differ = sum((F.bit_count(F.col(f"x{m}").bitwiseXOR(F.col(m))) for m in ("m0", "m1", "m2")), F.lit(0))
+    more = x.join(mixed.hint("shuffle_hash"), (x["key"] == mixed["key"]) & (F.col("xroot") != F.col("root")) & (differ <= FAR))
+    more = more.select(F.least("xcls", "cls").alias("a"), F.greatest("xcls", "cls").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = saved(more, "pairs")
+    if more.isEmpty():
+        return tree
+    again = _verified(more, classes, keyed, text, size)
+    return saved(components(found.union(again)), "tree").withColumnRenamed("node", "cls")
+
+
+def deduped(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """The rows of docs that stay: of each group linked by near copies the row with the smallest doc_id; of rows that repeat that id, the one
+    whose text hashes lowest. Rows with a null doc_id come after all others; texts without words, and null ones, are one class."""
+    keyed = docs.withColumn("__k", F.xxhash64("doc_id", text))
+    d = keyed.select("doc_id", "__k", _split(text).alias("__w"))
+    d = d.select("doc_id", "__k", F.xxhash64(F.array_join("__w", " ")).alias("cls"), _shingles(size).alias("__h"))
+    schema = "doc_id " + dict(docs.dtypes)["doc_id"] + ", __k long, cls long, m0 long, m1 long, m2 long, bands array<long>"
+    prints = saved(d.mapInArrow(_signed, schema), "prints")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__k").alias("k"))
+    classes = saved(prints.groupBy("cls").agg(F.min(best).alias("best"), *[F.min(m).alias(m) for m in ("m0", "m1", "m2")]), "classes")
+    bands = saved(prints.select("cls", F.explode("bands").alias("key")).distinct(), "bands")
+    rooted = _rooted(classes, bands, keyed, text, size)
+    root = F.coalesce("root", "cls")
+    keep = classes.join(rooted, "cls", "left").groupBy(root.alias("root")).agg(F.min("best").alias("best")).select(F.col("best.k").alias("__k")).distinct()
+    one = F.row_number().over(W.partitionBy("__k").orderBy("__k"))
+    return keyed.join(keep, "__k", "left_semi").withColumn("__n", one).where("__n = 1").select(*docs.columns)
