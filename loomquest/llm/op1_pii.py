@@ -32,7 +32,7 @@ MORE = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"),
     "local": (r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}[\x20.-][0-9]{4}"),
     "secret": (
-        r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{12,20}|(?:password|passwd|pwd|secret|token|api_?key)[\x20]{0,2}[:=][\x20]{0,2}[\"']?[A-Za-z0-9+/_.-]{6,200})",
+        r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{12,20}|(?:password|passwd|pwd|secret|token|api_?key)[\x20]{0,2}[:=][\x20]{0,2}[\"']?[A-Za-z0-9+/_.-]{6,}+)",
         r"AKIA|(?:password|passwd|pwd|secret|token|api_?key)[\x20]{0,2}[:=]",
     ),
 }

@@ -42,6 +42,12 @@ def test_pii_adds_and_redacts(spark):
     assert out == {1: "my key [SECRET] and [EMAIL], ssn [SSN]; order 12", 2: "nothing here", 3: None}
 
 
+def test_long_secrets_go_whole(spark):
+    long = "".join(f"{i * i:x}Q" for i in range(3000))
+    df = spark.createDataFrame([(1, f"set token={long[:700]} end"), (2, f"set token={long} end")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in op1_pii.redacted(df).collect()} == {1: "set [SECRET] end", 2: "set [SECRET] end"}
+
+
 def test_trees_hold_out():
     trees, limits = op1_pii.model()
     rows, labels = op1_pii.examples(seed=op1_pii.SEED + 1)
