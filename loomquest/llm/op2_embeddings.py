@@ -20,8 +20,8 @@ THRESHOLD = 0.9
 #: Vectors that the rotation is learned on, at most; every vector is indexed.
 SAMPLE, TURNS, SEED = 20_000, 40, 7
 BITS = 64
-#: Segments and radius of the balls, up to so many codes; longer segments keep buckets short when there are more.
-TABLES = ((2_000_000, 4, 1), (None, 3, 2))
+#: Segments and radius of the balls, at every size: another layout finds other pairs, so links would come and go as a table grows.
+SEGMENTS, RADIUS = 5, 1
 #: Codes farther apart than this are not reranked: at cosine 0.9 codes of 64 bits differ in 9.2 bits on average (angle / pi), 2.8 the
 #: deviation, so 98 of 100 such pairs stay; codes of unrelated vectors differ in 32.
 FAR = 15
@@ -64,16 +64,15 @@ def encode(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
 
 
-def near_codes(codes: DataFrame, bits: int, n: int, far: int = FAR) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct codes (n of them) that differ in few bits of some segment and in at most far bits in all."""
-    segments, radius = next((s, r) for most, s, r in TABLES if most is None or n <= most)
-    width = -(-bits // segments)
+def near_codes(codes: DataFrame, bits: int, far: int = FAR) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct codes that differ in at most RADIUS bits of some segment and in at most far bits in all."""
+    width = -(-bits // SEGMENTS)
     mask = (1 << width) - 1
     segment = lambda t: F.shiftrightunsigned("code", t * width).bitwiseAND(F.lit(mask).cast("long"))
-    both = F.array(*[F.struct(F.lit(t).alias("t"), segment(t).alias("key")) for t in range(segments)])
+    both = F.array(*[F.struct(F.lit(t).alias("t"), segment(t).alias("key")) for t in range(SEGMENTS)])
     rows = codes.select("code", F.explode(both).alias("s"))
     index = rows.select("s.t", "s.key", F.col("code").alias("b"))
-    flips = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
+    flips = [sum(1 << i for i in c) for r in range(RADIUS + 1) for c in combinations(range(width), r)]
     ball = F.array(*[F.lit(x).cast("long") for x in flips])
     probe = rows.select("s.t", F.explode(F.transform(ball, lambda x: F.col("s.key").bitwiseXOR(x))).alias("key"), F.col("code").alias("a"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= far
@@ -137,7 +136,7 @@ def linked(emb: DataFrame, vec: str = "embedding", threshold: float = THRESHOLD,
     rows = classes.select("cls", "size", "embedding").mapInPandas(coded, "cls long, size long, embedding array<double>, code long")
     counts = rows.groupBy("code").agg(F.count("*").alias("n"))
     counts = saved(counts.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "codes")
-    pairs = near_codes(counts.select("code"), projection.shape[1], counts.count())
+    pairs = near_codes(counts.select("code"), projection.shape[1])
     of = lambda c, k: counts.select(F.col("code").alias(c), F.col("chunks").alias(k))
     # Jobs: pairs of chunks, of one code or of two near codes.
     own = counts.select(F.col("code").alias("a"), F.col("code").alias("b"), F.col("chunks").alias("i"), F.col("chunks").alias("j"), "n")

@@ -215,6 +215,19 @@ def test_embeddings(spark):
     assert all_ > 2000 and found >= 0.9 * all_ and all(got[i][0] <= want[i][0] for i in got)
 
 
+@pytest.mark.parametrize(("low", "high", "least"), [(0.9, 0.92, 0.93), (0.9, 1.0, 0.97)])
+def test_embedding_recall_by_band(spark, low, high, least):
+    r, n = np.random.default_rng(8), 3000
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b, c = unit(r.standard_normal((n, 64))), r.standard_normal((n, 64)), r.uniform(low, high, (n, 1))
+    b = c * a + np.sqrt(1 - c * c) * unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    projection = op2_embeddings.learn_rotation(np.concatenate([a, b]))
+    codes = [op2_embeddings.encode(x, projection).tolist() for x in (a, b)]
+    found = op2_embeddings.near_codes(spark.createDataFrame([(x,) for x in {*codes[0], *codes[1]}], "code long"), 64)
+    got = {(x.a, x.b) for x in found.collect()}
+    assert sum(x == y or (min(x, y), max(x, y)) in got for x, y in zip(*codes, strict=True)) >= least * n
+
+
 def test_embedding_chunks_and_empty(spark, monkeypatch):
     monkeypatch.setattr(op2_embeddings, "CHUNK", 7)
     r = np.random.default_rng(4)
