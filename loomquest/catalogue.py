@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from loomquest.functions import goals
 from loomquest.functions import patterns as P
 from loomquest.functions import text as X
-from loomquest.functions.html import page_links
+from loomquest.functions.html import all_page_links
 from loomquest.models.tasks import chunk_number
 from loomquest.operators import items, rank, records
 from loomquest.plans import census
@@ -242,7 +242,7 @@ _HREFS = f"""(SELECT page_id, i AS pos, split_part({_ORIGIN} || href[i], '#', 1)
 @query(f"SELECT page_id, url, arg_min(anchor, pos) AS anchor FROM {_HREFS} GROUP BY page_id, url")
 def page_outlinks(spark, sf_dir):
     """Every page's distinct links, by the HTML parser."""
-    d = table(spark, sf_dir, "pages").select("page_id", F.explode(page_links("html", "url")).alias("l"))
+    d = table(spark, sf_dir, "pages").select("page_id", F.explode(all_page_links("html", "url")).alias("l"))
     return d.select("page_id", "l.url", "l.anchor")
 
 
@@ -257,7 +257,7 @@ SELECT CAST(row_number() OVER (ORDER BY score DESC, first) AS INT) AS rank, url,
 def discover_links(spark, sf_dir):
     """The best links that no page of the table is."""
     pages = table(spark, sf_dir, "pages")
-    found = pages.select(F.col("page_id").alias("doc_ord"), F.posexplode(page_links("html", "url")).alias("pos", "l")).select("doc_ord", "pos", "l.url", "l.anchor")
+    found = pages.select(F.col("page_id").alias("doc_ord"), F.posexplode(all_page_links("html", "url")).alias("pos", "l")).select("doc_ord", "pos", "l.url", "l.anchor")
     seen = pages.select(F.split_part("url", F.lit("#"), F.lit(1)).alias("url"))
     return rank.discover_links(found, seen, LINK_GOAL, rank.DISCOVER_N, True)
 

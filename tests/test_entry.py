@@ -53,3 +53,9 @@ def test_query_and_sql_agree(spark, duck, name):
     place = [d[0] for d in result.description]
     assert sorted(place) == columns
     assert got == plain([[r[place.index(c)] for c in columns] for r in result.fetchall()])
+
+
+def test_pages_of_many_links(spark, tmp_path):
+    html = "".join(f'<a href="/p{i}">word list {i}</a>' for i in range(450))
+    spark.createDataFrame([(1, "http://a.com/", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert catalogue.QUERIES["page_outlinks"](spark, str(tmp_path)).count() == 450
