@@ -254,13 +254,42 @@ def test_token_files(case, tmp_path):
         at += g[3]
 
 
+def test_token_files_of_a_hot_id(spark, tmp_path, monkeypatch):
+    """A folder without a scheme, and one id (and the null ids) with far more text than a file should hold: equal rows, and rows of many texts."""
+    rows = [(7, "same text again " * 20) for _ in range(300)] + [(None, f"text number {i} of many " * 10) for i in range(300)] + [(i, f"own {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    index = op10_tokens.write_ids(df, f"{tmp_path}/ids", T("word_bpe_49k.json"), file_bytes=5000)
+    got = sorted(op10_tokens.read_ids(index, f"{tmp_path}/ids").collect(), key=lambda r: r.start)
+    assert len({r.part for r in got if r.doc_id == 7}) > 5 < len({r.part for r in got if r.doc_id is None})
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(T("word_bpe_49k.json"))
+    want = [((d is None, d or 0), [*t.encode(x, add_special_tokens=False).ids, 2]) for d, x in rows]
+    assert sorted(((r.doc_id is None, r.doc_id or 0), list(r.ids)) for r in got) == sorted(want)
+    ids = [(r.doc_id is None, r.doc_id or 0) for r in got]
+    assert ids == sorted(ids) and all(a.start + a.n == b.start for a, b in zip(got, got[1:], strict=False))
+
+
+def test_encoder_by_words():
+    """Against whole texts: odd characters, special tokens, marks that the encoder itself uses."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(T("word_bpe_49k.json"))
+    texts = ["", " ", "it's we'll 12a3 don't!?", "a\x00b \x1cc\x7fd\te\u00a0f\u0085g", "\ue000a b\ue001", "\ue001", "x <|endoftext|>y", "日本 語 e\u0301 É", "ÀÉÎ straße ĲŦ", "a\n\nb  c\r\nd"]
+    e = op10_tokens.Encoder(T("word_bpe_49k.json"), 2)
+    ids, stops = e.encode(texts)
+    assert [x.tolist() for x in np.split(ids, stops[:-1])] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 11, 16, 17, 32])
 def test_packing(bits, tmp_path):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1000, dtype=np.uint64).astype(np.uint32)
-    w = op10_tokens.Writer(bits, block=33)
-    for part in np.array_split(ids, 7):
-        w.add(part)
-    (tmp_path / "f").write_bytes(b"".join(w.parts()))
+    with open(tmp_path / "f", "wb") as f:
+        w = op10_tokens.Writer(f, bits, block=33)
+        for part in np.array_split(ids, 7):
+            w.add(part)
+        w.close()
+    assert (tmp_path / "f").stat().st_size <= 31 * -(-33 * bits // 8) + 8 * 31 + 32
     with open(tmp_path / "f", "rb") as f:
         reader = op10_tokens.Reader(f)
         for a, n in [(0, 1000), (0, 0), (1000, 0), (32, 2), (999, 1), (100, 333)]:
