@@ -1,82 +1,163 @@
 """Embedding near-dedup by iterative quantisation.
 
-A rotation learned on a bounded sample turns vectors into balanced binary codes; codes that nearly agree in some segment are
-retrieved through multi-index Hamming tables; the vectors behind each pair of near codes are reranked by exact
-cosines in double precision. Equal vectors are one entry with a size. Vectors of one code are cut into chunks, and pairs of chunks are multiplied as matrices,
-each giving counts and a spanning forest of its links, so pairs are never rows."""
+Rotations learned on a bounded sample turn vectors into balanced binary codes: the sample's mean is taken off, each rotation spreads the variance over its bits, and
+each bit is cut at its median. Codes that nearly agree in some segment are retrieved through multi-index Hamming tables, pairs whose whole codes are
+near are reranked with the original vectors in double precision. Equal vectors are one entry with a size. The members of candidate pairs are multiplied as
+matrices, block by block, each block giving counts and a spanning forest of its links, so pairs never carry vectors."""
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomquest.llm.common import components, saved
+from loomquest.llm.common import components, discard, saved
 
 THRESHOLD = 0.9
-#: Vectors that the rotation is learned on, at most; every vector is indexed.
-SAMPLE, TURNS, SEED = 20_000, 40, 7
-BITS = 64
-#: Segments and radius of the balls, at every size: another layout finds other pairs, so links would come and go as a table grows.
-SEGMENTS, RADIUS = 5, 1
-#: Codes farther apart than this are not reranked: at cosine 0.9 codes of 64 bits differ in 9.2 bits on average (angle / pi), 2.8 the
-#: deviation, so 98 of 100 such pairs stay; codes of unrelated vectors differ in 32.
-FAR = 15
+#: Vectors that the codes are learned on, at most; every vector is indexed.
+SAMPLE, TURNS, SEED = 20_000, 30, 7
+#: Bits of a segment; the balls have radius 1, at every size.
+WIDTH = 16
+#: Tables: the least number, in steps, that finds this share of pairs at the threshold in the sample.
+LEAST_TABLES, STEP, MOST_TABLES, RECALL = 8, 4, 64, 0.975
+#: Shares of the mean to take off, the first that reaches the recall. All of it gives even codes; less serves tables that are one tight group, where what is left
+#: beside the mean is noise.
+CENTRES = (1.0, 0.75, 0.5, 0.0)
+#: Of the pairs at the threshold in the sample, this share has codes within the distance that is reranked.
+WITHIN, OTHERS = 0.998, 0.002
 CHUNK, JOBS_A_BUNDLE = 512, 200
 
 
-def usable(emb: DataFrame, vec: str = "embedding") -> DataFrame:
-    """Rows whose vector can link: not null or empty, all components finite, not all zero, of the most frequent length."""
+def _fine(vec: str = "embedding") -> Column:
+    """Whether a vector can link: not null or empty, all components finite, not all zero."""
     v = F.col(vec)
     fine = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    good = emb.where(v.isNotNull() & (F.size(v) > 0) & F.coalesce(fine, F.lit(False)))
-    sizes = good.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return good.where(F.size(v) == sizes["d"]) if sizes else good
+    return v.isNotNull() & (F.size(v) > 0) & F.coalesce(fine, F.lit(False))
 
 
 def _unit(rows) -> np.ndarray:
+    """Unit vectors of rows of one length."""
     x = np.array([np.asarray(r, dtype=np.float64) for r in rows])
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def learn_rotation(x: np.ndarray, bits: int = BITS, turns: int = TURNS, seed: int = SEED) -> np.ndarray:
-    """The projection (dimensions by bits): principal directions, then a rotation that alternates between the nearest
-    binary codes and the best rotation onto them; it spreads the variance, and so the balance, over the bits.
+# --- codes ------------------------------------------------------------------------------------------------------------------------------
 
-    Unit vectors are not centred: cosines are angles at the origin, and with the mean taken off, the codes of one large tight
-    group would follow its noise."""
+
+def _rotations(x: np.ndarray, mean: np.ndarray, bits: int, seed: int, turns: int = TURNS) -> np.ndarray:
+    """A projection (dimensions by bits) for centred vectors x: frames in the space of the principal directions and the mean, each turned by alternating between the
+    nearest binary codes and the best rotation onto them, which spreads the variance evenly over its bits."""
+    rng, d = np.random.default_rng(seed), x.shape[1]
     value, vector = np.linalg.eigh(x.T @ x)
-    p = x @ (basis := vector[:, np.argsort(-value)[: min(bits, x.shape[1])]])
-    rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((p.shape[1],) * 2))[0]
-    for _ in range(turns):
-        u, _, vt = np.linalg.svd(np.where(p @ rotation >= 0, 1.0, -1.0).T @ p)
-        rotation = (u @ vt).T
-    return basis @ rotation
-
-
-def encode(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    bits = np.zeros((len(x), 64), np.uint8)
-    bits[:, : projection.shape[1]] = x @ projection >= 0
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
-
-
-def near_codes(codes: DataFrame, bits: int, far: int = FAR) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct codes that differ in at most RADIUS bits of some segment and in at most far bits in all."""
-    width = -(-bits // SEGMENTS)
-    mask = (1 << width) - 1
-    segment = lambda t: F.shiftrightunsigned("code", t * width).bitwiseAND(F.lit(mask).cast("long"))
-    both = F.array(*[F.struct(F.lit(t).alias("t"), segment(t).alias("key")) for t in range(SEGMENTS)])
-    rows = codes.select("code", F.explode(both).alias("s"))
-    index = rows.select("s.t", "s.key", F.col("code").alias("b"))
-    flips = [sum(1 << i for i in c) for r in range(RADIUS + 1) for c in combinations(range(width), r)]
-    ball = F.array(*[F.lit(x).cast("long") for x in flips])
-    probe = rows.select("s.t", F.explode(F.transform(ball, lambda x: F.col("s.key").bitwiseXOR(x))).alias("key"), F.col("code").alias("a"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= far
-    return probe.join(index.hint("shuffle_hash"), ["t", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    basis = vector[:, np.argsort(-value)[: min(d, 256)]]
+    if basis.shape[1] < d:
+        basis = np.linalg.qr(np.concatenate([basis, mean[:, None]], axis=1))[0]
+    made, frames = 0, []
+    while made < bits:
+        n = min(64, basis.shape[1], bits - made)
+        frame = basis @ np.linalg.qr(rng.standard_normal((basis.shape[1], n)))[0]
+        p, rotation = x @ frame, np.linalg.qr(rng.standard_normal((n, n)))[0]
+        for _ in range(turns):
+            u, _, vt = np.linalg.svd(np.where(p @ rotation >= 0, 1.0, -1.0).T @ p)
+            rotation = (u @ vt).T
+        frames.append(frame @ rotation)
+        made += n
+    return np.concatenate(frames, axis=1)
+
+
+class Codes:
+    """What turns unit vectors into codes, as int64 words: projection, and the cut of each bit; tables: the segments looked up; far: the most bits in which codes
+    of pairs at the threshold differ; recall: of such pairs in the sample."""
+
+    def __init__(self, projection: np.ndarray, cut: np.ndarray, tables: int, far: int, recall: float):
+        self.projection, self.cut, self.tables, self.far, self.recall = projection, cut, tables, far, recall
+        self.words = -(-projection.shape[1] // 64)
+
+    def bits(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.projection >= self.cut
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        """Rows of x by words."""
+        bits = np.zeros((len(x), self.words * 64), np.uint8)
+        bits[:, : len(self.cut)] = self.bits(x)
+        return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+    def of_length(self, d: int) -> Codes:
+        """The same for vectors of another length than those it was learned on: random hyperplanes through the origin, fixed by the length."""
+        if d == len(self.projection):
+            return self
+        planes = np.random.default_rng([SEED, d]).standard_normal((d, len(self.cut)))
+        return Codes(planes, np.zeros(len(self.cut)), self.tables, self.far, self.recall)
+
+
+def _partners(x: np.ndarray, threshold: float, rng) -> np.ndarray:
+    """For each sample vector one at the threshold: on the way to another one of the sample, or that one itself where it is nearer."""
+    other = x[rng.permutation(len(x))]
+    cos = np.clip((x * other).sum(axis=1, keepdims=True), -1, 1)
+    side = other - cos * x
+    norm = np.linalg.norm(side, axis=1, keepdims=True)
+    random = rng.standard_normal(x.shape)
+    random -= (random * x).sum(axis=1, keepdims=True) * x
+    side = np.where(norm > 1e-6, side / np.maximum(norm, 1e-6), random / np.maximum(np.linalg.norm(random, axis=1, keepdims=True), 1e-9))
+    return np.where(cos >= threshold, other, threshold * x + np.sqrt(1 - threshold**2) * side)
+
+
+def learn(x: np.ndarray, threshold: float = THRESHOLD, seed: int = SEED) -> Codes:
+    """Codes from a sample of unit vectors. The share of the mean taken off is the first of CENTRES, and the number of tables the least one, by which RECALL of the pairs at
+    the threshold agree in some segment but for one bit; if none does, the one that finds most. Codes have more bits than the tables' where those do not tell
+    other pairs (OTHERS of them at most) from pairs at the threshold."""
+    rng, mean, best = np.random.default_rng(seed), x.mean(axis=0), None
+    some = x[rng.permutation(len(x))[:4000]] if len(x) > 1 else np.repeat(x, 2, axis=0)
+    y = _partners(some, threshold, rng)
+    turn = rng.permutation(len(some))
+    below = (some * some[turn]).sum(axis=1) < threshold
+    projection = _rotations(x - mean, mean, MOST_TABLES * WIDTH, seed)
+    for centre in CENTRES:
+        cut = np.median(x @ projection, axis=0) if centre == 1 else centre * mean @ projection
+        bits = some @ projection >= cut
+        apart = lambda b: (bits != b).reshape(len(some), MOST_TABLES, WIDTH).sum(axis=2)  # noqa: B023, E731
+        differ, others = apart(y @ projection >= cut), apart(bits[turn])[below]
+        found = np.logical_or.accumulate(differ <= 1, axis=1).mean(axis=0)
+        enough = [t for t in range(LEAST_TABLES, MOST_TABLES + 1, STEP) if found[t - 1] >= RECALL]
+        t = enough[0] if enough else MOST_TABLES
+        for length in range(t, MOST_TABLES + 1, STEP):
+            far = int(np.quantile(differ[:, :length].sum(axis=1), WITHIN, method="higher"))
+            if (others[:, :length].sum(axis=1) <= far).sum() <= OTHERS * len(others):
+                break
+        codes = Codes(projection[:, : length * WIDTH], cut[: length * WIDTH], t, far, float(found[t - 1]))
+        if enough:
+            return codes
+        best = codes if best is None or codes.recall > best.recall else best
+    return best
+
+
+# --- retrieval --------------------------------------------------------------------------------------------------------------------------
+
+
+def near_codes(coded: DataFrame, tables: int, words: int, far: int) -> DataFrame:
+    """Pairs (a, ahome, b, bhome) of entries that differ in at most one bit of some segment and in at most far bits in all.
+
+    coded: cls (unique), home, dim, and the words w0, w1, ... of the code. An entry is looked up in its own bucket and in those with one more bit
+    set, so that every pair of buckets meets once."""
+    mask = F.lit((1 << WIDTH) - 1).cast("long")
+    segment = lambda t: F.shiftrightunsigned(f"w{t * WIDTH // 64}", t * WIDTH % 64).bitwiseAND(mask)
+    every = F.array(*[F.struct(F.lit(t).alias("t"), segment(t).alias("key")) for t in range(tables)])
+    names = ["cls", "home", *[f"w{k}" for k in range(words)]]
+    of = lambda to: [F.col(c).alias(f"{to}{c}") for c in names]
+    rows = coded.select("dim", *names, F.explode(every).alias("s"))
+    index = rows.select("dim", "s.t", "s.key", *of("b"))
+    more = F.filter(F.transform(F.array(*[F.lit(1 << i).cast("long") for i in range(WIDTH)]), lambda x: F.col("s.key").bitwiseOR(x)), lambda k: k != F.col("s.key"))
+    probe = rows.select("dim", "s.t", F.explode(F.concat(F.array("s.key"), more)).alias("key"), F.col("s.key").alias("akey"), *of("a"))
+    differ: Column = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"aw{k}").bitwiseXOR(F.col(f"bw{k}"))) for k in range(words)])
+    pairs = probe.join(index, ["dim", "t", "key"]).where(((F.col("akey") != F.col("key")) | (F.col("acls") < F.col("bcls"))) & (differ <= far))
+    swapped = F.col("acls") > F.col("bcls")
+    end = lambda x, y, c: F.when(swapped, F.col(f"{y}{c}")).otherwise(F.col(f"{x}{c}"))
+    return pairs.select(end("a", "b", "cls").alias("a"), end("a", "b", "home").alias("ahome"), end("b", "a", "cls").alias("b"), end("b", "a", "home").alias("bhome")).distinct()
 
 
 def _forest(links: np.ndarray) -> np.ndarray:
@@ -92,16 +173,17 @@ def _forest(links: np.ndarray) -> np.ndarray:
 
 
 def _reranked(threshold: float):
-    """A bundle of jobs; each has the vectors of one chunk, or of two (side 0 and 1). Rows cls, links (vectors linked directly, copies counted), root."""
+    """A bundle of jobs; each has the vectors of one home, or of two (side 0 and 1). Rows cls, links (vectors linked directly, copies counted), root."""
 
     def run(bundle: pd.DataFrame) -> pd.DataFrame:
-        bundle = bundle.sort_values(["job", "cls"], kind="stable")
-        job, classes, sizes, sides = (bundle[c].to_numpy() for c in ("job", "cls", "size", "side"))
-        x, out = _unit(bundle.embedding), []
-        start = np.flatnonzero(np.concatenate([[True], job[1:] != job[:-1]]))
+        bundle = bundle.sort_values(["ahome", "bhome", "cls"], kind="stable")
+        classes, sizes, sides = (bundle[c].to_numpy() for c in ("cls", "size", "side"))
+        job, out = bundle[["ahome", "bhome"]].to_numpy(), []
+        start = np.flatnonzero(np.concatenate([[True], (job[1:] != job[:-1]).any(axis=1)]))
         for a, b in zip(start, [*start[1:], len(job)], strict=True):
+            x = _unit(bundle.embedding.iloc[a:b])
             cls, side = classes[a:b], sides[a:b]
-            near = x[a:b] @ x[a:b].T >= threshold
+            near = x @ x.T >= threshold
             if side.max() > 0:
                 near &= side[:, None] != side[None, :]
             np.fill_diagonal(near, False)
@@ -114,51 +196,89 @@ def _reranked(threshold: float):
     return run
 
 
+def _coded(codes: Codes):
+    """cls, dim and the code's words, from cls and embedding."""
+
+    def run(batches):
+        by_length: dict[int, Codes] = {}
+        for batch in batches:
+            vectors = batch.column(1)
+            length = np.diff(vectors.offsets.to_numpy())
+            words = np.zeros((batch.num_rows, codes.words), np.int64)
+            for d in np.unique(length).tolist():
+                own = np.flatnonzero(length == d)
+                for at in range(0, len(own), 2000):
+                    part = own[at : at + 2000]
+                    flat = vectors.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                    words[part] = by_length.setdefault(d, codes.of_length(d)).encode(_unit(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length.astype(np.int32)), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(codes.words)]], names=["cls", "dim", *[f"w{k}" for k in range(codes.words)]])
+
+    return run
+
+
+def _sampled(classes: DataFrame, n: int, sample: int) -> np.ndarray:
+    """Unit vectors of the most frequent length, at most sample of them; which ones hangs on their hashes alone."""
+    d = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
+    of_length = classes.where(F.size("embedding") == d)
+    share = F.pmod(F.xxhash64("cls"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.1 * sample / n)) + 1
+    return _unit([r[0] for r in of_length.where(share).orderBy(F.xxhash64("cls")).limit(sample).select("embedding").collect()])
+
+
+def retrieved(classes: DataFrame, codes: Codes) -> DataFrame:
+    """The candidate pairs of classes (cls, embedding): see near_codes(). An entry's home is its cell, the first bits of its code, cut into chunks of about CHUNK."""
+    schema = "cls long, dim int, " + ", ".join(f"w{k} long" for k in range(codes.words))
+    coded = saved(classes.select("cls", "embedding").mapInArrow(_coded(codes), schema), "codes")
+    cell = F.col("w0").bitwiseAND(F.lit(0xFFF).cast("long")).bitwiseXOR(F.shiftleft(F.col("dim").cast("long"), 12))
+    coded = coded.withColumn("cell", cell)
+    chunks = coded.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    coded = coded.join(chunks, "cell").withColumn("home", F.xxhash64("cell", F.pmod(F.xxhash64("cls"), F.col("chunks"))))
+    return near_codes(coded, codes.tables, codes.words, codes.far)
+
+
 def linked(emb: DataFrame, vec: str = "embedding", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row: the vectors found with cosine >= threshold, copies included.
 
-    Vectors that usable() leaves out have no links and are their own component. Rows with a null vec_id take part, and get as
-    component the least id that they reach. A zero-row table gives no rows."""
-    good = usable(emb, vec).select("vec_id", F.col(vec).cast("array<double>").alias("embedding"))
-    member = good.select("vec_id", F.xxhash64("embedding").alias("cls"))
-    classes = saved(good.groupBy("embedding").agg(F.count("*").alias("size")).withColumn("cls", F.xxhash64("embedding")), "vectors")
+    Vectors that cannot link (null, empty, zero, or with a component that is null or not finite) have no links and are their own component. Vectors of
+    different lengths never link; each length has codes of its own. Rows that repeat a vector or a whole row count one by one. Rows with a null vec_id take part, and get as
+    component the least id that they reach. Long vectors are taken whole; other columns, whatever their names, are not read. A zero-row table gives no rows."""
+    spark = emb.sparkSession
+    every = emb.select("vec_id", F.col(vec).cast("array<double>").alias("embedding"))
+    # -0.0 and 0.0 are equal here
+    good = every.where(_fine()).select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0)).alias("embedding"))
+    classes = good.groupBy("embedding").agg(F.count("*").alias("size")).withColumn("cls", F.xxhash64("embedding"))
+    classes = saved(classes, "vectors")
     n = classes.count()
     if not n:
         return emb.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    share = min(1.0, sample / n)
-    taken = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).limit(sample).select("embedding").collect()
-    projection = learn_rotation(_unit([r[0] for r in taken]))
-
-    def coded(frames):
-        for f in frames:
-            yield pd.DataFrame({"cls": f.cls, "size": f["size"], "embedding": f.embedding, "code": encode(_unit(f.embedding), projection)})
-
-    rows = classes.select("cls", "size", "embedding").mapInPandas(coded, "cls long, size long, embedding array<double>, code long")
-    counts = rows.groupBy("code").agg(F.count("*").alias("n"))
-    counts = saved(counts.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "codes")
-    pairs = near_codes(counts.select("code"), projection.shape[1])
-    of = lambda c, k: counts.select(F.col("code").alias(c), F.col("chunks").alias(k))
-    # Jobs: pairs of chunks, of one code or of two near codes.
-    own = counts.select(F.col("code").alias("a"), F.col("code").alias("b"), F.col("chunks").alias("i"), F.col("chunks").alias("j"), "n")
-    two = pairs.join(of("a", "i"), "a").join(of("b", "j"), "b").select("a", "b", "i", "j", F.lit(2).cast("long").alias("n"))
-    last = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
-    jobs = own.where("n > 1").union(two).withColumn("i", F.explode(last("i"))).withColumn("j", F.explode(last("j")))
-    jobs = saved(jobs.where("a <> b or i <= j").withColumn("job", F.xxhash64("a", "b", "i", "j")), "jobs")
-    bundles = max(int(emb.sparkSession.conf.get("spark.sql.shuffle.partitions")), jobs.count() // JOBS_A_BUNDLE)
-    sides = F.array(F.struct(F.col("a").alias("code"), F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("b").alias("code"), F.col("j").alias("chunk"), F.lit(1).alias("side")))
-    alone = F.filter(sides, lambda s: (s["side"] == 0) | (F.col("a") != F.col("b")) | (F.col("i") != F.col("j")))
-    asks = jobs.select("job", F.explode(alone).alias("s")).select("job", "s.code", "s.chunk", "s.side")
-    chunked = rows.join(counts.select("code", "chunks"), "code").withColumn("chunk", F.pmod(F.col("cls"), F.col("chunks")).cast("int"))
-    work = asks.join(chunked.select("code", "chunk", "cls", "size", "embedding"), ["code", "chunk"])
-    work = work.withColumn("bundle", F.pmod(F.xxhash64("job"), F.lit(bundles)))
+    # Unequal vectors of one hash (three pairs are to be expected among ten thousand million) are told apart by a second hash.
+    twice = classes.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
+    if not twice.isEmpty():
+        twice = saved(twice.withColumn("__twice", F.lit(True)), "twice")
+        again = lambda d: d.join(F.broadcast(twice), "cls", "left").withColumn("cls", F.when(F.col("__twice"), F.xxhash64(F.lit(1), "embedding")).otherwise(F.col("cls"))).drop("__twice")
+    else:
+        again = lambda d: d
+    classes = again(classes)
+    member = again(good.withColumn("cls", F.xxhash64("embedding"))).select("vec_id", "cls")
+    codes = learn(_sampled(classes, n, sample), threshold)
+    pairs = saved(retrieved(classes, codes), "pairs")
+    # Jobs: the members of the pairs between two homes.
+    turned = F.col("ahome") > F.col("bhome")
+    first, second = F.least("ahome", "bhome").alias("ahome"), F.greatest("ahome", "bhome").alias("bhome")
+    side = lambda own: F.when(F.col("ahome") == F.col("bhome"), 0).when(turned, 1 - own).otherwise(own)
+    ends = F.array(F.struct(F.col("a").alias("cls"), side(0).alias("side")), F.struct(F.col("b").alias("cls"), side(1).alias("side")))
+    asks = saved(pairs.select(first, second, F.explode(ends).alias("e")).select("ahome", "bhome", "e.cls", "e.side").distinct(), "jobs")
+    jobs = asks.agg(F.approx_count_distinct(F.xxhash64("ahome", "bhome"))).first()[0]
+    bundles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), jobs // JOBS_A_BUNDLE)
+    work = asks.join(classes.select("cls", "size", "embedding"), "cls").withColumn("bundle", F.pmod(F.xxhash64("ahome", "bhome"), F.lit(bundles)))
     found = saved(work.groupBy("bundle").applyInPandas(_reranked(threshold), "cls long, links long, root long"), "links")
     tree = saved(components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))), "tree").withColumnRenamed("node", "cls")
     direct = found.groupBy("cls").agg(F.sum("links").alias("links"))
     least = member.groupBy("cls").agg(F.min("vec_id").alias("first"))
     per = classes.select("cls", "size").join(least, "cls").join(direct, "cls", "left").join(tree, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = per.groupBy("root").agg(F.min("first").alias("component_id"))
-    per = per.join(lowest, "root").select("cls", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    per = saved(per.join(lowest, "root").select("cls", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "per")
+    for x in (pairs, asks, found, tree):
+        discard(x)
     inside = member.join(per, "cls").select("vec_id", "n_links", "component_id")
-    outside = emb.select("vec_id", F.col(vec).cast("array<double>").alias("embedding")).withColumn("cls", F.xxhash64("embedding"))
-    outside = outside.join(classes.select("cls"), "cls", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    outside = every.where(~_fine()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return inside.union(outside).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
