@@ -32,7 +32,7 @@ END_ID = 2
 #: Bytes of text that one file's range of doc_ids holds, about; files of a larger input grow rather than pass so many.
 FILE_BYTES, MAX_FILES = 32 << 20, 20_000
 #: Words kept in each of the two generations of a worker's cache, and characters of text encoded at a time.
-CACHE, CHARS = 500_000, 8 << 20
+CACHE, CHARS = 500_000, 4 << 20
 
 
 # --- the format -------------------------------------------------------------------------------------------------------------------------

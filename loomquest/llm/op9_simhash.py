@@ -1,16 +1,24 @@
 """SimHash near-dedup: 64-bit fingerprints of word shingles, linked through multi-index hashing.
 
-A fingerprint is two segments of 32 bits. Two fingerprints that differ in at most 2 bits differ in at most one bit of some segment, so
-each fingerprint looks up the ball of radius 1 around either segment in that segment's table, and each match's
-complete distance is verified. Equal fingerprints are one entry, so copies cost nothing."""
+grouped() links fingerprints of whole texts at 2 bits. A fingerprint is two segments of 32 bits. Two fingerprints that differ in at most 2 bits differ in at
+most one bit of some segment, so each fingerprint looks up the ball of radius 1 around either segment in that segment's table, and each match's
+complete distance is verified. Equal fingerprints are one entry, so copies cost nothing.
+
+deduped() links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of whole texts then differ in up to 18 of 64 bits,
+too many for balls, so it takes wide ones of BANDS segments, each the fingerprint of ROWS shingles that are drawn from the text min-wise: two
+texts of similarity s draw the same ones, and agree in the whole segment, with probability s ** ROWS, so the tables are looked up with balls of radius 0. No
+segment of a pair of similarity 0.8 agrees with probability (1 - 0.8 ** ROWS) ** BANDS = 0.00001. A match's distance is bounded by parity prints: bit i of
+512 says whether an odd number of the set's shingles hashes to i, so two sets differ in at least as many shingles as their prints in bits. What passes
+is verified on the complete sets."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from loomquest.llm.common import ascii_lower, components, discard, saved, words
 
@@ -19,6 +27,15 @@ SEGMENTS = 2
 WIDTH = 64 // SEGMENTS
 #: Shingles turned into bits at a time: 64 bytes each.
 CHUNK = 1 << 18
+# The wide fingerprint.
+WIDE_SHINGLE, ROWS, BANDS, PARITY, SEED = 5, 5, 28, 8, 13
+#: Classes of one segment in a block; a segment with more is met block by block.
+BLOCK = 512
+#: A table of keys is broadcast up to so many rows, and joined by a shuffle beyond.
+BROADCAST = 1_000_000
+_RNG = np.random.default_rng(SEED)
+_XOR, _TIMES = (_RNG.integers(0, 2**64, ROWS * BANDS, np.uint64) for _ in range(2))
+_TIMES |= np.uint64(1)
 
 
 def _bits_over_half(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -43,18 +60,24 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """keys and fp (long) per row. A text with fewer words than a shingle has one shingle, its whole sequence; one without words, or
-    null, has fingerprint 0."""
-    w = words(ascii_lower(F.coalesce(text, F.lit(""))))
-    d = docs.select(*keys, w.alias("__w"))
+def _shingles(size: int) -> Column:
+    """Hashes of the shingles of the words in __w; fewer words than a shingle are one shingle."""
     joined = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("__w", i + k) for k in range(size)]))
-    hashes = (
+    return (
         F.when(F.size("__w") >= size, F.transform(F.sequence(F.lit(0), F.size("__w") - size), joined))
         .when(F.size("__w") > 0, F.array(F.xxhash64(F.array_join("__w", " "))))
         .otherwise(F.array().cast("array<bigint>"))
     )
-    d = d.select(*keys, hashes.alias("__h"))
+
+
+def _split(text: str) -> Column:
+    return words(ascii_lower(F.coalesce(text, F.lit(""))))
+
+
+def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """keys and fp (long) per row. A text with fewer words than a shingle has one shingle, its whole sequence; one without words, or
+    null, has fingerprint 0."""
+    d = docs.select(*keys, _split(text).alias("__w")).select(*keys, _shingles(size).alias("__h"))
     return d.mapInArrow(_fingerprints, docs.select(*keys).withColumn("fp", F.lit(0).cast("long")).schema)
 
 
@@ -96,15 +119,148 @@ def grouped(docs: DataFrame, text: str = "text", size: int = SHINGLE, max_bits:
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduped(docs: DataFrame, text: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs that stay: of each component of near copies the row with the smallest doc_id; of rows that repeat that
-    id, the one whose text hashes lowest. Rows with a null doc_id come after all others."""
-    keyed = docs.withColumn("__k", F.xxhash64("doc_id", text))
-    prints = saved(fingerprints(keyed, ["doc_id", "__k"], text, size), "prints")
-    rooted = _rooted(prints, max_bits)
+# --- wide fingerprints ------------------------------------------------------------------------------------------------------------------
+
+
+def _minima(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """ROWS * BANDS rows, one column per text; hashes holds all texts' shingle hashes, counts their numbers."""
+    least = np.full((len(_XOR), len(counts)), np.uint64(2**64 - 1))
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for at in range(0, len(hashes), CHUNK // 4):
+        part = hashes[at : at + CHUNK // 4]
+        who, start = np.unique(owner[at : at + CHUNK // 4], return_index=True)
+        mixed = np.empty_like(part)
+        for k, (x, times) in enumerate(zip(_XOR, _TIMES, strict=True)):
+            np.bitwise_xor(part, x, out=mixed)
+            np.multiply(mixed, times, out=mixed)
+            least[k, who] = np.minimum(least[k, who], np.minimum.reduceat(mixed, start))
+    return least
+
+
+def _segments(least: np.ndarray) -> np.ndarray:
+    """BANDS rows, one column per text: the fingerprint of the ROWS shingles drawn for each segment. The minima are mixed first, since their high bits are alike."""
+    out = np.zeros((BANDS, least.shape[1]), np.uint64)
+    for t in range(BANDS):
+        h = (least[t * ROWS : (t + 1) * ROWS] ^ (least[t * ROWS : (t + 1) * ROWS] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        out[t] = _bits_over_half(h.T.ravel().view(np.int64), np.full(h.shape[1], ROWS)).view(np.uint64)
+    return out
+
+
+def _parity(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """PARITY rows of 64 bits, one column per text, from the distinct shingles of each."""
+    out = np.zeros((PARITY, len(counts)), np.uint64)
+    if len(hashes):
+        some = np.flatnonzero(counts)
+        start = (np.cumsum(counts) - counts)[some]
+        word, bit = hashes >> np.uint64(6) & np.uint64(PARITY - 1), np.uint64(1) << (hashes & np.uint64(63))
+        for k in range(PARITY):
+            out[k, some] = np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), start)
+    return out
+
+
+def _wide(batches):
+    """Of each text its number of distinct shingles, parity print and segments; about CHUNK shingles at a time."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        offsets = lists.offsets.to_numpy()
+        hashes = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
+            own, counts, n = hashes[offsets[at] : offsets[to]], np.diff(offsets[at : to + 1]).astype(np.int64), to - at
+            segments, parity = _segments(_minima(own, counts)), _parity(own, counts)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(segments.T).view(np.int64).ravel()))
+            arrays = [*[c[at:to] for c in batch.columns[:-1]], pa.array(counts), *[pa.array(p.view(np.int64)) for p in parity], listed]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "n", *[f"p{k}" for k in range(PARITY)], "segments"])
+            at = to
+
+
+_PRINT = ["n", *[f"p{k}" for k in range(PARITY)]]
+
+
+def _may_link(a: str, b: str) -> Column:
+    """False only for pairs of classes below the similarity: sets of n and m shingles that differ in d have (n + m - d) / (n + m + d), and their parity prints
+    differ in d bits at most."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(PARITY)])
+    both = F.col(f"{a}n") + F.col(f"{b}n")
+    return (9 * differ <= both) & (5 * F.least(F.col(f"{a}n"), F.col(f"{b}n")) >= 4 * F.greatest(F.col(f"{a}n"), F.col(f"{b}n")))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose complete shingle sets have a similarity of 0.8 or more."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    used = saved(used.join(classes.select("cls", F.col("best.id").alias("doc_id"), F.col("best.k").alias("__k")), "cls"), "used")
+    few = used.count() <= BROADCAST
+    rows = keyed.join(F.broadcast(used) if few else used, keyed["__k"].eqNullSafe(used["__k"]) & keyed["doc_id"].eqNullSafe(used["doc_id"])).select("cls", _split("text").alias("__w"))
+    sets = saved(rows.select("cls", F.array_distinct(_shingles(WIDE_SHINGLE)).alias("s")).dropDuplicates(["cls"]), "sets")
+    of = lambda c: sets.select(F.col("cls").alias(c), F.col("s").alias(f"s{c}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    near = 5 * both >= 4 * (F.size("sa") + F.size("sb") - both)
+    return saved(pairs.join(of("b"), "b").join(of("a"), "a").where(near).select("a", "b"), "near")
+
+
+def _near_groups(classes: DataFrame, segments: DataFrame, keyed: DataFrame) -> DataFrame:
+    """cls and root (of its group), for each class that has a link.
+
+    First every class meets the least one of each of its segments. Where a segment then still holds several groups, the classes outside its largest group meet
+    all those of other groups, in blocks, so that a large group makes no pairs of its own and no segment is one task's."""
+    name = lambda d, to, more=(): d.select(*more, F.col("cls").alias(to), *[F.col(c).alias(f"{to}{c}") for c in _PRINT])
+    held = segments.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("size")).where("size > 1")
+    held = saved(segments.join(held, "key"), "held")
+    tried = saved(held.where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "pairs")
+    may = tried.join(name(classes, "a"), "a").join(name(classes, "b"), "b").where(_may_link("a", "b")).select("a", "b")
+    found = _verified(saved(may, "pairs"), classes, keyed)
+    tree = saved(components(found), "tree").withColumnRenamed("node", "cls")
+    shared = held.select("key", "size", "cls").join(tree, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    shared = saved(shared, "shared")
+    most = shared.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("groups"))
+    mixed = shared.join(most.where("groups > 1").select("key", F.col("most.root").alias("main")), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    mixed = saved(mixed.join(classes.select("cls", *_PRINT), "cls"), "mixed")
+    outside = name(mixed.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", ["key", "block", F.col("root").alias("aroot")])
+    all_of = name(mixed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "b", ["key", "block", "root"])
+    more = outside.join(all_of, ["key", "block"]).where((F.col("aroot") != F.col("root")) & _may_link("a", "b"))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = saved(more, "pairs")
+    if not more.isEmpty():
+        again = _verified(more, classes, keyed)
+        tree = saved(components(found.union(again)), "tree").withColumnRenamed("node", "cls")
+        discard(again)
+    for x in (held, tried, found, shared, mixed, more):
+        discard(x)
+    return tree
+
+
+def deduped(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each group linked by near copies (similarity 0.8 or more of the sets of five-word shingles, A-Z lower-cased) the row with the
+    smallest doc_id; of rows that repeat that id, the one whose text hashes lowest, and of those that are equal in both the one whose columns do.
+
+    Rows with a null doc_id come after all others. Texts with fewer than five words have one shingle, all their words; texts without words, and null ones, are one
+    group. Long texts are taken whole. An empty table gives an empty table. Texts of equal 64-bit class hashes but unequal second hashes all stay."""
+    keyed = docs.withColumn("__k", F.xxhash64(text))
+    d = keyed.select("doc_id", "__k", _split(text).alias("__w"))
+    whole = F.array_join("__w", " ")
+    d = d.select("doc_id", "__k", F.xxhash64(whole).alias("cls"), F.xxhash64(F.lit(1), whole).alias("check"), F.array_distinct(_shingles(WIDE_SHINGLE)).alias("__h"))
+    schema = "doc_id " + dict(docs.dtypes)["doc_id"] + ", __k long, cls long, check long, n long, " + ", ".join(f"p{k} long" for k in range(PARITY)) + ", segments array<long>"
+    prints = saved(d.mapInArrow(_wide, schema), "prints")
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__k").alias("k"))
-    # Two steps: copies first (map-side), then components, so that no task takes a large component's rows.
-    by_print = prints.groupBy("fp").agg(F.min(best).alias("best"))
-    keep = by_print.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.k").alias("__k")).distinct()
-    one = F.row_number().over(W.partitionBy("__k").orderBy("__k"))
-    return keyed.join(keep, "__k", "left_semi").withColumn("__n", one).where("__n = 1").select(*docs.columns)
+    both = prints.groupBy("cls", "check").agg(F.min(best).alias("best"), *[F.first(c).alias(c) for c in (*_PRINT, "segments")])  # copies agree in these
+    classes = saved(both.groupBy("cls").agg(F.min_by(F.struct("check", "best", *_PRINT, "segments"), "check").alias("x")).select("cls", "x.*"), "classes")
+    unlike = prints.select("cls", "check", best.alias("best")).join(classes.select("cls", "check"), ["cls", "check"], "left_anti")
+    # The segment's place is part of its key.
+    segments = classes.select("cls", F.posexplode("segments").alias("t", "s")).select("cls", F.xxhash64("t", "s").alias("key"))
+    rooted = _near_groups(classes, segments, keyed.select("doc_id", "__k", F.col(text).alias("text")))
+    keep = classes.join(rooted, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("best").alias("best")).select("best")
+    keep = keep.union(unlike.select("best")).select(F.col("best.id").alias("__id"), F.col("best.k").alias("__hash")).distinct()
+    # How often a kept row is there: only rows that repeat both id and text are counted out.
+    copies = prints.groupBy(F.col("doc_id").alias("__id"), F.col("__k").alias("__hash")).agg(F.count("*").alias("__copies"))
+    keep = saved(keep.join(copies, keep["__id"].eqNullSafe(copies["__id"]) & (keep["__hash"] == copies["__hash"])).select(keep["__id"], keep["__hash"], "__copies"), "keep")
+    few = keep.count() <= BROADCAST
+    kept = keyed.join(F.broadcast(keep) if few else keep, keyed["doc_id"].eqNullSafe(keep["__id"]) & (keyed["__k"] == keep["__hash"]))
+    discard(prints)
+    single = kept.where("__copies = 1").select(*docs.columns)
+    if keep.where("__copies > 1").isEmpty():
+        return single
+    row = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    first = kept.where("__copies > 1").select("__id", "__hash", F.struct(*docs.columns).alias("__row"), row.alias("__tie")).groupBy("__id", "__hash").agg(F.min_by("__row", "__tie").alias("__row"))
+    return single.union(first.select("__row.*"))

@@ -143,5 +143,35 @@ def simhash_groups(rows, size=3, bits=2):
     return prints, [least.get(find(p)) for p in prints], [find(p) for p in prints]
 
 
+def near_groups(rows, size=5):
+    """The group of each row: texts whose sets of lower-cased shingles have a Jaccard similarity of 0.8 or more."""
+    classes, sets = {}, []
+    for r in rows:
+        w = tuple(split(ascii_lower(r[1])))
+        if w not in classes:
+            classes[w] = len(sets)
+            sets.append({w[i : i + size] for i in range(len(w) - size + 1)} or {w})
+    held = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            held[x].append(k)
+    links = set()
+    for k, s in enumerate(sets):
+        for j, both in Counter(j for x in s for j in held[x] if j < k).items():
+            if 5 * both >= 4 * (len(s) + len(sets[j]) - both):
+                links.add((k, j))
+    find = union_find(links)
+    return [find(classes[tuple(split(ascii_lower(r[1])))]) for r in rows]
+
+
+def first_of_each(rows, groups):
+    """Of each group the least doc_id, null ids last: what stays, sorted."""
+    best = {}
+    for r, g in zip(rows, groups, strict=True):
+        k = (r[0] is None, r[0] or 0)
+        best[g] = min(best.get(g, k), k)
+    return sorted(best.values())
+
+
 def crc(text):
     return zlib.crc32((text or "").encode())

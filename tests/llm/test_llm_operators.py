@@ -165,12 +165,9 @@ def test_simhash(case):
 
 def test_simhash_keeps_one_of_each(case):
     rows, df = case
-    _, _, roots = plain.simhash_groups(rows)
-    best = {}
-    for r, g in zip(rows, roots, strict=True):
-        k = (r[0] is None, r[0] or 0)
-        best[g] = min(best.get(g, k), k)
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in op9_simhash.deduped(df).collect()) == sorted(best.values())
+    got = op9_simhash.deduped(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == plain.first_of_each(rows, plain.near_groups(rows))
 
 
 def test_hamming_tables_are_complete(spark):
@@ -215,17 +212,83 @@ def test_embeddings(spark):
     assert all_ > 2000 and found >= 0.9 * all_ and all(got[i][0] <= want[i][0] for i in got)
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def at_cosine(a, other, c):
+    """For each row of a, one at cosine c on the way to other."""
+    side = unit(other - (a * other).sum(axis=1, keepdims=True) * a)
+    return c * a + np.sqrt(1 - c * c) * side
+
+
+def retrieval(spark, a, b, codes):
+    """Whether each pair of rows is retrieved, and how many pairs are in all."""
+    words = codes.encode(np.concatenate([a, b]))
+    rows = [(i, 0, a.shape[1], *w) for i, w in enumerate(words.tolist())]
+    schema = "cls long, home long, dim int, " + ", ".join(f"w{k} long" for k in range(codes.words))
+    got = {(x.a, x.b) for x in op2_embeddings.near_codes(spark.createDataFrame(rows, schema), codes.tables, codes.words, codes.far).collect()}
+    return np.mean([(i, len(a) + i) in got for i in range(len(a))]), len(got)
+
+
 @pytest.mark.parametrize(("low", "high", "least"), [(0.9, 0.92, 0.93), (0.9, 1.0, 0.97)])
 def test_embedding_recall_by_band(spark, low, high, least):
     r, n = np.random.default_rng(8), 3000
-    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    a, b, c = unit(r.standard_normal((n, 64))), r.standard_normal((n, 64)), r.uniform(low, high, (n, 1))
-    b = c * a + np.sqrt(1 - c * c) * unit(b - (a * b).sum(axis=1, keepdims=True) * a)
-    projection = op2_embeddings.learn_rotation(np.concatenate([a, b]))
-    codes = [op2_embeddings.encode(x, projection).tolist() for x in (a, b)]
-    found = op2_embeddings.near_codes(spark.createDataFrame([(x,) for x in {*codes[0], *codes[1]}], "code long"), 64)
-    got = {(x.a, x.b) for x in found.collect()}
-    assert sum(x == y or (min(x, y), max(x, y)) in got for x, y in zip(*codes, strict=True)) >= least * n
+    a = unit(r.standard_normal((n, 64)))
+    b = at_cosine(a, r.standard_normal((n, 64)), r.uniform(low, high, (n, 1)))
+    assert retrieval(spark, a, b, op2_embeddings.learn(np.concatenate([a, b])))[0] >= least
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8])
+def test_embedding_codes_of_one_sided_vectors(spark, mean):
+    """Vectors that share a direction: codes stay balanced (up to a mean cosine of 0.5) and distinct, pairs at 0.90 to 0.92 are found, and hardly any others are."""
+    r = np.random.default_rng(9)
+    draw = lambda n: unit(np.sqrt(mean) * np.ones(256) / 16 + np.sqrt(1 - mean) * unit(r.standard_normal((n, 256))))
+    a, others = draw(1500), draw(1500)
+    b = at_cosine(a, others, r.uniform(0.9, 0.92, (1500, 1)))
+    codes = op2_embeddings.learn(draw(6000))
+    bits = codes.bits(draw(2000)).mean(axis=0)
+    assert mean > 0.5 or (0.4 < bits.min() and bits.max() < 0.6)
+    assert len(np.unique(codes.encode(draw(2000)), axis=0)) == 2000
+    recall, _ = retrieval(spark, a, b, codes)
+    assert recall >= 0.93
+    fresh = draw(3000)
+    _, pairs = retrieval(spark, fresh[:1500], fresh[1500:], codes)
+    assert pairs < (0.01 if mean > 0.5 else 0.0001) * 3000 * 2999 / 2
+
+
+def test_embeddings_of_every_length(spark):
+    """Each length links with itself; clashing names and repeated rows do no harm."""
+    r = np.random.default_rng(12)
+    rows = []
+    for d, n in ((16, 60), (5, 30), (1, 3), (40, 30)):
+        x = r.standard_normal((n, d))
+        x[n // 2 :] = x[: n - n // 2] + 0.02 * r.standard_normal((n - n // 2, d))
+        rows += [(len(rows) + i, v.tolist(), "c", 5, 1.0, "k") for i, v in enumerate(x)]
+    rows += [rows[0], (None, rows[1][1], "c", 5, 1.0, "k")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cls string, size int, kept double, n_links string")
+    good = [(k, np.array(v[1])) for k, v in enumerate(rows)]
+    cos = lambda a, b: len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9
+    links = [(i, j) for i, a in good for j, b in good if i != j and cos(a, b)]
+    find = plain.union_find([(a, b) for a, b in links if a < b])
+    least = {}
+    for k, row in enumerate(rows):
+        if row[0] is not None:
+            least[find(k)] = min(least.get(find(k), row[0]), row[0])
+    want = sorted(((row[0] is None, row[0] or 0), sum(i == k for i, _ in links), least[find(k)]) for k, row in enumerate(rows))
+    got = sorted(((x.vec_id is None, x.vec_id or 0), x.n_links, x.component_id) for x in op2_embeddings.linked(df).collect())
+    assert got == want
+
+
+def test_embeddings_of_one_hash(spark, monkeypatch):
+    """Unequal vectors whose first hashes agree are told apart."""
+    real = op2_embeddings.F.xxhash64
+    monkeypatch.setattr(op2_embeddings.F, "xxhash64", lambda *c: op2_embeddings.F.lit(7).cast("long") if len(c) == 1 and isinstance(c[0], str) and c[0] == "embedding" else real(*c))
+    r = np.random.default_rng(2)
+    x = r.standard_normal((6, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate([*x, *(x[:2] * 1.01 + 0.01)])]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in op2_embeddings.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (0, 2), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (1, 0), 7: (1, 1)}
 
 
 def test_embedding_chunks_and_empty(spark, monkeypatch):

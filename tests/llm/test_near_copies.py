@@ -1,17 +1,21 @@
-"""The pipeline's near copies against brute force over planted ones."""
+"""Wide fingerprints against brute force over planted near copies."""
 
 import random
 
 import plain
+import pytest
 
 import corpus_pipeline
+from loomquest.llm import op9_simhash
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
-def test_planted_near_copies(spark):
-    rnd = random.Random(5)
+
+def planted(n=60, seed=5):
+    rnd = random.Random(seed)
     word = lambda: f"w{rnd.randrange(5000)}"
     texts = []
-    for _ in range(60):
+    for _ in range(n):
         base = [word() for _ in range(120)]
         texts.append(" ".join(base))
         for changes in (1, 2, 3, 4):  # up to 20 of 116 shingles: similarities on both sides of 0.8
@@ -19,20 +23,44 @@ def test_planted_near_copies(spark):
             for i in rnd.sample(range(120), changes):
                 w[i] = word()
             texts.append(" ".join(w))
-    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1), (900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "two words", "en", "s", 9)]
-
-    def shingles(t):
-        w = plain.split(plain.ascii_lower(t))
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
-
-    sets = [shingles(r[1]) for r in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    far = sum((plain.simhash(rows[i][1], 5) ^ plain.simhash(rows[j][1], 5)).bit_count() > 2 for i, j in links)
-    assert far > 60  # what links at 2 bits missed
-    find = plain.union_find(links)
-    best = {}
-    for i, r in enumerate(rows):
-        best[find(i)] = min(best.get(find(i), (True, 0)), (r[0] is None, r[0] or 0))
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    got = corpus_pipeline.near_dedup(spark, df, "").collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(best.values())
+    return [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+
+
+def kept(df):
+    return sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+
+
+def test_planted_near_copies(spark):
+    rows = planted()
+    rows += [(None, rows[0][1], "en", "s", 1), (900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "two words", "en", "s", 9), rows[3]]
+    want = plain.first_of_each(rows, plain.near_groups(rows))
+    assert len(want) < 200
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert kept(corpus_pipeline.near_dedup(spark, df, "")) == want
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_a_chain_of_near_copies(spark, monkeypatch, block):
+    """One large group whose ends are unlike, and texts beside it that share shingles with many and are near to none: blocks of a segment change nothing."""
+    monkeypatch.setattr(op9_simhash, "BLOCK", block)
+    rnd = random.Random(9)
+    w, texts = [f"c{i}" for i in range(100)], []
+    for i in range(120):
+        w = list(w)
+        w[rnd.randrange(100)] = f"x{i}"
+        texts.append(" ".join(w))
+        if i % 4 == 0:  # five words changed, far apart
+            far = list(w)
+            for k in range(5):
+                far[20 * k + rnd.randrange(10)] = f"y{i}{k}"
+            texts.append(" ".join(far))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(rnd.sample(texts, len(texts)))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert kept(op9_simhash.deduped(df)) == plain.first_of_each(rows, plain.near_groups(rows))
+
+
+def test_rows_of_one_hash_all_stay(spark, monkeypatch):
+    """Of rows that repeat id and text one stays; clashing names of further columns do no harm."""
+    rows = [(1, "a b c d e f g", "p", 1), (1, "a b c d e f g", "q", 2), (2, "A b C d e f g", "r", 3), (3, "other words stand here now", "s", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cls string, n int")
+    assert sorted((r.doc_id, r.n) for r in op9_simhash.deduped(df).collect()) in ([(1, 1), (3, 4)], [(1, 2), (3, 4)])
