@@ -3,25 +3,23 @@
 A text becomes pieces as the model file says: a space in front, spaces written as U+2581, and characters that no piece covers as their UTF-8 bytes.
 Forward Viterbi gives the best score from the start to each place; those scores are exact heuristics for a backward A-star search
 from the end, which so pops segmentations best first. Pieces never hold U+2581 after another character, so the lattice falls into units,
-one per word, and those into parts wherever no piece holds the two characters side by side; each distinct part is searched once while it is
-in a worker's cache. A text's N best change few of its units, those with the least gaps between their best and next best ways, so those gaps come
-first and the search goes to the units that they name."""
+one per word, and those into parts wherever no piece holds the two characters side by side.
+
+Each distinct unit of a run of texts is searched once for its best way; what then heads the agenda is the score of its next best one. A text's N best change
+few of its units, those with the least gaps between their best and next best ways, and only there does the search go on to N ways."""
 
 from __future__ import annotations
 
-import gc
 import re
-import struct
-import threading
 import zlib
-from bisect import insort
+from array import array
 from functools import lru_cache
-from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,42 +27,40 @@ SPACE = "▁"
 N_BEST = 4
 #: An unknown character costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Texts in each of the two generations of a worker's three caches (units, parts, gaps); longer ones are not kept.
-CACHE, LONG_UNIT, IDLE_SECONDS = (400_000, 200_000, 50_000), 200, 2.0
+#: Bytes that a worker's cache of units may take, about; characters of text in a run; units longer than this are cut at every place where that can be done.
+CACHE_BYTES, CHARS, LONG_UNIT = 64 << 20, 4 << 20, 200
 _INF = float("inf")
-_IDS, _SCORE, _GAP = itemgetter(0), itemgetter(1), itemgetter(2)
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+#: Kinds of pieces in a model file.
+_NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
-class _Kept:
-    """A function's values by text, in two generations: when the new one is full it becomes the old one, and what is still in use moves up."""
+class Kept:
+    """A function's values by text, in two generations: when the new one has its bytes it becomes the old one, and what is still in use moves up."""
 
     def __init__(self, make, limit: int):
-        self.make, self.limit, self.new, self.old = make, limit, {}, {}
+        self.make, self.limit, self.new, self.old, self.bytes = make, limit // 2, {}, {}, 0
 
-    def one(self, text: str):
-        value = self.new.get(text)
-        if value is None:
-            value = self.old.get(text) or self.make(text)
-            if len(text) <= LONG_UNIT:
-                self.new[text] = value
-                if len(self.new) > self.limit:
-                    self.old, self.new = self.new, {}
-        return value
-
-    def all(self, texts: list[str]) -> list:
-        new, old, long = self.new, self.old, {}
+    def all(self, texts) -> list:
+        new, old, make = self.new, self.old, self.make
         for t in set(texts).difference(new):
-            value = old.get(t) or self.make(t)
-            (new if len(t) <= LONG_UNIT else long)[t] = value
-        out = [new.get(t) or long[t] for t in texts] if long else list(map(new.__getitem__, texts))
-        if len(new) > self.limit:
-            self.old, self.new = new, {}
+            value = old.get(t)
+            if value is None:
+                value = make(t)
+            new[t] = value
+            self.bytes += 400 + 6 * len(t)
+        out = list(map(new.__getitem__, texts))
+        if self.bytes > self.limit:
+            self.old, self.new, self.bytes = new, {}, 0
         return out
 
+    def one(self, text: str):
+        return self.all([text])[0]
+
 
 class Pieces:
-    """The vocabulary of a model file, and the search over it."""
+    """The vocabulary of a model file, and the search over it. Models with a normaliser, with whitespace that is dropped or follows its word, or with pieces of a
+    user's own are refused."""
 
     def __init__(self, path: str, n_best: int = N_BEST):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -72,184 +68,200 @@ class Pieces:
         proto = pb.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        self.n_best = n_best
-        self.dummy = proto.normalizer_spec.add_dummy_prefix
+        norm = proto.normalizer_spec
+        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("the model normalises texts or moves white space, which is not handled")
+        self.n_best, self.dummy = n_best, norm.add_dummy_prefix
         self.ids: dict[str, tuple[int, float]] = {}
-        self.byte_ids, self.bytes_of = [0] * 256, []
+        self.byte_ids, self.bytes_of = [-1] * 256, []
         worst = 0.0
         for i, p in enumerate(proto.pieces):
-            if p.type == 6:
+            if p.type == _BYTE:
                 self.byte_ids[int(p.piece[3:5], 16)] = i
                 self.bytes_of.append(bytes([int(p.piece[3:5], 16)]))
-            elif p.type == 1:
+            elif p.type == _NORMAL:
                 if SPACE in p.piece.lstrip(SPACE) or "\n" in p.piece:
                     raise ValueError(f"piece {p.piece!r} reaches over a unit")
                 self.ids[p.piece] = (i, p.score)
                 if p.score > -1e8:
                     worst = min(worst, p.score)
                 self.bytes_of.append(p.piece.replace(SPACE, " ").encode())
-            else:
+            elif p.type in (_UNKNOWN, _CONTROL):
                 self.bytes_of.append(b"")
+            else:
+                raise ValueError(f"piece {p.piece!r} of kind {p.type} is not handled")
+        if -1 in self.byte_ids:
+            raise ValueError("the model has no piece for every byte")
         self.unknown = worst - UNKNOWN_PENALTY
-        self.timer: threading.Timer | None = None
-        self.singles = {k for k, v in self.ids.items() if len(k) == 1}
+        self.singles = {k for k in self.ids if len(k) == 1}
         self.finder = ahocorasick.Automaton()
         for k, (i, score) in self.ids.items():
             self.finder.add_word(k, (len(k), i, score))
         self.finder.make_automaton()
-        self.joined = {p.piece[k : k + 2] for p in proto.pieces if p.type == 1 for k in range(len(p.piece) - 1)}
-        self.units_kept, self.parts_kept = _Kept(self._unit, CACHE[0]), _Kept(self._part, CACHE[1])
-        self.gaps_kept = _Kept(self._gaps, CACHE[2])
-
-    def _matches(self, unit: str) -> list[tuple[int, tuple[int, int, float]]]:
-        """The lattice: (last character, (length, id or -1 for an unknown character, score)), by last character."""
-        found = list(self.finder.iter(unit))
-        odd = [(i, (1, -1, self.unknown)) for i, c in enumerate(unit) if c not in self.singles]
-        return sorted(found + odd, key=lambda m: m[0]) if odd else found
-
-    def _lattice(self, unit: str):
-        """For each place, the edges that end there, (start, id, score), and the best score of a way to it."""
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(len(unit) + 1)]
-        best = [-_INF] * (len(unit) + 1)
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.kept = Kept(self._unit, CACHE_BYTES)
+        self.ways_kept = Kept(self.ways, CACHE_BYTES // 8)
+
+    # --- the search -----------------------------------------------------------------------------------------------------------------------
+
+    def _lattice(self, part: str):
+        """For each place, the edges that end there, (start, id or -1 for an unknown character, score), longest first, and the best score of a way to it (forward Viterbi)."""
+        n = len(part)
+        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
+        best = [-_INF] * (n + 1)
         best[0] = 0.0
-        for last, (size, i, s) in self._matches(unit):
+        matches = list(self.finder.iter(part))
+        odd = [(i, (1, -1, self.unknown)) for i, c in enumerate(part) if c not in self.singles]
+        for last, (size, i, s) in sorted(matches + odd, key=lambda m: m[0]) if odd else matches:
             a = last + 1 - size
             ends[last + 1].append((a, i, s))
-            best[last + 1] = max(best[last + 1], best[a] + s)
+            s += best[a]
+            if s > best[last + 1]:
+                best[last + 1] = s
         return ends, best
 
-    def segment(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The n_best segmentations, best first: score, ids (unknown characters as bytes). Equal scores come in the order of the search, which is fixed.
+    def _bytes_at(self, part: str, a: int, b: int, i: int) -> list[int]:
+        return [i] if i >= 0 else [self.byte_ids[x] for x in part[a:b].encode()]
+
+    def _first(self, part: str) -> tuple[list[int], float, float]:
+        """ids and score of the best way, and the gap to the next best one (infinite where there is none).
+
+        This is the A-star search up to its first whole way. Its heuristics are exact, so it only ever goes on from the place where it is, and the other edges there
+        stay on the agenda; the best of them all is the next best way."""
+        if len(part) == 1:
+            found = self.ids.get(part)
+            return ([found[0]], found[1], _INF) if found else ([self.byte_ids[x] for x in part.encode()], self.unknown, _INF)
+        ends, best = self._lattice(part)
+        at, score, agenda, ids = len(part), 0.0, -_INF, []
+        while at:
+            top, way = -_INF, None
+            for edge in ends[at]:
+                f = edge[2] + score + best[edge[0]]
+                if f > top or f == top and edge[0] < way[0]:
+                    top, way, f = f, edge, top
+                if f > agenda:
+                    agenda = f
+            a, i, s = way
+            ids.append(i if i >= 0 else [self.byte_ids[x] for x in part[a:at].encode()])
+            at = a
+            score += s
+        flat = []
+        for i in reversed(ids):
+            flat += [i] if isinstance(i, int) else i
+        return flat, score, max(0.0, score - agenda) if agenda > -_INF else _INF
+
+    def segment(self, part: str, wanted: int | None = None) -> list[tuple[float, tuple[int, ...]]]:
+        """The n_best segmentations, best first: score, ids (unknown characters as bytes). Of equal scores the one with the longer last piece comes
+        first, then the one with the longer last but one, and so on.
 
         Every partial way on the agenda stands for at least one whole way of exactly its estimated score, and no two for the same one, so the agenda never
         needs more ways than are still wanted."""
-        if len(unit) == 1:
-            found = self.ids.get(unit)
-            return [(found[1], (found[0],)) if found else (self.unknown, tuple(self.byte_ids[x] for x in unit.encode()))]
-        (ends, best), wanted = self._lattice(unit), self.n_best
-        # Partial ways from the end, best last: (score so far + best[place], order, place, score so far, path).
-        agenda, made, out = [(best[-1], 0, len(unit), 0.0, None)], 0, []
-        while agenda and wanted:
-            _, _, at, score, path = agenda.pop()
+        (ends, best), wanted = self._lattice(part), wanted or self.n_best
+        # Partial ways from the end: (-(score so far + best[place]), starts of the pieces so far, place, score so far, ids), least first.
+        agenda, out = [(-best[-1], (), len(part), 0.0, ())], []
+        while agenda and len(out) < wanted:
+            _, starts, at, score, ids = agenda.pop(0)
             if at == 0:
-                ids = []
-                while path is not None:
-                    a, b, i, path = path
-                    ids += [i] if i >= 0 else [self.byte_ids[x] for x in unit[a:b].encode()]
-                out.append((score, tuple(ids)))
-                wanted -= 1
-                del agenda[: max(0, len(agenda) - wanted)]
+                out.append((score, ids))
                 continue
-            for a, i, s in ends[at]:
-                s += score
-                f = s + best[a]
-                if len(agenda) < wanted:
-                    made += 1
-                    insort(agenda, (f, made, a, s, (a, at, i, path)))
-                elif f > agenda[0][0]:
-                    made += 1
-                    insort(agenda, (f, made, a, s, (a, at, i, path)))
-                    del agenda[0]
+            more = [(-(s + score + best[a]), (*starts, a), a, s + score, (*self._bytes_at(part, a, at, i), *ids)) for a, i, s in ends[at]]
+            agenda = sorted(agenda + more, key=lambda x: x[:2])[: wanted - len(out)]
         return out
 
     def parts(self, unit: str) -> list[str]:
         """The unit cut where no piece reaches over. Words of letters alone, which hardly ever have such a place, are not looked at."""
-        if unit.lstrip(SPACE).isalpha():
+        if len(unit) <= LONG_UNIT and unit.lstrip(SPACE).isalpha():
             return [unit]
         cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.joined]
         return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
 
-    def _part(self, part: str):
-        """ids and score of the best way, and the gap to the next best one (infinite where there is none).
-
-        The next best way has some edge that the best one has not, so it is the best way through one of those: the best scores up to each edge and
-        from it on tell, without a search."""
-        if len(part) == 1:
-            score, ids = self.segment(part)[0]
-            return struct.pack(f"<{len(ids)}I", *ids), score, _INF
-        matches, n = self._matches(part), len(part)
-        best, via = [-_INF] * (n + 1), [None] * (n + 1)
-        best[0] = 0.0
-        for m in matches:
-            last, (size, _, s) = m
-            s += best[last + 1 - size]
-            if s > best[last + 1]:
-                best[last + 1], via[last + 1] = s, m
-        at, on, ids = n, set(), []
-        while at:
-            m = via[at]
-            size, i, _ = m[1]
-            on.add(m)
-            ids += [i] if i >= 0 else [self.byte_ids[x] for x in reversed(part[at - size : at].encode())]
-            at -= size
-        rest, second = [-_INF] * (n + 1), -_INF
-        rest[n] = 0.0
-        for m in reversed(matches):
-            last, (size, _, s) = m
-            s += rest[last + 1]
-            a = last + 1 - size
-            if s > rest[a]:
-                rest[a] = s
-            s += best[a]
-            if s > second and m not in on:
-                second = s
-        return struct.pack(f"<{len(ids)}I", *reversed(ids)), best[n], best[n] - second
-
-    def _unit(self, unit: str):
-        """The same for a unit, and its text."""
-        cut = self.parts(unit)
-        if len(cut) == 1:
-            return *self._part(unit), unit
-        known, one = self.units_kept.new, self.parts_kept.one
-        found = [known.get(c) or one(c) for c in cut]  # a part can be a unit elsewhere
-        return b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found]), unit
-
-    def gaps(self, unit: str) -> list[float]:
-        """As _gaps(); the same few units have the least gaps again and again."""
-        return self.gaps_kept.one(unit)
-
-    def _gaps(self, unit: str) -> list[float]:
-        """Gaps of the n_best - 1 next best ways of a unit, from the N-best search over its parts."""
-        ways = [self.segment(p) for p in self.parts(unit)]
-        return self._combined([[w[0][0] - x[0] for x in w[1:]] for w in ways if len(w) > 1])
-
-    def _combined(self, gaps: list[list[float]]) -> list[float]:
-        """Gaps of the n_best - 1 next best ways of a sequence from the gaps of its members (each ascending)."""
-        sums = [0.0]
-        for g in gaps:
-            sums = sorted([a + b for a in sums for b in (0.0, *g)])[: self.n_best]
-        return sums[1:]
+    def _unit(self, unit: str) -> tuple[bytes, float, float, bytes]:
+        """ids (little-endian uint32) and score of the best way of a unit, the gap to the next best one, and the bytes that the ids decode to."""
+        ids, score, gap = [], 0.0, _INF
+        for part in self.parts(unit) if unit else ():
+            i, s, g = self._first(part)
+            ids += i
+            score += s
+            gap = min(gap, g)
+        return array("I", ids).tobytes(), score, gap, b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def _sums(self, choices: list[list[float]]) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+        """Of ways to choose from each member of a sequence (gaps ascending from 0) the n_best: gap, and (member, choice) wherever that is not the first. Of
+        equal gaps the one that changes an earlier member comes first, then the one with the earlier choice there."""
+        sums = [(0.0, ())]
+        for m, gaps in enumerate(choices):
+            sums = sorted((a + g, (*c, (m, k)) if k else c) for a, c in sums for k, g in enumerate(gaps))[: self.n_best]
+        return sums
+
+    def ways(self, unit: str) -> list[tuple[float, bytes]]:
+        """The n_best ways of a unit from the N-best search over its parts: gap to the best, ids."""
+        found = [self.segment(p) for p in self.parts(unit)]
+        sums = self._sums([[max(0.0, f[0][0] - x[0]) for x in f] for f in found])
+        return [(g, array("I", [i for m, f in enumerate(found) for i in f[dict(c).get(m, 0)][1]]).tobytes()) for g, c in sums]
+
+    # --- texts ----------------------------------------------------------------------------------------------------------------------------
 
     def units(self, text: str) -> list[str]:
         return _UNIT.findall((SPACE if self.dummy and text else "") + text.replace(" ", SPACE))
 
-    def encode(self, text: str) -> tuple[bytes, float, list[float]]:
-        """Ids of the best segmentation (little-endian uint32), its score, and the scores of the text's n_best segmentations."""
-        entries = self.units_kept.all(self.units(text))
-        score = float(sum(map(_SCORE, entries)))
-        # A way that changes a unit whose least gap is not among the n_best - 1 least has as many single changes before it.
-        first = np.fromiter(map(_GAP, entries), float, len(entries))
-        some = np.argpartition(first, self.n_best - 2)[: self.n_best - 1] if len(first) >= self.n_best else range(len(first))
-        return b"".join(map(_IDS, entries)), score, [score, *[score - g for g in self._combined([self.gaps(entries[i][3]) for i in some if entries[i][2] < _INF])]]
-
-    def wake(self) -> None:
-        if self.timer:
-            self.timer.cancel()
-
-    def rest(self) -> None:
-        """Empties the caches of a worker that gets no further task for a while: it would else keep their memory beside other stages' work."""
-        self.timer = threading.Timer(IDLE_SECONDS, self._empty)
-        self.timer.daemon = True
-        self.timer.start()
-
-    def _empty(self) -> None:
-        for kept in (self.units_kept, self.parts_kept, self.gaps_kept):
-            kept.new, kept.old = {}, {}
+    def _split(self, text: str) -> str:
+        """The units of a text between zero bytes; empty ones mean nothing. Only for texts without a zero byte."""
+        if text[:1] == " " or "  " in text or SPACE in text:
+            return "\0".join(self.units(text))
+        return (SPACE if self.dummy and text else "") + text.replace("\n", "\0\n\0").replace(" ", f"\0{SPACE}")
+
+    def encode(self, texts: list[str]) -> list[tuple]:
+        """Of each text: the n_best ways, best first, as (score, ids in little-endian uint32), and the bytes that the best one decodes to.
+
+        Equal scores come by the place of the first unit that is not in its best way, then by the rank of its way."""
+        zero = [i for i, t in enumerate(texts) if "\0" in t]
+        out = self._encode(pc.split_pattern(pa.array([self._split("" if "\0" in t else t) for t in texts], pa.large_string()), "\0"))
+        for i, x in zip(zero, self._encode(pa.array([self.units(texts[i]) for i in zero], pa.large_list(pa.large_string()))) if zero else (), strict=True):
+            out[i] = x
+        return out
+
+    def _encode(self, lists) -> list[tuple]:
+        coded = lists.flatten().dictionary_encode()
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        names, code = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        found = self.kept.all(names)
+        joined = lambda k: pa.array([f[k] for f in found], pa.large_binary()).take(coded.indices)
+        ids, plain = joined(0), joined(3)
+        place, text_place = (np.frombuffer(x.buffers()[1], np.int64, len(x) + 1, 8 * x.offset) for x in (ids, plain))
+        raw, raw_text = (memoryview(x.buffers()[2] or b"") for x in (ids, plain))
+        score = np.array([f[1] for f in found], float)[code]
+        gap = np.array([f[2] for f in found], float)[code]
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            start, end = int(place[a]), int(place[b])
+            best, total = bytes(raw[start:end]), float(score[a:b].sum())
+            # A way that changes a unit which is not among the n_best - 1 with the least gaps has as many single changes before it.
+            g = gap[a:b]
+            if len(g) > 64:
+                limit = np.partition(g, self.n_best - 2)[self.n_best - 2] if self.n_best > 1 else -1.0
+                some = np.flatnonzero(g <= limit)
+                some = some[np.argsort(g[some], kind="stable")][: self.n_best - 1]
+            else:
+                some = np.argsort(g, kind="stable")[: self.n_best - 1]
+            some = sorted(i for i in some.tolist() if g[i] < _INF)
+            choices = self.ways_kept.all([names[code[a + i]] for i in some])
+            ways = [(total, best)]
+            for less, changes in self._sums([[w[0] for w in c] for c in choices])[1:]:
+                at, pieces = 0, []
+                for m, k in changes:
+                    u = a + some[m]
+                    pieces += [best[at : int(place[u]) - start], choices[m][k][1]]
+                    at = int(place[u + 1]) - start
+                ways.append((total - less, b"".join([*pieces, best[at:]])))
+            out.append((ways, bytes(raw_text[int(text_place[a]) : int(text_place[b])])))
+        return out
+
+    def undo(self, data: bytes) -> str:
+        """Bytes of pieces as a text: those that are not UTF-8 together become U+FFFD."""
+        return (data[1:] if self.dummy and data[:1] == b" " else data).decode("utf-8", "replace")
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; byte pieces that are not UTF-8 together become U+FFFD."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.dummy and text.startswith(" ") else text
+        return self.undo(b"".join(map(self.bytes_of.__getitem__, ids.tolist())))
 
 
 @lru_cache(maxsize=2)
@@ -257,44 +269,58 @@ def pieces(path: str, n_best: int = N_BEST) -> Pieces:
     return Pieces(path, n_best)
 
 
-def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_best: int = N_BEST) -> DataFrame:
-    """keys, ids (array<int>, the best segmentation), score, nbest (array<double>, scores of the best n_best segmentations of the whole text), ids_crc32
-    (of the ids as little-endian uint32), n_pieces, and exact: whether decoding the ids gives the text back.
+def _lists(values: list[bytes]) -> pa.ListArray:
+    """Lists of ids from their bytes."""
+    ends = np.cumsum([0, *(len(v) // 4 for v in values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4")))
+
+
+def _runs(texts: list[str]):
+    """Bounds of runs of texts with about CHARS characters."""
+    at, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= CHARS:
+            yield at, i + 1
+            at, n = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_best: int = N_BEST, ways: bool = False) -> DataFrame:
+    """keys, ids (array<int>, the best segmentation), score, nbest (array<double>, scores of the best n_best segmentations of the whole text), nbest_crc32
+    (array<long>, of the ids of each as little-endian uint32), ids_crc32 (of the best), n_pieces, and exact: whether decoding the ids gives the text back. With ways,
+    also ways (array<array<int>>): the ids of each of the n_best segmentations.
 
-    Null and empty texts have no pieces, score 0 and one segmentation. A text that itself holds U+2581 decodes to a space there, so exact
-    is false. Rows are handled one by one: repeated rows give equal results."""
+    Null and empty texts have no pieces, score 0 and one segmentation. Texts of any length are taken whole. Of segmentations of equal score, the one comes first
+    whose first unit out of its best way stands earlier; within a unit, the one with the longer last piece. A text that itself holds U+2581 decodes to a space
+    there, so exact is false. Rows are handled one by one: repeated rows give equal results, an empty table none. Other columns are not read."""
 
     def run(batches):
         p = pieces(model, n_best)
-        p.wake()
-        gc.disable()  # nothing here makes cycles, and collections would walk the caches
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for at in range(0, len(texts), 200):
-                part = [t or "" for t in texts[at : at + 200]]
-                got = [p.encode(t) for t in part]
-                ids = [np.frombuffer(g[0], "<u4") for g in got]
-                same = [p.decode(i) == t for i, t in zip(ids, part, strict=True)]
-                ends = np.cumsum([0, *map(len, ids)])
-                flat = np.concatenate(ids).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[c[at : at + 200] for c in batch.columns[:-1]],
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                        pa.array([g[1] for g in got]),
-                        pa.array([g[2] for g in got], pa.list_(pa.float64())),
-                        pa.array([zlib.crc32(g[0]) for g in got], pa.int64()),
-                        pa.array([len(i) for i in ids], pa.int64()),
-                        pa.array(same),
-                    ],
-                    names=[*batch.schema.names[:-1], "ids", "score", "nbest", "ids_crc32", "n_pieces", "exact"],
-                )
-        gc.enable()
-        p.rest()
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            for a, b in _runs(texts):
+                got = p.encode(texts[a:b])
+                sums = [[zlib.crc32(w[1]) for w in g[0]] for g in got]
+                arrays = [
+                    *[c[a:b] for c in batch.columns[:-1]],
+                    _lists([g[0][0][1] for g in got]),
+                    pa.array([g[0][0][0] for g in got], pa.float64()),
+                    pa.array([[w[0] for w in g[0]] for g in got], pa.list_(pa.float64())),
+                    pa.array(sums, pa.list_(pa.int64())),
+                    pa.array([s[0] for s in sums], pa.int64()),
+                    pa.array([len(g[0][0][1]) // 4 for g in got], pa.int64()),
+                    pa.array([p.undo(g[1]) == t for g, t in zip(got, texts[a:b], strict=True)], pa.bool_()),
+                ]
+                if ways:
+                    count = np.cumsum([0, *(len(g[0]) for g in got)])
+                    arrays.append(pa.ListArray.from_arrays(pa.array(count, pa.int32()), _lists([w[1] for g in got for w in g[0]])))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "ids", "score", "nbest", "nbest_crc32", "ids_crc32", "n_pieces", "exact", *["ways"] * ways])
 
     kept = docs.select(*keys, F.col(text).alias("__text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
-    return kept.mapInArrow(run, f"{head}, ids array<int>, score double, nbest array<double>, ids_crc32 long, n_pieces long, exact boolean")
+    return kept.mapInArrow(run, f"{head}, ids array<int>, score double, nbest array<double>, nbest_crc32 array<long>, ids_crc32 long, n_pieces long, exact boolean" + ", ways array<array<int>>" * ways)
 
 
 def decoded(docs: DataFrame, model: str, ids: str = "ids", to: str = "text") -> DataFrame:

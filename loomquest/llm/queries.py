@@ -42,7 +42,7 @@ def op5_anchor_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = op6_pieces.encoded(rows_of(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"])
-    return d.select("doc_id", "n_pieces", "ids_crc32", "score", "nbest", "exact")
+    return d.select("doc_id", "n_pieces", "ids_crc32", "score", "nbest", "nbest_crc32", "exact")
 
 
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,5 +173,29 @@ def first_of_each(rows, groups):
     return sorted(best.values())
 
 
+def nbest(text, path, n=4):
+    """The n best segmentations of a whole text over all pieces of the model file: (score, ids), by dynamic programming with n ways a place."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(path, "rb") as f:
+        m.ParseFromString(f.read())
+    piece = {p.piece: (i, p.score) for i, p in enumerate(m.pieces) if p.type == 1}
+    byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
+    unknown = min(s for _, s in piece.values() if s > -1e8) - 10
+    longest = max(map(len, piece))
+    t = ("\u2581" if text else "") + (text or "").replace(" ", "\u2581")
+    best = [[(0.0, ())]] + [[] for _ in t]
+    for b in range(1, len(t) + 1):
+        for a in range(max(0, b - longest), b):
+            x = t[a:b]
+            if x in piece:
+                best[b] += [(s + piece[x][1], (*ids, piece[x][0])) for s, ids in best[a]]
+            elif b == a + 1:
+                best[b] += [(s + unknown, (*ids, *[byte[y] for y in x.encode()])) for s, ids in best[a]]
+        best[b] = sorted(best[b], key=lambda w: -w[0])[: n + 4]
+    return best[-1]
+
+
 def crc(text):
     return zlib.crc32((text or "").encode())

@@ -367,20 +367,68 @@ def test_pieces_round_trip(case):
     assert keyed(back) == keyed((r[0], r[1] or "") for r in rows)
 
 
-def test_nbest_is_exact():
-    """Against every path of small lattices."""
+def same_ways(got, want):
+    """Scores agree; so do ids wherever no neighbour has the same score."""
+    scores = [s for s, _ in got]
+    assert scores == pytest.approx([s for s, _ in want[: len(got)]], rel=1e-9, abs=1e-6)
+    alone = [all(abs(w[0] - x[0]) > 1e-6 for j, x in enumerate(want) if j != i) for i, w in enumerate(want)]
+    assert all(tuple(g[1]) == tuple(w[1]) for g, w, one in zip(got, want, alone, strict=False) if one)
+
+
+def test_nbest_of_whole_documents(spark):
+    """Every column against ways over the whole text."""
+    path = T("piece_bpe_32k.model")
+    real = [r.text[:400] for r in spark.read.parquet(f"{plain.SF}/documents.parquet").limit(25).collect()]
+    texts = [None, "", " ", "  ", "\n", "\n\n a", "a\nb \nc  d", " lead", "trail ", "the çat  in\nting 🙂", "a\x00b \x00", "tab\there 12,5%", "▁odd▁ one", "aaaaaaaa", *real]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    for r in op6_pieces.encoded(spark.createDataFrame(rows, "doc_id long, text string, ids string"), path, ["doc_id"], ways=True).collect():
+        text = texts[r.doc_id]
+        want = plain.nbest(text, path)
+        ways = list(zip(r.nbest, [tuple(w) for w in r.ways], strict=True))
+        assert len(ways) == min(4, len(want)) and len(set(ways)) == len(ways)
+        same_ways(ways, want)
+        assert tuple(r.ids) == ways[0][1] and r.score == ways[0][0] and r.n_pieces == len(r.ids)
+        assert list(r.nbest_crc32) == [zlib.crc32(struct.pack(f"<{len(w)}I", *w)) for _, w in ways] and r.ids_crc32 == r.nbest_crc32[0]
+        assert r.exact == ("▁" not in (text or ""))
+
+
+def test_nbest_of_units():
+    """Against every way of small lattices, ties included."""
     p = op6_pieces.Pieces(T("piece_bpe_32k.model"))
 
-    def paths(ends, at):
+    def paths(part, ends, at):
         if at == 0:
-            return [0.0]
-        return [s + x for a, _, s in ends[at] for x in paths(ends, a)]
-
-    for unit in ["▁thing", "▁qzx", "▁été", "▁▁a", "▁inter", "🙂a", "ç▁", "▁a🙂b", "aaaaaaaa", "▁", "🙂"]:
-        every = sorted(paths(p._lattice(unit)[0], len(unit)), reverse=True)[: p.n_best]
-        assert [s for s, _ in p.segment(unit)] == pytest.approx(every)
-    text = "the çat  in\nting"
-    every = [0.0]
-    for u in p.units(text):
-        every = sorted((a + b for a in every for b in paths(p._lattice(u)[0], len(u))), reverse=True)[:50]
-    assert p.encode(text)[2] == pytest.approx(every[: p.n_best])
+            return [(0.0, (), ())]
+        return [(s + x, (*starts, a), (*ids, *p._bytes_at(part, a, at, i))) for a, i, s in ends[at] for x, starts, ids in paths(part, ends, a)]
+
+    for unit in ["▁thing", "▁qzx", "▁été", "▁▁a", "▁inter", "🙂a", "ç▁", "▁a🙂b", "aaaaaaaa", "▁", "🙂", "\x01\x01"]:
+        every = sorted(paths(unit, p._lattice(unit)[0], len(unit)), key=lambda x: (-round(x[0], 6), x[1][::-1]))
+        got = p.segment(unit)
+        assert [s for s, _ in got] == pytest.approx([s for s, _, _ in every[: p.n_best]])
+        assert [ids for _, ids in got] == [ids for _, _, ids in every[: p.n_best]]
+        first, score, gap = p._first(unit)
+        assert tuple(first) == every[0][2] and score == pytest.approx(every[0][0])
+        assert gap == pytest.approx(every[0][0] - every[1][0] if len(every) > 1 else math.inf)
+
+
+def test_models_that_are_not_handled(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(T("piece_bpe_32k.model"), "rb") as f:
+        m.ParseFromString(f.read())
+    for change in (lambda x: setattr(x.normalizer_spec, "remove_extra_whitespaces", True), lambda x: setattr(x.pieces[300], "type", 4), lambda x: setattr(x.normalizer_spec, "precompiled_charsmap", b"x")):
+        other = pb.ModelProto()
+        other.CopyFrom(m)
+        change(other)
+        (tmp_path / "m").write_bytes(other.SerializeToString())
+        with pytest.raises(ValueError):
+            op6_pieces.Pieces(str(tmp_path / "m"))
+
+
+def test_cache_generations():
+    made = []
+    kept = op6_pieces.Kept(lambda t: made.append(t) or t.upper(), 4000)
+    for i in range(300):
+        assert kept.all([f"w{i % 40}", "a"]) == [f"W{i % 40}", "A"]
+    assert made.count("a") == 1 and len(kept.new) + len(kept.old) < 20
