@@ -49,25 +49,29 @@ def _unit(rows) -> np.ndarray:
 # --- codes ------------------------------------------------------------------------------------------------------------------------------
 
 
-def _rotations(x: np.ndarray, mean: np.ndarray, bits: int, seed: int, turns: int = TURNS) -> np.ndarray:
-    """A projection (dimensions by bits) for centred vectors x: frames in the space of the principal directions and the mean, each turned by alternating between the
-    nearest binary codes and the best rotation onto them, which spreads the variance evenly over its bits."""
-    rng, d = np.random.default_rng(seed), x.shape[1]
-    value, vector = np.linalg.eigh(x.T @ x)
-    basis = vector[:, np.argsort(-value)[: min(d, 256)]]
-    if basis.shape[1] < d:
-        basis = np.linalg.qr(np.concatenate([basis, mean[:, None]], axis=1))[0]
-    made, frames = 0, []
-    while made < bits:
-        n = min(64, basis.shape[1], bits - made)
-        frame = basis @ np.linalg.qr(rng.standard_normal((basis.shape[1], n)))[0]
-        p, rotation = x @ frame, np.linalg.qr(rng.standard_normal((n, n)))[0]
-        for _ in range(turns):
-            u, _, vt = np.linalg.svd(np.where(p @ rotation >= 0, 1.0, -1.0).T @ p)
-            rotation = (u @ vt).T
-        frames.append(frame @ rotation)
-        made += n
-    return np.concatenate(frames, axis=1)
+class _Rotations:
+    """A projection for vectors, made as far as it is asked for: frames in the space of the principal directions of the centred sample and its mean, each turned by alternating
+    between the nearest binary codes and the best rotation onto them, which spreads the variance evenly over its bits."""
+
+    def __init__(self, x: np.ndarray, seed: int, turns: int = TURNS):
+        mean, self.turns, self.rng, d = x.mean(axis=0), turns, np.random.default_rng(seed), x.shape[1]
+        self.x = x - mean
+        value, vector = np.linalg.eigh(self.x.T @ self.x)
+        self.basis = vector[:, np.argsort(-value)[: min(d, 256)]]
+        if self.basis.shape[1] < d:
+            self.basis = np.linalg.qr(np.concatenate([self.basis, mean[:, None]], axis=1))[0]
+        self.made = np.zeros((d, 0))
+
+    def first(self, bits: int) -> np.ndarray:
+        while self.made.shape[1] < bits:
+            n = min(64, self.basis.shape[1])
+            frame = self.basis @ np.linalg.qr(self.rng.standard_normal((self.basis.shape[1], n)))[0]
+            p, rotation = self.x @ frame, np.linalg.qr(self.rng.standard_normal((n, n)))[0]
+            for _ in range(self.turns):
+                u, _, vt = np.linalg.svd(np.where(p @ rotation >= 0, 1.0, -1.0).T @ p)
+                rotation = (u @ vt).T
+            self.made = np.concatenate([self.made, frame @ rotation], axis=1)
+        return self.made[:, :bits]
 
 
 class Codes:
@@ -116,23 +120,30 @@ def learn(x: np.ndarray, threshold: float = THRESHOLD, seed: int = SEED) -> Code
     y = _partners(some, threshold, rng)
     turn = rng.permutation(len(some))
     below = (some * some[turn]).sum(axis=1) < threshold
-    projection = _rotations(x - mean, mean, MOST_TABLES * WIDTH, seed)
-    for centre in CENTRES:
+    rotations = _Rotations(x, seed)
+
+    def tried(centre: float, tables: int):
+        """Projection and cuts of so many tables, bits in which the pairs at the threshold differ by table, and those of other pairs."""
+        projection = rotations.first(tables * WIDTH)
         cut = np.median(x @ projection, axis=0) if centre == 1 else centre * mean @ projection
         bits = some @ projection >= cut
-        apart = lambda b: (bits != b).reshape(len(some), MOST_TABLES, WIDTH).sum(axis=2)  # noqa: B023, E731
-        differ, others = apart(y @ projection >= cut), apart(bits[turn])[below]
-        found = np.logical_or.accumulate(differ <= 1, axis=1).mean(axis=0)
-        enough = [t for t in range(LEAST_TABLES, MOST_TABLES + 1, STEP) if found[t - 1] >= RECALL]
-        t = enough[0] if enough else MOST_TABLES
+        apart = lambda b: (bits != b).reshape(len(some), tables, WIDTH).sum(axis=2)
+        return projection, cut, apart(y @ projection >= cut), apart(bits[turn])[below]
+
+    for centre in CENTRES:
+        for t in range(LEAST_TABLES, MOST_TABLES + 1, STEP):
+            recall = float((tried(centre, t)[2] <= 1).any(axis=1).mean())
+            if recall >= RECALL:
+                break
         for length in range(t, MOST_TABLES + 1, STEP):
-            far = int(np.quantile(differ[:, :length].sum(axis=1), WITHIN, method="higher"))
-            if (others[:, :length].sum(axis=1) <= far).sum() <= OTHERS * len(others):
+            projection, cut, differ, others = tried(centre, length)
+            far = int(np.quantile(differ.sum(axis=1), WITHIN, method="higher"))
+            if (others.sum(axis=1) <= far).sum() <= OTHERS * len(others):
                 break
-        codes = Codes(projection[:, : length * WIDTH], cut[: length * WIDTH], t, far, float(found[t - 1]))
-        if enough:
-            return codes
-        best = codes if best is None or codes.recall > best.recall else best
+        if best is None or recall > best.recall:
+            best = Codes(projection, cut, t, far, recall)
+        if recall >= RECALL:
+            break
     return best
 
 
@@ -140,12 +151,12 @@ def learn(x: np.ndarray, threshold: float = THRESHOLD, seed: int = SEED) -> Code
 
 
 def near_codes(coded: DataFrame, tables: int, words: int, far: int) -> DataFrame:
-    """Pairs (a, ahome, b, bhome) of entries that differ in at most one bit of some segment and in at most far bits in all.
+    """Pairs (a, ahome, b, bhome) of entries that differ in at most one bit of some segment and in at most far bits in all, each pair once.
 
     coded: cls (unique), home, dim, and the words w0, w1, ... of the code. An entry is looked up in its own bucket and in those with one more bit
     set, so that every pair of buckets meets once."""
     mask = F.lit((1 << WIDTH) - 1).cast("long")
-    segment = lambda t: F.shiftrightunsigned(f"w{t * WIDTH // 64}", t * WIDTH % 64).bitwiseAND(mask)
+    segment = lambda t, x="": F.shiftrightunsigned(f"{x}w{t * WIDTH // 64}" if not isinstance(x, Column) else x, t * WIDTH % 64).bitwiseAND(mask)
     every = F.array(*[F.struct(F.lit(t).alias("t"), segment(t).alias("key")) for t in range(tables)])
     names = ["cls", "home", *[f"w{k}" for k in range(words)]]
     of = lambda to: [F.col(c).alias(f"{to}{c}") for c in names]
@@ -153,11 +164,13 @@ def near_codes(coded: DataFrame, tables: int, words: int, far: int) -> DataFrame
     index = rows.select("dim", "s.t", "s.key", *of("b"))
     more = F.filter(F.transform(F.array(*[F.lit(1 << i).cast("long") for i in range(WIDTH)]), lambda x: F.col("s.key").bitwiseOR(x)), lambda k: k != F.col("s.key"))
     probe = rows.select("dim", "s.t", F.explode(F.concat(F.array("s.key"), more)).alias("key"), F.col("s.key").alias("akey"), *of("a"))
-    differ: Column = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"aw{k}").bitwiseXOR(F.col(f"bw{k}"))) for k in range(words)])
-    pairs = probe.join(index, ["dim", "t", "key"]).where(((F.col("akey") != F.col("key")) | (F.col("acls") < F.col("bcls"))) & (differ <= far))
-    swapped = F.col("acls") > F.col("bcls")
-    end = lambda x, y, c: F.when(swapped, F.col(f"{y}{c}")).otherwise(F.col(f"{x}{c}"))
-    return pairs.select(end("a", "b", "cls").alias("a"), end("a", "b", "home").alias("ahome"), end("b", "a", "cls").alias("b"), end("b", "a", "home").alias("bhome")).distinct()
+    unlike = [F.col(f"aw{k}").bitwiseXOR(F.col(f"bw{k}")) for k in range(words)]
+    differ: Column = reduce(lambda a, b: a + b, [F.bit_count(x) for x in unlike])
+    # Met in an earlier table too: that one has the pair.
+    earlier = reduce(lambda a, b: a | b, [(F.col("t") > t) & (F.bit_count(segment(t, unlike[t * WIDTH // 64])) <= 1) for t in range(tables)])
+    once = (F.col("akey") != F.col("key")) | (F.col("acls") < F.col("bcls"))
+    pairs = probe.join(index, ["dim", "t", "key"]).where(once & (differ <= far) & ~earlier)
+    return pairs.select(*[F.col(f"{x}{c}").alias(n) for x in "ab" for c, n in (("cls", x), ("home", f"{x}home"))])
 
 
 def _forest(links: np.ndarray) -> np.ndarray:

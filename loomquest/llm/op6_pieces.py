@@ -13,7 +13,9 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from functools import lru_cache
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -28,8 +30,9 @@ N_BEST = 4
 #: An unknown character costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Bytes that a worker's cache of units may take, about; characters of text in a run; units longer than this are cut at every place where that can be done.
-CACHE_BYTES, CHARS, LONG_UNIT = 64 << 20, 4 << 20, 200
+CACHE_BYTES, CHARS, LONG_UNIT = 96 << 20, 8 << 20, 200
 _INF = float("inf")
+_LAST = itemgetter(0)
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 #: Kinds of pieces in a model file.
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -54,8 +57,9 @@ class Kept:
             self.old, self.new, self.bytes = new, {}, 0
         return out
 
-    def one(self, text: str):
-        return self.all([text])[0]
+    def seen(self, text: str):
+        """The value if it is at hand."""
+        return self.new.get(text) or self.old.get(text)
 
 
 class Pieces:
@@ -105,20 +109,24 @@ class Pieces:
     # --- the search -----------------------------------------------------------------------------------------------------------------------
 
     def _lattice(self, part: str):
-        """For each place, the edges that end there, (start, id or -1 for an unknown character, score), longest first, and the best score of a way to it (forward Viterbi)."""
-        n = len(part)
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        best = [-_INF] * (n + 1)
+        """The edges, (last character, (length, id or -1 for an unknown character, score)), by last character, and for each place the best score of a way to it (forward
+        Viterbi)."""
+        edges = list(self.finder.iter(part))
+        if not self.singles.issuperset(part):
+            edges = sorted(edges + [(i, (1, -1, self.unknown)) for i, c in enumerate(part) if c not in self.singles], key=_LAST)
+        best = [-_INF] * (len(part) + 1)
         best[0] = 0.0
-        matches = list(self.finder.iter(part))
-        odd = [(i, (1, -1, self.unknown)) for i, c in enumerate(part) if c not in self.singles]
-        for last, (size, i, s) in sorted(matches + odd, key=lambda m: m[0]) if odd else matches:
-            a = last + 1 - size
-            ends[last + 1].append((a, i, s))
-            s += best[a]
-            if s > best[last + 1]:
-                best[last + 1] = s
-        return ends, best
+        for last, (size, _, s) in edges:
+            last += 1
+            s += best[last - size]
+            if s > best[last]:
+                best[last] = s
+        return edges, best
+
+    @staticmethod
+    def _ending(edges: list, at: int) -> list[tuple[int, int, float]]:
+        """The edges that end at a place, (length, id, score), the longest first."""
+        return [e[1] for e in edges[bisect_left(edges, (at - 1,)) : bisect_left(edges, (at,))]]
 
     def _bytes_at(self, part: str, a: int, b: int, i: int) -> list[int]:
         return [i] if i >= 0 else [self.byte_ids[x] for x in part[a:b].encode()]
@@ -131,24 +139,29 @@ class Pieces:
         if len(part) == 1:
             found = self.ids.get(part)
             return ([found[0]], found[1], _INF) if found else ([self.byte_ids[x] for x in part.encode()], self.unknown, _INF)
-        ends, best = self._lattice(part)
-        at, score, agenda, ids = len(part), 0.0, -_INF, []
+        edges, best = self._lattice(part)
+        at, score, agenda, ids, k = len(part), 0.0, -_INF, [], len(edges) - 1
         while at:
-            top, way = -_INF, None
-            for edge in ends[at]:
-                f = edge[2] + score + best[edge[0]]
-                if f > top or f == top and edge[0] < way[0]:
+            top = -_INF
+            while edges[k][0] >= at:
+                k -= 1
+            while k >= 0 and edges[k][0] == at - 1:
+                edge = edges[k][1]
+                f = edge[2] + score + best[at - edge[0]]
+                if f >= top:  # of equal ones the longest, which stands first
                     top, way, f = f, edge, top
                 if f > agenda:
                     agenda = f
-            a, i, s = way
-            ids.append(i if i >= 0 else [self.byte_ids[x] for x in part[a:at].encode()])
-            at = a
+                k -= 1
+            size, i, s = way
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids += [self.byte_ids[x] for x in reversed(part[at - size : at].encode())]
+            at -= size
             score += s
-        flat = []
-        for i in reversed(ids):
-            flat += [i] if isinstance(i, int) else i
-        return flat, score, max(0.0, score - agenda) if agenda > -_INF else _INF
+        ids.reverse()
+        return ids, score, max(0.0, score - agenda) if agenda > -_INF else _INF
 
     def segment(self, part: str, wanted: int | None = None) -> list[tuple[float, tuple[int, ...]]]:
         """The n_best segmentations, best first: score, ids (unknown characters as bytes). Of equal scores the one with the longer last piece comes
@@ -156,7 +169,7 @@ class Pieces:
 
         Every partial way on the agenda stands for at least one whole way of exactly its estimated score, and no two for the same one, so the agenda never
         needs more ways than are still wanted."""
-        (ends, best), wanted = self._lattice(part), wanted or self.n_best
+        (edges, best), wanted = self._lattice(part), wanted or self.n_best
         # Partial ways from the end: (-(score so far + best[place]), starts of the pieces so far, place, score so far, ids), least first.
         agenda, out = [(-best[-1], (), len(part), 0.0, ())], []
         while agenda and len(out) < wanted:
@@ -164,7 +177,7 @@ class Pieces:
             if at == 0:
                 out.append((score, ids))
                 continue
-            more = [(-(s + score + best[a]), (*starts, a), a, s + score, (*self._bytes_at(part, a, at, i), *ids)) for a, i, s in ends[at]]
+            more = [(-(s + score + best[at - n]), (*starts, at - n), at - n, s + score, (*self._bytes_at(part, at - n, at, i), *ids)) for n, i, s in self._ending(edges, at)]
             agenda = sorted(agenda + more, key=lambda x: x[:2])[: wanted - len(out)]
         return out
 
@@ -175,15 +188,18 @@ class Pieces:
         cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.joined]
         return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
 
+    def _part(self, part: str) -> tuple[bytes, float, float, bytes]:
+        ids, score, gap = self._first(part)
+        return array("I", ids).tobytes(), score, gap, b"".join(map(self.bytes_of.__getitem__, ids))
+
     def _unit(self, unit: str) -> tuple[bytes, float, float, bytes]:
         """ids (little-endian uint32) and score of the best way of a unit, the gap to the next best one, and the bytes that the ids decode to."""
-        ids, score, gap = [], 0.0, _INF
-        for part in self.parts(unit) if unit else ():
-            i, s, g = self._first(part)
-            ids += i
-            score += s
-            gap = min(gap, g)
-        return array("I", ids).tobytes(), score, gap, b"".join(map(self.bytes_of.__getitem__, ids))
+        parts = self.parts(unit) if unit else ()
+        if len(parts) == 1:
+            return self._part(unit)
+        seen = self.kept.seen
+        found = [seen(x) or self._part(x) for x in parts]  # a part is often a unit elsewhere
+        return b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found], default=_INF), b"".join([f[3] for f in found])
 
     def _sums(self, choices: list[list[float]]) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
         """Of ways to choose from each member of a sequence (gaps ascending from 0) the n_best: gap, and (member, choice) wherever that is not the first. Of
