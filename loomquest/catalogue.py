@@ -15,6 +15,7 @@ from loomquest.functions.html import all_page_links
 from loomquest.models.tasks import chunk_number
 from loomquest.operators import items, rank, records
 from loomquest.plans import census
+from loomquest.plans.engine import fanned
 from loomquest.sources import backends
 from loomquest.streaming import breaker
 
@@ -80,7 +81,7 @@ _LINES = "(SELECT doc_id, source, CAST(i - 1 AS INT) AS pos, string_split(text,
 _ITEMS = f"(SELECT *, {_list_item('fact')} AS item FROM {_LINES})"
 _CLEAN = f"(SELECT *, lower(item) AS key FROM {_ITEMS} WHERE length(item) BETWEEN 1 AND 120 AND NOT {_has('item', P.JUNK)})"
 _HITS = """(SELECT d.doc_id AS rec_ord, 0 AS hit_ord, coalesce(CAST(l.quality AS DOUBLE), 0.0) AS relevance, left(d.text, 60) AS title,
-  'doc://' || d.source || '/' || (d.doc_id // 3) AS url, substr(d.text, 61, 400) AS snippet, d.source FROM documents d LEFT JOIN labels l USING (doc_id))"""
+  'doc://' || d.source || '/' || (d.doc_id // 3) AS url, substr(d.text, 61) AS snippet, d.source FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
 # --- the tables as hits and facts --------------------------------------------------------------------------------------------------------
@@ -93,12 +94,12 @@ def facts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as hits, several to an address; quality as relevance."""
+    """Documents as hits, several to an address; quality as relevance. The title is the text's head, the snippet all the rest of it."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     url = F.concat(F.lit("doc://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 3).cast("string"))
     return d.select(
         F.col("doc_id").alias("rec_ord"), F.lit(0).alias("hit_ord"), F.coalesce(F.col("quality").cast("double"), F.lit(0.0)).alias("relevance"),
-        F.left("text", F.lit(60)).alias("title"), url.alias("url"), F.substring("text", 61, 400).alias("snippet"), "source",
+        F.left("text", F.lit(60)).alias("title"), url.alias("url"), F.substr("text", F.lit(61)).alias("snippet"), "source",
     )
 
 
@@ -189,8 +190,8 @@ SELECT key, sources, CAST(first_round AS BIGINT) AS first_round, grew FROM s""")
 def state_merge(spark, sf_dir):
     """The first round's state merged with what later rounds found, key by key."""
     w = table(spark, sf_dir, "conversations").select(X.query_key(F.col("text")).alias("key"), F.col("text").alias("item"), F.col("conv_id").cast("string").alias("url"), (F.col("turn") + 1 > 1).alias("vetted"), (F.col("turn") + 1).alias("ord"))
-    first = items.merged(None, w.where("ord = 1"))
-    return items.merged(first, w.where("ord > 1")).select("key", F.size("urls").cast("long").alias("sources"), F.col("first").alias("first_round"), F.col("vetted").alias("grew"))
+    held, later = w.where("ord = 1"), w.where("ord > 1")  # a round's mentions are added to the table of those before
+    return items.census_list(held.unionByName(later)).select("key", "sources", F.col("first").cast("long").alias("first_round"), F.col("vetted").alias("grew"))
 
 
 # --- ranking and dedupe ------------------------------------------------------------------------------------------------------------------
@@ -270,10 +271,10 @@ def _page_text_sql() -> str:
     return _trim(f"regexp_replace({t}, '\\n[ \\t\\r\\n\\f\\v]*\\n', chr(10), 'g')")
 
 
-@query(f"SELECT page_id, left({_page_text_sql()}, 12000) AS text FROM pages")
+@query(f"SELECT page_id, {_page_text_sql()} AS text FROM pages")
 def page_texts(spark, sf_dir):
-    """The text of pages, entities as they are."""
-    return table(spark, sf_dir, "pages").select("page_id", X.page_text(F.col("html")).alias("text"))
+    """The whole text of pages, entities as they are."""
+    return table(spark, sf_dir, "pages").select("page_id", X.page_text(F.col("html"), None).alias("text"))
 
 
 @query(f"SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, count(*) AS n FROM pages GROUP BY ALL")
@@ -334,11 +335,10 @@ u AS (SELECT * FROM x WHERE q <> '' QUALIFY row_number() OVER (PARTITION BY item
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pos) AS INT) AS place, q FROM u QUALIFY place <= 12""")
 def facet_expansion(spark, sf_dir):
     """Every seed with its facets, distinct without regard to case, twelve at most."""
+    wider = F.pandas_udf(lambda s: s.map(lambda seed: goals.facet_queries(seed, 12)), "array<string>")
     seed = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
-    d = table(spark, sf_dir, "benchmark").select("item_id", seed.alias("seed"), F.posexplode(F.array(*[F.lit(f) for f in P.FACETS])).alias("pos", "facet"))
-    d = d.withColumn("q", F.when(F.col("facet") == "", X.trim(F.col("seed"))).otherwise(X.facet_query(F.concat("seed", F.lit(" "), "facet")))).where("q <> ''")
-    d = d.withColumn("rn", F.row_number().over(W.partitionBy("item_id", F.lower("q")).orderBy("pos"))).where("rn = 1")
-    return d.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy("pos"))).where("place <= 12").select("item_id", "place", "q")
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(wider(seed)).alias("pos", "q"))
+    return d.select("item_id", (F.col("pos") + 1).alias("place"), "q")
 
 
 # --- resume and fan-out ------------------------------------------------------------------------------------------------------------------
@@ -371,8 +371,52 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY t, i) - 1
 def backend_fanout(spark, sf_dir):
     """Every query with every backend that a list of names and groups stands for."""
     names = [b for b in backends.resolve(["web", "hn", "tech", "nobody"]) if b not in backends.GATES]
-    pairs = F.posexplode(F.array(*[F.lit(b) for b in names])).alias("backend_ord", "backend")
-    return table(spark, sf_dir, "benchmark").select("item_id", pairs)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("query"), X.build_query(F.col("text")).alias("q"))
+    return fanned(asked, names, 6, {}).where("try_ord = 0").select(F.col("ord").alias("item_id"), "backend_ord", "backend")
+
+
+# --- answers of the backends ---
+
+
+def _answers() -> list[tuple[str, str, tuple[str, str, str, str]]]:
+    """Per backend the answer that a document stands for, as an SQL expression, and the hit in it as SQL: title, url, snippet, source. h is a
+    whole number, s and l are words. Rows without an address in an answer are no hits."""
+    j = lambda text: "concat(" + ", ".join(f"'{p}'" if i % 2 == 0 else f"CAST({p} AS STRING)" for i, p in enumerate(text.split("~"))) + ")"
+    url = "concat('http://h/', h)"
+    title = "concat('A ', s)"
+    return [
+        ("ddg", j('<a class="result__a" href="//duckduckgo.com/l/?uddg=http%3A%2F%2Fh%2F~h~&rut=1">A <b>~s~</b></a><a class="result__snippet" href="x"> ~l~ &amp; <i>x</i> </a><a class="result__a" href="javascript:x">no</a>'), (title, url, "concat(l, ' & x')", "'ddg'")),
+        ("marginalia", j('{"results": [{"title": "no"}, {"url": "http://h/~h~", "title": "A ~s~", "description": "<b>~l~</b>"}]}'), (title, url, "l", "'marginalia'")),
+        ("mojeek", j('{"response": {"results": [{"url": "http://h/~h~", "title": "A <b>~s~</b>", "desc": "~l~"}]}}'), (title, url, "l", "'mojeek'")),
+        ("wiki", j('{"query": {"search": [{"title": "A ~s~", "snippet": "<span>~l~</span> x"}]}}'), ("concat('Wikipedia: A ', s)", "concat('https://en.wikipedia.org/wiki/A_', s)", "concat(l, ' x')", "'wiki'")),
+        ("crossref", j('{"message": {"items": [{"DOI": "10/~h~", "title": ["A ~s~"], "container-title": ["~l~"]}, {"title": ["no"]}]}}'), (title, "concat('https://doi.org/10/', h)", "l", "'crossref'")),
+        ("arxiv", j("<feed><entry><id> http://h/~h~ </id><title> A ~s~ </title><summary> ~l~   y</summary></entry></feed>"), (title, url, "concat(l, ' y')", "'arxiv'")),
+        ("semanticscholar", j('{"data": [{"url": "http://h/~h~", "title": "A ~s~", "year": 1999, "abstract": "~l~"}, {"title": "no", "url": ""}]}'), ("concat('A ', s, ' (1999)')", url, "l", "'s2'")),
+        ("openalex", j('{"results": [{"id": "http://h/~h~", "doi": null, "display_name": "A ~s~", "primary_location": {"source": {"display_name": "~l~"}}}]}'), (title, url, "l", "'openalex'")),
+        ("hn", j('{"hits": [{"objectID": "~h~", "title": "A ~s~", "points": ~h~, "num_comments": null}]}'), (title, "concat('https://news.ycombinator.com/item?id=', h)", "concat('HN: ', h, ' points, 0 comments')", "'hn'")),
+        ("stackexchange", j('{"items": [{"link": "http://h/~h~", "title": "A ~s~ &lt; b", "tags": ["~l~", "t"], "score": ~h~, "answer_count": 2}]}'), ("concat('A ', s, ' < b')", url, "concat('score ', h, ', 2 answers [', l, ', t]')", "'stack'")),
+        ("github", j('{"items": [{"full_name": "A ~s~", "html_url": "http://h/~h~", "description": "~l~", "stargazers_count": ~h~}]}'), (title, url, "concat(l, '  ★', h)", "'github'")),
+        ("searxng", j('{"results": [{"url": "http://h/~h~", "title": "A ~s~", "content": "~l~", "engine": "e"}, {"title": "no"}]}'), (title, url, "l", "'searx:e'")),
+    ]
+
+
+def _place_sql() -> str:
+    made = _answers()
+    case = lambda k: "CASE backend_ord " + " ".join(f"WHEN {i} THEN {hit[k]}" for i, (_, _, hit) in enumerate(made)) + " END"
+    names = "[" + ", ".join(f"'{n}'" for n, _, _ in made) + "]"
+    return f"""WITH d AS (SELECT doc_id, CAST(doc_id % {len(made)} AS INT) AS backend_ord, CAST(doc_id AS VARCHAR) AS h, source AS s, lang AS l FROM documents)
+SELECT doc_id, {names}[backend_ord + 1] AS backend, {case(0)} AS title, {case(1)} AS url, {case(2)} AS snippet, {case(3)} AS source FROM d"""
+
+
+@query(_place_sql())
+def backend_answers(spark, sf_dir):
+    """An answer of every backend by turns, one a document, parsed into hits."""
+    made = _answers()
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % len(made)).cast("int").alias("backend_ord"), F.col("doc_id").cast("string").alias("h"), F.col("source").alias("s"), F.col("lang").alias("l"))
+    body = F.expr("CASE backend_ord " + " ".join(f"WHEN {i} THEN {text}" for i, (_, text, _) in enumerate(made)) + " END")
+    backend = F.get(F.array(*[F.lit(n) for n, _, _ in made]), F.col("backend_ord"))
+    answers = d.select(F.col("doc_id").alias("ord"), F.lit("q").alias("query"), "backend_ord", backend.alias("backend"), body.alias("body"))
+    return backends.parsed(answers, 6).select(F.col("ord").alias("doc_id"), "backend", "title", "url", "snippet", "source")
 
 
 # --- hosts -------------------------------------------------------------------------------------------------------------------------------
@@ -406,8 +450,8 @@ def outcome_signals(spark, sf_dir):
     """Outcomes of requests as signals; hosts with even numbers are friendly."""
     code = F.get(F.array(*[F.lit(c) for c in (200, 429, 403, 202, 503)]), (F.col("event_id") % 6).cast("int"))
     e = table(spark, sf_dir, "events").select("event_id", "user_id", code.alias("code"))
-    s = F.when(F.col("code").isNull(), "error").when(F.col("code").isin(429, 503) & (F.col("user_id") % 2 == 0), "soft").when((F.col("code") == 202) | (F.col("code") >= 400), "hard").otherwise("ok")
-    return e.select("event_id", s.alias("signal"))
+    failed = F.col("code").isNull() | (F.col("code") >= 400)  # as the transport says
+    return e.select("event_id", breaker.signals("code", failed, F.col("user_id") % 2 != 0).alias("signal"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS blocks FROM events GROUP BY ALL")
@@ -461,14 +505,9 @@ def corpus_counters(spark, sf_dir):
 WITH p AS (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS place, fact FROM {_LINES})
 SELECT place // 60 AS part, count(*) AS n, CAST(sum(length(fact)) AS BIGINT) AS chars FROM p GROUP BY part""")
 def synthesis_chunks(spark, sf_dir):
-    """Facts in parts of sixty, as they are brought down before a synthesis: places are prefix sums over documents, so no task orders all facts."""
-    d = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
-    blocks = d.groupBy(F.floor(F.col("doc_id") / 256).alias("block")).agg(F.sum(F.size("lines")).alias("n"))
-    offsets = blocks.select("block", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum(F.size("lines")).over(W.partitionBy("block").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = d.withColumn("block", F.floor(F.col("doc_id") / 256)).withColumn("inside", inside).join(offsets, "block")
-    rows = placed.select((F.col("before") + F.col("inside")).alias("start"), F.posexplode("lines").alias("pos", "fact"))
-    return rows.groupBy(chunk_number(F.col("start") + F.col("pos")).alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("fact").cast("long")).alias("chars"))
+    """Facts in parts of sixty, as they are brought down before a synthesis."""
+    rows = records.placed(facts_of(spark, sf_dir).select("doc_id", "pos", "fact"), ["doc_id", "pos"])
+    return rows.groupBy(chunk_number(F.col("place")).alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("fact").cast("long")).alias("chars"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {s.rounds}, {s.first}, {s.later}, {s.pages}, {s.follow}, {s.per_backend}, {s.least_new})" for k, s in census.SCOPES.items()) + ") AS t(scope, rounds, first, later, pages, follow, per_backend, least_new)")

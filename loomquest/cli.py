@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import sys
 from pathlib import Path
 
 from loomquest.functions import goals
@@ -23,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--goal")
     p.add_argument("--queries", type=int, default=24)
     p.add_argument("--per-backend", type=int, default=6)
+    p.add_argument("--workers", type=int, default=6, help="hosts asked at a time")
     p.add_argument("--backends", default="web", help="web, academic, tech, all, or a list of: " + ",".join(B.BACKENDS))
     for flag in ("extract", "synth", "deepread", "discover"):
         p.add_argument(f"--no-{flag}", action="store_true")
@@ -63,13 +65,19 @@ def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     folder = files.output_dir(os.path.abspath(args.out))
-    engine = Engine(SparkSession.builder.appName("loomquest").getOrCreate(), folder, client=client, cache_path=f"{folder}/cache")
+    say = lambda text: print(f"   {text}", file=sys.stderr, flush=True)
+    engine = Engine(SparkSession.builder.appName("loomquest").getOrCreate(), folder, client=client, model=clients.setting("EXTRACT_MODEL") or None, cache_path=f"{folder}/cache", workers=args.workers, say=say)
     names = B.resolve([b.strip() for b in args.backends.split(",") if b.strip()])
-    if counting:
-        corpus = census.run(engine, goal, slug, scope, names)
-    else:
-        corpus = campaign.run(engine, goal, slug, queries, goal, names, args.queries, args.per_backend, not args.no_extract, not args.no_synth, not args.no_deepread, not args.no_discover)
-    report.paths(folder, slug)["done"].write_text("done\n", encoding="utf-8")
+    report.paths(folder, slug)["done"].unlink(missing_ok=True)
+    try:
+        if counting:
+            corpus = census.run(engine, goal, slug, scope, names)
+        else:
+            corpus = campaign.run(engine, goal, slug, queries, goal, names, args.queries, args.per_backend, not args.no_extract, not args.no_synth, not args.no_deepread, not args.no_discover)
+    except BaseException as e:
+        report.mark_done(folder, slug, e)
+        raise
+    report.mark_done(folder, slug)
     print(report.spoken(corpus, corpus["top"]))
 
 

@@ -40,6 +40,11 @@ def evidence(results) -> str:
     return "\n".join(rows) or "(no results)"
 
 
+def _asked_by(rows: DataFrame, client) -> DataFrame:
+    """rows in one partition where one task at a time may ask the client; its few rows are queries and pages of one campaign."""
+    return rows.coalesce(1) if client.works and getattr(client, "alone", False) else rows
+
+
 def distilled(records: DataFrame, goal: str, client, model: str | None = None) -> DataFrame:
     """records with digest: summary, facts and relevance of each record with results, null without a usable reply. The client goes to the tasks."""
     shape = "struct<summary:string,facts:array<string>,relevance:double>"
@@ -55,7 +60,7 @@ def distilled(records: DataFrame, goal: str, client, model: str | None = None) -
 
     if not client.works:
         return records.withColumn("digest", F.lit(None).cast(shape))
-    d = records.withColumn("digest", run("query", "results"))
+    d = _asked_by(records, client).withColumn("digest", run("query", "results"))
     return d.withColumn("digest", F.when(F.col("digest.facts").isNotNull(), F.col("digest")))
 
 
@@ -68,7 +73,7 @@ def _page_values(docs: DataFrame, prompt, key: str, client, model) -> DataFrame:
             out.append(texts(d.get(key)) if isinstance(d, dict) and isinstance(d.get(key), list) else [])
         return pd.Series(out)
 
-    return docs.withColumn("found", run("url", "text") if client.works else F.array().cast("array<string>"))
+    return _asked_by(docs, client).withColumn("found", run("url", "text") if client.works else F.array().cast("array<string>"))
 
 
 def page_facts(docs: DataFrame, goal: str, client, verbatim: bool = False, model: str | None = None) -> DataFrame:
@@ -111,7 +116,7 @@ def synthesised(facts: DataFrame, goal: str, client, model: str | None = None) -
         found = (r["key_findings"] or [r["answer"]]) if r else []
         return pd.DataFrame({"part": [int(f.part.iloc[0])] * len(found), "pos": range(len(found)), "fact": found}).astype({"part": "int64", "pos": "int64", "fact": object})
 
-    parts = facts.withColumn("part", chunk_number(F.col("place"))).groupBy("part").applyInPandas(part, "part long, pos long, fact string")
+    parts = _asked_by(facts.withColumn("part", chunk_number(F.col("place"))), client).groupBy("part").applyInPandas(part, "part long, pos long, fact string")
     partial = [r.fact for r in parts.orderBy("part", "pos").collect()]
     return _report(client, goal, partial or head[:CHUNK], model)
 

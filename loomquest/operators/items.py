@@ -49,15 +49,6 @@ def mentions(found: DataFrame) -> DataFrame:
     return X.held(v, key=X.mention_key(F.col("item"))).where(F.length("key").between(2, 60)).select("key", "item", "url", "vetted", "ord")
 
 
-def merged(state: DataFrame | None, new: DataFrame) -> DataFrame:
-    """State of a census: key, item (as first seen), urls, vetted, first. New mentions come after those of the state."""
-    fresh = new.select("key", "item", "url", "vetted", F.col("ord").alias("first"))
-    if state is not None:
-        old = state.select("key", "item", F.explode("urls").alias("url"), "vetted", "first")
-        fresh = old.unionByName(fresh)
-    return fresh.groupBy("key").agg(F.min_by("item", "first").alias("item"), F.array_sort(F.collect_set("url")).alias("urls"), F.bool_or("vetted").alias("vetted"), F.min("first").alias("first"))
-
-
 def census_list(mentioned: DataFrame) -> DataFrame:
     """item, sources, vetted, first per key: counts alone, so that no task gathers a common entity's pages."""
     return mentioned.groupBy("key").agg(F.min_by("item", "ord").alias("item"), F.countDistinct("url").alias("sources"), F.bool_or("vetted").alias("vetted"), F.min("ord").alias("first"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from loomquest.functions import text as X
+from loomquest.sources.tables import saved
 
 HIT = "struct<title:string,url:string,snippet:string,source:string>"
 DIGEST = "struct<summary:string,facts:array<string>,relevance:double>"
@@ -58,6 +59,18 @@ def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return picked.select("r.*")
 
 
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with place: 0, 1, ... in the given order. Rows are dealt by ranges, numbered inside each, and offset by the counts of the ranges before, so that no
+    task orders them all; only the ranges' counts meet in one."""
+    d = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    d = saved(d, "placed").withColumn("__part", F.shiftrightunsigned("__id", 33))
+    sizes = d.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__part", before.alias("__before"))  # one row a partition
+    inside = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return d.join(F.broadcast(offsets), "__part").withColumn("place", F.col("__before") + inside).drop("__part", "__id", "__before")
+
+
 def cap(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """At most limit distinct values of key in first-seen order. Needs an ord column."""
     return first_seen(rows, key, ["ord"]).orderBy("ord").limit(limit)

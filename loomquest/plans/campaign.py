@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from loomquest.functions import goals
 from loomquest.models import tasks
@@ -20,7 +19,7 @@ def queries_for(engine: Engine, seed: str, n: int = 24) -> list[str]:
     return goals.facet_queries(seed, n, tasks.expanded(engine.client, seed, n))
 
 
-def harvest(engine: Engine, queries: list[str], slug: str, goal: str, names: list[str], per_backend: int = 6, distil: bool = True, wave: int = 50) -> DataFrame:
+def harvest(engine: Engine, queries: list[str], slug: str, goal: str, names: list[str], per_backend: int = 6, distil: bool = True, wave: int = 12) -> DataFrame:
     """Adds a record for each query that the log lacks, wave by wave, and returns the log. What a wave has found is durable before the next begins."""
     spark, log = engine.spark, f"{engine.folder}/{slug}.jsonl"
     wanted = spark.createDataFrame(list(enumerate(queries)), "ord long, query string")
@@ -32,6 +31,7 @@ def harvest(engine: Engine, queries: list[str], slug: str, goal: str, names: lis
         r = part.join(found, "ord", "left").withColumn("results", F.coalesce("results", F.array().cast(f"array<{records.HIT}>")))
         r = r.withColumn("n_results", F.size("results"))
         r = tasks.distilled(r, goal, engine.client, engine.model) if distil else r.withColumn("digest", F.lit(None).cast(records.DIGEST))
+        engine.say(f"{min(at + wave, len(left))} of {len(left)} queries asked")
         files.append_records(saved(r.select("ord", "query", "n_results", "digest", "results", F.lit(None).cast("string").alias("error")), "records"), log)
     return files.record_log(spark, log)
 
@@ -73,10 +73,9 @@ def _answer(engine: Engine, facts: DataFrame, order: list[str], goal: str, log:
     if listing:
         rows = items.compiled_list(items.prefer_pages(facts), order).orderBy("rank").collect()
         many = rows[0].n_corroborated if rows else 0
-        text = f'Compiled {len(rows)} items for "{goal}" -- {many} corroborated across 2+ sources (listed first).'
+        text = f"{len(rows)} entries answer \"{goal}\"; {many} of them stand in two or more sources and come first."
         return {"answer": text, "key_findings": [r.item for r in rows], "open_questions": [], "confidence": round(rows[0].confidence, 2) if rows else 0.0, "enumerated": True}
-    placed = facts.select((F.row_number().over(W.orderBy(*order)) - 1).alias("place"), "fact")
-    r = tasks.synthesised(placed, goal, engine.client, engine.model)
+    r = tasks.synthesised(records.placed(facts.select("fact", *order), order), goal, engine.client, engine.model)
     if r:
         c = records.mean_relevance(log).select(records.grounded_confidence(F.col("mean_relevance"), F.lit(n_deep), F.lit(n_facts), rank.TOP_K)).first()[0]
         r["confidence"] = round(c, 2)

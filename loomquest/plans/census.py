@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -43,12 +44,36 @@ def state(engine: Engine, slug: str) -> dict[str, DataFrame]:
     """The tables of a census so far: mentions with their real addresses, queries asked, pages read. Empty for a new one."""
     out = {}
     for k, path in _tables(engine, slug).items():
-        p = engine.spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = p.getFileSystem(engine.spark._jsc.hadoopConfiguration()).exists(p)
-        out[k] = engine.spark.read.schema(STATE[k]).parquet(path) if there else engine.spark.createDataFrame([], STATE[k])
+        out[k] = engine.spark.read.schema(STATE[k]).parquet(path) if _there(engine, path) else engine.spark.createDataFrame([], STATE[k])
     return out
 
 
+def _there(engine: Engine, path: str) -> bool:
+    p = engine.spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(engine.spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _adopt(engine: Engine, slug: str) -> None:
+    """Makes the state of a census from its corpus file where there is one and no table: items with as many sources as it counts (their addresses are not in it), queries
+    and pages."""
+    file, spark = report.paths(engine.folder, slug)["json"], engine.spark
+    if not file.is_file():
+        return
+    corpus = json.loads(file.read_text(encoding="utf-8"))
+    if corpus.get("mode") != "census":
+        return
+    rows = [(i, x.get("item") or "", max(1, int(x.get("sources") or 1)), bool(x.get("vetted"))) for i, x in enumerate(corpus.get("items") or [])]
+    d = spark.createDataFrame(rows, "ord long, item string, n int, vetted boolean").withColumn("k", F.explode(F.sequence(F.lit(1), "n")))
+    d = d.select("item", F.format_string("prior:%d/%d", "ord", "k").alias("url"), "vetted", "ord")
+    made = {
+        "mentions": items.mentions(d).withColumn("round", F.lit(0)),
+        "queries": spark.createDataFrame([(q, 0) for q in corpus.get("done_queries") or []], STATE["queries"]),
+        "urls": spark.createDataFrame([(u, 0) for u in corpus.get("seen_urls") or []], STATE["urls"]),
+    }
+    for k, path in _tables(engine, slug).items():
+        made[k].write.mode("append").parquet(path)
+
+
 def _round(engine: Engine, goal: str, entity: str, scope: Scope, names: list[str], fresh: DataFrame, seen: DataFrame, number: int):
     """Searches, reads and follows links once. Returns hits, pages, and mentions with round and order."""
     hits = engine.search(fresh, names, scope.per_backend)
@@ -74,6 +99,8 @@ def run(engine: Engine, goal: str, slug: str | None = None, scope: str = "broad"
             for path in paths.values():
                 p = spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        elif not _there(engine, paths["queries"]):
+            _adopt(engine, slug)
         before = state(engine, slug)
         last = before["queries"].agg(F.coalesce(F.max("round"), F.lit(0))).first()[0]
         wanted = goals.facet_queries(goal, s.first, tasks.expanded(engine.client, goal, s.first))
@@ -94,6 +121,7 @@ def run(engine: Engine, goal: str, slug: str | None = None, scope: str = "broad"
             log.append({"query": f"round {number}", "round": number, "n_results": hits.count(), "pages_read": docs.count(), "new_items": new, "total_items": now,
                         "digest": {"relevance": 1.0}, "results": [r.asDict() for r in hits.orderBy("ord", "hit_ord").limit(40).select("title", "url", "snippet", "source").collect()]})
             report.add_round(engine.folder, slug, log[-1])
+            engine.say(f"round {number}: {now} items, {new} of them new")
             if turn and new < s.least_new:
                 break
             if turn < s.rounds - 1:
@@ -116,7 +144,11 @@ def _finished(engine: Engine, goal: str, slug: str, scope: str, entity: str, nam
         sources += [r.asDict() for r in records.first_seen(h, "url", ["ord", "hit_ord"]).orderBy("ord", "hit_ord").select("title", "url", "snippet", "source").collect()]
     sources = list({x["url"]: x for x in reversed(sources)}.values())[::-1]
     vetted = sum(r.vetted for r in rows)
-    told = f'Census of "{entity}": {len(rows)} distinct mentions across {rounds} cumulative round(s) / {len(asked)} unique queries (scope={scope}). {vetted} vetted by a model come first; the rest (marked ~) come from page structure alone. (N) = sources that mention it.'
+    told = (
+        f"{len(rows)} names for \"{entity}\", gathered in {rounds} rounds of {len(asked)} queries at scope {scope}. The {vetted} that a model confirmed stand first; a ~ marks those read off lists and tables only. "
+        "The number behind a name counts the pages that have it."
+    )
+    # The keys of a corpus file.
     corpus = {
         "slug": slug, "goal": goal, "mode": "census", "scope": scope, "entity": entity, "backends": names, "engine": engine.client.label, "safety": engine.safety(),
         "n_queries": len(asked), "n_rounds": rounds, "n_sources": len(sources), "n_deep_read": sum(r["pages_read"] for r in log), "n_discovered": 0,

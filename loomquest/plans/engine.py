@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -17,7 +18,7 @@ from loomquest.sources import cache, transport
 from loomquest.sources.tables import saved
 
 MIN_TEXT, PAGE_CHARS = 200, 12_000
-_REQUEST = "ord long, query string, backend_ord int, backend string, try_ord int, url string, method string, form string, headers map<string,string>"
+_REQUEST = "ord long, query string, q string, backend_ord int, backend string, try_ord int, url string, method string, form string, headers map<string,string>"
 
 
 @dataclass
@@ -32,10 +33,13 @@ class Engine:
     settings: dict = field(default_factory=B.settings)
     cache_path: str | None = None
     states: dict = field(default_factory=dict)
+    #: Hosts asked at a time, at most (the session's shuffle partitions where it is unset), and who is told how far it is.
+    workers: int | None = None
+    say: Callable[[str], None] = lambda text: None
 
     def _fetch(self, requests: DataFrame) -> DataFrame:
         """One wave: fetched once, written, and its host counters taken over."""
-        rows = saved(transport.fetched(requests, self.transport, B.POLICIES, self.states), "wave")
+        rows = saved(transport.fetched(requests, self.transport, B.POLICIES, self.states, tasks=self.workers), "wave")
         self.states |= transport.host_states(rows)
         return rows
 
@@ -44,19 +48,9 @@ class Engine:
 
         Queries meet backends in a flat map; cached answers are not asked again; the rest goes to its hosts; a backend's second address is asked only
         where the first gave nothing."""
-        set_, n = self.settings, per_backend
+        n = per_backend
         asked = queries.withColumn("q", X.build_query(F.col("query"), F.lit(anchor) if anchor else None))
-
-        def fan(frames):
-            for f in frames:
-                rows = []
-                for r in f.itertuples():
-                    for i, name in enumerate(names):
-                        rows += [(r.ord, r.query, i, name, k, q.url, q.method, q.form, dict(q.headers)) for k, q in enumerate(B.BACKENDS[name].requests(r.q, n, set_))]
-                yield pd.DataFrame(rows, columns=["ord", "query", "backend_ord", "backend", "try_ord", "url", "method", "form", "headers"])
-
-        fanned = asked.select("ord", "query", "q").mapInPandas(fan, _REQUEST).join(asked.select("ord", "q"), "ord")
-        requests = saved(fanned.withColumn("key", cache.key(F.col("backend"), F.col("q"), F.lit(n))), "requests")
+        requests = saved(fanned(asked, names, n, self.settings).withColumn("key", cache.key(F.col("backend"), F.col("q"), F.lit(n))), "requests")
         wanted = requests.select("ord", "query", "backend_ord", "backend", "key").distinct()
         kept = cache.read(self.spark, self.cache_path) if self.cache_path else self.spark.createDataFrame([], "key string, body string")
         answers, rest = kept, cache.misses(requests, kept)
@@ -100,6 +94,23 @@ class Engine:
         return transport.safety(self.states)
 
 
+def fanned(asked: DataFrame, names: list[str], n: int, settings: dict) -> DataFrame:
+    """asked: ord, query, q (what is sent). Every query with every backend and each of its addresses, as requests."""
+    columns = ["ord", "query", "q", "backend_ord", "backend", "try_ord", "url", "method", "form", "headers"]
+
+    def run(frames):
+        for f in frames:
+            rows = [
+                (r.ord, r.query, r.q, i, name, k, x.url, x.method, x.form, dict(x.headers))
+                for r in f.itertuples()
+                for i, name in enumerate(names)
+                for k, x in enumerate(B.BACKENDS[name].requests(r.q, n, settings))
+            ]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return asked.select("ord", "query", "q").mapInPandas(run, _REQUEST)
+
+
 def pages(raw: DataFrame, items: bool = True, links: bool = True) -> DataFrame:
     """raw: ord, url, title, html. Adds text, items and links, drops pages that hold next to nothing."""
     d = raw.withColumn("text", F.left(X.trim(X.squeeze_lines(unescape(X.page_text(F.col("html"), None)))), F.lit(PAGE_CHARS)))

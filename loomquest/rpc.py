@@ -39,18 +39,18 @@ def folder() -> str:
 def engine():
     from pyspark.sql import SparkSession
 
-    from loomquest.models.clients import client
+    from loomquest.models.clients import client, setting
     from loomquest.plans.engine import Engine
 
-    return Engine(SparkSession.builder.appName("loomquest").getOrCreate(), folder(), client=client(), cache_path=f"{folder()}/cache")
+    say = lambda text: print(text, file=sys.stderr, flush=True)
+    return Engine(SparkSession.builder.appName("loomquest").getOrCreate(), folder(), client=client(), model=setting("EXTRACT_MODEL") or None, cache_path=f"{folder()}/cache", say=say)
 
 
 def started(args: dict, launch=subprocess.Popen) -> str:
     """Starts a campaign apart from this process, unless one runs; old markers go first."""
     from loomquest import tools
 
-    if not (args.get("question") or "").strip():
-        raise ValueError("question is required")
+    tools.wanted(args, "question")
     where, plan = folder(), tools.plan(args, folder())
     if lock.holder(where):
         return plan
@@ -58,7 +58,7 @@ def started(args: dict, launch=subprocess.Popen) -> str:
     p["done"].parent.mkdir(parents=True, exist_ok=True)
     for k in ("done", "report"):
         p[k].unlink(missing_ok=True)
-    with p["done"].with_suffix(".log").open("w", encoding="utf-8") as log:
+    with p["trace"].open("w", encoding="utf-8") as log:
         launch([sys.executable, "-m", "loomquest.rpc", "--campaign", json.dumps(args)], stdout=log, stderr=log, stdin=subprocess.DEVNULL, start_new_session=True)
     return f'{plan}\nStarted in the background. Call read_campaign(slug="{goals.slug(args["question"])}") for the result.'
 

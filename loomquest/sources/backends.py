@@ -24,6 +24,7 @@ POLICIES = {
     "lite.duckduckgo.com": Policy(3.0, ban_prone=True),
     "en.wikipedia.org": Policy(1.0),
     "hn.algolia.com": Policy(0.5),
+    "lobste.rs": Policy(2.5, ban_prone=True),
     "api2.marginalia-search.com": Policy(2.0, 120, True),
     "api.crossref.org": Policy(1.0),
     "export.arxiv.org": Policy(3.0, 120, True),
@@ -58,7 +59,11 @@ class Backend:
     name: str
     requests: Callable[[str, int, dict], list[Request]]
     parse: Callable[[Column], Column]
-    title_in_answer: bool = True
+    #: What an answer with hits holds, one of these; an answer without is followed by the next address.
+    marks: tuple[str, ...] = ("",)
+
+    def full(self, body: str | None) -> bool:
+        return bool(body) and any(m in body for m in self.marks)
 
 
 def _hit(title, url, snippet, source) -> Column:
@@ -154,7 +159,7 @@ def _number(c: Column) -> Column:
 BACKENDS = {
     b.name: b
     for b in (
-        Backend("ddg", _ddg_requests, _ddg),
+        Backend("ddg", _ddg_requests, _ddg, ("result__a", "result-link")),
         Backend(
             "marginalia",
             _get("https://api2.marginalia-search.com/search?query={q}", ("API-Key", "public")),

@@ -22,7 +22,7 @@ def record_log(spark: SparkSession, path: str) -> DataFrame:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], CENSUS_RECORD)
-    rows = spark.read.schema(CENSUS_RECORD + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
+    rows = spark.read.schema(CENSUS_RECORD + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.where("_bad is null and query is not null").drop("_bad")
 
 

@@ -69,9 +69,9 @@ class Fixture:
         pass
 
 
-def fetched(requests: DataFrame, transport, policies: dict[str, Policy], states: dict[str, tuple] | None = None, default: Policy | None = None) -> DataFrame:
-    """requests: key, try_ord, url, method, form, headers (map). Alternatives of a key are asked in order of try_ord until one gives a body. Rows: FETCHED, one a request
-    made, with the host's counters after it; a host that has tripped gets no request, and its row says so.
+def fetched(requests: DataFrame, transport, policies: dict[str, Policy], states: dict[str, tuple] | None = None, default: Policy | None = None, tasks: int | None = None) -> DataFrame:
+    """requests: key, ord, url, method, form, headers (map). Every row is asked, a host's in order of ord; who has alternatives gives them in later waves. Rows: FETCHED, one a
+    request made, with the host's counters after it; a host that has tripped gets no request, and its row says so. tasks: hosts asked at a time, at most.
 
     states: host to (requests, blocks, gap, tripped) of earlier waves, a few numbers a host."""
     before, usual = states or {}, default or Policy()
@@ -93,16 +93,21 @@ def fetched(requests: DataFrame, transport, policies: dict[str, Policy], states:
                     s.observe(what)
                     if what == "hard" and error is None:
                         body, error = None, f"status {status}"
-                    if body and "api.stackexchange.com" in host and '"backoff"' in body:
+                    if asks_to_wait(host, body):
                         s.observe("soft")
                 out.append((r.key, host, status, body, error, s.requests, s.blocks, s.gap, s.tripped))
             yield pd.DataFrame(out, columns=["key", "host", "status", "body", "error", "sent", "blocks", "gap", "tripped"]).astype({"status": "Int32"})
 
     keyed = requests.withColumn("host", host_of(F.col("url")))
-    n = max(1, int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, int(tasks or requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return keyed.repartition(n, "host").sortWithinPartitions("host", "ord").mapInPandas(run, FETCHED)
 
 
+def asks_to_wait(host: str, body: str | None) -> bool:
+    """Whether a good answer asks for patience all the same."""
+    return bool(body) and "api.stackexchange.com" in host and '"backoff"' in body
+
+
 def host_of(url):
     from loomquest.functions.text import url_host
 

@@ -8,12 +8,15 @@ import hashlib
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window as W
 
 BLOCKS_TO_TRIP, MAX_GAP = 3, 30.0
+#: What a host's log is cut into.
+SPAN = "hour"
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,12 @@ def signal(status: int | None, failed: bool, ban_prone: bool) -> str:
     return "hard" if status == 202 or status >= 400 else "ok"
 
 
+@F.pandas_udf(StringType())
+def signals(status: pd.Series, failed: pd.Series, ban_prone: pd.Series) -> pd.Series:
+    """signal() over columns."""
+    return pd.Series([signal(None if pd.isna(s) else int(s), bool(f), bool(b)) for s, f, b in zip(status, failed, ban_prone, strict=True)], dtype=object)
+
+
 @dataclass
 class HostState:
     """One host's requests, blocks and gap in a run; once tripped, nothing more is sent."""
@@ -70,20 +79,42 @@ class HostState:
 
 
 def replay(log: DataFrame, cap: int, order: list[str], blocks: int = BLOCKS_TO_TRIP) -> DataFrame:
-    """log: host, signal. Adds seq (request number of the host), blocks_before and admitted: within the cap and before the block that trips the host.
+    """log: host, signal, and the columns of order, of which the first is the time. Adds seq (request number of the host), blocks_before and admitted: within the cap and
+    before the block that trips the host. On a fixed log this marks what the live machine would have let through.
+
+    A busy host's rows are not one task's: counts by host and span of time are summed up over the spans, and only the rows of a span are sorted together."""
+    block = F.col("signal").isin("soft", "hard").cast("long")
+    d = log.withColumn("__span", _span(order))
+    spans = d.groupBy("host", "__span").agg(F.count("*").alias("__n"), F.sum(block).alias("__b"))
+    earlier = W.partitionBy("host").orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.select("host", "__span", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("__n", "__b")])
+    w = W.partitionBy("host", "__span").orderBy(*order)
+    d = d.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("blocks_before", F.coalesce(F.sum(block).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    d = _with_spans(d, spans).withColumns({"seq": F.col("seq") + F.col("__n_before"), "blocks_before": F.col("blocks_before") + F.col("__b_before")})
+    return d.withColumn("admitted", (F.col("seq") <= cap) & (F.col("blocks_before") < blocks)).drop("__n_before", "__b_before")
+
+
+def _span(order: list[str]) -> Column:
+    """The span of time that a row falls into, short enough for one task even where a host is busy."""
+    return F.date_trunc(SPAN, F.col(order[0]).cast("timestamp"))
+
 
-    On a fixed log this marks what the live machine would have let through. A host is one sequence; its state is a few numbers, but its rows are sorted together."""
-    w = W.partitionBy("host").orderBy(*order)
-    before = F.coalesce(F.sum(F.col("signal").isin("soft", "hard").cast("long")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    out = log.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("blocks_before", before)
-    return out.withColumn("admitted", (F.col("seq") <= cap) & (F.col("blocks_before") < blocks))
+def _with_spans(d: DataFrame, spans: DataFrame) -> DataFrame:
+    host, span = d["host"].eqNullSafe(spans["host"]), d["__span"].eqNullSafe(spans["__span"])
+    return d.join(spans, host & span).drop(spans["host"]).drop(spans["__span"]).drop("__span")
 
 
 def waits(log: DataFrame, gap: float, order: list[str]) -> DataFrame:
-    """Adds wait_s: how long a request would have to wait so that gap seconds lie between it and the host's last one."""
-    before = F.lag("ts").over(W.partitionBy("host").orderBy(*order))
+    """Adds wait_s: how long a request would have to wait so that gap seconds lie between it and the host's last one. order begins with ts; rows are sorted by spans, as
+    replay() does."""
+    d = log.withColumn("__span", _span(order))
+    spans = d.groupBy("host", "__span").agg(F.max("ts").alias("__ts"))
+    spans = spans.select("host", "__span", F.lag("__ts").over(W.partitionBy("host").orderBy("__span")).alias("__last"))
+    d = d.withColumn("__before", F.lag("ts").over(W.partitionBy("host", "__span").orderBy(*order)))
+    d = _with_spans(d, spans)
+    before = F.coalesce("__before", "__last")
     since = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1_000_000
-    return log.withColumn("wait_s", F.when(since.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.lit(gap) - since)))
+    return d.withColumn("wait_s", F.when(since.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.lit(gap) - since))).drop("__before", "__last")
 
 
 _STATE = "requests int, blocks int, gap double, tripped boolean"

@@ -68,9 +68,34 @@ def test_pages_are_preferred(spark):
 
 def test_census_state_merges(spark):
     new = lambda rows: spark.createDataFrame(rows, "key string, item string, url string, vetted boolean, ord long")
-    first = items.merged(None, new([("oud", "Oud", "u1", False, 1), ("oud", "oud", "u2", False, 2)]))
-    both = {r.key: (r.item, r.urls, r.vetted) for r in items.merged(first, new([("oud", "OUD", "u2", True, 3), ("ney", "Ney", "u3", False, 4)])).collect()}
-    assert both == {"oud": ("Oud", ["u1", "u2"], True), "ney": ("Ney", ["u3"], False)}
+    first = new([("oud", "Oud", "u1", False, 1), ("oud", "oud", "u2", False, 2)])
+    both = {r.key: (r.item, r.sources, r.vetted) for r in items.census_list(first.unionByName(new([("oud", "OUD", "u2", True, 3), ("ney", "Ney", "u3", False, 4)]))).collect()}
+    assert both == {"oud": ("Oud", 2, True), "ney": ("Ney", 1, False)}
+
+
+def test_places_of_rows(spark):
+    rows = [(i * 37 % 101, i % 3) for i in range(300)]
+    got = records.placed(spark.createDataFrame(rows, "a int, b int").repartition(7), ["a", "b"]).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(300)) and [(r.a, r.b) for r in got] == sorted(rows)
+    assert records.placed(spark.createDataFrame([], "a int"), ["a"]).count() == 0
+
+
+def test_replay_over_spans(spark):
+    """A busy host's counts go on from hour to hour."""
+    import datetime
+
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(i, "h" if i % 4 else "g", t0 + datetime.timedelta(minutes=17 * i), "soft" if i % 9 == 0 else "ok") for i in range(60)]
+    log = spark.createDataFrame(rows, "event_id int, host string, ts timestamp, signal string")
+    seq, blocks, last, want = {}, {}, {}, {}
+    for i, h, t, s in rows:
+        seq[h] = seq.get(h, 0) + 1
+        gap = (t - last[h]).total_seconds() if h in last else None
+        want[i] = (seq[h], blocks.get(h, 0), seq[h] <= 30 and blocks.get(h, 0) < 3, 0.0 if gap is None else max(0.0, 3600 - gap))
+        blocks[h], last[h] = blocks.get(h, 0) + (s != "ok"), t
+    r = {x.event_id: (x.seq, x.blocks_before, x.admitted) for x in breaker.replay(log, 30, ["ts", "event_id"]).collect()}
+    w = {x.event_id: x.wait_s for x in breaker.waits(log, 3600.0, ["ts", "event_id"]).collect()}
+    assert {i: (*r[i], w[i]) for i in r} == want
 
 
 def test_saturation(spark):

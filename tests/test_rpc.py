@@ -35,7 +35,7 @@ def test_start_and_read(tmp_path, monkeypatch):
     text = rpc.called("start_campaign", {"question": "history of tea"}, launch=lambda cmd, **k: launched.append(cmd))
     assert "Started in the background" in text and launched[0][-2] == "--campaign" and not (tmp_path / "history-of-tea.done").exists()
     (tmp_path / "history-of-tea.jsonl").write_text("{}\n{}\n")
-    assert "still running: 2 queries" in rpc.called("read_campaign", {"slug": "History of tea"})
+    assert "history-of-tea is at work; 2 queries answered" in rpc.called("read_campaign", {"slug": "History of tea"})
     (tmp_path / "history-of-tea.report.md").write_text("# Answer")
     (tmp_path / "history-of-tea.done").write_text("done")
     assert rpc.called("read_campaign", {"slug": "history of tea"}) == "# Answer"

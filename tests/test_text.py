@@ -1,5 +1,7 @@
 """Text functions, goals and HTML parsers on cases worked out by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,22 @@ def test_links():
     assert html.links(page, "https://e.org/d/") == [{"url": "https://e.org/a", "anchor": "A"}, {"url": "https://e.org/d/", "anchor": "self"}, {"url": "https://h.c/b", "anchor": "B"}]
 
 
+def test_marks_of_odd_pages():
+    assert html.items("</li><li>a</li>b</li><td>c<li>d</td>e</li>f</li>") == ["a", "d", "e"]
+    assert html.links('<a href="/x">one<a href="/y">two</a></a><a href="/z">open', "http://h/") == [{"url": "http://h/y", "anchor": "two"}]
+
+
+def test_blocks_that_never_close_cost_little():
+    import time
+
+    page = "<script x>" * 100_000 + "<header>gone</header><li>kept</li>"
+    start = time.perf_counter()
+    assert html.without(["script", "head", "header"], page).endswith("<script x> <li>kept</li>")
+    assert html.without(["script"], "<script " * 100_000) == "<script " * 100_000 and time.perf_counter() - start < 5
+    for page in ["<HEADER a>x</header>y<head>z</HEAD>w", "<header>x</header>y", "a<nav>b</nav c><nav>d</nav>e", "<head", "<nav>open <head>x</head>"]:
+        assert html.without(["head", "nav", "header"], page) == re.sub(r"(?is)<(head|nav|header)[^>]*>.*?</\1>", " ", page)
+
+
 @pytest.mark.parametrize(
     ("reply", "value"),
     [("[1]", [1]), ('so: {"a": [1]} end', {"a": [1]}), ("```json\n[\"x\"]\n```", ["x"]), ("none", None), (None, None), ("x [1, 2] {", [1, 2])],
