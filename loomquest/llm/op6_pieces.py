@@ -30,7 +30,7 @@ N_BEST = 4
 #: An unknown character costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Bytes that a worker's cache of units may take, about; characters of text in a run; units longer than this are cut at every place where that can be done.
-CACHE_BYTES, CHARS, LONG_UNIT = 96 << 20, 8 << 20, 200
+CACHE_BYTES, CHARS, LONG_UNIT = 128 << 20, 3 << 20, 200
 _INF = float("inf")
 _LAST = itemgetter(0)
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -333,6 +333,7 @@ def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_
                     count = np.cumsum([0, *(len(g[0]) for g in got)])
                     arrays.append(pa.ListArray.from_arrays(pa.array(count, pa.int32()), _lists([w[1] for g in got for w in g[0]])))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "ids", "score", "nbest", "nbest_crc32", "ids_crc32", "n_pieces", "exact", *["ways"] * ways])
+        pa.default_memory_pool().release_unused()
 
     kept = docs.select(*keys, F.col(text).alias("__text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)

@@ -53,7 +53,7 @@ def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = op8_license.scanned(rows_of(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = op8_license.scanned(rows_of(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return d.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
@@ -86,7 +86,7 @@ def _place(phrase: list[str]) -> str:
     return "list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase)) + ")"
 
 
-_TEMPLATES = ", ".join(f"('{label}', {_list(sorted(set(t.split())))})" for label, t in op8_license.TEMPLATES)
+_TEMPLATES = ", ".join(f"('{label}', {_list(own)})" for label, own in op8_license.parts(op8_license.TEMPLATES))
 _OWN = ", ".join(f"CASE WHEN len({label}) > 0 THEN '{label}' END" for label in op8_license.PHRASES)
 
 ORACLE_SQL = {

@@ -135,25 +135,60 @@ def test_licenses(case):
     assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) or not r.base_labels for r in got)
 
 
-def test_license_blocks_are_exact(case):
-    """The filters lose no block and template above the threshold."""
+def license_blocks(rows, templates):
+    """Every block and part at or above the threshold, by rows."""
     import re
 
-    rows, df = case
-    step, size = op8_license.STEP, op8_license.BLOCK
-    want = []
+    out, table = [], list(enumerate(op8_license.parts(templates)))
     for r in rows:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", plain.ascii_lower(r[1]))
-        found = []
-        for at in range(0, len(w), step):
-            block = set(w[at : at + size])
-            for label, t in op8_license.TEMPLATES:
-                own = set(t.split())
-                if len(own & block) / len(own) >= op8_license.THRESHOLD - 1e-9:
-                    found.append((at, label, round(len(own & block) / len(own), 9)))
-        want.append((r[0], sorted(found)))
-    got = [(r.doc_id, sorted((b.word, b.label, round(b.containment, 9)) for b in r.blocks)) for r in op8_license.scanned(df).collect()]
-    assert keyed(got) == keyed(want)
+        w, found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", plain.ascii_lower(r[1])), []
+        for at in range(0, len(w), op8_license.STEP):
+            block = set(w[at : at + op8_license.BLOCK])
+            found += [(at, k, label, round(len(block.intersection(own)) / len(own), 9)) for k, (label, own) in table if len(block.intersection(own)) >= op8_license.THRESHOLD * len(own) - 1e-6]
+        out.append((r[0], found))
+    return keyed(out)
+
+
+def shown_blocks(df):
+    return keyed((r.doc_id, [(b.word, b.part, b.label, round(b.containment, 9)) for b in r.blocks]) for r in df.collect())
+
+
+def test_license_blocks_are_exact(case):
+    """The filters lose no block and part at or above the threshold."""
+    rows, df = case
+    got = op8_license.scanned(df)
+    assert shown_blocks(got) == license_blocks(rows, op8_license.TEMPLATES)
+    assert set(got.columns) == {*df.columns, *op8_license.RESULTS}
+
+
+def test_license_texts_in_documents(spark, monkeypatch):
+    """Whole licenses, cut short, with words changed, and beside other text; joined by a shuffle."""
+    import random
+
+    monkeypatch.setattr(op8_license, "BROADCAST_ROWS", 0)
+    rnd, rows = random.Random(3), []
+    for label, text in op8_license.TEMPLATES:
+        w = text.split()
+        for changes in (0, 1, 4):
+            x = list(w)
+            for _ in range(changes):
+                x[rnd.randrange(len(x))] = "changed"
+            rows.append((len(rows), " ".join([*(f"pad{i}" for i in range(rnd.randrange(70))), *x, "and more"]), label))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    assert shown_blocks(op8_license.scanned(df)) == license_blocks(rows, op8_license.TEMPLATES)
+    labels = {r.doc_id: r.labels.split(",") for r in op8_license.scanned(df, keep=["doc_id"]).collect()}
+    assert all(label in labels[i] for i, _, label in rows[::3])
+
+
+def test_many_license_templates(spark):
+    """Two hundred templates in one run."""
+    import random
+
+    rnd = random.Random(4)
+    templates = [(f"t{i}", " ".join(f"v{int(rnd.paretovariate(0.4)) % 900}" for _ in range(rnd.randrange(5, 90)))) for i in range(200)]
+    rows = [(i, " ".join([*(f"v{int(rnd.paretovariate(0.4)) % 900}" for _ in range(rnd.randrange(80))), *templates[i][1].split(), "end"])) for i in range(0, 200, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert shown_blocks(op8_license.scanned(df, templates=templates)) == license_blocks(rows, templates)
 
 
 def test_simhash(case):
