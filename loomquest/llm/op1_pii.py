@@ -39,6 +39,8 @@ MORE = {
 KINDS = [*BASE, *MORE]
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 BEFORE = 24
+#: Elements that a fold gathers at a time, and code points of a text's chunk.
+STRETCH, CHUNK = 256, 1024
 GOOD = r"(?i)(?:ssn|social|tax|iban|account|bank|phone|tel|call|mobile|fax|contact|password|secret|token|key|login)"
 BAD = r"(?i)(?:order|invoice|isbn|version|part|model|serial|page|ref|ticket|item|article)"
 FEATURES = ["kind", "length", "digits", "upper", "lower", "breaks", "distinct", "good", "bad", "zeros"]
@@ -60,29 +62,81 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str, pattern: str, gate: Column) -> Column:
-    """Matches of pattern as array<struct<kind,start,end,found>>, offsets in code points, end exclusive.
+def _scan(values: Column, zero: Column, add, join, emit, of: str) -> Column:
+    """What emit(state, x) gives for each x of an array in order, nulls left out; the state before x comes from add(state, x) over all before it. join merges the states
+    of two stretches, zero being neutral. of: the type of what is emitted.
 
-    What lies between the matches gives their places: split() and regexp_extract_all() see the same matches."""
-    found = F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    gaps = F.when(gate, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
-    item = "struct<kind:int,start:int,end:int,found:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
-    k = KINDS.index(kind)
+    Folds copy what they have gathered at each step, so the array is folded in stretches of STRETCH, whose states at the start come from a first, lighter fold."""
+    n = F.size(values)
+    stretch = lambda g: F.slice(values, g * STRETCH + 1, F.lit(STRETCH))
+    groups = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / STRETCH).cast("int"))).otherwise(F.array().cast("array<int>"))
+    sums = F.transform(groups, lambda g: F.aggregate(stretch(g), zero, add))
+    states = F.aggregate(sums, F.struct(zero.alias("at"), F.array_repeat(zero, F.lit(0)).alias("out")), lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+    empty = F.array().cast(f"array<{of}>")
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["found"])
-        one = F.struct(F.lit(k).alias("kind"), begin.alias("start"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(end.alias("at"), F.when(_valid(kind, x["found"]), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def fold(x):
+        def step(acc, y):
+            one = emit(acc["at"], y)
+            return F.struct(add(acc["at"], y).alias("at"), F.when(one.isNotNull(), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())
-    return F.when(gate, F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast(f"array<{item}>"))
+        return F.aggregate(stretch(x["g"]), F.struct(x["s"].alias("at"), empty.alias("out")), step)["out"]
 
+    return F.flatten(F.transform(F.arrays_zip(groups.alias("g"), states.alias("s")), fold))
 
-def _features(x: Column, text: Column) -> list[Column]:
+
+ITEM = "struct<kind:int,start:int,end:int,found:string>"
+
+
+def _pieces(text: Column, pattern: str, gate: Column) -> Column:
+    """array<struct<gap,found>>: the matches of pattern, and what lies before each. split() and regexp_extract_all() see the same matches."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return F.when(gate, F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())).otherwise(F.array().cast("array<struct<gap:string,found:string>>"))
+
+
+def _placed(pieces: Column, kind: str) -> Column:
+    """Valid matches as array<ITEM>, offsets in code points, end exclusive: lengths summed up."""
+    k = F.lit(KINDS.index(kind))
+
+    def emit(at, x):
+        begin = at + F.length(x["gap"])
+        return F.when(_valid(kind, x["found"]), F.struct(k.alias("kind"), begin.alias("start"), (begin + F.length(x["found"])).alias("end"), x["found"].alias("found")))
+
+    return _scan(pieces, F.lit(0), lambda at, x: at + F.length(x["gap"]) + F.length(x["found"]), lambda a, b: a + b, emit, ITEM)
+
+
+def _chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK code points, so that a place in it is found without reading all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, start: Column, length: Column) -> Column:
+    """So many code points from start (0, 1, ...) on."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((start + length - 1) / CHUNK).cast("int")
+    return F.when(length > 0, F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, length)).otherwise("")
+
+
+_SPAN = "struct<start:int,added:int,end:int,kind:int,found:string>"
+
+
+def _clear(d: DataFrame, base: str, more: str) -> DataFrame:
+    """d with more (array<ITEM>) without the spans that touch one of base, in order of their starts: a span is touched if a base span that begins before it, or where it
+    does, ends inside or behind it, or one that begins behind its start does so before its end. One pass forward and one back over all spans in order."""
+    row = lambda added: lambda x: F.struct(x["start"].alias("start"), F.lit(added).alias("added"), x["end"].alias("end"), x["kind"].alias("kind"), x["found"].alias("found"))
+    touchable = (F.size(more) > 0) & (F.size(base) > 0)
+    both = F.array_sort(F.concat(F.transform(base, row(0)), F.transform(more, row(1))))
+    none = F.array().cast(f"array<{_SPAN}>")
+    is_base, far = lambda x: x["added"] == 0, F.lit(2**31 - 1)
+    d = sealed(d.withColumn("__both", F.when(touchable, both).otherwise(none)), ["__both"])
+    forward = _scan(F.col("__both"), F.lit(-1), lambda at, x: F.when(is_base(x), F.greatest(at, x["end"])).otherwise(at), F.greatest, lambda at, x: F.when(is_base(x) | (at <= x["start"]), x), _SPAN)
+    d = sealed(d.withColumn("__both", F.reverse(forward)), ["__both"])
+    back = _scan(F.col("__both"), far, lambda at, x: F.when(is_base(x), F.least(at, x["start"])).otherwise(at), F.least, lambda at, x: F.when(~is_base(x) & (at >= x["end"]), x), _SPAN)
+    clear = F.transform(F.reverse(back), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found")))
+    return sealed(d.withColumn(more, F.when(touchable, clear).otherwise(F.col(more))).drop("__both"), [more])
+
+
+def _features(x: Column, chunks: Column) -> list[Column]:
     f, n = x["found"], lambda keep: F.length(F.regexp_replace(x["found"], f"[^{keep}]", ""))
-    before = F.substring(text, F.greatest(F.lit(1), x["start"] + 1 - BEFORE), F.least(x["start"], F.lit(BEFORE)))
+    before = _cut(chunks, F.greatest(F.lit(0), x["start"] - BEFORE), F.least(x["start"], F.lit(BEFORE)))
     distinct = F.size(F.array_distinct(F.split(f, "")))
     zeros = f.rlike("^(?:000|666|9[0-9]{2})|-00-|0000$").cast("int")
     return [x["kind"], F.length(f), n("0-9"), n("A-Z"), n("a-z"), n(r"\x20().\-"), distinct, before.rlike(GOOD).cast("int"), before.rlike(BAD).cast("int"), zeros]
@@ -188,28 +242,36 @@ def _score(names: list[Column]) -> Column:
 
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds base and spans, both array<struct<kind,start,end,found>>: kind is the place in KINDS, offsets are code points of the whole
-    text, end exclusive; by kind, then start. Null and empty texts have none. Repeated rows are treated alike.
+    text, end exclusive; by kind, then start. Null and empty texts have none; long texts take time in proportion to their length and spans; repeated rows are treated
+    alike; an empty table gives an empty one. Columns base and spans of the input are replaced, names that begin with __ are this function's.
 
-    Added spans never touch a base span; base ones always stay."""
-    t = F.col("__text")
+    Base spans of one kind do not overlap, those of several kinds may, and all stay. An added span stays if its score reaches its kind's threshold and no base span touches
+    it. Added spans of different kinds may overlap one another; redacted() takes what touches for one."""
+    t, kinds = F.col("__text"), {**BASE, **{k: p for k, (p, _) in MORE.items()}}
     d = docs.drop("base", "spans").withColumn("__text", F.coalesce(text, F.lit("")))
-    d = d.withColumn("__digit", t.rlike("[0-9]"))
-    gate = lambda k: F.contains(t, F.lit(GATE[k])) & (F.lit(True) if k == "email" else F.col("__digit"))
-    d = d.withColumn("base", F.concat(*[_spans(t, k, p, gate(k)) for k, p in BASE.items()]))
-    d = d.withColumn("__more", F.concat(*[_spans(t, k, p, t.rlike(g)) for k, (p, g) in MORE.items()]))
+    keep = [c for c in d.columns if c != "__text"]
+    digit = t.rlike("[0-9]")
+    gate = {k: F.contains(t, F.lit(GATE[k])) & (F.lit(True) if k == "email" else digit) for k in BASE} | {k: t.rlike(g) for k, (_, g) in MORE.items()}
+    # Each step is sealed, so that no lambda evaluates an earlier one again.
+    d = sealed(d.select(*keep, "__text", *[_pieces(t, p, gate[k]).alias(f"__{k}") for k, p in kinds.items()]), ["__text", *[f"__{k}" for k in kinds]])
+    some = reduce(lambda a, b: a | b, [F.size(f"__{k}") > 0 for k in MORE])
+    placed = lambda names: F.concat(*[_placed(F.col(f"__{k}"), k) for k in names])
+    none = F.array().cast(f"array<{ITEM}>")
+    d = d.select(*keep, placed(BASE).alias("base"), F.when(some, placed(MORE)).otherwise(none).alias("__more"), F.when(some, _chunks(t)).otherwise(F.array().cast("array<string>")).alias("__chunks"))
+    d = sealed(d, ["base", "__more", "__chunks"])
     # Features first, as columns of the candidate, so that the trees read plain fields.
-    scored = F.transform("__more", lambda x: F.struct(x.alias("x"), *[f.cast("double").alias(n) for n, f in zip(FEATURES, _features(x, t), strict=True)]))
-    d = d.withColumn("__scored", F.when(F.size("__more") > 0, scored).otherwise(F.filter(scored, lambda x: F.lit(False))))
+    d = _clear(d, "base", "__more")
+    scored = F.transform("__more", lambda x: F.struct(x.alias("x"), *[f.cast("double").alias(n) for n, f in zip(FEATURES, _features(x, F.col("__chunks")), strict=True)]))
+    d = d.select(*keep, "base", F.when(F.size("__more") > 0, scored).otherwise(F.filter(scored, lambda x: F.lit(False))).alias("__scored"))
     limits = model()[1]
 
     def passes(c):
         least = reduce(lambda a, k: F.when(c["kind"] == KINDS.index(k), F.lit(limits[k])).otherwise(a), MORE, F.lit(1e9))
-        clear = ~F.exists("base", lambda b: (b["start"] < c["x"]["end"]) & (c["x"]["start"] < b["end"]))
-        return (_score([c[n] for n in FEATURES]) >= least) & clear
+        return _score([c[n] for n in FEATURES]) >= least
 
     added = F.transform(F.filter("__scored", passes), lambda c: c["x"])
-    d = d.withColumn("spans", F.when(F.size("__more") > 0, F.concat("base", added)).otherwise(F.col("base")))
-    return sealed(d.drop("__text", "__digit", "__more", "__scored"), ["base", "spans"])
+    d = d.select(*keep, "base", F.when(F.size("__scored") > 0, F.concat("base", F.array_sort(added))).otherwise(F.col("base")).alias("spans"))
+    return sealed(d, ["base", "spans"])
 
 
 def shown(spans: Column) -> Column:
@@ -219,22 +281,21 @@ def shown(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs with every found span of the text replaced by its kind in brackets; spans that touch
-    are merged and take the first one's kind. n_chars, where there is one, follows the text. Null texts stay null."""
+    """The rows of docs with every found span of the text replaced by its kind in brackets; spans that overlap
+    are one and take the first one's kind. n_chars, where there is one, follows the text. Null texts stay null, texts without spans as they are; an empty table
+    gives an empty one."""
     d = found(docs, text)
     names = F.array(*[F.lit(k.upper()) for k in KINDS])
+    some = F.size("spans") > 0
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    d = d.withColumn("__o", ordered)
-
-    def merge(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > x["start"]), F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), joined)).otherwise(F.array_append(acc, x))
-
-    d = d.withColumn("__o", F.when(F.size("__o") > 1, F.aggregate("__o", F.filter("__o", lambda x: F.lit(False)), merge)).otherwise(F.col("__o")))
-    end = lambda i: F.coalesce(F.get(F.col("__o"), i)["end"], F.lit(0))
-    pieces = F.transform("__o", lambda x, i: F.concat(F.substring(F.col(text), end(i - 1) + 1, x["start"] - end(i - 1)), F.lit("["), F.element_at(names, x["kind"] + 1), F.lit("]")))
-    tail = F.substring(F.col(text), end(F.size("__o") - 1) + 1, F.length(text))
+    chunks = F.when(some, _chunks(F.col(text))).otherwise(F.array().cast("array<string>"))
+    d = sealed(d.withColumns({"__o": ordered, "__chunks": chunks}), ["__o", "__chunks"])
+    # A span that begins where all before it have ended begins a stretch; before: where the text in front of it does.
+    emit = lambda at, x: F.when(at <= x["start"], F.struct(at.alias("before"), x["start"].alias("start"), x["kind"].alias("kind")))
+    d = sealed(d.withColumn("__s", _scan(F.col("__o"), F.lit(0), lambda at, x: F.greatest(at, x["end"]), F.greatest, emit, "struct<before:int,start:int,kind:int>")), ["__s"])
+    pieces = F.transform("__s", lambda x: F.concat(_cut(F.col("__chunks"), x["before"], x["start"] - x["before"]), F.lit("["), F.element_at(names, x["kind"] + 1), F.lit("]")))
+    end = F.array_max(F.transform("__o", lambda x: x["end"]))
+    tail = _cut(F.col("__chunks"), end, F.length(text) - end)
     d = d.withColumn(text, F.when(F.size("__o") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))

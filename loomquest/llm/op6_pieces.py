@@ -19,7 +19,6 @@ from operator import itemgetter
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -103,8 +102,11 @@ class Pieces:
             self.finder.add_word(k, (len(k), i, score))
         self.finder.make_automaton()
         self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.kept = Kept(self._unit, CACHE_BYTES)
-        self.ways_kept = Kept(self.ways, CACHE_BYTES // 8)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.kept, self.ways_kept = Kept(self._unit, CACHE_BYTES), Kept(self.ways, CACHE_BYTES // 8)
 
     # --- the search -----------------------------------------------------------------------------------------------------------------------
 
@@ -276,8 +278,8 @@ class Pieces:
         """Bytes of pieces as a text: those that are not UTF-8 together become U+FFFD."""
         return (data[1:] if self.dummy and data[:1] == b" " else data).decode("utf-8", "replace")
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.undo(b"".join(map(self.bytes_of.__getitem__, ids.tolist())))
+    def decode(self, ids: list[int]) -> str:
+        return self.undo(b"".join(map(self.bytes_of.__getitem__, ids)))
 
 
 @lru_cache(maxsize=2)
@@ -312,28 +314,33 @@ def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_
     whose first unit out of its best way stands earlier; within a unit, the one with the longer last piece. A text that itself holds U+2581 decodes to a space
     there, so exact is false. Rows are handled one by one: repeated rows give equal results, an empty table none. Other columns are not read."""
 
+    def of(batch, texts, a, b, got, p):
+        sums = [[zlib.crc32(w[1]) for w in g[0]] for g in got]
+        arrays = [
+            *[c[a:b] for c in batch.columns[:-1]],
+            _lists([g[0][0][1] for g in got]),
+            pa.array([g[0][0][0] for g in got], pa.float64()),
+            pa.array([[w[0] for w in g[0]] for g in got], pa.list_(pa.float64())),
+            pa.array(sums, pa.list_(pa.int64())),
+            pa.array([s[0] for s in sums], pa.int64()),
+            pa.array([len(g[0][0][1]) // 4 for g in got], pa.int64()),
+            pa.array([p.undo(g[1]) == t for g, t in zip(got, texts, strict=True)], pa.bool_()),
+        ]
+        if ways:
+            count = np.cumsum([0, *(len(g[0]) for g in got)])
+            arrays.append(pa.ListArray.from_arrays(pa.array(count, pa.int32()), _lists([w[1] for g in got for w in g[0]])))
+        return pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "ids", "score", "nbest", "nbest_crc32", "ids_crc32", "n_pieces", "exact", *["ways"] * ways])
+
     def run(batches):
         p = pieces(model, n_best)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in _runs(texts):
-                got = p.encode(texts[a:b])
-                sums = [[zlib.crc32(w[1]) for w in g[0]] for g in got]
-                arrays = [
-                    *[c[a:b] for c in batch.columns[:-1]],
-                    _lists([g[0][0][1] for g in got]),
-                    pa.array([g[0][0][0] for g in got], pa.float64()),
-                    pa.array([[w[0] for w in g[0]] for g in got], pa.list_(pa.float64())),
-                    pa.array(sums, pa.list_(pa.int64())),
-                    pa.array([s[0] for s in sums], pa.int64()),
-                    pa.array([len(g[0][0][1]) // 4 for g in got], pa.int64()),
-                    pa.array([p.undo(g[1]) == t for g, t in zip(got, texts[a:b], strict=True)], pa.bool_()),
-                ]
-                if ways:
-                    count = np.cumsum([0, *(len(g[0]) for g in got)])
-                    arrays.append(pa.ListArray.from_arrays(pa.array(count, pa.int32()), _lists([w[1] for g in got for w in g[0]])))
-                yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "ids", "score", "nbest", "nbest_crc32", "ids_crc32", "n_pieces", "exact", *["ways"] * ways])
-        pa.default_memory_pool().release_unused()
+        try:
+            for batch in batches:
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+                for a, b in _runs(texts):
+                    yield of(batch, texts[a:b], a, b, p.encode(texts[a:b]), p)
+        finally:  # a worker that waits for its next task holds the vocabulary alone
+            p.forget()
+            pa.default_memory_pool().release_unused()
 
     kept = docs.select(*keys, F.col(text).alias("__text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
@@ -343,9 +350,9 @@ def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_
 def decoded(docs: DataFrame, model: str, ids: str = "ids", to: str = "text") -> DataFrame:
     """docs with column to: the text of each array of ids. Null ids give null, an empty array the empty text."""
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(x: pa.Array) -> pa.Array:
         p = pieces(model)
-        return s.map(lambda x: None if x is None else p.decode(np.asarray(x)))
+        return pa.array([None if v is None else p.decode(v) for v in x.to_pylist()], pa.string())
 
     return docs.withColumn(to, run(ids))
