@@ -2,12 +2,14 @@
 
 The non-overlapping blocks of BLOCK words of every document are the index; every rolling window of BLOCK words of every document probes it. Any
 repeat of WINDOW = 2 * BLOCK words holds a whole block of the document that it repeats, so a document's hits say where repeats can be.
-Each hit is then extended: the windows of WINDOW words that hold it are compared with those of other documents, and
-those that also start in a document with a smaller id make up the maximal exact repeats that are removed.
+Each hit is then extended word by word as far as windows of WINDOW words around it also start in a document with a smaller id: those windows are compared with those of
+other documents, and what they cover together are the maximal exact repeats that are removed. Anchors are compared by 64 bits at most, since a wrong one only costs a
+window's comparison; windows are compared by 128 bits, two polynomials in the words' hashes, before a word goes.
 
 Both exchanges move packed binary rows, one for each batch of documents and range of hashes. A batch first merges what it has of one hash, so a
 passage in any number of documents comes to one record for each batch that holds it; no pair of documents is ever made. What a range
-finds goes back to the batch by its number, where the list of its documents turns places into documents."""
+finds goes back to the batch by its number, where the list of its documents turns places into documents. A batch makes FAN rows at most: where there are more
+ranges, a first exchange deals the records to FAN groups of ranges, which gather them into rows of many batches and deal those to the ranges."""
 
 from __future__ import annotations
 
@@ -21,13 +23,17 @@ from loomquest.llm.common import saved, words
 
 WINDOW = 50
 #: Words in a batch of documents, and bytes of text (of the whole input) for each range of hashes.
-FLUSH, RANGE_BYTES = 1_000_000, 9 << 20
+FLUSH, RANGE_BYTES = 1_000_000, 16 << 20
+#: Rows that a batch makes for an exchange, at most, and records that a group of ranges gathers before it deals them out.
+FAN, GATHER = 4096, 2_000_000
 #: Places found are broadcast to their documents up to this size, and joined by a shuffle beyond it.
 BROADCAST_BYTES = 32 << 20
 NO_ID = 2**63 - 1
-_MUL, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Odd multipliers of the two polynomials.
+_TIMES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _EXCHANGE = "batch long, kind int, part int, n int, blob binary"
-RECORDS, PLACES, NAMES = 0, 1, 2
+RECORDS, PLACES, NAMES, GATHERED = 0, 1, 2, 3
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -36,16 +42,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _windows(values: np.ndarray, counts: np.ndarray, size: int):
-    """Hashes of the runs of size words inside documents (polynomials in the word hashes, mixed), and the place of each run's first word."""
+def _rolled(values: np.ndarray, size: int, which: int) -> np.ndarray:
+    """A polynomial in the word hashes of every run of size words, mixed."""
     n = max(0, len(values) - size + 1)
-    out, v = np.zeros(n, np.uint64), _mixed(values.view(np.uint64))
+    out, v = np.zeros(n, np.uint64), _mixed(values.view(np.uint64) ^ _TIMES[1 - which])
     for k in range(size if n else 0):
-        out *= _MUL
+        out *= _TIMES[which]
         out += v[k : k + n]
+    return _mixed(out)
+
+
+def _inside(counts: np.ndarray, size: int) -> np.ndarray:
+    """Places where runs of size words start that lie inside one document."""
+    total = int(counts.sum())
+    n = max(0, total - size + 1)
     ends = np.repeat(np.cumsum(counts), counts)[:n]
-    place = np.flatnonzero(np.arange(size, size + n) <= ends)
-    return _mixed(out[place]), place
+    return np.flatnonzero(np.arange(size, size + n) <= ends)
 
 
 def _gathered(batches):
@@ -115,34 +127,91 @@ def _names(number: int, parts: int, doc: np.ndarray, row: np.ndarray, counts: np
     return (number, NAMES, number % parts, len(doc), doc.astype("<i8").tobytes() + row.astype("<i8").tobytes() + counts.astype("<i4").tobytes())
 
 
-def _groups(hashes: np.ndarray):
-    """Order by hash, starts and sizes of the runs of equal hashes."""
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return order, first, np.diff(np.append(first, len(h)))
+def _groups(*hashes: np.ndarray):
+    """Order by hashes, starts and sizes of the runs in which all of them are equal."""
+    order = np.lexsort(hashes) if len(hashes) > 1 else np.argsort(hashes[0], kind="stable")
+    change = np.zeros(len(order), bool)
+    for h in hashes:
+        change[1:] |= h[order][1:] != h[order][:-1]
+    change[:1] = True
+    first = np.flatnonzero(change)
+    return order, first, np.diff(np.append(first, len(order)))
 
 
-def _probe(parts: int, block: int):
+def _probe(parts: int, block: int, low: int):
     """A batch's part of the anchor exchange: one record per hash, flagged where some window of that hash is a block of the index. What
     the batch holds more than once may be a repeat without asking anybody."""
 
     def run(batches):
         for number, (doc, row, values, counts) in _gathered(batches):
-            h, place = _windows(values, counts, block)
+            place = _inside(counts, block)
+            h = _rolled(values, block, 0)[place]
             rows = [_names(number, parts, doc, row, counts)]
             if len(h):
                 begin = np.repeat(np.cumsum(counts) - counts, counts)
                 indexed = (place - begin[place]) % block == 0
                 order, first, size = _groups(h)
                 one = order[first]
-                rows += _records(number, parts, h[one], [], 5, place[one], np.logical_or.reduceat(indexed[order], first))
+                rows += _records(number, parts, h[one], [], low, place[one], np.logical_or.reduceat(indexed[order], first))
                 rows.append(_places(number, place[order[np.repeat(size > 1, size)]], parts))
             yield _table(rows)
 
     return run
 
 
+def _opened(number: int, n: int, blob: bytes, size: int, kinds: list[str]) -> tuple:
+    """Batch numbers, places, flags, hashes and columns of a row of records."""
+    step, at_byte = f"<u{blob[:1].decode()}", 1 + size * n
+    moved = np.frombuffer(blob, step, n, at_byte).astype(np.int64)
+    at_byte += n * np.dtype(step).itemsize
+    columns = []
+    for k in kinds:
+        columns.append(np.frombuffer(blob, k, n, at_byte))
+        at_byte += n * np.dtype(k).itemsize
+    return np.full(n, number), np.cumsum(moved >> 1), moved & 1, _hashes(blob[1:], n, size), *columns
+
+
+def _ungathered(n: int, blob: bytes, kinds: list[str]) -> tuple:
+    out, at = [], 0
+    for k in ("<i8", "<i4", "u1", "<u8", *kinds):
+        out.append(np.frombuffer(blob, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out[0], out[1].astype(np.int64), out[2].astype(np.int64), out[3], *out[4:]
+
+
+def _dealt_on(parts: int, kinds: list[str]):
+    """Of a group of ranges: rows of few records of a batch become rows of many, one a range."""
+
+    def dealt(held):
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        part = _range_of(columns[3], parts)
+        order = np.argsort(part, kind="stable")
+        ranges, start = np.unique(part[order], return_index=True)
+        rows = []
+        for p, a, b in zip(ranges.tolist(), start, [*start[1:], len(order)], strict=True):
+            own = order[a:b]
+            blob = b"".join(c[own].astype(k).tobytes() for c, k in zip(columns, ("<i8", "<i4", "u1", "<u8", *kinds), strict=True))
+            rows.append((0, GATHERED, p, len(own), blob))
+        return _table(rows)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            for number, kind, part, count, blob in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if kind != RECORDS:
+                    yield _table([(number, kind, part, count, blob)])
+                    continue
+                held.append(_opened(number, count, blob, 8, kinds))
+                n += count
+                if n >= GATHER:
+                    yield dealt(held)
+                    held, n = [], 0
+        if held:
+            yield dealt(held)
+
+    return run
+
+
 def _by_range(batches, size: int, kinds: list[str]):
     """Yields ("pass", rows) for rows that are not records, and at each range's end ("range", batch numbers, places, flags, hashes, columns)."""
     held, at = [], None
@@ -156,17 +225,10 @@ def _by_range(batches, size: int, kinds: list[str]):
                 yield done()
                 held = []
             at = part
-            if kind != RECORDS:
+            if kind not in (RECORDS, GATHERED):
                 yield "pass", (number, kind, part, n, blob)
                 continue
-            step, at_byte = f"<u{blob[:1].decode()}", 1 + size * n
-            moved = np.frombuffer(blob, step, n, at_byte).astype(np.int64)
-            at_byte += n * np.dtype(step).itemsize
-            columns = []
-            for k in kinds:
-                columns.append(np.frombuffer(blob, k, n, at_byte))
-                at_byte += n * np.dtype(k).itemsize
-            held.append((np.full(n, number), np.cumsum(moved >> 1), moved & 1, _hashes(blob[1:], n, size), *columns))
+            held.append(_opened(number, n, blob, size, kinds) if kind == RECORDS else _ungathered(n, blob, kinds))
     if held:
         yield done()
 
@@ -179,17 +241,21 @@ def _answers(number: np.ndarray, place: np.ndarray):
     return [(int(number[a]), PLACES, 0, int(b - a), place[a:b].tobytes()) for a, b in zip(start, [*start[1:], len(number)], strict=True)] if len(number) else []
 
 
-def _matched(batches):
+def _matched(low: int):
     """The index side: windows whose hash some other batch has too are hits, if one of them is an indexed block."""
-    for what, *rest in _by_range(batches, 5, []):
-        if what == "pass":
-            yield _table(rest)
-            continue
-        number, place, flag, h = rest
-        order, first, size = _groups(h)
-        hit = order[np.repeat((size > 1) & np.logical_or.reduceat(flag[order] > 0, first), size)]
-        if rows := _answers(number[hit], place[hit]):
-            yield _table(rows)
+
+    def run(batches):
+        for what, *rest in _by_range(batches, low, []):
+            if what == "pass":
+                yield _table(rest)
+                continue
+            number, place, flag, h = rest
+            order, first, size = _groups(h)
+            hit = order[np.repeat((size > 1) & np.logical_or.reduceat(flag[order] > 0, first), size)]
+            if rows := _answers(number[hit], place[hit]):
+                yield _table(rows)
+
+    return run
 
 
 def _extended(parts: int, window: int):
@@ -197,24 +263,23 @@ def _extended(parts: int, window: int):
 
     def run(batches):
         for number, (doc, row, values, counts, hits) in _gathered(batches):
-            rows = [_names(number, parts, doc, row, counts)]
-            h, place = _windows(values, counts, window)
+            rows, place = [_names(number, parts, doc, row, counts)], _inside(counts, window)
             begin = np.cumsum(counts) - counts
             # the spans hold the places where windows that hold a hit start
             spans = np.concatenate([b + np.frombuffer(x, "<i4").astype(np.int64) for b, x in zip(begin, hits.to_pylist(), strict=True)]).reshape(-1, 2)
             mark = np.zeros(len(values) + 1, np.int32)
             np.add.at(mark, spans[:, 0], 1)
             np.add.at(mark, np.minimum(spans[:, 1], len(values)), -1)
-            chosen = np.cumsum(mark)[place] > 0
-            h, place = h[chosen], place[chosen]
-            if len(h):
+            place = place[np.cumsum(mark)[place] > 0]
+            if len(place):
+                h, check = (_rolled(values, window, k)[place] for k in (0, 1))
                 who = np.repeat(doc, counts)[place]
-                order, first, size = _groups(h)
+                order, first, size = _groups(check, h)
                 least = np.repeat(np.minimum.reduceat(who[order], first), size)
                 mine = who[order]
                 rows.append(_places(number, place[order[mine > least]], parts))
                 own = order[mine == least]
-                rows += _records(number, parts, h[own], [who[own].astype("<i8")], 6, place[own], np.zeros(len(own), np.int64))
+                rows += _records(number, parts, h[own], [who[own].astype("<i8"), check[own]], 8, place[own], np.zeros(len(own), np.int64))
             yield _table(rows)
 
     return run
@@ -222,12 +287,12 @@ def _extended(parts: int, window: int):
 
 def _judged(batches):
     """Of each window, the documents that are not the least one that holds it."""
-    for what, *rest in _by_range(batches, 6, ["<i8"]):
+    for what, *rest in _by_range(batches, 8, ["<i8", "<u8"]):
         if what == "pass":
             yield _table(rest)
             continue
-        number, place, _, h, doc = rest
-        order, first, size = _groups(h)
+        number, place, _, h, doc, check = rest
+        order, first, size = _groups(check, h)
         late = order[doc[order] > np.repeat(np.minimum.reduceat(doc[order], first), size)]
         if rows := _answers(number[late], place[late]):
             yield _table(rows)
@@ -260,8 +325,10 @@ def _named(before: int, after: int):
     return run
 
 
-def _exchanged(made: DataFrame, parts: int, judge, around: tuple[int, int], name: str) -> DataFrame:
+def _exchanged(made: DataFrame, parts: int, kinds: list[str], judge, around: tuple[int, int], name: str) -> DataFrame:
     """The way of either exchange: records to their range, answers back to their batch, names to places. Written to the shared folder."""
+    if parts > FAN:
+        made = made.repartitionById(FAN, F.col("part")).mapInArrow(_dealt_on(parts, kinds), _EXCHANGE)
     ranged = made.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(judge, _EXCHANGE)
     return saved(ranged.groupBy("batch").applyInPandas(_named(*around), "doc long, row long, found binary"), name)
 
@@ -280,17 +347,20 @@ def removed_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, par
     if parts is None:
         size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    hits = _exchanged(keyed.select("doc", "row", hashes).mapInArrow(_probe(parts, block), _EXCHANGE), parts, _matched, (window - block, 1), "hits")
+    parts = parts if parts <= FAN else -(-parts // FAN) * FAN  # whole groups of ranges
+    dealt, low = min(parts, FAN), 5 if parts <= FAN else 8
+    hits = _exchanged(keyed.select("doc", "row", hashes).mapInArrow(_probe(dealt, block, low), _EXCHANGE), parts, [], _matched(low), (window - block, 1), "hits")
     hits = hits.dropDuplicates(["doc", "row"])  # rows that repeat another whole row are one
     near = _joined(keyed, hits, "inner").select("doc", "row", hashes, "found")
-    return _exchanged(near.mapInArrow(_extended(parts, window), _EXCHANGE), parts, _judged, (0, window), "spans").dropDuplicates(["doc", "row"])
+    return _exchanged(near.mapInArrow(_extended(dealt, window), _EXCHANGE), parts, ["<i8", "<u8"], _judged, (0, window), "spans").dropDuplicates(["doc", "row"])
 
 
 def deduped(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """Columns of docs plus n_words, n_removed (long) and kept (the words left, joined by single spaces).
 
     Each word covered by a window of so many words whose sequence also starts in a document with a smaller doc_id goes; windows are judged
-    on the input. Null and short texts lose nothing; null ids count as larger than all others; rows with equal ids never take words from each other."""
+    on the input. Null, empty and short texts lose nothing; long texts are taken whole; null ids count as larger than all others; rows with equal ids never take words
+    from each other, and rows that repeat a whole row are treated alike. An empty table gives an empty one. Columns doc, row, kept_from and kept_to of the input go."""
     found = removed_spans(docs, text, window)
     spans = found.mapInPandas(_spans_as_arrays, "doc long, row long, kept_from array<int>, kept_to array<int>, n_removed long")
     d = docs.drop("n_words", "n_removed", "kept").withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "row": F.xxhash64(text)})

@@ -114,6 +114,55 @@ def test_substrings_in_small_batches(spark, monkeypatch):
     assert got == {(r[0], x[1]) for r, x in zip(plain.awkward(), plain.substrings(plain.awkward()), strict=True)}
 
 
+@pytest.mark.parametrize("how", ["two exchanges", "anchors collide", "first polynomials collide", "second polynomials collide"])
+def test_substrings_by_words(spark, monkeypatch, how):
+    """More ranges than a batch may make rows; hashes that collide take no word that does not repeat."""
+    want = {(r[0], x[1]) for r, x in zip(plain.awkward(), plain.substrings(plain.awkward()), strict=True)}
+    if how == "two exchanges":
+        monkeypatch.setattr(op5_substring, "FAN", 3)
+        monkeypatch.setattr(op5_substring, "GATHER", 500)
+        got = op5_substring.removed_spans(spark.createDataFrame(plain.awkward(), plain.EXTRA).repartition(9), parts=10)
+        found = {r.doc: sum(b - a for a, b in np.frombuffer(r.found, "<i4").reshape(-1, 2)) for r in got.collect()}
+        assert found == {2**63 - 1 if d is None else d: n for d, n in want if n}
+        return
+    real, block = op5_substring._rolled, op5_substring.WINDOW // 2
+    weak = {"anchors collide": (block, 0), "first polynomials collide": (2 * block, 0), "second polynomials collide": (2 * block, 1)}[how]
+
+    def rolled(values, size, which):
+        out = real(values, size, which)
+        return out & np.uint64(1) if (size, which) == weak else out
+
+    df = spark.createDataFrame(plain.awkward(), plain.EXTRA).repartition(2)
+    keyed_ = df.select(op5_substring.F.coalesce("doc_id", op5_substring.F.lit(op5_substring.NO_ID)).alias("doc"), op5_substring.F.xxhash64("text").alias("row"), op5_substring.F.transform(op5_substring.words(op5_substring.F.col("text")), lambda w: op5_substring.F.xxhash64(w)).alias("h"))
+    # The exchanges run in this process, where the patch holds.
+    monkeypatch.setattr(op5_substring, "_rolled", rolled)
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": staticmethod(lambda: 1)})))
+    table = pa.Table.from_pandas(keyed_.toPandas()).combine_chunks()
+    one = lambda rows: {(int(d), int(sum(b - a for a, b in np.frombuffer(f, "<i4").reshape(-1, 2)))) for d, f in zip(rows.doc, rows.found, strict=True)}
+
+    def exchanged(made, judge, around):
+        rows = [r for b in made for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        rows.sort(key=lambda r: r[2])
+        back = [r for b in judge([op5_substring._table(rows)]) for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        import pandas as pd
+
+        frame = pd.DataFrame(back, columns=["batch", "kind", "part", "n", "blob"])
+        return pd.concat([op5_substring._named(*around)(g) for _, g in frame.groupby("batch")]).drop_duplicates(["doc", "row"])
+
+    batches = [b for i in range(0, len(table), 7) for b in table.slice(i, 7).cast(pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("h", pa.list_(pa.int64()))])).to_batches()]
+    monkeypatch.setattr(op5_substring, "FLUSH", 200)
+    hits = exchanged(op5_substring._probe(3, block, 5)(batches), op5_substring._matched(5), (block, 1))
+    found = dict(zip(zip(hits.doc, hits.row, strict=True), hits.found, strict=True))
+    near = table.to_pylist()
+    near = [x | {"found": found[x["doc"], x["row"]]} for x in near if (x["doc"], x["row"]) in found]
+    near = pa.Table.from_pylist(near, pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("h", pa.list_(pa.int64())), ("found", pa.binary())])).to_batches(4)
+    spans = exchanged(op5_substring._extended(3, 2 * block)(near), op5_substring._judged, (0, 2 * block))
+    assert one(spans) == {(2**63 - 1 if d is None else d, n) for d, n in want if n}
+
+
 def test_quality(case):
     rows, df = case
     got = keyed((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in op7_quality.judged(df).collect())
