@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from loomquest.llm.common import saved
+from loomquest.llm.common import discard, saved
 
 SHARDS = 24
 ROW_BYTES = 8
 #: Share of a shard's even size by which a splitter may miss.
 TOLERANCE = 0.001
-#: Cells are the unit of the exchange; a shard is a run of them. At least so many a shard, more when cells would pass so many rows.
+#: Cells are the unit of the exchange; a shard is a run of them. So many a shard at least, more where cells would pass so many rows.
 CELLS, CELL_ROWS = 9, 1_000_000
 PROBES = 24
 LOW_BITS = 24
@@ -84,45 +84,55 @@ def sharded(docs: DataFrame, shards: int = SHARDS, text: str = "text", tolerance
     each shard, in key order). Shards are near equal in size: splitters miss their goal by tolerance of a shard, or by half of the
     rows that share a key. Equal texts stand together, cut only where a splitter falls among them.
 
-    Null texts share the key of the empty text. Rows with a null doc_id are placed like others. An empty table gives no rows."""
+    Null texts share the key of the empty text. Rows with a null doc_id are placed like others, long texts whole. Rows of one key and doc_id stand in the order of a hash
+    of all their columns, and equal rows share their slots in any order. An empty table gives no rows. Columns size, shard and slot of the input are replaced."""
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long")
     # The low bits never reach the sign; null ids hash like any value.
     high, low = F.lit(~((1 << LOW_BITS) - 1)).cast("long"), F.lit((1 << LOW_BITS) - 1).cast("long")
     key = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(high).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(low))
-    d = docs.drop("size", "shard", "slot", "__key").withColumns({"size": size, "__key": key})
+    tie = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    d = docs.withColumn("__tie", tie).drop("size", "shard", "slot", "__key").withColumns({"size": size, "__key": key})
     narrow = saved(d.select(F.col("__key").alias("key"), "size"), "keys")
     total = narrow.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-    per = max(cells, -(-total["n"] // (shards * CELL_ROWS)))
-    count = shards * per
-    goals = [total["b"] * i // count for i in range(1, count)]
-    even = total["b"] / shards
-    slack = [int(tolerance * even) if i % per == 0 else int(0.1 * even / per) for i in range(1, count)]
-    keys, rows, _ = splitters(narrow, goals, slack) if total["n"] else ([], [], [])
-    keys = [max(keys[: i + 1]) for i in range(len(keys))]
-    rows = [max(rows[: i + 1]) for i in range(len(rows))]
+    edges: dict[int, int] = {}  # key: rows below it
+    borders: list[int] = []
+    if total["n"]:
+        even = total["b"] / shards
+        borders, rows, _ = splitters(narrow, [total["b"] * i // shards for i in range(1, shards)], [int(tolerance * even)] * (shards - 1))
+        edges |= zip(borders, rows, strict=True)
+        # Cells, by bytes and rows alike, so that neither long texts nor many empty ones fill one.
+        count, mean = max(shards * cells, -(-2 * total["n"] // CELL_ROWS)), -(-total["b"] // total["n"])
+        whole = total["b"] + mean * total["n"]
+        keys, rows, _ = splitters(narrow.select("key", (F.col("size") + mean).alias("size")), [whole * i // count for i in range(1, count)], [whole // count // 8] * (count - 1))
+        edges |= zip(keys, rows, strict=True)
+    discard(narrow)
+    keys = sorted(edges)
+    shard_of = np.searchsorted(np.sort(borders), [-(2**63), *keys], side="right")
     # slot = place in the cell + rows of the shard's cells before it
-    first = [0, *rows] if keys else [0] * count
-    offset = [first[c] - first[c - c % per] for c in range(count)]
-    return _placed(d, keys, count, per, offset)
+    first = [0, *(edges[k] for k in keys)]
+    start = [first[int(np.argmax(shard_of == s))] for s in shard_of]
+    return _placed(d, keys, shard_of, np.array(first) - np.array(start))
 
 
-def _placed(d: DataFrame, keys: list[int], count: int, per: int, offset: list[int]) -> DataFrame:
+def _placed(d: DataFrame, keys: list[int], shard_of: np.ndarray, before: np.ndarray) -> DataFrame:
     edges = np.array(keys, np.int64)
 
-    before = np.array(offset, np.int64)
-
     @F.pandas_udf("int")
     def cell_of(k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, k.to_numpy(), side="right").astype(np.int32))
 
+    @F.pandas_udf("int")
+    def shard(cell: pd.Series) -> pd.Series:
+        return pd.Series(shard_of[cell.to_numpy()].astype(np.int32))
+
     @F.pandas_udf("long")
     def before_of(cell: pd.Series) -> pd.Series:
         return pd.Series(before[cell.to_numpy()])
 
-    d = d.withColumn("__cell", cell_of("__key")).repartitionById(count, F.col("__cell"))
-    order = W.partitionBy("__cell").orderBy("__key", F.col("doc_id"))
-    d = d.withColumn("slot", before_of("__cell") + F.row_number().over(order) - 1).withColumn("shard", F.floor(F.col("__cell") / per).cast("int"))
-    return d.drop("__cell", "__key")
+    d = d.withColumn("__cell", cell_of("__key")).repartitionById(len(keys) + 1, F.col("__cell"))
+    order = W.partitionBy("__cell").orderBy("__key", F.col("doc_id"), "__tie")
+    d = d.withColumn("__in", F.row_number().over(order) - 1)
+    return d.withColumns({"slot": before_of("__cell") + F.col("__in"), "shard": shard("__cell")}).drop("__cell", "__key", "__in", "__tie")
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:

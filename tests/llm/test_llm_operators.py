@@ -84,6 +84,23 @@ def test_shards_cut_a_hot_group(spark):
     assert again == sorted((r.doc_id, r.shard, r.slot) for r in op3_shard.sharded(df).collect())
 
 
+def test_shards_of_many_empty_texts(spark, monkeypatch):
+    """Cells are cut by rows too; rows that differ in other columns alone have a fixed order."""
+    monkeypatch.setattr(op3_shard, "CELL_ROWS", 200)
+    rows = [(i, None if i % 3 else "", "p") for i in range(3000)] + [(10_000 + i, f"text {i} " * 400, "p") for i in range(60)] + [(7, "same", f"q{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot string")
+    got = op3_shard.sharded(df.withColumnRenamed("slot", "mark")).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.shard, []).append(r)
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in sizes.values())
+    even = sum(r["size"] for r in got) / 24
+    assert max(abs(sum(r["size"] for r in v) - even) for v in sizes.values()) <= max(r["size"] for r in got) + 0.002 * even
+    again = op3_shard.sharded(df.withColumnRenamed("slot", "mark").repartition(5)).collect()
+    assert {(r.doc_id, r.mark): (r.shard, r.slot) for r in again} == {(r.doc_id, r.mark): (r.shard, r.slot) for r in got}
+    assert set(op3_shard.sharded(df).columns) == {"doc_id", "text", "size", "shard", "slot"}
+
+
 def test_mix(case):
     rows, df = case
     size, per, target = plain.mix(rows) if rows else ([], {}, {})
