@@ -197,5 +197,16 @@ def nbest(text, path, n=4):
     return best[-1]
 
 
+def redacted(text, spans):
+    """text with each stretch of overlapping spans replaced by the first one's kind; spans: (start, end, kind)."""
+    kinds = ["email", "ip", "card", "phone", "ssn", "iban", "local", "secret"]
+    out, at = "", 0
+    for a, b, kind in sorted(spans, key=lambda x: (x[0], x[1], kinds.index(x[2]))):
+        if a >= at:
+            out += text[at:a] + f"[{kind.upper()}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
 def crc(text):
     return zlib.crc32((text or "").encode())

@@ -4,6 +4,7 @@ import math
 
 import plain
 import pytest
+from test_sql import added_spans
 
 import corpus_pipeline
 from loomquest.llm import op1_pii
@@ -13,12 +14,19 @@ from loomquest.llm import op1_pii
 def case(request, spark, tmp_path_factory):
     if request.param == "small":
         return [tuple(r) for r in spark.read.parquet(f"{plain.SF}/documents.parquet").collect()], plain.SF
-    rows = [r[:5] for r in plain.awkward()] if request.param == "awkward" else []
+    rows = plain.awkward() if request.param == "awkward" else []
     path = str(tmp_path_factory.mktemp(request.param))
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(rows, plain.EXTRA).repartition(3).write.parquet(f"{path}/documents.parquet")
     return rows, path
 
 
+def all_spans(text):
+    """Base spans and those that the trees add: (start, end, kind)."""
+    base = [x.split(":") for x in plain.pii(text)[2].split(",") if x]
+    found = [(int(a), int(b), k) for k, a, b in base]
+    return found + [(int(a), int(b), k) for k, a, b in (x.split(":") for x in added_spans(text, [(a, b) for a, b, _ in found]))]
+
+
 def test_stages(case, spark):
     rows, sf_dir = case
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -29,17 +37,23 @@ def test_stages(case, spark):
     assert a.columns == docs.columns and sorted(a.collect(), key=repr) == sorted(good, key=repr)
     b = stages["near_dedup"](spark, a, sf_dir)
     assert b.columns == docs.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in b.collect()) == plain.first_of_each(good, plain.near_groups(good))
-    kept = {r.doc_id: r.text for r in b.collect()}
+    kept = {r.doc_id: r for r in b.collect()}
     c = stages["pii"](spark, b, sf_dir)
-    clean = {r.doc_id: (r.text, r.n_chars) for r in c.collect()}
-    assert clean.keys() == kept.keys() and all(len(t) == n and (t == kept[i]) == (plain.pii(kept[i])[2] == "" and t == kept[i]) for i, (t, n) in clean.items())
-    assert all(sum(plain.pii(t)[0].values()) == 0 for t, _ in clean.values())
+    clean = {r.doc_id: r for r in c.collect()}
+    assert c.columns == docs.columns and clean.keys() == kept.keys()
+    for i, r in clean.items():
+        want = plain.redacted(kept[i].text, all_spans(kept[i].text))
+        assert r.text == want and r.n_chars == len(want) and tuple(r)[2:4] + tuple(r)[5:] == tuple(kept[i])[2:4] + tuple(kept[i])[5:]
+    n_found = sum(r.text != kept[i].text for i, r in clean.items())
+    assert n_found < len(clean) or not clean  # clean texts stay as they are
     after = [(r.doc_id, r.text, r.lang, r.source) for r in c.collect()]
     size, per, target = plain.mix(after) if after else ([], {}, {})
     d = stages["mix"](spark, c, sf_dir)
     taken = dict.fromkeys(per, 0)
     for r in d.collect():
         taken[r.source] += len(plain.split(r.text))
+    extra = {r.doc_id: tuple(r)[5:] for r in d.collect()}
+    assert all(extra[i] == tuple(clean[i])[5:] for i in extra)
     assert d.columns == docs.columns and all(abs(taken[s] - math.floor(target[s])) <= 1 for s in per)
     e = stages["encode"](spark, d, sf_dir)
     assert e.count() == d.count() and e.where("not exact").count() == 0
