@@ -4,6 +4,7 @@ Documents stand in for hits and facts, pages for fetched pages, events for a fet
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,12 +12,12 @@ from pyspark.sql.window import Window as W
 from loomquest.functions import goals
 from loomquest.functions import patterns as P
 from loomquest.functions import text as X
-from loomquest.functions.html import all_page_links
+from loomquest.functions.html import all_page_links, page_items
 from loomquest.models.tasks import chunk_number
 from loomquest.operators import items, rank, records
 from loomquest.plans import census
 from loomquest.plans.engine import fanned
-from loomquest.sources import backends
+from loomquest.sources import backends, cache
 from loomquest.streaming import breaker
 
 GOAL = "list of overused words: thentio, ening, edness and ution in the text"
@@ -341,6 +342,52 @@ def facet_expansion(spark, sf_dir):
     return d.select("item_id", (F.col("pos") + 1).alias("place"), "q")
 
 
+_GOALS = """(SELECT item_id, unnest([0, 1, 2, 3]) AS form, unnest([t, 'list of every ' || t || ' on the internet', 'what is ' || t, 'Give me a complete list of ' || t || '.']) AS goal
+  FROM (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS t FROM benchmark))"""
+
+
+@query(f"""
+WITH c AS (SELECT *, {_trim(f"regexp_replace(regexp_replace(regexp_replace({_trim('goal')}, '{_sql(P.LEAD)}', ''), '{_sql(P.QUANTIFIER)}', ''), '{_sql(P.TRAIL)}', '')")} AS core FROM {_GOALS}),
+e AS (SELECT *, coalesce(nullif(trim(core, ' .,-'), ''), {_trim('goal')}) AS entity FROM c),
+s AS (SELECT *, {_has('goal', P.ENUMERABLE)} AND NOT {_has('goal', P.NOT_CENSUS)} AND len(list_filter(string_split(entity, ' '), lambda w: w <> '')) BETWEEN 1 AND 8 AND NOT contains(entity, '?') AS census FROM e)
+SELECT item_id, form, entity, census, CASE WHEN census AND {_has('goal', P.EXHAUSTIVE)} THEN 'exhaustive' ELSE 'quick' END AS scope, CAST(greatest(1, round_even((item_id % 40) * 8 / 60.0, 0)) AS BIGINT) AS minutes FROM s""")
+def goal_plans(spark, sf_dir):
+    """What goals of four forms are of, whether a census suits them, at which scope, and how long a quick campaign of some queries takes."""
+    plan = F.pandas_udf(lambda g: pd.DataFrame([(goals.entity(x), goals.suits_census(x), goals.scope(x)) for x in g], columns=["entity", "census", "scope"]), "entity string, census boolean, scope string")
+    minutes = F.pandas_udf(lambda n: n.map(goals.minutes), "long")
+    t = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    forms = F.array(t, F.concat(F.lit("list of every "), t, F.lit(" on the internet")), F.concat(F.lit("what is "), t), F.concat(F.lit("Give me a complete list of "), t, F.lit(".")))
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(forms).alias("form", "goal")).withColumn("p", plan("goal"))
+    return d.select("item_id", "form", "p.entity", "p.census", "p.scope", minutes(F.col("item_id") % 40).alias("minutes"))
+
+
+@query("SELECT doc_id, replace(url_encode(left(text, 200)), '%2F', '/') AS path FROM documents")
+def quoted_paths(spark, sf_dir):
+    """Heads of texts as parts of an address."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.quoted(F.left("text", F.lit(200))).alias("path"))
+
+
+@query(f"SELECT page_id, {_trim("regexp_replace(html, '<[^>]+>', '', 'g')")} AS text FROM pages")
+def stripped_pages(spark, sf_dir):
+    """Pages without tags, trimmed."""
+    return table(spark, sf_dir, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text"))
+
+
+@query("""
+WITH i AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS l FROM pages), x AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS pos, l FROM i),
+t AS (SELECT page_id, pos, trim(regexp_replace(l[pos], '[ \t\r\n]+', ' ', 'g')) AS item FROM x)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) - 1 AS INT) AS place, item FROM t WHERE length(item) BETWEEN 1 AND 120 GROUP BY page_id, item""")
+def page_list_items(spark, sf_dir):
+    """Entries of the lists of pages, whose navigation is taken for content here."""
+    open_ = F.replace(F.replace("html", F.lit("<nav>"), F.lit("<section>")), F.lit("</nav>"), F.lit("</section>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(page_items(open_)).alias("place", "item"))
+
+
+@query("SELECT item_id, left(sha1(concat_ws(':', 'hn', CAST(item_id % 7 AS VARCHAR), text)), 20) AS key FROM benchmark")
+def cache_keys(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", cache.key(F.lit("hn"), F.col("text"), F.col("item_id") % 7).alias("key"))
+
+
 # --- resume and fan-out ------------------------------------------------------------------------------------------------------------------
 
 

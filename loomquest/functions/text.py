@@ -94,7 +94,7 @@ def url_host(url: Column) -> Column:
 
 def quoted(c: Column) -> Column:
     """Percent-encoding that keeps '/' and writes spaces as %20."""
-    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("%7E"), F.lit("~"))
+    return reduce(lambda x, y: F.replace(x, F.lit(y[0]), F.lit(y[1])), [("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")], F.url_encode(c))
 
 
 def followable(url: Column) -> Column:
