@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomquest.llm.common import saved
+from loomquest.llm.common import discard, saved
 
 MAGIC, VERSION, BLOCK = b"LQTB", 2, 1 << 16
 END = struct.Struct("<4sHHIQI8x")
@@ -305,12 +305,14 @@ def _doc_ranges(docs: DataFrame, text: str, file_bytes: int) -> tuple[np.ndarray
     file_bytes = max(file_bytes, (total + none) // MAX_FILES)
     files = lambda n: max(1, -(-n // file_bytes)) if n > 2 * file_bytes else 1
     if lo is None or (count := max(1, -(-total // file_bytes))) == 1:
+        discard(keyed)
         return np.zeros(0, np.int64), np.array([1, files(none)], np.int64)
     goals = [total * i // count for i in range(1, count)]
     keys, _, below = splitters(keyed.where("key is not null"), goals, [file_bytes // 8] * len(goals), bounds=(lo, hi))
     at = dict(sorted(zip(keys, below, strict=True)))
     edges, held = list(at), np.diff([0, *at.values(), total]).tolist()
     # The goals inside an id with more than its share fall on it and on the next key, so it has a range of its own.
+    discard(keyed)
     alone = [b - a == 1 for a, b in zip([lo, *edges], [*edges, hi + 1], strict=True)]
     return np.array(edges, np.int64), np.array([*[files(n) if one else 1 for n, one in zip(held, alone, strict=True)], files(none)], np.int64)
 def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", end_id: int | None = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:

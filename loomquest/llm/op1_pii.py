@@ -26,14 +26,15 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GATE = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Generators of further candidates, and what must be in a text for them to run.
+#: Generators of further candidates, and what must be in a text for them to run. They take every form that a kind can have and much that it is not: the trees choose.
 MORE = {
-    "ssn": (r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"),
-    "local": (r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}[\x20.-][0-9]{4}"),
+    "ssn": (r"(?<![0-9A-Za-z-])[0-9]{3}[\x20.-][0-9]{2}[\x20.-][0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}[\x20.-][0-9]{2}[\x20.-][0-9]{4}"),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
+    "local": (r"(?<![0-9A-Za-z+.-])\(?[0-9]{3,5}\)?[\x20./-][0-9]{3}[\x20.-]?[0-9]{3,4}(?![0-9A-Za-z-])", r"[0-9]{3}\)?[\x20./-][0-9]{3}"),
     "secret": (
-        r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{12,20}|(?:password|passwd|pwd|secret|token|api_?key)[\x20]{0,2}[:=][\x20]{0,2}[\"']?[A-Za-z0-9+/_.-]{6,}+)",
-        r"AKIA|(?:password|passwd|pwd|secret|token|api_?key)[\x20]{0,2}[:=]",
+        r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{12,20}|[sp]k_[a-z]{4}_[0-9A-Za-z]{12,}+|gh[a-z]_[0-9A-Za-z]{16,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+"
+        r"|(?i:password|passwd|pwd|secret|token|bearer|[a-z]{0,8}_?key)[\x20]{0,2}[:=][\x20]{0,2}[\"']?[A-Za-z0-9+/_.-]{6,}+)",
+        r"A[KS]IA|[sp]k_|gh[a-z]_|eyJ|(?i:password|passwd|pwd|secret|token|bearer|key)[\x20]{0,2}[:=]",
     ),
 }
 KINDS = [*BASE, *MORE]
@@ -43,7 +44,9 @@ BEFORE = 24
 STRETCH, CHUNK = 256, 1024
 GOOD = r"(?i)(?:ssn|social|tax|iban|account|bank|phone|tel|call|mobile|fax|contact|password|secret|token|key|login)"
 BAD = r"(?i)(?:order|invoice|isbn|version|part|model|serial|page|ref|ticket|item|article)"
-FEATURES = ["kind", "length", "digits", "upper", "lower", "breaks", "distinct", "good", "bad", "zeros"]
+FEATURES = ["kind", "length", "digits", "upper", "lower", "breaks", "hyphens", "distinct", "good", "bad", "zeros", "named"]
+ZEROS = r"^(?:000|666|9[0-9]{2})|[\x20.-]00[\x20.-]|0000$"
+NAMED = "[:=]"
 N_EXAMPLES, N_TREES, RATE, SEED = 2400, 40, 0.3, 11
 MIN_PRECISION = 0.99
 
@@ -138,14 +141,15 @@ def _features(x: Column, chunks: Column) -> list[Column]:
     f, n = x["found"], lambda keep: F.length(F.regexp_replace(x["found"], f"[^{keep}]", ""))
     before = _cut(chunks, F.greatest(F.lit(0), x["start"] - BEFORE), F.least(x["start"], F.lit(BEFORE)))
     distinct = F.size(F.array_distinct(F.split(f, "")))
-    zeros = f.rlike("^(?:000|666|9[0-9]{2})|-00-|0000$").cast("int")
-    return [x["kind"], F.length(f), n("0-9"), n("A-Z"), n("a-z"), n(r"\x20().\-"), distinct, before.rlike(GOOD).cast("int"), before.rlike(BAD).cast("int"), zeros]
+    seen = lambda c, p: c.rlike(p).cast("int")
+    return [x["kind"], F.length(f), n("0-9"), n("A-Z"), n("a-z"), n(r"\x20().\-"), n(r"\-"), distinct, seen(before, GOOD), seen(before, BAD), seen(f, ZEROS), seen(f, NAMED)]
 
 
 def features_of(kind: str, found: str, before: str) -> list[float]:
     """The same features for one example on the driver."""
     n = lambda keep: len(re.sub(f"[^{keep}]", "", found))
-    return [KINDS.index(kind), len(found), n("0-9"), n("A-Z"), n("a-z"), n(r" ().\-"), len(set(found)), bool(re.search(GOOD, before)), bool(re.search(BAD, before)), bool(re.search("^(?:000|666|9[0-9]{2})|-00-|0000$", found))]
+    seen = lambda text, p: bool(re.search(p, text))
+    return [KINDS.index(kind), len(found), n("0-9"), n("A-Z"), n("a-z"), n(r" ().\-"), n(r"\-"), len(set(found)), seen(before, GOOD), seen(before, BAD), seen(found, ZEROS), seen(found, NAMED)]
 
 
 def examples(n: int = N_EXAMPLES, seed: int = SEED) -> tuple[list[tuple[str, str, str]], list[int]]:
@@ -161,19 +165,32 @@ def examples(n: int = N_EXAMPLES, seed: int = SEED) -> tuple[list[tuple[str, str
     for _ in range(n):
         kind, real = r.choice([*MORE]), r.random() < 0.5
         if kind == "ssn":
-            found = f"{r.choice('12345678')}{num(2)}-{num(1)}{r.choice('123456789')}-{num(3)}{r.choice('123456789')}" if real or r.random() < 0.5 else f"{r.choice(['000', '666', '9' + num(2)])}-{num(2)}-{num(4)}"
-            before = r.choice(good) if real or re.search("^(?:000|666|9)", found) else r.choice(bad)
+            mark = r.choice("---- .") if real else r.choice("-- .")
+            fine = real or r.random() < 0.5
+            first, middle, last = (f"{r.choice('12345678')}{num(2)}", f"{num(1)}{r.choice('123456789')}", f"{num(3)}{r.choice('123456789')}") if fine else (r.choice(["000", "666", "9" + num(2)]), num(2), num(4))
+            found = f"{first}{mark}{middle}{mark}{last}"
+            # without hyphens only the words before tell
+            before = r.choice(good[:2] if mark != "-" else good) if real else r.choice(bad) if fine and mark == "-" else r.choice([*bad, "the ", "", "and "])
         elif kind == "iban":
-            found = r.choice(["DE", "FR", "GB", "ES", "NL"]) + num(2) + num(r.randint(14, 20)) if real else up(2).translate(str.maketrans("0123456789", "ABCDEFGHIJ")) + num(2) + up(r.randint(11, 30))
+            found = r.choice(["DE", "FR", "GB", "ES", "NL", "IT", "CH"]) + num(2) + (num(r.randint(14, 20)) if r.random() < 0.7 else up(4).translate(str.maketrans("0123456789", "ABCDEFGHIJ")) + num(r.randint(10, 14)))
+            if not real:
+                found = up(2).translate(str.maketrans("0123456789", "ABCDEFGHIJ")) + num(2) + r.choice([up(r.randint(9, 28)), letters(r.randint(9, 28)).upper()])
+            if r.random() < 0.4:
+                found = " ".join(found[i : i + 4] for i in range(0, len(found), 4))
             before = r.choice(good) if real else r.choice(bad + [""])
         elif kind == "local":
-            found = r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"]) if real else r.choice([f"{num(3)} {num(3)} {num(4)}", f"{num(3)}-{num(3)}-{num(4)}"])
+            found = r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(4)}/{num(6)}", f"{num(5)} {num(6)}"]) if real else r.choice([f"{num(3)} {num(3)} {num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(4)} {num(6)}", f"{num(3)}.{num(3)}{num(3)}", f"{num(4)}/{num(6)}"])
             before = r.choice(["call me at ", "phone ", "tel. ", "mobile: ", "contact "]) if real else r.choice([*bad, "the ", "", "and "])
         else:
+            mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
             if real:
-                found = r.choice(["AKIA" + up(16), "password=" + hexa(r.randint(12, 24)), 'token = "' + hexa(40), "secret: " + hexa(20), "api_key=" + hexa(32)])
+                forms = ["AKIA" + up(16), "password=" + hexa(r.randint(12, 24)), 'token = "' + hexa(40), "secret: " + hexa(20), "api_key=" + hexa(32), "sk_live_" + mixed(24), "ghp_" + mixed(36), f"eyJ{mixed(20)}.{mixed(40)}.{mixed(30)}", "bearer: " + mixed(32)]
+                found = r.choice(forms)
             else:
-                found = r.choice(["password: ", "token = ", "secret=", "pwd: "]) + letters(r.randint(6, 10))
+                found = r.choice(["password: ", "token = ", "secret=", "pwd: ", "key: ", "turnkey= ", "sk_live_", "ghp_", "eyJ"]) + letters(r.randint(6, 10))
+                found = found + letters(16) if found.startswith(("sk_", "gh")) else f"{found}{letters(6)}.{letters(9)}.{letters(5)}" if found.startswith("eyJ") else found
+            if re.search(NAMED, found) and r.random() < 0.2:
+                found = found.upper()
             before = r.choice(good + ["", "set "])
         rows.append((kind, found, before))
         labels.append(int(real))

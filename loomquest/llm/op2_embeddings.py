@@ -259,7 +259,7 @@ def linked(emb: DataFrame, vec: str = "embedding", threshold: float = THRESHOLD,
     # -0.0 and 0.0 are equal here
     good = every.where(_fine()).select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0)).alias("embedding"))
     classes = good.groupBy("embedding").agg(F.count("*").alias("size")).withColumn("cls", F.xxhash64("embedding"))
-    classes = saved(classes, "vectors")
+    classes = stored = saved(classes, "vectors")
     n = classes.count()
     if not n:
         return emb.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -290,7 +290,7 @@ def linked(emb: DataFrame, vec: str = "embedding", threshold: float = THRESHOLD,
     per = classes.select("cls", "size").join(least, "cls").join(direct, "cls", "left").join(tree, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = per.groupBy("root").agg(F.min("first").alias("component_id"))
     per = saved(per.join(lowest, "root").select("cls", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "per")
-    for x in (pairs, asks, found, tree):
+    for x in (pairs, asks, found, tree, stored):
         discard(x)
     inside = member.join(per, "cls").select("vec_id", "n_links", "component_id")
     outside = every.where(~_fine()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
