@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomquest.llm import op1_pii, op2_embeddings, op3_shard, op4_mix, op5_substring, op6_pieces, op7_quality, op8_license, op9_simhash, op10_tokens
-from loomquest.llm.common import new_path, rows_of, saved
+from loomquest.llm import op1_pii, op2_embeddings, op3_shard, op4_mix, op5_substring, op6_pieces, op7_quality, op8_license, op9_simhash, op10_tokens, op11_runs, op12_counts
+from loomquest.llm.common import new_path, rows_of, saved, sealed, words
 
 
 def tokenizer_path(name: str) -> str:
@@ -68,10 +68,36 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_tokens.read_ids(index, path, with_ids=False).select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, by their ids, first repeat words from some place on. A null id is none of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = rows_of(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("words"), (h % 10 == 0).alias("chosen"), F.floor(h / 10).alias("g"))
+    d = sealed(d, ["words", "chosen", "g"]).withColumn("n", F.size("words").cast("long"))
+    d = d.withColumn("a", F.when(F.col("chosen") & (F.col("n") > 0), F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    d = sealed(d, ["words", "a", "p"])
+    again = F.transform("words", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    d = op11_runs.found(d, ["doc_id"], F.when(F.col("a").isNull(), F.col("words")).otherwise(again))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    d = d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").alias("lines"), "kept")
+    return d.select(
+        "doc_id", "n_runs", (-F.col("best.s")).alias("start"), "best.length", (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = op12_counts.counted(rows_of(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"])
+    return d.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii_boosting, op2_embedding_itq, op3_histogram_sort, op4_mix_budgets, op5_anchor_substrings, op6_nbest_pieces, op7_host_quality, op8_license_join, op9_simhash_mih, op10_packed_ids)
-}
+    for f in (
+        op1_pii_boosting, op2_embedding_itq, op3_histogram_sort, op4_mix_budgets, op5_anchor_substrings, op6_nbest_pieces, op7_host_quality, op8_license_join, op9_simhash_mih, op10_packed_ids,
+        op11_periodic_runs, op12_token_counts,
+    )
+}
 
 _W = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 _SIZE = f"CAST(len({_W}) AS BIGINT)"
@@ -149,4 +175,22 @@ k AS (SELECT mean, greatest(1.0, CASE WHEN v > 0 AND v < mean * (1 - mean) THEN
 r AS (SELECT source, (failed + mean * strength) / (n + strength) AS host_rate FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rate > 0.9 AS kept, round(host_rate, 9) AS host_rate
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source""",
+    "op11_periodic_runs": f"""
+WITH c AS (SELECT doc_id, {_W} AS o, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)) AS b FROM documents),
+h AS (SELECT doc_id, o, len(o) AS n, xor(4294967295, list_reduce(list_concat([4294967295], b), lambda s, x: list_reduce(list_concat([xor(s, x)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384)))) AS h FROM c),
+g AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN h // 10 % n ELSE n END AS a, 3 + h // 10 % 8 AS k FROM h),
+d AS (SELECT doc_id, n, list_transform(range(0, n), lambda i: o[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END + 1]) AS w FROM g),
+x AS (SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 6), ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM d WHERE n >= 12)),
+m AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM x l JOIN x r ON l.doc_id = r.doc_id AND l.s = r.s AND l.i < r.i),
+e AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM m),
+t AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM e GROUP BY doc_id, q, isle HAVING count(*) + 5 >= q AND count(*) + 5 + q >= 12),
+r AS (SELECT doc_id, start, length, min(q) AS q FROM t GROUP BY doc_id, start, length),
+s AS (SELECT doc_id, count(*) AS n_runs, arg_max({{'start': start, 'length': length, 'q': q}}, (length, -start, -q)) AS best, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM r GROUP BY doc_id),
+z AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(start + q, start + length)) AS p FROM r) GROUP BY doc_id),
+u AS (SELECT doc_id, w, unnest(range(0, n)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM z)),
+k AS (SELECT doc_id, string_agg(w[p + 1], ' ' ORDER BY p) AS kept FROM u ANTI JOIN (SELECT doc_id, unnest(gone) AS p FROM z) USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best['start'] AS BIGINT) AS start, CAST(best['length'] AS BIGINT) AS length, CAST(best['q'] AS BIGINT) AS period,
+  CAST(1000 * best['length'] // best['q'] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(CASE WHEN n_runs IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS collapsed_sha256
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }

@@ -210,3 +210,33 @@ def redacted(text, spans):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def runs(w, least=12):
+    """Every run (start, length, period) by comparing the sequence with itself moved by each period."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i < len(w) - q:
+            j = i
+            while j < len(w) - q and w[j] == w[j + q]:
+                j += 1
+            if j - i + q >= max(least, 2 * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda x: (x[0], x[2]))
+
+
+def collapsed(w):
+    gone = {i for s, n, q in runs(w) for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def planted(doc_id, text):
+    """The words of a text as the contract of periodic runs alters them."""
+    w, h = split(text), zlib.crc32(str(doc_id).encode())
+    if h % 10 or not w:
+        return w
+    a = h // 10 % len(w)
+    p = 1 + (len(w) - a) // (3 + h // 10 % 8)
+    return [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]

@@ -127,5 +127,15 @@ def test_op10(spark, docs):
         at += len(ids)
 
 
+def test_op12(spark, docs):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
+    got = rows_by_id(spark, "op12_token_counts")
+    for i, text in docs:
+        n = len(model.encode(text or ""))
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((text or "").encode()), n, n > 4096)
+
+
 def test_every_query_is_stated_or_tested():
-    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"op1_pii_boosting", "op3_histogram_sort", "op6_nbest_pieces", "op9_simhash_mih", "op10_packed_ids"}
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"op1_pii_boosting", "op3_histogram_sort", "op6_nbest_pieces", "op9_simhash_mih", "op10_packed_ids", "op12_token_counts"}
