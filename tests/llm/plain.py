@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -214,16 +215,13 @@ def crc(text):
 
 def runs(w, least=12):
     """Every run (start, length, period) by comparing the sequence with itself moved by each period."""
-    found = {}
+    found, code = {}, np.unique(np.array(w, object), return_inverse=True)[1] if len(w) else np.zeros(0, int)
     for q in range(1, len(w) // 2 + 1):
-        i = 0
-        while i < len(w) - q:
-            j = i
-            while j < len(w) - q and w[j] == w[j + q]:
-                j += 1
-            if j - i + q >= max(least, 2 * q):
-                found.setdefault((i, j - i + q), q)
-            i = max(j, i + 1)
+        same = np.concatenate([[0], (code[q:] == code[:-q]).astype(np.int8), [0]])
+        edges = np.flatnonzero(np.diff(same))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a + q >= max(least, 2 * q):
+                found.setdefault((a, b - a + q), q)
     return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda x: (x[0], x[2]))
 
 
