@@ -29,7 +29,7 @@ N_BEST = 4
 #: An unknown character costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Bytes that a worker's cache of units may take, about; characters of text in a run; units longer than this are cut at every place where that can be done.
-CACHE_BYTES, CHARS, LONG_UNIT = 128 << 20, 3 << 20, 200
+CACHE_BYTES, CHARS, LONG_UNIT = 96 << 20, 3 << 20, 200
 _INF = float("inf")
 _LAST = itemgetter(0)
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -293,16 +293,13 @@ def _lists(values: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4")))
 
 
-def _runs(texts: list[str]):
+def _runs(texts: pa.Array):
     """Bounds of runs of texts with about CHARS characters."""
-    at, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= CHARS:
-            yield at, i + 1
-            at, n = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    ends, at = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS, side="right")))
+        yield at, to
+        at = to
 
 
 def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_best: int = N_BEST, ways: bool = False) -> DataFrame:
@@ -335,9 +332,10 @@ def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_
         p = pieces(model, n_best)
         try:
             for batch in batches:
-                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-                for a, b in _runs(texts):
-                    yield of(batch, texts[a:b], a, b, p.encode(texts[a:b]), p)
+                column = pc.fill_null(batch.column(batch.num_columns - 1), "")
+                for a, b in _runs(column):
+                    texts = column[a:b].to_pylist()
+                    yield of(batch, texts, a, b, p.encode(texts), p)
         finally:  # a worker that waits for its next task holds the vocabulary alone
             p.forget()
             pa.default_memory_pool().release_unused()
