@@ -14,10 +14,9 @@ from loomquest.functions import patterns as P
 from loomquest.functions import text as X
 from loomquest.functions.html import all_page_links, page_items
 from loomquest.models.tasks import chunk_number
-from loomquest.operators import items, rank, records
-from loomquest.plans import census
+from loomquest.operators import items, many, rank, records
 from loomquest.plans.engine import fanned
-from loomquest.sources import backends, cache
+from loomquest.sources import backends, cache, corpora
 from loomquest.streaming import breaker
 
 GOAL = "list of overused words: thentio, ening, edness and ution in the text"
@@ -78,6 +77,7 @@ def _bonus(x: str, strong: float, weak: float) -> str:
     return f"CASE WHEN {_has(x, P.LIST_TITLE)} THEN {strong} WHEN {_has(x, P.LIST_HINT)} THEN {weak} ELSE 0.0 END"
 
 
+_STOP = "[" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + "]"
 _LINES = "(SELECT doc_id, source, CAST(i - 1 AS INT) AS pos, string_split(text, chr(10))[i] AS fact FROM (SELECT doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
 _ITEMS = f"(SELECT *, {_list_item('fact')} AS item FROM {_LINES})"
 _CLEAN = f"(SELECT *, lower(item) AS key FROM {_ITEMS} WHERE length(item) BETWEEN 1 AND 120 AND NOT {_has('item', P.JUNK)})"
@@ -89,19 +89,11 @@ _HITS = """(SELECT d.doc_id AS rec_ord, 0 AS hit_ord, coalesce(CAST(l.quality AS
 
 
 def facts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as facts; the source is what found them."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.col("source").alias("query"), F.posexplode(F.split("text", "\n")).alias("pos", "fact"))
+    return corpora.as_facts(table(spark, sf_dir, "documents"))
 
 
 def hits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as hits, several to an address; quality as relevance. The title is the text's head, the snippet all the rest of it."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    url = F.concat(F.lit("doc://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 3).cast("string"))
-    return d.select(
-        F.col("doc_id").alias("rec_ord"), F.lit(0).alias("hit_ord"), F.coalesce(F.col("quality").cast("double"), F.lit(0.0)).alias("relevance"),
-        F.left("text", F.lit(60)).alias("title"), url.alias("url"), F.substr("text", F.lit(61)).alias("snippet"), "source",
-    )
+    return corpora.as_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +183,9 @@ SELECT key, sources, CAST(first_round AS BIGINT) AS first_round, grew FROM s""")
 def state_merge(spark, sf_dir):
     """The first round's state merged with what later rounds found, key by key."""
     w = table(spark, sf_dir, "conversations").select(X.query_key(F.col("text")).alias("key"), F.col("text").alias("item"), F.col("conv_id").cast("string").alias("url"), (F.col("turn") + 1 > 1).alias("vetted"), (F.col("turn") + 1).alias("ord"))
-    held, later = w.where("ord = 1"), w.where("ord > 1")  # a round's mentions are added to the table of those before
-    return items.census_list(held.unionByName(later)).select("key", "sources", F.col("first").cast("long").alias("first_round"), F.col("vetted").alias("grew"))
+    first, later = w.where("ord = 1").withColumn("new", F.lit(True)), w.where("ord > 1")
+    now = items.merged(items.tally(first), items.tally(items.marked(later, first)))
+    return now.select("key", "sources", F.col("first").cast("long").alias("first_round"), F.col("vetted").alias("grew"))
 
 
 # --- ranking and dedupe ------------------------------------------------------------------------------------------------------------------
@@ -209,6 +202,25 @@ def rank_sources_topk(spark, sf_dir):
     return rank.rank_sources(hits_of(spark, sf_dir), GOAL, rank.TOP_K, True)
 
 
+#: Every benchmark text as a goal, against all hits.
+SOURCES_OF_GOALS = f"""
+WITH g AS (SELECT item_id, {_has('text', P.ENUMERABLE)} AS listing, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}'), lambda t: NOT list_contains({_STOP}, t))) AS tokens FROM benchmark),
+h AS (SELECT *, lower(title || ' ' || snippet || ' ' || url) AS hay, {_bonus('title', 4.0, 1.5)} AS bonus FROM {_HITS}),
+p AS (SELECT item_id, rec_ord, url, title, snippet, source, listing, relevance, bonus, CAST(len(list_filter(tokens, lambda t: contains(hay, t))) AS INT) AS overlap FROM g, h),
+c AS (SELECT *, overlap * 2.0::DOUBLE + relevance + CASE WHEN listing THEN bonus ELSE 0.0::DOUBLE END AS score FROM p),
+b AS (SELECT *, row_number() OVER (PARTITION BY item_id, url ORDER BY score DESC, rec_ord) AS rn, min(rec_ord) OVER (PARTITION BY item_id, url) AS first FROM c),
+o AS (SELECT *, max(CAST(overlap > 0 AS INT)) OVER (PARTITION BY item_id) AS topical FROM b WHERE rn = 1),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first) AS INT) AS rank, url, title, snippet, source, CAST(score AS DOUBLE) AS score, overlap
+  FROM o WHERE CAST(overlap > 0 AS INT) = topical QUALIFY rank <= 8)"""
+
+
+@query(f"{SOURCES_OF_GOALS} SELECT item_id, rank, url, title, snippet, source, score, overlap FROM r")
+def sources_of_goals(spark, sf_dir):
+    """The best sources of every goal of a table at once."""
+    goals_of = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("goal_id"), F.col("text").alias("goal"), F.col("text").rlike(P.ENUMERABLE).alias("listing"))
+    return many.rank_for_goals(hits_of(spark, sf_dir), goals_of).withColumnRenamed("goal_id", "item_id")
+
+
 @query(f"""
 WITH f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rec_ord) AS rn FROM {_HITS})
 SELECT CAST(row_number() OVER (ORDER BY relevance DESC, rec_ord) AS INT) AS rank, url, title, source, relevance FROM f WHERE rn = 1 QUALIFY rank <= 10""")
@@ -306,7 +318,6 @@ def build_query(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.build_query(F.col("text"), F.lit("thered")).alias("q"))
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + "]"
 
 
 @query(f"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}'), lambda t: NOT list_contains({_STOP}, t)))), ' ') AS tokens FROM benchmark")
@@ -330,20 +341,19 @@ _FACETS = "[" + ", ".join(f"'{f}'" for f in P.FACETS) + "]"
 
 
 @query(f"""
-WITH s AS (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS seed FROM benchmark),
+WITH s AS (SELECT item_id, text AS seed FROM benchmark),
 x AS (SELECT item_id, i AS pos, CASE WHEN i = 1 THEN {_trim('seed')} ELSE regexp_replace(trim({_trim("regexp_replace(seed || ' ' || " + _FACETS + "[i], '^[ \\t\\r\\n\\f\\v0-9.)*\"''-]+', '')")}, '"'''), '{_WS}', ' ', 'g') END AS q FROM s, (SELECT unnest(range(1, 17)) AS i)),
 u AS (SELECT * FROM x WHERE q <> '' QUALIFY row_number() OVER (PARTITION BY item_id, lower(q) ORDER BY pos) = 1)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pos) AS INT) AS place, q FROM u QUALIFY place <= 12""")
 def facet_expansion(spark, sf_dir):
     """Every seed with its facets, distinct without regard to case, twelve at most."""
     wider = F.pandas_udf(lambda s: s.map(lambda seed: goals.facet_queries(seed, 12)), "array<string>")
-    seed = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
-    d = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(wider(seed)).alias("pos", "q"))
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(wider("text")).alias("pos", "q"))
     return d.select("item_id", (F.col("pos") + 1).alias("place"), "q")
 
 
 _GOALS = """(SELECT item_id, unnest([0, 1, 2, 3]) AS form, unnest([t, 'list of every ' || t || ' on the internet', 'what is ' || t, 'Give me a complete list of ' || t || '.']) AS goal
-  FROM (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS t FROM benchmark))"""
+  FROM (SELECT item_id, text AS t FROM benchmark))"""
 
 
 @query(f"""
@@ -355,16 +365,16 @@ def goal_plans(spark, sf_dir):
     """What goals of four forms are of, whether a census suits them, at which scope, and how long a quick campaign of some queries takes."""
     plan = F.pandas_udf(lambda g: pd.DataFrame([(goals.entity(x), goals.suits_census(x), goals.scope(x)) for x in g], columns=["entity", "census", "scope"]), "entity string, census boolean, scope string")
     minutes = F.pandas_udf(lambda n: n.map(goals.minutes), "long")
-    t = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    t = F.col("text")
     forms = F.array(t, F.concat(F.lit("list of every "), t, F.lit(" on the internet")), F.concat(F.lit("what is "), t), F.concat(F.lit("Give me a complete list of "), t, F.lit(".")))
     d = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(forms).alias("form", "goal")).withColumn("p", plan("goal"))
     return d.select("item_id", "form", "p.entity", "p.census", "p.scope", minutes(F.col("item_id") % 40).alias("minutes"))
 
 
-@query("SELECT doc_id, replace(url_encode(left(text, 200)), '%2F', '/') AS path FROM documents")
+@query("SELECT doc_id, replace(url_encode(text), '%2F', '/') AS path FROM documents")
 def quoted_paths(spark, sf_dir):
-    """Heads of texts as parts of an address."""
-    return table(spark, sf_dir, "documents").select("doc_id", X.quoted(F.left("text", F.lit(200))).alias("path"))
+    """Texts as parts of an address."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.quoted(F.col("text")).alias("path"))
 
 
 @query(f"SELECT page_id, {_trim("regexp_replace(html, '<[^>]+>', '', 'g')")} AS text FROM pages")
@@ -555,8 +565,3 @@ def synthesis_chunks(spark, sf_dir):
     """Facts in parts of sixty, as they are brought down before a synthesis."""
     rows = records.placed(facts_of(spark, sf_dir).select("doc_id", "pos", "fact"), ["doc_id", "pos"])
     return rows.groupBy(chunk_number(F.col("place")).alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("fact").cast("long")).alias("chars"))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {s.rounds}, {s.first}, {s.later}, {s.pages}, {s.follow}, {s.per_backend}, {s.least_new})" for k, s in census.SCOPES.items()) + ") AS t(scope, rounds, first, later, pages, follow, per_backend, least_new)")
-def census_scopes(spark, sf_dir):
-    return spark.createDataFrame([(k, s.rounds, s.first, s.later, s.pages, s.follow, s.per_backend, s.least_new) for k, s in census.SCOPES.items()], "scope string, rounds int, first int, later int, pages int, follow int, per_backend int, least_new int")

@@ -54,6 +54,31 @@ def census_list(mentioned: DataFrame) -> DataFrame:
     return mentioned.groupBy("key").agg(F.min_by("item", "ord").alias("item"), F.countDistinct("url").alias("sources"), F.bool_or("vetted").alias("vetted"), F.min("ord").alias("first"))
 
 
+def marked(found: DataFrame, held: DataFrame) -> DataFrame:
+    """found (key, item, url, vetted, ord) with new: whether held, mentions of earlier rounds, lacks the pair of key and url."""
+    pairs = held.select("key", "url").distinct().withColumn("__held", F.lit(True))
+    return found.join(pairs, ["key", "url"], "left").withColumn("new", F.col("__held").isNull()).drop("__held")
+
+
+def tally(found: DataFrame) -> DataFrame:
+    """The state that a round adds, from marked() mentions: key, item, sources, vetted, first. sources counts new pairs alone, so states of rounds can be added up."""
+    return found.groupBy("key").agg(
+        F.min_by("item", "ord").alias("item"), F.countDistinct(F.when(F.col("new"), F.col("url"))).alias("sources"), F.bool_or("vetted").alias("vetted"), F.min("ord").alias("first")
+    )
+
+
+def merged(held: DataFrame, more: DataFrame) -> DataFrame:
+    """The state of a census with that of one more round, key by key: a full outer merge of two tables of tally()'s columns. A merged census equals census_list() over all
+    mentions. fresh: whether the key is new."""
+    h, m = (d.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("item", "sources", "vetted", "first")]) for d, side in ((held, "h"), (more, "m")))
+    old = F.col("m_first").isNull() | (F.col("h_first") <= F.col("m_first"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return h.join(m, "key", "full_outer").select(
+        "key", F.when(old, F.col("h_item")).otherwise(F.col("m_item")).alias("item"), (count("h_sources") + count("m_sources")).alias("sources"),
+        (F.coalesce("h_vetted", F.lit(False)) | F.coalesce("m_vetted", F.lit(False))).alias("vetted"), F.least("h_first", "m_first").alias("first"), F.col("h_first").isNull().alias("fresh"),
+    )
+
+
 def census_order():
     return [F.col("vetted").desc(), F.col("sources").desc(), F.col("first")]
 
