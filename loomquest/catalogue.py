@@ -132,12 +132,12 @@ def list_items(spark, sf_dir):
     return items.listable(facts_of(spark, sf_dir)).select("doc_id", "pos", "item", "key")
 
 
-_MENTIONS = f"""(SELECT *, {_mention_key('item')} AS key FROM (SELECT doc_id, pos, source, {_trim('fact')} AS item FROM {_LINES})
+MENTIONS = f"""(SELECT *, {_mention_key('item')} AS key FROM (SELECT doc_id, pos, source, {_trim('fact')} AS item FROM {_LINES})
   WHERE length(item) >= 2 AND {_has('item', '[A-Za-z]')} AND NOT {_has('item', P.JUNK)} AND NOT {_has('item', P.META)})"""
 
 
 @query(f"""
-WITH m AS (SELECT * FROM {_MENTIONS} WHERE length(key) BETWEEN 2 AND 60)
+WITH m AS (SELECT * FROM {MENTIONS} WHERE length(key) BETWEEN 2 AND 60)
 SELECT arg_min(item, (doc_id, pos)) AS item, key, count(DISTINCT doc_id) AS sources, bool_or(source = 'src1') AS vetted FROM m GROUP BY key""")
 def mention_census(spark, sf_dir):
     """Mentions by key, kept all: sources that mention each, and whether one that vets does."""
@@ -147,7 +147,7 @@ def mention_census(spark, sf_dir):
 
 
 @query(f"""
-WITH m AS (SELECT * FROM {_MENTIONS} WHERE length(key) BETWEEN 2 AND 60),
+WITH m AS (SELECT * FROM {MENTIONS} WHERE length(key) BETWEEN 2 AND 60),
 c AS (SELECT arg_min(item, (doc_id, pos)) AS item, count(DISTINCT doc_id) AS sources, bool_or(source = 'src1') AS vetted, min((doc_id, pos)) AS first FROM m GROUP BY key)
 SELECT CAST(row_number() OVER (ORDER BY vetted DESC, sources DESC, first) AS INT) AS rank, item || '  (' || sources || ')' || CASE WHEN vetted THEN '' ELSE ' ~' END AS shown
 FROM c QUALIFY rank <= 100""")
@@ -160,7 +160,7 @@ def census_top(spark, sf_dir):
 
 
 @query(f"""
-WITH m AS (SELECT * FROM {_MENTIONS} WHERE length(key) BETWEEN 2 AND 60), n AS (SELECT count(DISTINCT key) AS n_items, count(DISTINCT CASE WHEN source = 'src1' THEN key END) AS n_vetted FROM m)
+WITH m AS (SELECT * FROM {MENTIONS} WHERE length(key) BETWEEN 2 AND 60), n AS (SELECT count(DISTINCT key) AS n_items, count(DISTINCT CASE WHEN source = 'src1' THEN key END) AS n_vetted FROM m)
 SELECT n_items, n_vetted, least(0.95::DOUBLE, 0.4::DOUBLE + n_items / 2000.0::DOUBLE) AS confidence FROM n""")
 def census_counters(spark, sf_dir):
     c = mention_census(spark, sf_dir).agg(F.count("*").alias("n_items"), F.count_if("vetted").alias("n_vetted"))

@@ -7,6 +7,7 @@ import sys
 import pytest
 
 import __spark_entry__ as E
+from jobs import queries as jobs
 from loomquest import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -23,11 +24,11 @@ def test_entry(spark):
 
 def test_without_the_corpus_operators(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    subprocess.run(["cp", "-r", f"{root}/loomquest", f"{root}/__spark_entry__.py", str(tmp_path)], check=True)
+    subprocess.run(["cp", "-r", f"{root}/loomquest", f"{root}/jobs", f"{root}/__spark_entry__.py", str(tmp_path)], check=True)
     subprocess.run(["rm", "-rf", str(tmp_path / "loomquest" / "llm")], check=True)
     code = "import __spark_entry__ as e; print(len(e.queries()), [q for q in e.queries() if q.startswith('op')])"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout
-    assert out.split(" ", 1) == [str(len(catalogue.QUERIES)), "[]\n"]
+    assert out.split(" ", 1) == [str(len(catalogue.QUERIES | jobs.QUERIES)), "[]\n"]
 
 
 @pytest.fixture(scope="module")
@@ -44,12 +45,15 @@ def plain(rows):
     return sorted((tuple(map(cell, r)) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+SQL = catalogue.ORACLE_SQL | jobs.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_and_sql_agree(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, DATA)
+    df = (catalogue.QUERIES | jobs.QUERIES)[name](spark, DATA)
     columns = sorted(df.columns)
     got = plain(df.select(*columns).collect())
-    result = duck.execute(catalogue.ORACLE_SQL[name])
+    result = duck.execute(SQL[name])
     place = [d[0] for d in result.description]
     assert sorted(place) == columns
     assert got == plain([[r[place.index(c)] for c in columns] for r in result.fetchall()])
