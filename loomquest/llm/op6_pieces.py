@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomquest.llm.common import give_back
+
 SPACE = "▁"
 N_BEST = 4
 #: An unknown character costs so much more than the worst piece.
@@ -65,7 +67,7 @@ class Pieces:
     """The vocabulary of a model file, and the search over it. Models with a normaliser, with whitespace that is dropped or follows its word, or with pieces of a
     user's own are refused."""
 
-    def __init__(self, path: str, n_best: int = N_BEST):
+    def __init__(self, path: str, n_best: int = N_BEST, cache: int = CACHE_BYTES):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -74,7 +76,7 @@ class Pieces:
         norm = proto.normalizer_spec
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("the model normalises texts or moves white space, which is not handled")
-        self.n_best, self.dummy = n_best, norm.add_dummy_prefix
+        self.n_best, self.cache, self.dummy = n_best, cache, norm.add_dummy_prefix
         self.ids: dict[str, tuple[int, float]] = {}
         self.byte_ids, self.bytes_of = [-1] * 256, []
         worst = 0.0
@@ -106,7 +108,7 @@ class Pieces:
 
     def forget(self) -> None:
         """Empties the caches."""
-        self.kept, self.ways_kept = Kept(self._unit, CACHE_BYTES), Kept(self.ways, CACHE_BYTES // 8)
+        self.kept, self.ways_kept = Kept(self._unit, self.cache), Kept(self.ways, self.cache // 8)
 
     # --- the search -----------------------------------------------------------------------------------------------------------------------
 
@@ -283,8 +285,8 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str, n_best: int = N_BEST) -> Pieces:
-    return Pieces(path, n_best)
+def pieces(path: str, n_best: int = N_BEST, cache: int = CACHE_BYTES) -> Pieces:
+    return Pieces(path, n_best, cache)
 
 
 def _lists(values: list[bytes]) -> pa.ListArray:
@@ -302,14 +304,14 @@ def _runs(texts: pa.Array):
         at = to
 
 
-def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_best: int = N_BEST, ways: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_best: int = N_BEST, ways: bool = False, cache: int = CACHE_BYTES) -> DataFrame:
     """keys, ids (array<int>, the best segmentation), score, nbest (array<double>, scores of the best n_best segmentations of the whole text), nbest_crc32
     (array<long>, of the ids of each as little-endian uint32), ids_crc32 (of the best), n_pieces, and exact: whether decoding the ids gives the text back. With ways,
     also ways (array<array<int>>): the ids of each of the n_best segmentations.
 
     Null and empty texts have no pieces, score 0 and one segmentation. Texts of any length are taken whole. Of segmentations of equal score, the one comes first
     whose first unit out of its best way stands earlier; within a unit, the one with the longer last piece. A text that itself holds U+2581 decodes to a space
-    there, so exact is false. Rows are handled one by one: repeated rows give equal results, an empty table none. Other columns are not read."""
+    there, so exact is false. Rows are handled one by one: repeated rows give equal results, an empty table none. Other columns are not read. cache: bytes in which a worker keeps units that it has found; fewer take more time."""
 
     def of(batch, texts, a, b, got, p):
         sums = [[zlib.crc32(w[1]) for w in g[0]] for g in got]
@@ -329,7 +331,8 @@ def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_
         return pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "ids", "score", "nbest", "nbest_crc32", "ids_crc32", "n_pieces", "exact", *["ways"] * ways])
 
     def run(batches):
-        p = pieces(model, n_best)
+        give_back()  # what a worker holds from the tasks of other stages
+        p = pieces(model, n_best, cache)
         try:
             for batch in batches:
                 column = pc.fill_null(batch.column(batch.num_columns - 1), "")
@@ -338,7 +341,7 @@ def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_
                     yield of(batch, texts, a, b, p.encode(texts), p)
         finally:  # a worker that waits for its next task holds the vocabulary alone
             p.forget()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     kept = docs.select(*keys, F.col(text).alias("__text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
