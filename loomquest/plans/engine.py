@@ -77,8 +77,7 @@ class Engine:
         pages = rows.where(wiki).select(F.col("url").alias("key"), api.alias("url")).distinct()
         asks = pages.select("key", F.lit(0).cast("long").alias("ord"), "url", F.lit("GET").alias("method"), F.lit("").alias("form"), F.lit(None).cast("map<string,string>").alias("headers"))
         got = self._fetch(asks).select(F.col("key").alias("url"), F.from_json("body", "extract string")["extract"].alias("__extract"))
-        joined = rows.join(got, "url", "left")
-        return joined.withColumn("snippet", F.when(wiki, F.coalesce(F.nullif("__extract", F.lit("")), "snippet")).otherwise(F.col("snippet"))).drop("__extract")
+        return with_summaries(rows, got)
 
     def read(self, sources: DataFrame, k: int, items: bool = False, links: bool = False, start: int = 0) -> DataFrame:
         """sources: rank, url, title. The first k with an http address, read: ord (start, start + 1, ...), url, title, text, items, links.
@@ -94,6 +93,12 @@ class Engine:
         return transport.safety(self.states)
 
 
+def with_summaries(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """rows of hits with the texts of told (url, __extract) as the snippets of encyclopedia hits, where there are any."""
+    extract = F.when(F.col("backend") == "wiki", F.nullif("__extract", F.lit("")))
+    return rows.join(told, "url", "left").withColumn("snippet", F.coalesce(extract, "snippet")).drop("__extract")
+
+
 def fanned(asked: DataFrame, names: list[str], n: int, settings: dict) -> DataFrame:
     """asked: ord, query, q (what is sent). Every query with every backend and each of its addresses, as requests."""
     columns = ["ord", "query", "q", "backend_ord", "backend", "try_ord", "url", "method", "form", "headers"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomquest.functions.text import trim
 from loomquest.operators.records import CENSUS_RECORD
+from loomquest.sources.tables import there
 
 
 def query_file(spark: SparkSession, path: str) -> DataFrame:
@@ -19,16 +20,15 @@ def query_file(spark: SparkSession, path: str) -> DataFrame:
 
 def record_log(spark: SparkSession, path: str) -> DataFrame:
     """Records of a log, one JSON object a line; lines that do not parse go. No file: no rows."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not there(spark, path):
         return spark.createDataFrame([], CENSUS_RECORD)
-    rows = spark.read.schema(CENSUS_RECORD + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    rows = spark.read.schema(CENSUS_RECORD + ", _bad string").options(columnNameOfCorruptRecord="_bad", recursiveFileLookup=True).json(path)
     return rows.where("_bad is null and query is not null").drop("_bad")
 
 
-def append_records(records: DataFrame, path: str) -> None:
-    """Adds records to a log; each call's rows are durable when it returns."""
-    records.write.mode("append").json(path)
+def append_records(records: DataFrame, path: str, again: bool = False) -> None:
+    """Adds records to a log; each call's rows are durable when it returns. again: path is a folder of this call alone inside the log, and what an earlier try left there goes."""
+    records.write.mode("overwrite" if again else "append").json(path)
 
 
 def output_dir(default: str) -> str:
