@@ -508,7 +508,7 @@ def outcome_signals(spark, sf_dir):
     code = F.get(F.array(*[F.lit(c) for c in (200, 429, 403, 202, 503)]), (F.col("event_id") % 6).cast("int"))
     e = table(spark, sf_dir, "events").select("event_id", "user_id", code.alias("code"))
     failed = F.col("code").isNull() | (F.col("code") >= 400)  # as the transport says
-    return e.select("event_id", breaker.signals("code", failed, F.col("user_id") % 2 != 0).alias("signal"))
+    return e.select("event_id", breaker.signals(F.col("code"), failed, F.col("user_id") % 2 != 0).alias("signal"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS blocks FROM events GROUP BY ALL")

@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--backends", default="web", help="web, academic, tech, all, or a list of: " + ",".join(B.BACKENDS))
     for flag in ("extract", "synth", "deepread", "discover"):
         p.add_argument(f"--no-{flag}", action="store_true")
+    p.add_argument("--waves", action="store_true", help="ask queries in waves, not as a stream")
     p.add_argument("--scope", choices=["auto", *goals.SCOPES], default="auto")
     p.add_argument("--out", default="out")
     p.add_argument("--dry-run", action="store_true", help="show the queries and stop")
@@ -73,7 +74,7 @@ def main(argv: list[str] | None = None) -> None:
         if counting:
             corpus = census.run(engine, goal, slug, scope, names)
         else:
-            corpus = campaign.run(engine, goal, slug, queries, goal, names, args.queries, args.per_backend, not args.no_extract, not args.no_synth, not args.no_deepread, not args.no_discover)
+            corpus = campaign.run(engine, goal, slug, queries, goal, names, args.queries, args.per_backend, not args.no_extract, not args.no_synth, not args.no_deepread, not args.no_discover, not args.waves)
     except BaseException as e:
         report.mark_done(folder, slug, e)
         raise

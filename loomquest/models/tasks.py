@@ -4,12 +4,17 @@ engine's own; replies are JSON, salvaged where they are wrapped in prose, and of
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomquest.functions.html import salvaged
+from loomquest.operators.records import placed
+from loomquest.sources.tables import saved
 
 CHUNK, PAGE_CHARS, EVIDENCE = 60, 6_000, 10
+#: Tasks that share the rate of a hosted model.
+SHARES = 8
 
 
 def texts(value) -> list[str]:
@@ -40,9 +45,15 @@ def evidence(results) -> str:
     return "\n".join(rows) or "(no results)"
 
 
-def _asked_by(rows: DataFrame, client) -> DataFrame:
-    """rows in one partition where one task at a time may ask the client; its few rows are queries and pages of one campaign."""
-    return rows.coalesce(1) if client.works and getattr(client, "alone", False) else rows
+def _asked_by(rows: DataFrame, client, *key: str) -> DataFrame:
+    """rows dealt over the tasks that share the rate of a client that has one, by key where one is given; as they are for others."""
+    return rows.repartition(SHARES, *key) if client.works and hasattr(client, "sharing") else rows
+
+
+def _own(client):
+    """The client as this task may use it."""
+    task = TaskContext.get()
+    return client.sharing(SHARES, task.partitionId() % SHARES) if task and hasattr(client, "sharing") else client
 
 
 def distilled(records: DataFrame, goal: str, client, model: str | None = None) -> DataFrame:
@@ -51,10 +62,10 @@ def distilled(records: DataFrame, goal: str, client, model: str | None = None) -
 
     @F.pandas_udf(shape)
     def run(query: pd.Series, results: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, own = [], _own(client)
         for q, hits in zip(query, results, strict=True):
             prompt = f"DISTIL. Goal: {goal}\nQuery: {q}\nSearch results:\n{evidence(hits)}\nUsing only these, reply with JSON: summary (2 to 4 sentences), facts (list of concrete statements), relevance (0 to 1)."
-            d = asked(client, prompt, model) if len(hits) else None
+            d = asked(own, prompt, model) if len(hits) else None
             rows.append((str(d.get("summary") or "").strip(), texts(d.get("facts")), number(d.get("relevance"))) if isinstance(d, dict) else (None, None, None))
         return pd.DataFrame(rows, columns=["summary", "facts", "relevance"])
 
@@ -67,9 +78,9 @@ def distilled(records: DataFrame, goal: str, client, model: str | None = None) -
 def _page_values(docs: DataFrame, prompt, key: str, client, model) -> DataFrame:
     @F.pandas_udf("array<string>")
     def run(url: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
+        out, own = [], _own(client)
         for u, t in zip(url, text, strict=True):
-            d = asked(client, prompt(u, t), model) if t else None
+            d = asked(own, prompt(u, t), model) if t else None
             out.append(texts(d.get(key)) if isinstance(d, dict) and isinstance(d.get(key), list) else [])
         return pd.Series(out)
 
@@ -101,24 +112,26 @@ def chunk_number(place):
 
 
 def synthesised(facts: DataFrame, goal: str, client, model: str | None = None) -> dict | None:
-    """facts: place (0, 1, ...), fact. One report. More than CHUNK facts are first brought down to findings in parts of CHUNK, each a group of its own
-    on the executors; the findings, or else the first CHUNK facts, make the report."""
+    """facts: place (0, 1, ...), fact. One report. More than CHUNK facts are brought down to findings in parts of CHUNK, each a group of its own on the executors, and
+    findings again, level by level, until one part is left; no prompt holds more than CHUNK. At most half as many findings of a part go on, so each level is at most half
+    of the one before. A part without a usable reply adds nothing; where none has one, the first CHUNK facts make the report."""
     if not client.works:
         return None
-    head = [r.fact for r in facts.orderBy("place").limit(CHUNK + 1).collect()]
+    head = [r.fact for r in facts.orderBy("place").limit(CHUNK).collect()]
     if not head:
         return None
-    if len(head) <= CHUNK:
-        return _report(client, goal, head, model)
 
     def part(f: pd.DataFrame) -> pd.DataFrame:
-        r = _report(client, goal, f.sort_values("place").fact.tolist(), model)
-        found = (r["key_findings"] or [r["answer"]]) if r else []
+        r = _report(_own(client), goal, f.sort_values("place").fact.tolist(), model)
+        found = (r["key_findings"] or texts(r["answer"]))[: CHUNK // 2] if r else []
         return pd.DataFrame({"part": [int(f.part.iloc[0])] * len(found), "pos": range(len(found)), "fact": found}).astype({"part": "int64", "pos": "int64", "fact": object})
 
-    parts = _asked_by(facts.withColumn("part", chunk_number(F.col("place"))), client).groupBy("part").applyInPandas(part, "part long, pos long, fact string")
-    partial = [r.fact for r in parts.orderBy("part", "pos").collect()]
-    return _report(client, goal, partial or head[:CHUNK], model)
+    left = facts.select("place", "fact")
+    while left.count() > CHUNK:
+        parts = _asked_by(left.withColumn("part", chunk_number(F.col("place"))), client, "part").groupBy("part").applyInPandas(part, "part long, pos long, fact string")
+        left = placed(saved(parts, "findings"), ["part", "pos"]).select("place", "fact")
+    last = [r.fact for r in left.orderBy("place").collect()]  # CHUNK at most
+    return _report(client, goal, last or head, model)
 
 
 def listed(client, prompt: str, n: int, model: str | None = None) -> list[str]:

@@ -15,7 +15,8 @@ from loomquest.operators import items, rank, records
 from loomquest.plans import lock, report
 from loomquest.plans.engine import Engine, link_rows
 from loomquest.sources import backends as B
-from loomquest.sources.tables import saved
+from loomquest.sources.tables import saved, there
+from loomquest.streaming.census import CensusTable
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,12 @@ class Scope:
 
 # Fixed values.
 SCOPES = {"broad": Scope(2, 12, 10, 10, 8, 6, 15), "exhaustive": Scope(5, 18, 14, 12, 12, 8, 8)}
-STATE = {"mentions": "key string, item string, url string, vetted boolean, ord long, round int", "queries": "query string, round int", "urls": "url string, round int"}
+STATE = {"queries": "query string, round int", "urls": "url string, round int"}
+
+
+def counted(engine: Engine, slug: str) -> CensusTable:
+    """The mentions of a census and its merged state, a batch a round."""
+    return CensusTable(engine.spark, f"{engine.folder}/{slug}.census/counted")
 
 
 def _tables(engine: Engine, slug: str) -> dict[str, str]:
@@ -41,18 +47,13 @@ def _tables(engine: Engine, slug: str) -> dict[str, str]:
 
 
 def state(engine: Engine, slug: str) -> dict[str, DataFrame]:
-    """The tables of a census so far: mentions with their real addresses, queries asked, pages read. Empty for a new one."""
+    """The tables of a census so far: queries asked, pages read. Empty for a new one."""
     out = {}
     for k, path in _tables(engine, slug).items():
-        out[k] = engine.spark.read.schema(STATE[k]).parquet(path) if _there(engine, path) else engine.spark.createDataFrame([], STATE[k])
+        out[k] = engine.spark.read.schema(STATE[k]).parquet(path) if there(engine.spark, path) else engine.spark.createDataFrame([], STATE[k])
     return out
 
 
-def _there(engine: Engine, path: str) -> bool:
-    p = engine.spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(engine.spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def _adopt(engine: Engine, slug: str) -> None:
     """Makes the state of a census from its corpus file where there is one and no table: items with as many sources as it counts (their addresses are not in it), queries
     and pages."""
@@ -64,9 +65,8 @@ def _adopt(engine: Engine, slug: str) -> None:
         return
     rows = [(i, x.get("item") or "", max(1, int(x.get("sources") or 1)), bool(x.get("vetted"))) for i, x in enumerate(corpus.get("items") or [])]
     d = spark.createDataFrame(rows, "ord long, item string, n int, vetted boolean").withColumn("k", F.explode(F.sequence(F.lit(1), "n")))
-    d = d.select("item", F.format_string("prior:%d/%d", "ord", "k").alias("url"), "vetted", "ord")
+    counted(engine, slug).add(d.select("item", F.format_string("prior:%d/%d", "ord", "k").alias("url"), "vetted", "ord"), 0)
     made = {
-        "mentions": items.mentions(d).withColumn("round", F.lit(0)),
         "queries": spark.createDataFrame([(q, 0) for q in corpus.get("done_queries") or []], STATE["queries"]),
         "urls": spark.createDataFrame([(u, 0) for u in corpus.get("seen_urls") or []], STATE["urls"]),
     }
@@ -75,7 +75,7 @@ def _adopt(engine: Engine, slug: str) -> None:
 
 
 def _round(engine: Engine, goal: str, entity: str, scope: Scope, names: list[str], fresh: DataFrame, seen: DataFrame, number: int):
-    """Searches, reads and follows links once. Returns hits, pages, and mentions with round and order."""
+    """Searches, reads and follows links once. Returns hits, pages, and what may be mentions, with its order."""
     hits = engine.search(fresh, names, scope.per_backend)
     ranked = rank.rank_sources(hits.select(F.col("ord").alias("rec_ord"), "hit_ord", "title", "url", "snippet", "source", F.lit(1.0).alias("relevance")), goal, scope.pages, True)
     docs = engine.read(ranked.join(seen.select("url"), "url", "left_anti"), scope.pages, True, True)
@@ -85,8 +85,7 @@ def _round(engine: Engine, goal: str, entity: str, scope: Scope, names: list[str
     told = tasks.page_mentions(docs, entity, engine.client, engine.model).select("ord", "url", F.posexplode("found").alias("pos", "item"), F.lit(True).alias("vetted"))
     listed = docs.select("ord", "url", F.posexplode("items").alias("pos", "item"), F.lit(False).alias("vetted"))
     place = (F.lit(number).cast("long") * 2**40 + F.col("ord") * 2**20 + F.when(F.col("vetted"), 2**19).otherwise(0) + F.col("pos")).cast("long")
-    found = items.mentions(listed.unionByName(told).withColumn("ord", place))
-    return hits, docs, saved(found.withColumn("round", F.lit(number)), "mentions")
+    return hits, docs, listed.unionByName(told).withColumn("ord", place).select("item", "url", "vetted", "ord")
 
 
 def run(engine: Engine, goal: str, slug: str | None = None, scope: str = "broad", names: list[str] | None = None, resume: bool = True) -> dict:
@@ -96,15 +95,14 @@ def run(engine: Engine, goal: str, slug: str | None = None, scope: str = "broad"
     with lock.held(engine.folder, slug):
         paths = _tables(engine, slug)
         if not resume:
-            for path in paths.values():
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        elif not _there(engine, paths["queries"]):
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{engine.folder}/{slug}.census")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        elif not there(spark, paths["queries"]):
             _adopt(engine, slug)
         before = state(engine, slug)
         last = before["queries"].agg(F.coalesce(F.max("round"), F.lit(0))).first()[0]
         wanted = goals.facet_queries(goal, s.first, tasks.expanded(engine.client, goal, s.first))
-        log, hits_of = [], []
+        log, hits_of, table = [], [], counted(engine, slug)
         for turn in range(s.rounds):
             number, held = last + turn + 1, state(engine, slug)
             fresh = records.todo(spark.createDataFrame(list(enumerate(wanted)), "ord long, query string"), held["queries"], normalised=True)
@@ -112,12 +110,11 @@ def run(engine: Engine, goal: str, slug: str | None = None, scope: str = "broad"
             if fresh.isEmpty():
                 break
             hits, docs, found = _round(engine, goal, entity, s, names, fresh, held["urls"], number)
-            new = found.select("key").distinct().join(held["mentions"].select("key"), "key", "left_anti").count()
-            found.write.mode("append").parquet(paths["mentions"])
+            n = table.add(found, number)
+            new, now = n["fresh"], n["items"]
             docs.select("url", F.lit(number).alias("round")).write.mode("append").parquet(paths["urls"])
             fresh.select("query", F.lit(number).alias("round")).write.mode("append").parquet(paths["queries"])
             hits_of.append(hits)
-            now = state(engine, slug)["mentions"].select("key").distinct().count()
             log.append({"query": f"round {number}", "round": number, "n_results": hits.count(), "pages_read": docs.count(), "new_items": new, "total_items": now,
                         "digest": {"relevance": 1.0}, "results": [r.asDict() for r in hits.orderBy("ord", "hit_ord").limit(40).select("title", "url", "snippet", "source").collect()]})
             report.add_round(engine.folder, slug, log[-1])
@@ -126,7 +123,7 @@ def run(engine: Engine, goal: str, slug: str | None = None, scope: str = "broad"
                 break
             if turn < s.rounds - 1:
                 done = [r.query for r in state(engine, slug)["queries"].limit(60).collect()]
-                known = [r.item for r in items.census_list(state(engine, slug)["mentions"]).limit(40).collect()]
+                known = [r.item for r in table.census().limit(40).collect()]
                 asked = tasks.widened(engine.client, entity, known, done, s.later, engine.model)
                 keys = {r.k for r in state(engine, slug)["queries"].select(X.query_key(F.col("query")).alias("k")).collect()} if asked else set()
                 asked = [q for q in asked if " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in q.lower()).split()) not in keys]
@@ -136,7 +133,7 @@ def run(engine: Engine, goal: str, slug: str | None = None, scope: str = "broad"
 
 def _finished(engine: Engine, goal: str, slug: str, scope: str, entity: str, names: list[str], log: list[dict], hits_of: list[DataFrame]) -> dict:
     held = state(engine, slug)
-    rows = items.census_list(held["mentions"]).orderBy(*items.census_order()).withColumn("shown", items.shown(F.col("item"), F.col("sources"), F.col("vetted"))).collect()
+    rows = counted(engine, slug).census().orderBy(*items.census_order()).withColumn("shown", items.shown(F.col("item"), F.col("sources"), F.col("vetted"))).collect()
     asked = sorted(r.query for r in held["queries"].collect())
     rounds = held["queries"].agg(F.coalesce(F.max("round"), F.lit(0))).first()[0]
     sources = []

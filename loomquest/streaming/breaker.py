@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window as W
 
 BLOCKS_TO_TRIP, MAX_GAP = 3, 30.0
@@ -42,10 +41,10 @@ def signal(status: int | None, failed: bool, ban_prone: bool) -> str:
     return "hard" if status == 202 or status >= 400 else "ok"
 
 
-@F.pandas_udf(StringType())
-def signals(status: pd.Series, failed: pd.Series, ban_prone: pd.Series) -> pd.Series:
-    """signal() over columns."""
-    return pd.Series([signal(None if pd.isna(s) else int(s), bool(f), bool(b)) for s, f, b in zip(status, failed, ban_prone, strict=True)], dtype=object)
+def signals(status: Column, failed: Column, ban_prone: Column) -> Column:
+    """signal() of columns; without a status, what did not fail is ok."""
+    busy = status.isin(429, 503) & ~ban_prone
+    return F.when(failed & status.isNull(), "error").when(failed, F.when(busy, "soft").otherwise("hard")).when((status == 202) | (status >= 400), "hard").otherwise("ok")
 
 
 @dataclass

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomquest.operators import items
+from loomquest.sources.tables import there
 
 BUCKETS = 64
 _PAIRS = "key string, url string"
@@ -25,8 +26,7 @@ class CensusTable:
 
     def _read(self, name: str, schema: str) -> DataFrame:
         """A table so far; before its first batch it has no rows."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+        if not there(self.spark, f"{self.path}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 

@@ -1,9 +1,12 @@
 """Backends, fetching, campaigns and the tool surface, on recorded answers. Nothing here touches a network."""
 
 import json
+import sys
+from dataclasses import dataclass
 from urllib.parse import quote
 
 import pytest
+from pyspark import cloudpickle
 
 from loomquest import cli, tools
 from loomquest.models import clients, tasks
@@ -14,6 +17,7 @@ from loomquest.sources import cache, files, transport
 from loomquest.sources.hits import Hits
 from loomquest.sources.transport import Fixture
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import this file
 ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/1</id><title> T </title><summary>a\n  b</summary></entry></feed>'
 DDG = '<a rel="n" class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.b%2Fc+d&x=1">One <b>two</b> &amp; 3</a><a class="result__snippet" href="x">snip</a><a class="result__a" href="javascript:x">no</a>'
 LITE = '<a rel="n" href="https://l.m/n" class="result-link">Lite</a><a href="https://duckduckgo.com/y" class="result-link">own</a>'
@@ -188,6 +192,49 @@ def test_synthesis_in_parts(spark):
     assert tasks.synthesised(facts, "g", clients.Offline()) is None
 
 
+@dataclass
+class Short(clients.Scripted):
+    """Refuses prompts of more facts than a part has."""
+
+    def ask(self, prompt, want_json=False, model=None):
+        lines = [ln for ln in prompt.split("\n") if ln.startswith("- ")]
+        assert len(lines) <= tasks.CHUNK
+        return json.dumps({"answer": f"of {len(lines)}", "key_findings": [lines[0][2:] + "+", lines[-1][2:]]})
+
+
+def test_synthesis_in_levels(spark):
+    """5,000 facts: 84 parts, then 168 findings in 3 parts, then 6 in one."""
+    facts = spark.range(5000).selectExpr("id as place", "concat('fact ', id) as fact").repartition(7)
+    assert tasks.synthesised(facts, "g", Short())["answer"] == "of 6"
+    assert tasks.synthesised(facts, "g", Short())["key_findings"] == ["fact 0+++", "fact 4999"]
+
+
+def test_shares_of_a_rate_keep_the_gap_together(monkeypatch):
+    """Tasks on one clock, each with slots of its own: all calls together are a gap apart."""
+    class Clock:
+        now = 1000.3
+
+        def time(self):
+            return self.now
+
+        def sleep(self, seconds):
+            self.now += max(0.0, seconds)
+
+    calls = []
+    for turn in range(4):
+        clock = Clock()
+        clock.now += turn * 0.37  # tasks start at any time
+        monkeypatch.setattr(clients, "time", clock)
+        own = clients.Gemini("k", gap=1.1).sharing(4, turn)
+        for k in range(6):
+            own._wait()
+            calls.append(clock.now)
+            clock.now += 0.2 * (k % 3)  # an answer takes a while
+    calls.sort()
+    assert all(b - a >= 1.1 - 1e-6 for a, b in zip(calls, calls[1:], strict=False))
+    assert calls[-1] - calls[0] < 1.1 * 4 * 7
+
+
 def test_census_to_saturation_and_resume(spark, tmp_path):
     goal = "every banned word"
     queries = {hn_url(q, 6): hn(("http://p1/", "banned words list"), ("http://p2/", "banned")) for q in ["every banned word", "every banned word overview"]}
