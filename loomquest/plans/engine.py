@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from loomquest.functions import text as X
-from loomquest.functions.html import page_items, page_links, unescape
+from loomquest.functions.html import page_parts
 from loomquest.models.clients import Offline
 from loomquest.sources import backends as B
 from loomquest.sources import cache, transport
@@ -118,9 +118,8 @@ def fanned(asked: DataFrame, names: list[str], n: int, settings: dict) -> DataFr
 
 def pages(raw: DataFrame, items: bool = True, links: bool = True) -> DataFrame:
     """raw: ord, url, title, html. Adds text, items and links, drops pages that hold next to nothing."""
-    d = raw.withColumn("text", F.left(X.trim(X.squeeze_lines(unescape(X.page_text(F.col("html"), None)))), F.lit(PAGE_CHARS)))
-    d = d.withColumn("items", page_items("html") if items else F.array().cast("array<string>"))
-    d = d.withColumn("links", page_links("html", "url") if links else F.array().cast("array<struct<url:string,anchor:string>>"))
+    d = raw.select("ord", "url", "title", page_parts(F.col("html"), F.col("url"), PAGE_CHARS, items, links).alias("__parts"))
+    d = d.select("ord", "url", "title", "__parts.*")
     return d.where((F.length("text") > MIN_TEXT) | (F.size("items") > 0)).select("ord", "url", "title", "text", "items", "links")
 
 

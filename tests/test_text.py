@@ -102,6 +102,16 @@ def test_links():
     assert html.links(page, "https://e.org/d/") == [{"url": "https://e.org/a", "anchor": "A"}, {"url": "https://e.org/d/", "anchor": "self"}, {"url": "https://h.c/b", "anchor": "B"}]
 
 
+def test_parts_are_what_the_single_functions_give(spark):
+    odd = ["", None, "<p>a&nbsp;&nbsp; b\r\n \n\x0b\nc &lt;li&gt; &amp;amp; </p><li>x</li>", "<nav>n <a href='/q'>Q</a></nav><li>y<script>s</nav></script></li>", "<script x><li>z</li>", "\u00a0 é <b", "a < b > c"]
+    rows = [(r.html, r.url) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()] + [(x, "http://h/") for x in odd]
+    df = spark.createDataFrame(rows, "html string, url string").repartition(3)
+    text = F.left(X.trim(X.squeeze_lines(html.unescape(X.page_text(F.col("html"), None)))), F.lit(900))
+    got = df.select("html", html.page_parts(F.col("html"), F.col("url"), 900, True, True).alias("p"), text.alias("text"), html.page_items("html").alias("items"), html.page_links("html", "url").alias("links")).collect()
+    assert all((r.p.text, r.p["items"], r.p.links) == (r.text, r["items"], r.links) for r in got) and len(got) == len(rows)
+    assert html.parts("<li>a</li>", "u", None, False, False) == ("a", [], [])
+
+
 def test_marks_of_odd_pages():
     assert html.items("</li><li>a</li>b</li><td>c<li>d</td>e</li>f</li>") == ["a", "d", "e"]
     assert html.links('<a href="/x">one<a href="/y">two</a></a><a href="/z">open', "http://h/") == [{"url": "http://h/y", "anchor": "two"}]
