@@ -56,7 +56,7 @@ def harvest_live(engine: Engine, queries: list[str], slug: str, goal: str, names
     fans = fanned(asked, names, n, engine.settings).withColumn("key", cache.key(F.col("backend"), F.col("q"), F.lit(n)))
     tries = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("try_ord", F.to_json(one).alias("r")))), lambda x: x["r"]))
     fans = saved(fans.groupBy("ord", "query", "backend_ord", "backend", "key").agg(tries.alias("tries")), "requests")
-    kept = cache.read(spark, engine.cache_path) if engine.cache_path else spark.createDataFrame([], "key string, body string")
+    kept = saved(cache.read(spark, engine.cache_path, keys=fans), "cached") if engine.cache_path else spark.createDataFrame([], "key string, body string")
     at = F.create_map(*[F.lit(x) for b in names for x in (b, site[b])])
     # Answers of the cache are those of a batch before the first, one for each call.
     known = fans.join(kept, "key").select("ord", "query", "backend_ord", "backend", "key", F.lit("").alias("address"), "body", F.lit(0).alias("more"), *[F.lit(None).cast(t).alias(c) for c, t in (("host", "string"), ("sent", "int"), ("blocks", "int"), ("gap", "double"), ("tripped", "boolean"))])
@@ -77,7 +77,7 @@ def harvest_live(engine: Engine, queries: list[str], slug: str, goal: str, names
             files.append_records(saved(_records(engine, ready, B.gathered(with_summaries(hits, told)), goal, distil), "records"), f"{log}/{number}-{batch}", again=True)
             if engine.cache_path:
                 fresh = main.join(hits.select("ord", "backend_ord").distinct(), ["ord", "backend_ord"], "left_semi").where("host is not null").select("key", "body").dropDuplicates(["key"])
-                cache.store(cache.misses(fresh, cache.read(spark, engine.cache_path)), engine.cache_path)
+                cache.store(cache.misses(fresh, cache.read(spark, engine.cache_path, keys=fresh)), engine.cache_path)
         gone = total - records.todo(left, files.record_log(spark, log)).count()
         engine.say(f"{gone} of {total} queries asked")
         return gone == total
@@ -160,6 +160,8 @@ def run(engine: Engine, seed: str, slug: str | None = None, queries: list[str] |
     goal, slug = goal if goal is not None else seed, slug or goals.slug(seed)
     names = names or B.resolve([])
     with lock.held(engine.folder, slug):
+        if engine.cache_path:
+            cache.compacted(engine.spark, engine.cache_path)
         queries = queries if queries is not None else queries_for(engine, seed, n)
         log = (harvest_live if streamed else harvest)(engine, queries, slug, goal, names, per_backend, distil)
         return consolidate(engine, log, slug, goal, names, queries, synth, deep, discover)

@@ -52,7 +52,7 @@ class Engine:
         asked = queries.withColumn("q", X.build_query(F.col("query"), F.lit(anchor) if anchor else None))
         requests = saved(fanned(asked, names, n, self.settings).withColumn("key", cache.key(F.col("backend"), F.col("q"), F.lit(n))), "requests")
         wanted = requests.select("ord", "query", "backend_ord", "backend", "key").distinct()
-        kept = cache.read(self.spark, self.cache_path) if self.cache_path else self.spark.createDataFrame([], "key string, body string")
+        kept = saved(cache.read(self.spark, self.cache_path, keys=requests), "cached") if self.cache_path else self.spark.createDataFrame([], "key string, body string")
         answers, rest = kept, cache.misses(requests, kept)
         for attempt in range(2):
             wave = rest.where(F.col("try_ord") == attempt)

@@ -1,12 +1,14 @@
 """Backends, fetching, campaigns and the tool surface, on recorded answers. Nothing here touches a network."""
 
 import json
+import re
 import sys
 from dataclasses import dataclass
 from urllib.parse import quote
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from loomquest import cli, tools
 from loomquest.models import clients, tasks
@@ -163,6 +165,26 @@ def test_cache_serves_and_keeps_no_empties(spark, tmp_path):
     assert b.search(q, ["hn"]).count() == 2 and b.safety()["requests"] == {"hn.algolia.com": 1}
 
 
+def test_a_lookup_reads_its_buckets_and_compaction_keeps_the_latest(spark, tmp_path, capfd):
+    path = str(tmp_path / "cache")
+    rows = spark.createDataFrame([(f"{i * 7919 % 4096:03x}{i:017d}", f"body {i}") for i in range(3000)], "key string, body string")
+    cache.store(rows, path)
+    wanted = rows.where("body in ('body 1', 'body 2', 'body 3', 'body 5', 'body 8', 'body 13', 'body 21', 'body 34', 'body 55', 'body 89')")
+    got = cache.read(spark, path, keys=wanted)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    got.explain("formatted")
+    filters = re.search(r"PartitionFilters: \[(.*)\]", capfd.readouterr().out).group(1)
+    assert set(re.findall(r"\b[0-9a-f]{2}\b", filters)) == {r.key[:2] for r in wanted.collect()}  # ten keys, ten buckets
+    for n in range(4):
+        cache.store(rows.where("body = 'body 1'").withColumn("body", F.lit(f"newer {n}")), path)
+    before = {f for f in spark.read.parquet(path).inputFiles()}
+    key = rows.where("body = 'body 1'").first().key
+    assert cache.compacted(spark, path, most=3) == 1 and cache.compacted(spark, path, most=3) == 0
+    after = {f for f in spark.read.parquet(path).inputFiles()}
+    assert len([f for f in after if f"bucket={key[:2]}" in f]) == 1 and {f for f in before if f"bucket={key[:2]}" not in f} <= after
+    assert cache.read(spark, path, keys=rows.where("body = 'body 1'")).first().body == "newer 3" and cache.read(spark, path).count() == 3000
+
+
 def test_second_address_and_summaries(spark, tmp_path):
     q = spark.createDataFrame([(0, "cats")], "ord long, query string")
     wiki = "https://en.wikipedia.org/w/api.php?action=query&list=search&format=json&srlimit=6&srsearch=cats"
