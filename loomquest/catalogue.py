@@ -4,6 +4,9 @@ Documents stand in for hits and facts, pages for fetched pages, events for a fet
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +19,9 @@ from loomquest.functions.html import all_page_links, page_items
 from loomquest.models.tasks import chunk_number
 from loomquest.operators import items, many, rank, records
 from loomquest.plans.engine import fanned
-from loomquest.sources import backends, cache, corpora
+from loomquest.plans import report
+from loomquest.sources import backends, cache, corpora, sink
+from loomquest.sources.tables import scratch
 from loomquest.streaming import breaker
 
 GOAL = "list of overused words: thentio, ening, edness and ution in the text"
@@ -565,3 +570,14 @@ def synthesis_chunks(spark, sf_dir):
     """Facts in parts of sixty, as they are brought down before a synthesis."""
     rows = records.placed(facts_of(spark, sf_dir).select("doc_id", "pos", "fact"), ["doc_id", "pos"])
     return rows.groupBy(chunk_number(F.col("place")).alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("fact").cast("long")).alias("chars"))
+
+
+@query(f"SELECT doc_id, pos, fact, query FROM (SELECT doc_id, pos, fact, source AS query FROM {_LINES})")
+def corpus_facts(spark, sf_dir):
+    """The facts of a corpus file that many tasks wrote, read back from its lines, in which they have the order of their places."""
+    folder = f"{scratch(spark)}/corpus-{uuid.uuid4().hex}"
+    facts = facts_of(spark, sf_dir).select("doc_id", "pos", "fact", "query")
+    rows = report.values("facts", facts, ["doc_id", "pos"], F.struct("doc_id", "pos", "fact", "query"))
+    sink.write(rows, ["k0", "k1"], [{"path": f"{folder}/corpus.json", "text": json.dumps({"slug": "facts", "facts": sink.mark("facts")}, indent=2), "form": "json"}], folder, report.__name__)
+    lines = spark.read.text(f"{folder}/corpus.json").where(F.startswith("value", F.lit("    {")))
+    return lines.select(F.from_json(F.regexp_replace("value", ",$", ""), "doc_id long, pos int, fact string, query string").alias("r")).select("r.*")

@@ -15,6 +15,7 @@ from loomquest.plans import lock, report
 from loomquest.plans.engine import Engine, fanned, link_rows, with_summaries
 from loomquest.sources import backends as B
 from loomquest.sources import cache, files, transport
+from loomquest.sources.sink import mark
 from loomquest.sources.tables import saved, there
 from loomquest.streaming import live
 
@@ -130,14 +131,17 @@ def consolidate(engine: Engine, log: DataFrame, slug: str, goal: str, names: lis
     corpus = {
         "slug": slug, "goal": goal, "backends": names, "engine": engine.client.label, "safety": engine.safety(),
         "n_queries": n.n_queries, "n_sources": n.n_sources, "n_deep_read": n_deep, "n_discovered": n_found, "n_facts": n.n_facts,
-        "records": [r.asDict(True) for r in log.orderBy("ord").collect()],
-        "sources": [r.asDict() for r in sources.orderBy("rec_ord", "hit_ord").select("title", "url", "snippet", "source").collect()],
-        "facts": [r.asDict() for r in facts.orderBy(*order).select("fact", "query").collect()],
+        "records": mark("records"), "sources": mark("sources"), "facts": mark("facts"), "queries": queries or mark("queries"),
     }
-    corpus["queries"] = queries or [r["query"] for r in corpus["records"]]
     corpus["report"] = _answer(engine, facts, order, goal, log, n_deep, n.n_facts, listing) if synth and n.n_facts else None
     top = [r.asDict() for r in (rank.rank_sources(hits, goal, 12, listing) if goal else rank.top_sources(hits, 12)).orderBy("rank").collect()]
-    report.write(engine.folder, corpus, top)
+    sections = [
+        report.values("records", log, ["ord"], F.struct(*log.columns)),
+        report.values("sources", sources, ["rec_ord", "hit_ord"], F.struct("title", "url", "snippet", "source")),
+        report.values("facts", facts, order, F.struct("fact", "query")),
+        report.values("queries", log, ["ord"], F.col("query")),
+    ]
+    corpus = report.write(engine.folder, corpus, sections, top)
     corpus["top"] = top
     return corpus
 

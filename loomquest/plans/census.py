@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from loomquest.operators import items, rank, records
 from loomquest.plans import lock, report
 from loomquest.plans.engine import Engine, link_rows
 from loomquest.sources import backends as B
+from loomquest.operators.records import placed
+from loomquest.sources.sink import mark
 from loomquest.sources.tables import saved, there
 from loomquest.streaming.census import CensusTable
 
@@ -32,6 +35,9 @@ class Scope:
     least_new: int
 
 
+#: Findings that the corpus in hand holds; its file has all of them.
+SPOKEN = 100
+
 # Fixed values.
 SCOPES = {"broad": Scope(2, 12, 10, 10, 8, 6, 15), "exhaustive": Scope(5, 18, 14, 12, 12, 8, 8)}
 STATE = {"queries": "query string, round int", "urls": "url string, round int"}
@@ -133,28 +139,39 @@ def run(engine: Engine, goal: str, slug: str | None = None, scope: str = "broad"
 
 def _finished(engine: Engine, goal: str, slug: str, scope: str, entity: str, names: list[str], log: list[dict], hits_of: list[DataFrame]) -> dict:
     held = state(engine, slug)
-    rows = counted(engine, slug).census().orderBy(*items.census_order()).withColumn("shown", items.shown(F.col("item"), F.col("sources"), F.col("vetted"))).collect()
-    asked = sorted(r.query for r in held["queries"].collect())
-    rounds = held["queries"].agg(F.coalesce(F.max("round"), F.lit(0))).first()[0]
-    sources = []
-    for h in hits_of:
-        sources += [r.asDict() for r in records.first_seen(h, "url", ["ord", "hit_ord"]).orderBy("ord", "hit_ord").select("title", "url", "snippet", "source").collect()]
-    sources = list({x["url"]: x for x in reversed(sources)}.values())[::-1]
-    vetted = sum(r.vetted for r in rows)
+    listed = placed(counted(engine, slug).census().withColumns({"__v": F.when(F.col("vetted"), 0).otherwise(1), "__s": -F.col("sources")}), ["__v", "__s", "first"])
+    listed = saved(listed.withColumn("shown", items.shown(F.col("item"), F.col("sources"), F.col("vetted"))), "items")
+    n, vetted = listed.agg(F.count("*"), F.count_if("vetted")).first()
+    n_asked, rounds = held["queries"].agg(F.count("*"), F.coalesce(F.max("round"), F.lit(0))).first()
+    some = [h.select(F.lit(i).alias("turn"), "ord", "hit_ord", "title", "url", "snippet", "source") for i, h in enumerate(hits_of)]
+    sources = saved(records.first_seen(reduce(DataFrame.unionByName, some), "url", ["turn", "ord", "hit_ord"]), "sources") if some else engine.spark.createDataFrame([], "turn int, ord long, hit_ord int, title string, url string, snippet string, source string")
+    where = ["turn", "ord", "hit_ord"]
+    top = [r.asDict() for r in sources.orderBy(*where).limit(12).select("title", "url", "snippet", "source").collect()]
+    asked = placed(held["queries"].select("query"), ["query"])
+    seen = placed(held["urls"].select("url").distinct(), ["url"])
     told = (
-        f"{len(rows)} names for \"{entity}\", gathered in {rounds} rounds of {len(asked)} queries at scope {scope}. The {vetted} that a model confirmed stand first; a ~ marks those read off lists and tables only. "
+        f"{n} names for \"{entity}\", gathered in {rounds} rounds of {n_asked} queries at scope {scope}. The {vetted} that a model confirmed stand first; a ~ marks those read off lists and tables only. "
         "The number behind a name counts the pages that have it."
     )
     # The keys of a corpus file.
     corpus = {
         "slug": slug, "goal": goal, "mode": "census", "scope": scope, "entity": entity, "backends": names, "engine": engine.client.label, "safety": engine.safety(),
-        "n_queries": len(asked), "n_rounds": rounds, "n_sources": len(sources), "n_deep_read": sum(r["pages_read"] for r in log), "n_discovered": 0,
-        "n_facts": len(rows), "n_items": len(rows), "n_vetted": vetted, "done_queries": asked, "seen_urls": sorted(r.url for r in held["urls"].select("url").distinct().collect()),
-        "queries": [r["query"] for r in log], "records": log, "sources": sources,
-        "facts": [{"fact": r.item, "query": f"census x{r.sources}"} for r in rows],
-        "items": [{"item": r.item, "sources": r.sources, "vetted": r.vetted} for r in rows],
-        "report": {"answer": told, "key_findings": [r.shown for r in rows], "open_questions": [], "confidence": round(min(0.95, 0.4 + len(rows) / 2000), 2), "enumerated": True},
+        "n_queries": n_asked, "n_rounds": rounds, "n_sources": sources.count(), "n_deep_read": sum(r["pages_read"] for r in log), "n_discovered": 0,
+        "n_facts": n, "n_items": n, "n_vetted": vetted, "done_queries": mark("done_queries"), "seen_urls": mark("seen_urls"),
+        "queries": [r["query"] for r in log], "records": mark("records"), "sources": mark("sources"), "facts": mark("facts"), "items": mark("items"),
+        "report": {"answer": told, "key_findings": mark("found"), "open_questions": [], "confidence": round(min(0.95, 0.4 + n / 2000), 2), "enumerated": True},
     }
-    report.write(engine.folder, corpus, sources[:12])
-    corpus["top"] = sources[:12]
+    rows_of = engine.spark.createDataFrame([(i, json.dumps(r, ensure_ascii=False)) for i, r in enumerate(log)], "k0 long, value string")  # one a round
+    sections = [
+        rows_of.select(F.lit("records").alias("section"), "k0", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), "value"),
+        report.values("sources", sources, where, F.struct("title", "url", "snippet", "source")),
+        report.values("items", listed, ["place"], F.struct("item", "sources", "vetted")),
+        report.values("facts", listed, ["place"], F.struct(F.col("item").alias("fact"), F.concat(F.lit("census x"), "sources").alias("query"))),
+        report.values("found", listed, ["place"], F.col("shown")),
+        report.values("done_queries", asked, ["place"], F.col("query")),
+        report.values("seen_urls", seen, ["place"], F.col("url")),
+    ]
+    corpus = report.write(engine.folder, corpus, sections, top, n)
+    corpus["report"] = corpus["report"] | {"key_findings": [r.shown for r in listed.orderBy("place").limit(SPOKEN).select("shown").collect()]}
+    corpus["top"] = top
     return corpus

@@ -15,7 +15,7 @@ from loomquest.models import clients, tasks
 from loomquest.plans import campaign, census, lock, report
 from loomquest.plans.engine import Engine, pages
 from loomquest.sources import backends as B
-from loomquest.sources import cache, files, transport
+from loomquest.sources import cache, files, sink, transport
 from loomquest.sources.hits import Hits
 from loomquest.sources.transport import Fixture
 
@@ -276,6 +276,20 @@ def test_pages_that_say_nothing_go(spark):
     assert set(got) == {1, 2} and got[2].startswith("é é")
 
 
+def test_the_sink_writes_whole_files_or_none(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("if(id % 3 = 0, 'a', 'b') as section", "id as k0", "concat('{\"n\":', id, '}') as value").repartition(7)
+    target = {"path": str(tmp_path / "c.json"), "text": json.dumps({"x": 1, "a": sink.mark("a"), "in": {"b": sink.mark("b"), "none": sink.mark("none")}}), "form": "json"}
+    sink.write(rows, ["k0"], [target], str(tmp_path), "loomquest.plans.report")
+    want = {"x": 1, "a": [{"n": i} for i in range(2000) if i % 3 == 0], "in": {"b": [{"n": i} for i in range(2000) if i % 3], "none": []}}
+    assert json.loads((tmp_path / "c.json").read_text()) == want and sorted(p.name for p in tmp_path.iterdir()) == ["c.json"]
+    broken = rows.withColumn("value", F.when(F.col("k0") == 1500, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="lost"):
+        sink.write(broken, ["k0"], [target], str(tmp_path), "loomquest.plans.report")
+    with pytest.raises(Exception, match="no_such_form"):
+        sink.write(rows.limit(5), ["k0"], [target | {"form": "no_such_form"}], str(tmp_path), "loomquest.plans.report")
+    assert json.loads((tmp_path / "c.json").read_text()) == want
+
+
 def test_lock(tmp_path):
     with lock.held(str(tmp_path), "a"):
         assert lock.holder(str(tmp_path))["slug"] == "a"
