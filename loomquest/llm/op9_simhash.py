@@ -111,7 +111,8 @@ def grouped(docs: DataFrame, text: str = "text", size: int = SHINGLE, max_bits:
     """doc_id, fp (long), component_id: one row per row of docs.
 
     component_id is the smallest doc_id whose fingerprint is reachable by links of at most max_bits bits; rows with a null doc_id take part in
-    linking, but never name a component (null only if no row of the component has an id)."""
+    linking, but never name a component (null only if no row of the component has an id). Repeated rows are linked as equal prints and all stay; texts of any length are
+    taken whole, null and empty ones have print zero; equal prints are one node however many texts have them; an empty table gives no rows. Other columns are not read."""
     prints = saved(fingerprints(docs, ["doc_id"], text, size), "prints")
     rooted = _rooted(prints, max_bits)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
