@@ -325,10 +325,11 @@ def at_cosine(a, other, c):
 
 def retrieval(spark, a, b, codes):
     """Whether each pair of rows is retrieved, and how many pairs are in all."""
-    words = codes.encode(np.concatenate([a, b]))
-    rows = [(i, 0, a.shape[1], *w) for i, w in enumerate(words.tolist())]
-    schema = "cls long, home long, dim int, " + ", ".join(f"w{k} long" for k in range(codes.words))
-    found = [(min(x.a, x.b), max(x.a, x.b)) for x in op2_embeddings.near_codes(spark.createDataFrame(rows, schema), codes.tables, codes.words, codes.far).collect()]
+    x = np.concatenate([a, b])
+    turned = np.stack(op2_embeddings.beside(x, codes.axis) if codes.axis is not None else np.ones((2, len(x))), axis=1)
+    rows = [(i, 0, 0, codes.tables, codes.far, codes.turned, *e, *w) for i, (e, w) in enumerate(zip(turned.tolist(), codes.encode(x).tolist(), strict=True))]
+    schema = "cls long, home long, space long, tables int, far double, turned int, e double, se double, " + ", ".join(f"w{k} long" for k in range(codes.words))
+    found = [(min(x.a, x.b), max(x.a, x.b)) for x in op2_embeddings.near_codes(spark.createDataFrame(rows, schema), codes.tables, codes.words, codes.check).collect()]
     got = set(found)
     assert len(got) == len(found)
     return np.mean([(i, len(a) + i) in got for i in range(len(a))]), len(got)
@@ -360,6 +361,60 @@ def test_embedding_codes_of_one_sided_vectors(spark, mean):
     assert pairs < (0.01 if mean > 0.5 else 0.0001) * 3000 * 2999 / 2
 
 
+def around(r, mean, n, d, to=None):
+    """n unit vectors with a mean cosine, around a direction."""
+    to = unit(r.standard_normal((1, d))) if to is None else to
+    free = r.standard_normal((n, d))
+    free = unit(free - (free @ to.T) * to)
+    return np.sqrt(mean) * to + np.sqrt(1 - mean) * free
+
+
+@pytest.mark.parametrize("share", [0.02, 0.3])
+def test_tight_groups_have_codes_of_their_own(spark, share):
+    """A group of mean cosine 0.85 in an even table, and one in vectors of another length: links at 0.90 to 0.92 are found, though hardly any other pair of the group is retrieved
+    (counted among members that are not planted: planted ones lie nearer to the centre)."""
+    r, rows, plants, crowd = np.random.default_rng(21), [], [], {}
+    for d, n in ((256, 8000), (128, 6000)):
+        size, first = int(share * n), len(rows)
+        group = around(r, 0.85, size, d)
+        k = size // 8
+        group[k : 2 * k] = at_cosine(group[:k], group[2 * k : 3 * k], r.uniform(0.9, 0.92, (k, 1)))
+        rest = unit(r.standard_normal((n - size, d)))
+        rest[:500] = at_cosine(rest[500:1000], rest[1000:1500], r.uniform(0.9, 0.92, (500, 1)))
+        plants.append([(first + i, first + k + i) for i in range(k)])
+        plants.append([(first + size + i, first + size + 500 + i) for i in range(500)])
+        crowd[d] = (first + 2 * k, size - 2 * k)
+        rows += [(first + i, v.tolist()) for i, v in enumerate(np.concatenate([group, rest]))]
+    classes = spark.createDataFrame(rows, "cls long, embedding array<double>").repartition(8).cache()
+    samples = op2_embeddings._samples(classes, len(rows), op2_embeddings.SAMPLE)
+    layout = op2_embeddings.Layout({d: op2_embeddings.learned(x) for d, x in samples.items()})
+    assert all(len(s) == 2 for s in layout.spaces.values())
+    got = {(min(x.a, x.b), max(x.a, x.b)) for x in op2_embeddings.retrieved(classes, layout).select("a", "b").collect()}
+    for own in plants:
+        assert np.mean([p in got for p in own]) >= 0.9
+    vectors = dict(rows)
+    for first, size in crowd.values():
+        idle = [p for p in got if first <= p[0] < first + size and first <= p[1] < first + size and np.dot(vectors[p[0]], vectors[p[1]]) < 0.9]
+        assert len(idle) < 0.01 * size * (size - 1) / 2
+
+
+def test_no_link_falls_between_spaces(spark):
+    """Each link's ends meet in one of the spaces, wherever they lie around a group and a group within it; each vector has one home."""
+    r, d = np.random.default_rng(22), 24
+    to = unit(r.standard_normal((1, d)))
+    x = np.concatenate([around(r, m, 300, d, to) for m in np.linspace(0.1, 0.99, 10)])
+    x = np.concatenate([x, at_cosine(x, r.standard_normal(x.shape), r.uniform(0.9, 1, (len(x), 1)))])
+    codes = op2_embeddings.planes(d)
+    spaces = [op2_embeddings.Space(codes), op2_embeddings.Space(codes, to[0], 0.8), op2_embeddings.Space(codes, unit(to + 0.1)[0], 0.9)]
+    spaces[0].groups, spaces[1].groups = [spaces[1]], [spaces[2]]
+    layout = op2_embeddings.Layout({d: spaces})
+    meet, homes = np.zeros((len(x), len(x)), bool), np.zeros(len(x), int)
+    for _, at, home, *_ in layout.rows(x, *layout.of(d)):
+        meet[np.ix_(at, at)] = True
+        homes[at] += home
+    assert meet[x @ x.T >= 0.9].all() and not meet.all() and (homes == 1).all()
+
+
 def test_embeddings_of_every_length(spark):
     """Each length links with itself; clashing names and repeated rows do no harm."""
     r = np.random.default_rng(12)
