@@ -4,15 +4,16 @@ grouped() links fingerprints of whole texts at 2 bits. A fingerprint is two segm
 most one bit of some segment, so each fingerprint looks up the ball of radius 1 around either segment in that segment's table, and each match's
 complete distance is verified. Equal fingerprints are one entry, so copies cost nothing.
 
-deduped() links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of whole texts then differ in up to 18 of 64 bits,
-too many for balls, so it takes wide ones of BANDS segments, each the fingerprint of ROWS shingles that are drawn from the text min-wise: two
-texts of similarity s draw the same ones, and agree in the whole segment, with probability s ** ROWS, so the tables are looked up with balls of radius 0. No
-segment of a pair of similarity 0.8 agrees with probability (1 - 0.8 ** ROWS) ** BANDS = 0.00001. A match's distance is bounded by parity prints: bit i of
-512 says whether an odd number of the set's shingles hashes to i, so two sets differ in at least as many shingles as their prints in bits. What passes
-is verified on the complete sets."""
+deduped() links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Of 64 bits such fingerprints differ in up to 18, for which two segments
+have no balls. So it takes wide fingerprints, by the same majority of all the text's shingles for each bit, and more segments: a bit of two such texts differs with
+probability acos(8 / 9) / pi = 0.1515, a segment of w bits agrees with probability 0.8485 ** w, and there are as many segments as leave no pair of similarity 0.8 without a common one but
+with probability 0.00001 (tables()). Each is looked up in its own table with a ball of radius 0. w follows the number of texts, so that a bucket holds BUCKET unrelated ones at most. A match's
+Hamming distance is verified in the join on CHECKED further bits of the fingerprint. What passes is verified on the complete sets; parity prints
+bound their similarity before: bit i of 512 says whether an odd number of the set's shingles hashes to i, so two sets differ in at least as many shingles as their prints in bits."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -27,15 +28,20 @@ SEGMENTS = 2
 WIDTH = 64 // SEGMENTS
 #: Shingles turned into bits at a time: 64 bytes each.
 CHUNK = 1 << 18
-# The wide fingerprint.
-WIDE_SHINGLE, ROWS, BANDS, PARITY, SEED = 5, 5, 28, 8, 13
-#: Classes of one segment in a block; a segment with more is met block by block.
-BLOCK = 512
+# The wide fingerprint: WIDTHS are the least and greatest segments, BUCKET the unrelated texts of one value of a segment.
+WIDE_SHINGLE, PARITY, SEED, WIDTHS, BUCKET, MISSED = 5, 8, 13, (8, 16), 256, 1e-5
+#: How often a bit of two texts of similarity 0.8 differs (a little more than it does), and the bits that are compared beside the segments: of 128 they differ in 19 (sd 4.1), unrelated texts in 64 (sd 5.7).
+BIT_DIFFERS, CHECKED, CHECKED_DIFFER = 0.16, 128, 43
+#: Segments by whose hubs large groups are found first; shingles whose wide bits are held at a time.
+HUBS, SLICE = 16, 1 << 12
+#: Classes of one segment in a block; a bucket of more than HOT is met block by block.
+BLOCK, HOT = 512, 2048
 #: A table of keys is broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST = 1_000_000
 _RNG = np.random.default_rng(SEED)
-_XOR, _TIMES = (_RNG.integers(0, 2**64, ROWS * BANDS, np.uint64) for _ in range(2))
+_XOR, _TIMES = (_RNG.integers(0, 2**64, 64, np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _bits_over_half(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -123,29 +129,29 @@ def grouped(docs: DataFrame, text: str = "text", size: int = SHINGLE, max_bits:
 # --- wide fingerprints ------------------------------------------------------------------------------------------------------------------
 
 
-def _minima(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """ROWS * BANDS rows, one column per text; hashes holds all texts' shingle hashes, counts their numbers."""
-    least = np.full((len(_XOR), len(counts)), np.uint64(2**64 - 1))
-    owner = np.repeat(np.arange(len(counts)), counts)
-    for at in range(0, len(hashes), CHUNK // 4):
-        part = hashes[at : at + CHUNK // 4]
-        who, start = np.unique(owner[at : at + CHUNK // 4], return_index=True)
-        mixed = np.empty_like(part)
-        for k, (x, times) in enumerate(zip(_XOR, _TIMES, strict=True)):
-            np.bitwise_xor(part, x, out=mixed)
-            np.multiply(mixed, times, out=mixed)
-            least[k, who] = np.minimum(least[k, who], np.minimum.reduceat(mixed, start))
-    return least
-
-
-def _segments(least: np.ndarray) -> np.ndarray:
-    """BANDS rows, one column per text: the fingerprint of the ROWS shingles drawn for each segment. The minima are mixed first, since their high bits are alike."""
-    out = np.zeros((BANDS, least.shape[1]), np.uint64)
-    for t in range(BANDS):
-        h = (least[t * ROWS : (t + 1) * ROWS] ^ (least[t * ROWS : (t + 1) * ROWS] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        out[t] = _bits_over_half(h.T.ravel().view(np.int64), np.full(h.shape[1], ROWS)).view(np.uint64)
-    return out
+def tables(texts: int) -> tuple[int, int]:
+    """Bits of a segment and number of segments for so many texts."""
+    width = min(max(math.ceil(math.log2(max(1, texts) / BUCKET)), WIDTHS[0]), WIDTHS[1])
+    return width, math.ceil(math.log(MISSED) / math.log1p(-((1 - BIT_DIFFERS) ** width)))
+
+
+def _wide_bits(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """One row of bits per text: 1 where over half of its shingles have it. hashes holds all texts' distinct shingle hashes, counts their numbers."""
+    n_words = -(-bits // 64)
+    ones, ends = np.zeros((len(counts), 64 * n_words), np.uint32), np.cumsum(counts)
+    for at in range(0, len(hashes), SLICE):
+        part = hashes[at : at + SLICE]
+        mixed = (part[:, None] ^ _XOR[:n_words]) * _TIMES[:n_words]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _MIX
+        mixed ^= mixed >> np.uint64(32)
+        seen = np.unpackbits(mixed.view(np.uint8), axis=1)
+        first, last = np.searchsorted(ends, [at, at + len(part) - 1], side="right")
+        for k in range(first, last + 1):
+            a, b = max(0, ends[k] - counts[k] - at), min(len(part), ends[k] - at)
+            for i in range(a, b, 255):
+                ones[k] += np.add.reduce(seen[i : min(b, i + 255)], axis=0, dtype=np.uint8)
+    return (2 * ones > counts[:, None])[:, :bits]
 
 
 def _parity(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -160,24 +166,38 @@ def _parity(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _wide(batches):
-    """Of each text its number of distinct shingles, parity print and segments; about CHUNK shingles at a time."""
-    for batch in batches:
-        lists = batch.column(batch.num_columns - 1)
-        offsets = lists.offsets.to_numpy()
-        hashes = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-            own, counts, n = hashes[offsets[at] : offsets[to]], np.diff(offsets[at : to + 1]).astype(np.int64), to - at
-            segments, parity = _segments(_minima(own, counts)), _parity(own, counts)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(segments.T).view(np.int64).ravel()))
-            arrays = [*[c[at:to] for c in batch.columns[:-1]], pa.array(counts), *[pa.array(p.view(np.int64)) for p in parity], listed]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "n", *[f"p{k}" for k in range(PARITY)], "segments"])
-            at = to
+def _wide(width: int, number: int):
+    """Of each text its number of distinct shingles, parity print, the bits that are compared, and the segments, each with its place; about CHUNK shingles at a time."""
+    powers, place = 1 << np.arange(width), np.arange(number) << WIDTHS[1]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            offsets = lists.offsets.to_numpy()
+            hashes = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
+                to = min(to, at + SLICE)
+                own, counts, n = hashes[offsets[at] : offsets[to]], np.diff(offsets[at : to + 1]).astype(np.int64), to - at
+                bits, parity = _wide_bits(own, counts, CHECKED + width * number), _parity(own, counts)
+                checked = np.packbits(bits[:, :CHECKED], axis=1).view("<i8").T
+                segments = (bits[:, CHECKED:].reshape(n, number, width) @ powers + place).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * number), pa.array(segments.ravel()))
+                longs = [pa.array(np.ascontiguousarray(p).view(np.int64)) for p in (*parity, *checked)]
+                yield pa.RecordBatch.from_arrays([*[c[at:to] for c in batch.columns[:-1]], pa.array(counts), *longs, listed], names=[*batch.schema.names[:-1], *_PRINT, *_CHECKED, "segments"])
+                at = to
+
+    return run
 
 
 _PRINT = ["n", *[f"p{k}" for k in range(PARITY)]]
+_CHECKED = [f"f{k}" for k in range(CHECKED // 64)]
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether two fingerprints differ in few enough of the bits that are compared."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{f}").bitwiseXOR(F.col(f"{b}{f}"))) for f in _CHECKED]) <= CHECKED_DIFFER
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -201,33 +221,48 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFra
     return saved(pairs.join(of("b"), "b").join(of("a"), "a").where(near).select("a", "b"), "near")
 
 
-def _near_groups(classes: DataFrame, segments: DataFrame, keyed: DataFrame) -> DataFrame:
+def _few(d: DataFrame) -> DataFrame:
+    """d, broadcast where its measured size allows."""
+    return F.broadcast(d) if d.count() <= BROADCAST else d
+
+
+def _near_groups(classes: DataFrame, keyed: DataFrame) -> DataFrame:
     """cls and root (of its group), for each class that has a link.
 
-    First every class meets the least one of each of its segments. Where a segment then still holds several groups, the classes outside its largest group meet
-    all those of other groups, in blocks, so that a large group makes no pairs of its own and no segment is one task's."""
-    name = lambda d, to, more=(): d.select(*more, F.col("cls").alias(to), *[F.col(c).alias(f"{to}{c}") for c in _PRINT])
-    held = segments.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("size")).where("size > 1")
-    held = saved(segments.join(held, "key"), "held")
-    tried = saved(held.where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "pairs")
-    may = tried.join(name(classes, "a"), "a").join(name(classes, "b"), "b").where(_may_link("a", "b")).select("a", "b")
-    found = _verified(saved(may, "pairs"), classes, keyed)
+    First every class meets the least one of its buckets in HUBS tables, which finds the large groups. Then in each table's buckets those of different groups meet. In a hot bucket the
+    classes outside its largest group meet all those of other groups, in blocks, so that a large group makes no pairs of its own and no bucket is one task's."""
+    by_key = lambda d, *more: d.select(*more, "cls", *_CHECKED, F.explode("segments").alias("key"))
+    name = lambda d, to, names, more=(): d.select(*more, F.col("cls").alias(to), *[F.col(c).alias(f"{to}{c}") for c in names])
+
+    def near(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        met = saved(pairs.distinct(), "pairs")
+        may = saved(met.join(name(classes, "a", _PRINT), "a").join(name(classes, "b", _PRINT), "b").where(_may_link("a", "b")).select("a", "b"), "pairs")
+        return met, _verified(may, classes, keyed)
+
+    some = by_key(classes.withColumn("segments", F.slice("segments", 1, HUBS)))
+    hub = some.groupBy("key").agg(F.min_by(F.struct("cls", *_CHECKED), "cls").alias("x"), F.count("*").alias("size")).where("size > 1")
+    hub = saved(name(hub.select("key", "x.*"), "a", _CHECKED, ["key"]), "hubs")
+    tried, found = near(name(some, "b", _CHECKED, ["key"]).join(_few(hub), "key").where((F.col("a") < F.col("b")) & _close("a", "b")).select("a", "b"))
     tree = saved(components(found), "tree").withColumnRenamed("node", "cls")
-    shared = held.select("key", "size", "cls").join(tree, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    shared = saved(shared, "shared")
-    most = shared.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("groups"))
-    mixed = shared.join(most.where("groups > 1").select("key", F.col("most.root").alias("main")), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    mixed = saved(mixed.join(classes.select("cls", *_PRINT), "cls"), "mixed")
-    outside = name(mixed.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", ["key", "block", F.col("root").alias("aroot")])
-    all_of = name(mixed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "b", ["key", "block", "root"])
-    more = outside.join(all_of, ["key", "block"]).where((F.col("aroot") != F.col("root")) & _may_link("a", "b"))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = saved(more, "pairs")
-    if not more.isEmpty():
-        again = _verified(more, classes, keyed)
-        tree = saved(components(found.union(again)), "tree").withColumnRenamed("node", "cls")
-        discard(again)
-    for x in (held, tried, found, shared, mixed, more):
+    rooted = saved(classes.select("cls", *_CHECKED, "segments").join(tree, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
+    rows = by_key(rooted, "root")
+    hot = saved(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > HOT), "hot")
+    held = ["root", *_CHECKED]
+    # Neither side is renamed before the exchange, so that both read the same one.
+    even = rows.join(_few(hot.select("key")), "key", "left_anti").repartition("key")
+    apart = (F.col("aroot") != F.col("broot")) & _close("a", "b")
+    pairs = name(even, "a", held, ["key"]).join(name(even, "b", held, ["key"]), "key").where((F.col("a") < F.col("b")) & apart).select("a", "b")
+    if not hot.isEmpty():
+        large = rows.join(_few(hot), "key")
+        most = large.groupBy("key", "size", "root").agg(F.count("*").alias("n")).groupBy("key", "size").agg(F.max(F.struct("n", "root")).alias("most"))
+        most = saved(most.select("key", F.col("most.root").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "most")
+        large = rows.join(_few(most), "key")
+        outside = name(large.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", held, ["key", "block"])
+        all_of = name(large.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "b", held, ["key", "block"])
+        pairs = pairs.union(outside.join(all_of, ["key", "block"]).where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    more, again = near(pairs)
+    tree = saved(components(found.union(again)), "tree").withColumnRenamed("node", "cls")
+    for x in (hub, tried, found, rooted, more, again, hot):
         discard(x)
     return tree
 
@@ -242,15 +277,14 @@ def deduped(docs: DataFrame, text: str = "text") -> DataFrame:
     d = keyed.select("doc_id", "__k", _split(text).alias("__w"))
     whole = F.array_join("__w", " ")
     d = d.select("doc_id", "__k", F.xxhash64(whole).alias("cls"), F.xxhash64(F.lit(1), whole).alias("check"), F.array_distinct(_shingles(WIDE_SHINGLE)).alias("__h"))
-    schema = "doc_id " + dict(docs.dtypes)["doc_id"] + ", __k long, cls long, check long, n long, " + ", ".join(f"p{k} long" for k in range(PARITY)) + ", segments array<long>"
-    prints = saved(d.mapInArrow(_wide, schema), "prints")
+    width, number = tables(docs.count())
+    longs = "".join(f", {c} long" for c in ("__k", "cls", "check", *_PRINT, *_CHECKED))
+    prints = saved(d.mapInArrow(_wide(width, number), f"doc_id {dict(docs.dtypes)['doc_id']}{longs}, segments array<int>"), "prints")
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__k").alias("k"))
-    both = prints.groupBy("cls", "check").agg(F.min(best).alias("best"), *[F.first(c).alias(c) for c in (*_PRINT, "segments")])  # copies agree in these
-    classes = saved(both.groupBy("cls").agg(F.min_by(F.struct("check", "best", *_PRINT, "segments"), "check").alias("x")).select("cls", "x.*"), "classes")
+    both = prints.groupBy("cls", "check").agg(F.min(best).alias("best"), *[F.first(c).alias(c) for c in (*_PRINT, *_CHECKED, "segments")])  # copies agree in these
+    classes = saved(both.groupBy("cls").agg(F.min_by(F.struct("check", "best", *_PRINT, *_CHECKED, "segments"), "check").alias("x")).select("cls", "x.*"), "classes")
     unlike = prints.select("cls", "check", best.alias("best")).join(classes.select("cls", "check"), ["cls", "check"], "left_anti")
-    # The segment's place is part of its key.
-    segments = classes.select("cls", F.posexplode("segments").alias("t", "s")).select("cls", F.xxhash64("t", "s").alias("key"))
-    rooted = _near_groups(classes, segments, keyed.select("doc_id", "__k", F.col(text).alias("text")))
+    rooted = _near_groups(classes, keyed.select("doc_id", "__k", F.col(text).alias("text")))
     keep = classes.join(rooted, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("best").alias("best")).select("best")
     keep = keep.union(unlike.select("best")).select(F.col("best.id").alias("__id"), F.col("best.k").alias("__hash")).distinct()
     # How often a kept row is there: only rows that repeat both id and text are counted out.

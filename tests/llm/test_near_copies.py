@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import plain
 import pytest
 
@@ -64,3 +65,44 @@ def test_rows_of_one_hash_all_stay(spark, monkeypatch):
     rows = [(1, "a b c d e f g", "p", 1), (1, "a b c d e f g", "q", 2), (2, "A b C d e f g", "r", 3), (3, "other words stand here now", "s", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, cls string, n int")
     assert sorted((r.doc_id, r.n) for r in op9_simhash.deduped(df).collect()) in ([(1, 1), (3, 4)], [(1, 2), (3, 4)])
+
+
+def test_wide_fingerprints_are_of_whole_texts():
+    """Every bit is the majority of all shingles, as in the narrow fingerprint, not of a few that are drawn."""
+    rng = np.random.default_rng(2)
+    counts = np.array([300, 0, 1, 5000, 8])
+    hashes = rng.integers(0, 2**64, counts.sum(), np.uint64)
+    got = op9_simhash._wide_bits(hashes, counts, 128 + 60 * 10)
+    for row, own in zip(got, np.split(hashes, np.cumsum(counts)[:-1]), strict=True):
+        ones = np.zeros(768, int)
+        for h in own.tolist():
+            for k, (x, times) in enumerate(zip(op9_simhash._XOR[:12].tolist(), op9_simhash._TIMES[:12].tolist(), strict=True)):
+                m = (h ^ x) * times % 2**64
+                m = (m ^ m >> 32) * int(op9_simhash._MIX) % 2**64
+                m ^= m >> 32
+                ones[64 * k : 64 * k + 64] += np.unpackbits(np.frombuffer(m.to_bytes(8, "little"), np.uint8))
+        assert (row == (2 * ones > len(own))[:728]).all()
+
+
+@pytest.mark.parametrize("texts", [200, 200_000, 10_000_000])
+def test_segments_leave_no_pair_of_similarity_08(texts):
+    rng, (width, number) = np.random.default_rng(3), op9_simhash.tables(texts)
+    for n, both in ((9, 8), (90, 80), (45, 40)):
+        sets = []
+        for _ in range(300):
+            shared = rng.integers(0, 2**64, both, np.uint64)
+            sets += [shared, rng.integers(0, 2**64, n - both, np.uint64), shared, rng.integers(0, 2**64, n - both, np.uint64)]
+        bits = op9_simhash._wide_bits(np.concatenate(sets), np.full(600, n), op9_simhash.CHECKED + width * number)
+        differ = bits[::2] != bits[1::2]
+        assert differ[:, : op9_simhash.CHECKED].sum(axis=1).max() <= op9_simhash.CHECKED_DIFFER
+        assert not differ[:, op9_simhash.CHECKED :].reshape(300, number, width).any(axis=2).all(axis=1).any()
+
+
+@pytest.mark.parametrize("hot, broadcast", [(3, 1_000_000), (3, 0), (2048, 0)])
+def test_hot_buckets_lose_no_link(spark, monkeypatch, hot, broadcast):
+    monkeypatch.setattr(op9_simhash, "HOT", hot)
+    monkeypatch.setattr(op9_simhash, "BLOCK", 3)
+    monkeypatch.setattr(op9_simhash, "HUBS", 1)
+    monkeypatch.setattr(op9_simhash, "BROADCAST", broadcast)
+    rows = planted(20, 8)
+    assert kept(op9_simhash.deduped(spark.createDataFrame(rows, SCHEMA).repartition(3))) == plain.first_of_each(rows, plain.near_groups(rows))
