@@ -15,8 +15,8 @@ from loomquest.llm import op1_pii, op4_mix, op6_pieces, op7_quality, op9_simhash
 from loomquest.llm.common import new_path
 from loomquest.llm.queries import tokenizer_path
 
-#: The encoder's workers share executors with what earlier stages left in the JVM, so they keep fewer units than op6 does by itself.
-ENCODER_CACHE = 24 << 20
+#: The encoder's workers share executors with what earlier stages left in the JVM, so they keep fewer units and take less text at a time than op6 does by itself.
+ENCODER_CACHE, ENCODER_CHARS = 24 << 20, 1 << 20
 #: Columns that operators read or write in place; all others go past them as one.
 _READ = ["doc_id", "text", "source", "n_chars"]
 
@@ -52,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document of the mix, with the N best scores and whether they decode to the text. Null and empty texts have no pieces."""
-    return op6_pieces.encoded(docs, tokenizer_path("piece_bpe_32k.model"), ["doc_id", "source"], cache=ENCODER_CACHE)
+    return op6_pieces.encoded(docs, tokenizer_path("piece_bpe_32k.model"), ["doc_id", "source"], cache=ENCODER_CACHE, chars=ENCODER_CHARS)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("mix", mix), ("encode", encode)]

@@ -10,11 +10,13 @@ few of its units, those with the least gaps between their best and next best way
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
 from bisect import bisect_left
 from functools import lru_cache
+from itertools import chain, pairwise
 from operator import itemgetter
 
 import ahocorasick
@@ -32,6 +34,8 @@ N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 #: Bytes that a worker's cache of units may take, about; characters of text in a run; units longer than this are cut at every place where that can be done.
 CACHE_BYTES, CHARS, LONG_UNIT = 96 << 20, 3 << 20, 200
+#: Parts up to this length are searched in step, so many characters at a time.
+STEPPED, BLOB = 48, 1 << 16
 _INF = float("inf")
 _LAST = itemgetter(0)
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -42,17 +46,20 @@ _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 class Kept:
     """A function's values by text, in two generations: when the new one has its bytes it becomes the old one, and what is still in use moves up."""
 
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.new, self.old, self.bytes = make, limit // 2, {}, {}, 0
+    def __init__(self, make, limit: int, at_once=None):
+        """at_once: a function that gives the values of a list of texts, by text."""
+        self.make, self.limit, self.new, self.old, self.bytes = at_once or (lambda texts: {t: make(t) for t in texts}), limit // 2, {}, {}, 0
 
     def all(self, texts) -> list:
-        new, old, make = self.new, self.old, self.make
+        new, old, made = self.new, self.old, []
         for t in set(texts).difference(new):
             value = old.get(t)
             if value is None:
-                value = make(t)
-            new[t] = value
+                made.append(t)
+            else:
+                new[t] = value
             self.bytes += 400 + 6 * len(t)
+        new.update(self.make(made))
         out = list(map(new.__getitem__, texts))
         if self.bytes > self.limit:
             self.old, self.new, self.bytes = new, {}, 0
@@ -101,21 +108,27 @@ class Pieces:
         self.singles = {k for k in self.ids if len(k) == 1}
         self.finder = ahocorasick.Automaton()
         for k, (i, score) in self.ids.items():
-            self.finder.add_word(k, (len(k), i, score))
+            self.finder.add_word(k, i)
         self.finder.make_automaton()
+        self.edge, self.sizes, self.scores = {}, np.zeros(len(proto.pieces), np.int64), np.zeros(len(proto.pieces))
+        for k, (i, score) in self.ids.items():
+            self.edge[i] = len(k), i, score
+            self.sizes[i], self.scores[i] = len(k), score
+        self.plain = pa.array(self.bytes_of, pa.binary())
         self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.forget()
 
     def forget(self) -> None:
         """Empties the caches."""
-        self.kept, self.ways_kept = Kept(self._unit, self.cache), Kept(self.ways, self.cache // 8)
+        self.kept, self.ways_kept = Kept(None, self.cache, self._units), Kept(self.ways, self.cache // 8)
 
     # --- the search -----------------------------------------------------------------------------------------------------------------------
 
     def _lattice(self, part: str):
         """The edges, (last character, (length, id or -1 for an unknown character, score)), by last character, and for each place the best score of a way to it (forward
         Viterbi)."""
-        edges = list(self.finder.iter(part))
+        edge = self.edge
+        edges = [(last, edge[i]) for last, i in self.finder.iter(part)]
         if not self.singles.issuperset(part):
             edges = sorted(edges + [(i, (1, -1, self.unknown)) for i, c in enumerate(part) if c not in self.singles], key=_LAST)
         best = [-_INF] * (len(part) + 1)
@@ -185,9 +198,13 @@ class Pieces:
             agenda = sorted(agenda + more, key=lambda x: x[:2])[: wanted - len(out)]
         return out
 
+    @staticmethod
+    def _whole(unit: str) -> bool:
+        return len(unit) <= LONG_UNIT and unit.lstrip(SPACE).isalpha()
+
     def parts(self, unit: str) -> list[str]:
         """The unit cut where no piece reaches over. Words of letters alone, which hardly ever have such a place, are not looked at."""
-        if len(unit) <= LONG_UNIT and unit.lstrip(SPACE).isalpha():
+        if self._whole(unit):
             return [unit]
         cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.joined]
         return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
@@ -196,14 +213,80 @@ class Pieces:
         ids, score, gap = self._first(part)
         return array("I", ids).tobytes(), score, gap, b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _unit(self, unit: str) -> tuple[bytes, float, float, bytes]:
-        """ids (little-endian uint32) and score of the best way of a unit, the gap to the next best one, and the bytes that the ids decode to."""
-        parts = self.parts(unit) if unit else ()
-        if len(parts) == 1:
-            return self._part(unit)
+    def _parts(self, parts: list[str]) -> list[tuple[bytes, float, float, bytes]]:
+        """What _part() gives for each of parts, which hold two characters at least, all of them pieces: the same search in step for all.
+
+        Places count through the parts between line feeds, which no piece holds. Edges come by their last character, the longest first."""
+        n, sizes = len(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        start = np.cumsum(sizes + 1) - sizes - 1
+        flat = np.fromiter(chain.from_iterable(self.finder.iter("\n".join(parts))), np.int64).reshape(-1, 2)
+        to, piece = flat[:, 0] + 1, flat[:, 1]
+        back, scores = to - self.sizes[piece], self.scores[piece]
+        # Forward Viterbi, one place of all parts after another.
+        best = np.full(int(start[-1] + sizes[-1]) + 2, -_INF)
+        best[start] = 0.0
+        local = (to - np.repeat(start, sizes + 1)[to - 1]).astype(np.int16)
+        order = np.argsort(local, kind="stable")
+        level = np.searchsorted(local[order], np.arange(1, int(sizes.max()) + 2))
+        for a, b in pairwise(level.tolist()):
+            e = order[a:b]
+            first = np.flatnonzero(np.diff(to[e], prepend=-1))
+            best[to[e[first]]] = np.maximum.reduceat(scores[e] + best[back[e]], first)
+        # Back from the ends, as in _first().
+        count = np.bincount(to, minlength=len(best))
+        head = np.cumsum(count) - count
+        at, score, agenda, active, steps = start + sizes, np.zeros(n), np.full(n, -_INF), np.arange(n), []
+        while len(active):
+            many = count[at[active]]
+            ends = np.cumsum(many)
+            own = ends - many
+            e = np.repeat(head[at[active]] - own, many) + np.arange(ends[-1])
+            f = scores[e] + np.repeat(score[active], many) + best[back[e]]
+            tops = np.flatnonzero(f == np.repeat(np.maximum.reduceat(f, own), many))
+            top = tops[np.searchsorted(tops, own)]  # of equal ones the longest, which stands first
+            f[top] = -_INF
+            agenda[active] = np.maximum(agenda[active], np.maximum.reduceat(f, own))
+            e = e[top]
+            steps.append((active, piece[e]))
+            score[active] += scores[e]
+            at[active] = back[e]
+            active = active[at[active] > start[active]]
+        owner = np.concatenate([x for x, _ in reversed(steps)])
+        ids = np.concatenate([x for _, x in reversed(steps)])[np.argsort(owner, kind="stable")]
+        gap = np.where(agenda > -_INF, np.maximum(0.0, score - agenda), _INF)
+        text = self.plain.take(pa.array(ids))
+        ends = np.cumsum(np.bincount(owner, minlength=n))
+        text_ends = np.frombuffer(text.buffers()[1], np.int32, len(ids) + 1)[ends].tolist()
+        raw, raw_text, ends = ids.astype("<u4").tobytes(), text.buffers()[2].to_pybytes(), (4 * ends).tolist()
+        return [(raw[a:b], s, g, raw_text[c:d]) for a, b, s, g, c, d in zip([0, *ends], ends, score.tolist(), gap.tolist(), [0, *text_ends], text_ends)]  # noqa: B905
+
+    def _found(self, parts: list[str]) -> dict[str, tuple[bytes, float, float, bytes]]:
+        """What _part() gives, by part. Long parts and those with unknown characters are searched one by one."""
+        strange = set().union(*parts) - self.singles
+        some = [x for x in parts if 1 < len(x) <= STEPPED and (not strange or strange.isdisjoint(x))]
+        out, at, size = {}, 0, 0
+        for k, x in enumerate(some, 1):
+            size += len(x) + 1
+            if size > BLOB or k == len(some):
+                out.update(zip(some[at:k], self._parts(some[at:k]), strict=True))
+                at, size = k, 0
+        if len(some) < len(parts):
+            out.update((x, self._part(x)) for x in parts if x not in out)
+        return out
+
+    def _units(self, units: list[str]) -> dict[str, tuple[bytes, float, float, bytes]]:
+        """By unit: ids (little-endian uint32) and score of the best way, the gap to the next best one, and the bytes that the ids decode to."""
+        whole, cut = [], []
+        for x in units:
+            (whole if self._whole(x) else cut).append(x)
+        out, cut = self._found(whole), [(x, self.parts(x) if x else ()) for x in cut]
         seen = self.kept.seen
-        found = [seen(x) or self._part(x) for x in parts]  # a part is often a unit elsewhere
-        return b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found], default=_INF), b"".join([f[3] for f in found])
+        found = {x: out.get(x) or seen(x) for x in {x for _, parts in cut for x in parts}}  # a part is often a unit elsewhere
+        found.update(self._found([x for x, value in found.items() if value is None]))
+        for x, parts in cut:
+            f = [found[p] for p in parts]
+            out[x] = f[0] if len(f) == 1 else (b"".join([v[0] for v in f]), sum([v[1] for v in f]), min([v[2] for v in f], default=_INF), b"".join([v[3] for v in f]))
+        return out
 
     def _sums(self, choices: list[list[float]]) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
         """Of ways to choose from each member of a sequence (gaps ascending from 0) the n_best: gap, and (member, choice) wherever that is not the first. Of
@@ -295,23 +378,24 @@ def _lists(values: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4")))
 
 
-def _runs(texts: pa.Array):
-    """Bounds of runs of texts with about CHARS characters."""
+def _runs(texts: pa.Array, chars: int = CHARS):
+    """Bounds of runs of texts with about so many characters."""
     ends, at = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)), 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars, side="right")))
         yield at, to
         at = to
 
 
-def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_best: int = N_BEST, ways: bool = False, cache: int = CACHE_BYTES) -> DataFrame:
+def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_best: int = N_BEST, ways: bool = False, cache: int = CACHE_BYTES, chars: int = CHARS) -> DataFrame:
     """keys, ids (array<int>, the best segmentation), score, nbest (array<double>, scores of the best n_best segmentations of the whole text), nbest_crc32
     (array<long>, of the ids of each as little-endian uint32), ids_crc32 (of the best), n_pieces, and exact: whether decoding the ids gives the text back. With ways,
     also ways (array<array<int>>): the ids of each of the n_best segmentations.
 
     Null and empty texts have no pieces, score 0 and one segmentation. Texts of any length are taken whole. Of segmentations of equal score, the one comes first
     whose first unit out of its best way stands earlier; within a unit, the one with the longer last piece. A text that itself holds U+2581 decodes to a space
-    there, so exact is false. Rows are handled one by one: repeated rows give equal results, an empty table none. Other columns are not read. cache: bytes in which a worker keeps units that it has found; fewer take more time."""
+    there, so exact is false. Rows are handled one by one: repeated rows give equal results, an empty table none. Other columns are not read. cache: bytes in which a worker keeps units that it has found, chars: characters of
+    text that it takes at a time; fewer of either take more time."""
 
     def of(batch, texts, a, b, got, p):
         sums = [[zlib.crc32(w[1]) for w in g[0]] for g in got]
@@ -333,13 +417,15 @@ def encoded(docs: DataFrame, model: str, keys: list[str], text: str = "text", n_
     def run(batches):
         give_back()  # what a worker holds from the tasks of other stages
         p = pieces(model, n_best, cache)
+        gc.disable()  # the caches hold many tuples and no cycles
         try:
             for batch in batches:
                 column = pc.fill_null(batch.column(batch.num_columns - 1), "")
-                for a, b in _runs(column):
+                for a, b in _runs(column, chars):
                     texts = column[a:b].to_pylist()
                     yield of(batch, texts, a, b, p.encode(texts), p)
         finally:  # a worker that waits for its next task holds the vocabulary alone
+            gc.enable()
             p.forget()
             give_back()
 

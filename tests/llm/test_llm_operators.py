@@ -1,6 +1,7 @@
 """Every operator against its brute-force version, over the small tables and over awkward rows."""
 
 import math
+import random
 import struct
 import zlib
 
@@ -569,6 +570,18 @@ def test_nbest_of_units():
         assert gap == pytest.approx(every[0][0] - every[1][0] if len(every) > 1 else math.inf)
 
 
+def test_parts_searched_in_step_are_those_searched_alone(monkeypatch):
+    """The same ids, scores to the last bit, gaps and bytes, ties included; memory for as many characters as a blob has."""
+    p = op6_pieces.Pieces(T("piece_bpe_32k.model"))
+    rnd = random.Random(4)
+    words = {"".join(rnd.choice("aaeinrsté▁zqx🙂\x01") for _ in range(rnd.randrange(1, 60))) for _ in range(400)} | {"aa", "▁the", "▁a", "a", "▁", "x" * 300}
+    for blob in (1 << 16, 10):
+        monkeypatch.setattr(op6_pieces, "BLOB", blob)
+        stepped = [x for x in words if 1 < len(x) <= op6_pieces.STEPPED and p.singles.issuperset(x)]
+        assert len(stepped) > 40 and p._parts(stepped) == [p._part(x) for x in stepped]
+        assert p._found(list(words)) == {x: p._part(x) for x in words}
+
+
 def test_models_that_are_not_handled(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
