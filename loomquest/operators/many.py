@@ -6,6 +6,9 @@ it. Where each address stood first is looked up for those alone. Goals are taken
 
 from __future__ import annotations
 
+from itertools import chain
+from operator import itemgetter
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,7 @@ from loomquest.sources.tables import saved
 
 #: Tokens of the goals of a block, about, and cells (hits by goals) that a task scores at a time.
 MOST_TOKENS, CELLS = 200_000, 2_000_000
+_TOKEN = itemgetter(1)
 _BEST = "goal int, url string, score double"
 _REACHED = "goal int, url string, score double, overlap int, rec_ord long, hit_ord int"
 
@@ -32,7 +36,8 @@ class _Index:
         for g, own in enumerate(tokens):
             for t in own:
                 goals.setdefault(t, []).append(g)
-        self.goals = [np.array(v) for v in goals.values()]
+        self.sizes = np.fromiter(map(len, goals.values()), np.int64, len(goals))
+        self.start, self.goals = np.cumsum(self.sizes) - self.sizes, np.fromiter(chain.from_iterable(goals.values()), np.int64)
         self.finder = ahocorasick.Automaton()
         for i, t in enumerate(goals):
             self.finder.add_word(t, i)
@@ -41,9 +46,14 @@ class _Index:
     def overlaps(self, texts: list[str]) -> np.ndarray:
         """How many of each goal's tokens each text holds, as parts of words too."""
         out = np.zeros((len(texts), self.n), np.int32)
-        for row, text in zip(out, texts, strict=True):
-            for i in {i for _, i in self.finder.iter(text)} if self.goals else ():
-                row[self.goals[i]] += 1
+        step = max(1, CELLS // max(1, self.n, len(self.goals)))
+        for at in range(0, len(texts) if len(self.goals) else 0, step):
+            part = out[at : at + step]
+            found = [set(map(_TOKEN, self.finder.iter(t))) for t in texts[at : at + step]]
+            token = np.fromiter(chain.from_iterable(found), np.int64)
+            row, many = np.repeat(np.arange(len(part)), np.fromiter(map(len, found), np.int64, len(part))), self.sizes[token]
+            goal = self.goals[np.repeat(self.start[token] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            part[:] = np.bincount(np.repeat(row, many) * self.n + goal, minlength=part.size).reshape(part.shape)
         return out
 
     def scored(self, batches):
@@ -139,7 +149,9 @@ def rank_for_goals(hits: DataFrame, goals: DataFrame, k: int = TOP_K) -> DataFra
     whole = h.select("rec_ord", "hit_ord", "title", "snippet", "source")
     columns = ["goal_id", "rank", "url", "title", "snippet", "source", "score", "overlap"]
     on = found.join(whole, ["rec_ord", "hit_ord"]).select(*columns)
-    # Goals off every topic: one short list for those that ask for lists, one for the others.
-    off = asked.join(found.select("goal_id").distinct(), "goal_id", "left_anti").select("goal_id", "listing")
-    usual = [rank_sources(h, "", k, x).withColumn("listing", F.lit(x)) for x in (False, True)]
-    return on.unionByName(off.join(F.broadcast(usual[0].unionByName(usual[1])), "listing").select(*columns))
+    # Goals off every topic: one short list for those that ask for lists, one for the others, if there are such goals.
+    off = saved(asked.join(found.select("goal_id").distinct(), "goal_id", "left_anti").select("goal_id", "listing"), "off")
+    for x in sorted(r["listing"] for r in off.select("listing").distinct().collect()):
+        usual = rank_sources(h, "", k, x)
+        on = on.unionByName(off.where(F.col("listing") == x).join(F.broadcast(usual)).select(*columns))
+    return on

@@ -117,6 +117,25 @@ def test_lists_in_blocks_and_small_slices(spark, monkeypatch):
     assert many.rank_for_goals(hits.limit(0), asked, 3).collect() == [] and many.rank_for_goals(hits, asked.limit(0), 3).collect() == []
 
 
+def test_goals_on_topic_need_no_other_list(spark, monkeypatch):
+    """The lists for goals off every topic take two more passes over all texts; they are made only for such goals."""
+    made = []
+    monkeypatch.setattr(many, "rank_sources", lambda *a: made.append(a[3]) or rank.rank_sources(*a))
+    hits = spark.createDataFrame([(i, 0, float(i), "50 words", f"u{i}", "red cats", "s") for i in range(4)], HITS)
+    ask = lambda goals: many.rank_for_goals(hits, spark.createDataFrame(goals, "goal_id long, goal string, listing boolean"), 2).collect()
+    assert {r.url for r in ask([(1, "red", False), (2, "cats", True)])} == {"u3", "u2"} and made == []
+    assert sorted((r.goal_id, r.rank, r.url) for r in ask([(1, "red", False), (2, "zzz", True), (3, "yyy", True)])) == [(g, k, f"u{4 - k}") for g in (1, 2, 3) for k in (1, 2)] and made == [True]
+
+
+def test_overlaps_count_each_token_once(monkeypatch):
+    tokens, texts = [["red", "cats"], ["red"], [], ["cat", "cats", "red"], ["none"]], ["red red cats", "", "scats", "colored", "none red"]
+    want = [[sum(t in x for t in own) for own in tokens] for x in texts]
+    for cells in (2_000_000, 1):
+        monkeypatch.setattr(many, "CELLS", cells)
+        assert many._Index(tokens, [False] * 5).overlaps(texts).tolist() == want
+    assert many._Index([[]], [False]).overlaps(["a"]).tolist() == [[0]]
+
+
 def test_lists_rerun_safely(spark, tmp_path):
     out, config = str(tmp_path / "out"), common.settings("reading_lists")
     goals = str(tmp_path / "goals.parquet")
