@@ -9,7 +9,10 @@ have no balls. So it takes wide fingerprints, by the same majority of all the te
 probability acos(8 / 9) / pi = 0.1515, a segment of w bits agrees with probability 0.8485 ** w, and there are as many segments as leave no pair of similarity 0.8 without a common one but
 with probability 0.00001 (tables()). Each is looked up in its own table with a ball of radius 0. w follows the number of texts, so that a bucket holds BUCKET unrelated ones at most. A match's
 Hamming distance is verified in the join on CHECKED further bits of the fingerprint. What passes is verified on the complete sets; parity prints
-bound their similarity before: bit i of 512 says whether an odd number of the set's shingles hashes to i, so two sets differ in at least as many shingles as their prints in bits."""
+bound their similarity before: bit i of 512 says whether an odd number of the set's shingles hashes to i, so two sets differ in at least as many shingles as their prints in bits.
+
+Versions of one text that are unlike by more than that share segments with each other all the same. Where texts crowd like this, those of which a good part is shingles that more than CROWD texts
+have are looked up by their other shingles too (_crowded()), and the buckets leave out the pairs that this finds."""
 
 from __future__ import annotations
 
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomquest.llm.common import ascii_lower, components, discard, saved, words
+from loomquest.llm.common import ascii_lower, components, discard, saved, sealed, words
 
 SHINGLE, MAX_BITS = 3, 2
 SEGMENTS = 2
@@ -36,6 +39,8 @@ BIT_DIFFERS, CHECKED, CHECKED_DIFFER = 0.16, 128, 43
 HUBS, SLICE = 16, 1 << 12
 #: Classes of one segment in a block; a bucket of more than HOT is met block by block.
 BLOCK, HOT = 512, 2048
+#: A text that more than CROWD others are close to makes a crowd; a shingle of more than CROWD texts is common. The greatest reach is that of a text outside crowds.
+CROWD, FAR = 64, 2**31 - 1
 #: A table of keys is broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST = 1_000_000
 _RNG = np.random.default_rng(SEED)
@@ -205,7 +210,7 @@ def _may_link(a: str, b: str) -> Column:
     differ in d bits at most."""
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(PARITY)])
     both = F.col(f"{a}n") + F.col(f"{b}n")
-    return (9 * differ <= both) & (5 * F.least(F.col(f"{a}n"), F.col(f"{b}n")) >= 4 * F.greatest(F.col(f"{a}n"), F.col(f"{b}n")))
+    return (9 * differ <= both) & _alike(a, b)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -226,13 +231,40 @@ def _few(d: DataFrame) -> DataFrame:
     return F.broadcast(d) if d.count() <= BROADCAST else d
 
 
-def _near_groups(classes: DataFrame, keyed: DataFrame) -> DataFrame:
+def _alike(a: str, b: str) -> Column:
+    """Whether the numbers of shingles of two classes allow a similarity of 0.8."""
+    return 5 * F.least(F.col(f"{a}n"), F.col(f"{b}n")) >= 4 * F.greatest(F.col(f"{a}n"), F.col(f"{b}n"))
+
+
+def _crowded(classes: DataFrame, shingles: DataFrame) -> DataFrame:
+    """cls, c, reach and rare of the classes with common shingles.
+
+    A class of n shingles, c of them common, that is linked to one of m shares 4 / 9 * (n + m) of them with it; where that is more than c, that is for m > reach, they share one that is not common.
+    In an order with these first, the first that they share is among the first n / 5 + 1 of either, so rare holds those (fewer, where the common ones begin). A class has a reach if a quarter of it is
+    common, and is FAR-reaching otherwise; classes linked to one with a reach have at least 0.25 - 0.2 of its n in common shingles, 0.04 of their own."""
+    common = saved(shingles.groupBy("s").agg(F.count("*").alias("size")).where(F.col("size") > CROWD).select("s", F.lit(1).alias("hit")), "common")
+    held = shingles.join(_few(common), "s", "left").groupBy("cls", "check").agg(F.count("hit").alias("hit"), F.count("*").alias("seen")).where("hit > 0")
+    held = held.join(classes.select("cls", "check", "n"), ["cls", "check"]).select("cls", "check", "n", F.expr("hit * n div seen").alias("c")).where("25 * c >= n")
+    held = saved(held, "held")
+    rare = shingles.join(_few(held.select("cls", "check")), ["cls", "check"], "left_semi").join(_few(common), "s", "left_anti")
+    rare = rare.groupBy("cls").agg(F.sort_array(F.collect_set("s")).alias("rare"))
+    reach = F.when(4 * F.col("c") >= F.col("n"), F.expr("9 * c div 4 - n")).otherwise(FAR).cast("int")
+    found = held.join(rare, "cls", "left").select("cls", "c", reach.alias("reach"), F.slice("rare", 1, F.expr("int(n div 5 + 1)")).alias("rare"))
+    found = saved(found, "crowded")
+    for x in (common, held):
+        discard(x)
+    return found
+
+
+def _near_groups(classes: DataFrame, keyed: DataFrame, shingles: DataFrame) -> DataFrame:
     """cls and root (of its group), for each class that has a link.
 
-    First every class meets the least one of its buckets in HUBS tables, which finds the large groups. Then in each table's buckets those of different groups meet. In a hot bucket the
-    classes outside its largest group meet all those of other groups, in blocks, so that a large group makes no pairs of its own and no bucket is one task's."""
+    First every class meets the least one of its buckets in HUBS tables, and in a crowd also the one with the most common shingles, which finds the large groups. Then in each table's buckets those
+    of different groups meet, within their reach, and those beyond it by the shingles of _crowded(). In a hot bucket the classes outside its largest group meet all those of other groups, in blocks,
+    so that a large group makes no pairs of its own and no bucket is one task's."""
     by_key = lambda d, *more: d.select(*more, "cls", *_CHECKED, F.explode("segments").alias("key"))
     name = lambda d, to, names, more=(): d.select(*more, F.col("cls").alias(to), *[F.col(c).alias(f"{to}{c}") for c in names])
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
 
     def near(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         met = saved(pairs.distinct(), "pairs")
@@ -242,16 +274,27 @@ def _near_groups(classes: DataFrame, keyed: DataFrame) -> DataFrame:
     some = by_key(classes.withColumn("segments", F.slice("segments", 1, HUBS)))
     hub = some.groupBy("key").agg(F.min_by(F.struct("cls", *_CHECKED), "cls").alias("x"), F.count("*").alias("size")).where("size > 1")
     hub = saved(name(hub.select("key", "x.*"), "a", _CHECKED, ["key"]), "hubs")
-    tried, found = near(name(some, "b", _CHECKED, ["key"]).join(_few(hub), "key").where((F.col("a") < F.col("b")) & _close("a", "b")).select("a", "b"))
+    first = saved(name(some, "b", _CHECKED, ["key"]).join(_few(hub), "key").where((F.col("a") < F.col("b")) & _close("a", "b")).select("a", "b"), "tried")
+    crowded, to_hub = None, first
+    if not first.groupBy("a").agg(F.count_distinct("b").alias("size")).where(F.col("size") > CROWD).isEmpty():
+        crowded = _crowded(classes, shingles)
+        inner = by_key(classes.join(crowded.where(F.col("reach") < FAR).select("cls", "c"), "cls").withColumn("segments", F.slice("segments", 1, HUBS)), (F.col("c") / F.col("n")).alias("share"))
+        best = inner.groupBy("key").agg(F.max_by(F.struct("cls", *_CHECKED), F.struct("share", "cls")).alias("x")).select("key", "x.*")
+        best = saved(name(best, "a", _CHECKED, ["key"]), "hubs")
+        to_hub = first.union(name(inner, "b", _CHECKED, ["key"]).join(_few(best), "key").where((F.col("a") != F.col("b")) & _close("a", "b")).select(*ordered))
+    tried, found = near(to_hub)
     tree = saved(components(found), "tree").withColumnRenamed("node", "cls")
-    rooted = saved(classes.select("cls", *_CHECKED, "segments").join(tree, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
-    rows = by_key(rooted, "root")
+    reach = classes.join(crowded.select("cls", "reach"), "cls", "left").withColumn("reach", F.coalesce("reach", F.lit(FAR))) if crowded is not None else classes.withColumn("reach", F.lit(FAR))
+    rooted = reach.join(tree, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.col("n").cast("int").alias("n"), "reach", *_CHECKED, "segments")
+    rooted = saved(rooted, "rooted")
+    held = ["root", "n", "reach", *_CHECKED]
+    rows = by_key(rooted.where("reach >= 0.8 * n"), "root", "n", "reach")
     hot = saved(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > HOT), "hot")
-    held = ["root", *_CHECKED]
     # Neither side is renamed before the exchange, so that both read the same one.
     even = rows.join(_few(hot.select("key")), "key", "left_anti").repartition("key")
-    apart = (F.col("aroot") != F.col("broot")) & _close("a", "b")
-    pairs = name(even, "a", held, ["key"]).join(name(even, "b", held, ["key"]), "key").where((F.col("a") < F.col("b")) & apart).select("a", "b")
+    apart = (F.col("aroot") != F.col("broot")) & _alike("a", "b") & _close("a", "b")
+    within = apart & (F.col("an") <= F.col("breach")) & (F.col("bn") <= F.col("areach"))
+    pairs = name(even, "a", held, ["key"]).join(name(even, "b", held, ["key"]), "key").where((F.col("a") < F.col("b")) & within).select("a", "b")
     if not hot.isEmpty():
         large = rows.join(_few(hot), "key")
         most = large.groupBy("key", "size", "root").agg(F.count("*").alias("n")).groupBy("key", "size").agg(F.max(F.struct("n", "root")).alias("most"))
@@ -259,10 +302,15 @@ def _near_groups(classes: DataFrame, keyed: DataFrame) -> DataFrame:
         large = rows.join(_few(most), "key")
         outside = name(large.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", held, ["key", "block"])
         all_of = name(large.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "b", held, ["key", "block"])
-        pairs = pairs.union(outside.join(all_of, ["key", "block"]).where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        pairs = pairs.union(outside.join(all_of, ["key", "block"]).where(within).select(*ordered))
+    if crowded is not None:
+        rare = rooted.join(crowded.select("cls", "rare"), "cls").select("cls", *held, F.posexplode("rare").alias("at", "s")).repartition("s")
+        first_shared = lambda x: 9 * (F.col(f"{x}n") - F.col(f"{x}at")) >= 4 * (F.col("an") + F.col("bn"))
+        beyond = apart & (F.col("bn") > F.col("areach")) & first_shared("a") & first_shared("b")
+        pairs = pairs.union(name(rare, "a", [*held, "at"], ["s"]).join(name(rare, "b", [*held, "at"], ["s"]), "s").where(beyond).select(*ordered))
     more, again = near(pairs)
     tree = saved(components(found.union(again)), "tree").withColumnRenamed("node", "cls")
-    for x in (hub, tried, found, rooted, more, again, hot):
+    for x in (hub, first, tried, found, rooted, more, again, hot, *([best, crowded] if crowded is not None else ())):
         discard(x)
     return tree
 
@@ -284,7 +332,8 @@ def deduped(docs: DataFrame, text: str = "text") -> DataFrame:
     both = prints.groupBy("cls", "check").agg(F.min(best).alias("best"), *[F.first(c).alias(c) for c in (*_PRINT, *_CHECKED, "segments")])  # copies agree in these
     classes = saved(both.groupBy("cls").agg(F.min_by(F.struct("check", "best", *_PRINT, *_CHECKED, "segments"), "check").alias("x")).select("cls", "x.*"), "classes")
     unlike = prints.select("cls", "check", best.alias("best")).join(classes.select("cls", "check"), ["cls", "check"], "left_anti")
-    rooted = _near_groups(classes, keyed.select("doc_id", "__k", F.col(text).alias("text")))
+    shingles = sealed(d.select("cls", "check", "__h"), ["__h"]).select("cls", "check", F.explode("__h").alias("s"))
+    rooted = _near_groups(classes, keyed.select("doc_id", "__k", F.col(text).alias("text")), shingles)
     keep = classes.join(rooted, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("best").alias("best")).select("best")
     keep = keep.union(unlike.select("best")).select(F.col("best.id").alias("__id"), F.col("best.k").alias("__hash")).distinct()
     # How often a kept row is there: only rows that repeat both id and text are counted out.

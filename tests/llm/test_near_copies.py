@@ -106,3 +106,46 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch, hot, broadcast):
     monkeypatch.setattr(op9_simhash, "BROADCAST", broadcast)
     rows = planted(20, 8)
     assert kept(op9_simhash.deduped(spark.createDataFrame(rows, SCHEMA).repartition(3))) == plain.first_of_each(rows, plain.near_groups(rows))
+
+
+def versions(n, seed=11, words=120):
+    """n versions of one text, with 0 to 24 words replaced, left out or put in; some are further versions of a version."""
+    rnd = random.Random(seed)
+    base, texts = [f"b{i}" for i in range(words)], []
+    for i in range(n):
+        w = list(rnd.choice(texts)) if texts and i % 10 == 0 else list(base)
+        for _ in range(rnd.randrange(25) if i % 10 else 1):
+            at, new = rnd.randrange(len(w)), f"n{rnd.randrange(200)}"
+            w[at : at + 1] = rnd.choice([[new], [new], [], [w[at], new]])
+        texts.append(w)
+    return [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(rnd.sample(texts, n))]
+
+
+@pytest.mark.parametrize("crowd, hot, broadcast", [(64, 2048, 1_000_000), (3, 2048, 1_000_000), (64, 3, 0), (0, 2048, 1_000_000)])
+def test_crowds_lose_no_link(spark, monkeypatch, crowd, hot, broadcast):
+    monkeypatch.setattr(op9_simhash, "CROWD", crowd)
+    monkeypatch.setattr(op9_simhash, "HOT", hot)
+    monkeypatch.setattr(op9_simhash, "BROADCAST", broadcast)
+    rows = versions(300) + [(i + 1000, t, *x) for i, t, *x in planted(10, 6)] + [(2000, "", "en", "s", 0), (2001, "b1 b2", "en", "s", 0), (2002, None, "en", "s", 0)]
+    rows += [(i + 3000, t, *x) for i, t, *x in rows[:40]]
+    want = plain.first_of_each(rows, plain.near_groups(rows))
+    assert 100 < len(want) < 320
+    assert kept(op9_simhash.deduped(spark.createDataFrame(rows, SCHEMA).repartition(3))) == want
+
+
+def test_pairs_of_a_crowd_grow_with_its_texts(spark, monkeypatch):
+    """Versions of one text that are unlike by more than 0.8 are not all paired: before, twice the versions made four times the pairs."""
+    made, saved = [], op9_simhash.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        made.append(out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(op9_simhash, "saved", counted)
+    counts = []
+    for n in (400, 800):
+        made.clear()
+        op9_simhash.deduped(spark.createDataFrame(versions(n), SCHEMA).repartition(3)).count()
+        counts.append(sum(made))
+    assert counts[1] < 2.5 * counts[0] and counts[1] < 40 * 800, counts
